@@ -6,7 +6,9 @@ import importlib
 
 #: Query name: its module.
 QUERIES = {
+    "op1_chat": "chat",
     "op5_token_store": "token_store",
+    "op7_langid": "langid",
     "op9_mixing": "mixing",
 }
 
