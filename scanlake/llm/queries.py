@@ -7,6 +7,7 @@ import importlib
 #: Query name: its module.
 QUERIES = {
     "op1_chat": "chat",
+    "op3_quality": "quality",
     "op5_token_store": "token_store",
     "op7_langid": "langid",
     "op9_mixing": "mixing",
