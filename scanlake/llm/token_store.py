@@ -18,9 +18,11 @@ stored one after another. Null doc_ids come first. An empty table makes no shard
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
-MEMO = 200_000
+MEMO = 300_000
 BLOCK = 512
 
 
@@ -56,6 +58,7 @@ class Encoder:
     ODD = re.compile(r"[^\t-\r -~À-ɏ]")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,6 +68,20 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces. Those of a space and letters split again where they were
+        joined, so many go as one text."""
+        plain = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            cut = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            self.memo.update((x, raw[a:z]) for x, a, z in zip(part, cut, cut[1:]))
+        rest = [x for x in new if x not in self.memo]
+        for at in range(0, len(rest), 2000):
+            self.memo.update(zip(rest[at : at + 2000], self.whole(rest[at : at + 2000])))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
@@ -72,34 +89,15 @@ class Encoder:
             part = texts[at : at + 256]
             odd = [i for i, t in enumerate(part) if self.ODD.search(t)]
             strange = dict(zip(odd, self.whole([part[i] for i in odd]))) if odd else {}
-            pieces = [None if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
-            memo = self.memo
-            new = {x for p in pieces if p for x in p if x not in memo}
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {x for p in pieces if p for x in p}
-            if new:
-                new = list(new)
-                memo.update(zip(new, self.whole(new)))
-            get = memo.__getitem__
-            out += [strange[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(pieces)]
+            pieces = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self.learn(list(set(chain.from_iterable(pieces)) - self.memo.keys()))
+            get = self.memo.__getitem__
+            out += [strange[i] if i in strange else b"".join(map(get, p)) for i, p in enumerate(pieces)]
         return out
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, the end id last)."""
-    small_batches(docs.sparkSession, 1000)
-    kind, path, tail = docs.schema["doc_id"].dataType.simpleString(), path or tokenizer_path(), struct.pack("<I", end_id)
-
-    def encode(batches):
-        encoder = Encoder(path)
-        for b in batches:
-            ids = [x + tail for x in encoder([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(encode, f"doc_id {kind}, ids binary")
-
-
 def _ranks(bits: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bitmap's bytes, and the ones before each block."""
     padded = np.zeros(-(-max(len(bits), 1) // BLOCK) * BLOCK, dtype=bool)
@@ -187,36 +185,38 @@ class Shard:
             begin = int(end)
 
 
-def write_store(encoded: DataFrame, path: str, bits: int = 8, shard_ids: int = SHARD_IDS) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, shard_ids: int = SHARD_IDS) -> None:
     """Write the shards: documents by range of doc_id, ascending, so files follow
-    one another by `part`, and shards in a file by `shard`."""
+    one another by `part`, and shards in a file by `shard`. Texts are dealt out
+    first and encoded where they are packed, so each is encoded once."""
+    spark = docs.sparkSession
+    small_batches(spark, 500, "4m")
+    vocabulary, tail = tokenizer or tokenizer_path(), struct.pack("<I", end_id)
 
     def shards(batches):
-        docs: list = []
-        held, count, part = [], 0, -1
-        k = 0
+        encoder = Encoder(vocabulary)
+        docs, held, count, part, k = [], [], 0, -1, 0
 
         def out():
-            nonlocal docs, held, count, k
             ids = np.frombuffer(b"".join(held), dtype="<u4")
             ends = np.cumsum([len(x) // 4 for x in held])
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, docs, ends, bits)], pa.binary())], ["part", "shard", "n_ids", "blob"])
-            docs, held, count, k = [], [], 0, k + 1
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, docs, ends, bits)], pa.binary())], ["part", "shard", "n_ids", "blob"])
 
         for b in batches:
-            for doc, ids, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                part = p
+            part = b.column(2)[0].as_py() if b.num_rows else part
+            own = b.column(0).to_pylist()
+            for doc, ids in zip(own, encoder([t or "" for t in b.column(1).to_pylist()])):
                 docs.append(doc)
-                held.append(ids)
-                count += len(ids) // 4
+                held.append(ids + tail)
+                count += len(ids) // 4 + 1
                 if count >= shard_ids:
                     yield out()
+                    docs, held, count, k = [], [], 0, k + 1
         if docs:
             yield out()
 
-    n = max(int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = encoded.select(F.col("doc_id").cast("long"), "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ranged.withColumn("part", F.spark_partition_id()).mapInArrow(shards, "part int, shard int, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(path)
 
 
@@ -251,7 +251,7 @@ def store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     """Encode, write to `path` (a new shared folder if none) and read back."""
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    write_store(encode_documents(docs, tokenizer, end_id), path, bits)
+    write_store(docs, path, tokenizer, end_id, bits)
     return read_store(spark, path)
 
 
