@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": "quality",
     "op5_token_store": "token_store",
     "op7_langid": "langid",
+    "op8_decontaminate": "decontaminate",
     "op9_mixing": "mixing",
 }
 
