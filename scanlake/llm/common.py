@@ -1,5 +1,4 @@
-"""What the training-data operators share: table access, durable
-materialisation and vectorised word hashing.
+"""What the training-data operators share: table access and vectorised word hashing.
 
 Text is handled as UTF-8 bytes in numpy. A word is a maximal run of bytes other
 than 0x20 and 0x09-0x0D; this equals the same class on code points, because no
@@ -8,15 +7,13 @@ multi-byte sequence of UTF-8 holds those bytes.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from scanlake.storage import drop_table, materialize, shared_dir  # noqa: F401
+
 #: Bytes of text that a vectorised step holds at once.
 CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
@@ -42,38 +39,6 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "6m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one only where that is
-    unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_dir()
-    return f"{base.rstrip('/')}/scanlake-{uuid.uuid4().hex}"
-
-
-def _own_dir(kept: list = []) -> str:  # noqa: B006
-    if not kept:
-        kept.append(tempfile.TemporaryDirectory(prefix="scanlake-"))
-        atexit.register(kept[0].cleanup)
-    return f"file://{kept[0].name}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder: an executor
-    that is lost later costs nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing will read again."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a bijection on 64 bits."""
     x = x.astype(np.uint64, copy=True)

@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op1_chat": "chat",
     "op3_quality": "quality",
+    "op4_neighbours": "neighbours",
     "op5_token_store": "token_store",
     "op7_langid": "langid",
     "op8_decontaminate": "decontaminate",
