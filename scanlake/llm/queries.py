@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": "quality",
     "op4_neighbours": "neighbours",
     "op5_token_store": "token_store",
+    "op6_jaccard": "jaccard",
     "op7_langid": "langid",
     "op8_decontaminate": "decontaminate",
     "op9_mixing": "mixing",
