@@ -14,6 +14,7 @@ QUERIES = {
     "op7_langid": "langid",
     "op8_decontaminate": "decontaminate",
     "op9_mixing": "mixing",
+    "op10_repeats": "repeats",
 }
 
 
