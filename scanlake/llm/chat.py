@@ -71,7 +71,7 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> Data
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
 
     def encode(batches):
-        encoder = Encoder(path)
+        encoder = Encoder.here(path)
         for b in batches:
             texts = [[x or "" for x in b.column(k).to_pylist()] for k in (2, 3)]
             ids, loss, begin = assemble(encoder, *texts)

@@ -7,6 +7,7 @@ import importlib
 #: Query name: its module.
 QUERIES = {
     "op1_chat": "chat",
+    "op2_lm_score": "lm_score",
     "op3_quality": "quality",
     "op4_neighbours": "neighbours",
     "op5_token_store": "token_store",

@@ -21,6 +21,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from itertools import chain
 
@@ -36,8 +38,8 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
-#: Pieces of text whose ids a worker remembers.
-MEMO = 300_000
+#: Pieces of text whose ids a worker remembers, twice at most.
+MEMO = 250_000
 BLOCK = 512
 
 
@@ -64,6 +66,16 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def here(cls, path: str) -> Encoder:
+        """The encoder of this process: a worker that runs several tasks goes on
+        with what it remembers."""
+        kept = sys.modules.setdefault("_scanlake_encoders", types.ModuleType("_scanlake_encoders")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -91,8 +103,13 @@ class Encoder:
             strange = dict(zip(odd, self.whole([part[i] for i in odd]))) if odd else {}
             pieces = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
             if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.learn(list(set(chain.from_iterable(pieces)) - self.memo.keys()))
+                self.memo, self.old = {}, self.memo
+            new = list(set(chain.from_iterable(pieces)) - self.memo.keys())
+            if self.old:
+                known = {x: ids for x, ids in zip(new, map(self.old.get, new)) if ids is not None}
+                self.memo.update(known)
+                new = [x for x in new if x not in known]
+            self.learn(new)
             get = self.memo.__getitem__
             out += [strange[i] if i in strange else b"".join(map(get, p)) for i, p in enumerate(pieces)]
         return out
@@ -194,7 +211,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     vocabulary, tail = tokenizer or tokenizer_path(), struct.pack("<I", end_id)
 
     def shards(batches):
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.here(vocabulary)
         docs, held, count, part, k = [], [], 0, -1, 0
 
         def out():
