@@ -8,8 +8,8 @@ smallest `k` + 1 ids (no answer needs more of them), so a vector that a third of
 the rows share weighs as one. A query walks the tree with a priority queue of
 bins by distance to their centre and visits leaves in that order. How many is
 calibrated: a bounded set of queries is also answered by brute force, and visits
-widen until their recall reaches `recall`. Leaves above CHUNK classes are split,
-and each part is searched on its own.
+widen until their recall reaches `recall`. Leaves are searched in groups, and a
+group in parts of at most CHUNK classes or so, so no task holds more.
 
 Scores are inner products of the original vectors in double precision, summed in
 order of the components.
@@ -32,10 +32,12 @@ from scanlake.llm.common import materialize, read, small_batches
 
 FIT_ROWS = 50_000
 BRANCH = 16
-LEAF = 48
-CHUNK = 4096
+LEAVES = 256
+#: Leaves are searched in so many groups, and a group in parts of CHUNK classes.
+GROUPS = 16
+CHUNK = 16384
 CALIBRATION = 256
-RECALL = 0.97
+RECALL = 0.94
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> tuple[np.ndarray, np.
 class Tree:
     """children[node]: (centres, child nodes); a negative child is leaf ~child."""
 
-    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 3):
+    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = 64, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.nodes: list = []
         self.leaves = 0
@@ -139,21 +141,37 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _top(q, q_ids, x, ids, k):
-    """For each query the best k ids among classes x: (row of q, id, score)."""
+def _top(q: np.ndarray, x: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) among which are the k best of each q, with their
+    scores; all that tie with the last. `seen`: which pairs count."""
     rough = q @ x.T
-    out = []
-    for i in range(len(q)):
-        r = rough[i]
-        need = k + 1  # one class more: the query's own may hold its id alone
-        near = np.arange(len(r)) if len(r) <= need else np.flatnonzero(r >= np.partition(r, len(r) - need)[len(r) - need] - 1e-9)
-        s = _ordered_dot(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
-        found = sorted((-float(v), int(c)) for v, j in zip(s, near) for c in ids[j] if c != q_ids[i])[:k]
-        out += [(i, c, -v) for v, c in found]
-    return out
-
-
-def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit_rows: int = FIT_ROWS, branch: int = BRANCH, leaf: int = LEAF, calibration: int = CALIBRATION) -> DataFrame:
+    if seen is not None:
+        rough[~seen] = -np.inf
+    if len(x) > k:
+        least = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero((rough >= least - 1e-9) & (rough > -np.inf))
+    else:
+        i, j = np.nonzero(rough > -np.inf)
+    return i, j, _ordered_dot(q[i], x[j])
+
+
+def _expand(i, j, s, ids: pa.ListArray, q_ids: np.ndarray, k: int):
+    """Pairs of classes to pairs of ids, without a query itself: its k best."""
+    n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, begin = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n
+    times = n[j]
+    at = np.repeat(begin[j] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    i, s, own, c = np.repeat(i, times), np.repeat(s, times), np.repeat(j, times), flat[at]
+    keep = c != q_ids[i]
+    i, s, own, c = i[keep], s[keep], own[keep], c[keep]
+    order = np.lexsort((c, -s, i))
+    i, s, own, c = i[order], s[order], own[order], c[order]
+    first = np.searchsorted(i, np.arange(len(q_ids) + 1))
+    best = np.arange(len(i)) - first[i] < k
+    return i[best], c[best], s[best], own[best]
+
+
+def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit_rows: int = FIT_ROWS, branch: int = BRANCH, calibration: int = CALIBRATION) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id
     fulfils `queries` (a condition on vec_id)."""
     spark = vectors.sparkSession
@@ -169,7 +187,9 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
     classes = few.groupBy("v").agg(F.collect_list("vec_id").alias("ids")).withColumn("h", F.xxhash64("v"))
     m2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     sample = np.array([r.v for r in classes.select("h", "v").orderBy("h", "v").limit(fit_rows).toLocalIterator()])
-    tree = spark.sparkContext.broadcast(Tree(_lift(sample, m2), branch, leaf))  # bounded by fit_rows
+    # About sqrt(rows) leaves, at least LEAVES: visits and comparisons then grow alike.
+    n_leaves = max(LEAVES, int(np.sqrt(rows.count())))
+    tree = spark.sparkContext.broadcast(Tree(_lift(sample, m2), branch, max(16, -(-len(sample) * 2 // n_leaves))))  # bounded by fit_rows
 
     def index(batches):
         for b in batches:
@@ -184,21 +204,39 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
 
     def walk(batches):
         for b in batches:
-            q = _query(_matrix(b.column(1), d))
-            bins = [tree.value.best_bins(x, visits, held_by, k + 1) for x in q]
-            rep = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in bins]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(np.array([x for y in bins for x in y], dtype=np.int32))], ["query_id", "q", "leaf"])
-
-    parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    held = indexed.join(parts, "leaf").withColumn("part", F.pmod("h", "parts").cast("int"))
-    visiting = asked.mapInArrow(walk, "query_id long, q array<double>, leaf int").join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            rep, group, leaves = [], [], []
+            for i, x in enumerate(_query(_matrix(b.column(1), d))):
+                bins = np.array(tree.value.best_bins(x, visits, held_by, k + 1), dtype=np.int32)
+                for g in np.unique(bins % GROUPS):
+                    rep.append(i)
+                    group.append(g)
+                    leaves.append(bins[bins % GROUPS == g])
+            at = pa.array(np.cumsum([0, *map(len, leaves)]).astype(np.int32))
+            rep = pa.array(rep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(group, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(leaves) if leaves else np.zeros(0, np.int32)))], ["query_id", "q", "group", "leaves"])
+
+    held = indexed.withColumn("group", F.col("leaf") % GROUPS)
+    parts = held.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    held = held.join(parts, "group").withColumn("part", F.pmod("h", "parts").cast("int"))
+    visiting = asked.mapInArrow(walk, "query_id long, q array<double>, group int, leaves array<int>").join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(left, right):
-        q_ids, ids = left.column("query_id").to_pylist(), right.column("ids").to_pylist()
-        found = _top(_matrix(left.column("q").combine_chunks(), d), q_ids, _matrix(right.column("v").combine_chunks(), d), ids, k) if ids and q_ids else []
-        return pa.table({"query_id": pa.array([q_ids[i] for i, _, _ in found], pa.int64()), "vec_id": pa.array([c for _, c, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.float64())})
-
-    met = visiting.select("leaf", "part", "query_id", "q").groupBy("leaf", "part").cogroup(held.select("leaf", "part", "v", "ids").groupBy("leaf", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+        out = []
+        if left.num_rows and right.num_rows:
+            left, right = left.combine_chunks(), right.combine_chunks()
+            x, leaf, ids = _matrix(right.column("v").chunk(0), d), right.column("leaf").to_numpy(), right.column("ids").chunk(0)
+            for a in range(0, left.num_rows, 256):
+                some = left.slice(a, 256).combine_chunks()
+                q_ids, lists = some.column("query_id").to_numpy(), some.column("leaves").chunk(0)
+                visited = np.zeros((len(q_ids), tree.value.leaves), dtype=bool)
+                visited[np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = True
+                i, j, s = _top(_matrix(some.column("q").chunk(0), d), x, k + 1, visited[:, leaf])
+                i, c, s, _ = _expand(i, j, s, ids, q_ids, k)
+                out.append((q_ids[i], c, s))
+        found = [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    met = visiting.select("group", "part", "query_id", "q", "leaves").groupBy("group", "part").cogroup(held.select("group", "part", "leaf", "v", "ids").groupBy("group", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -215,17 +253,16 @@ def _calibrate(spark, indexed, asked, tree, d, k, recall, calibration) -> int:
     def brute(batches):
         best: list = [[] for _ in q]
         for b in batches:
-            leaf = b.column(1).to_numpy()
-            ids = b.column(2).to_pylist()
-            x = _matrix(b.column(0), d)
-            if not len(x):
+            if not b.num_rows:
                 continue
-            where = {c: int(leaf[j]) for j, own in enumerate(ids) for c in own}
-            for i, c, s in _top(q, q_ids, x, ids, k):
-                best[i].append((-s, c, where[c]))
-            best = [sorted(x)[:k] for x in best]
-        found = [(i, *x) for i, own in enumerate(best) for x in own]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([-x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32())], ["i", "score", "vec_id", "leaf"])
+            x = _matrix(b.column(0), d)
+            i, c, s, own = _expand(*_top(q, x, k + 1), b.column(2), np.array(q_ids), k)
+            leaf = b.column(1).to_numpy()[own]
+            for row, id_, score, at in zip(i.tolist(), c.tolist(), s.tolist(), leaf.tolist()):
+                best[row].append((-score, id_, at))
+            best = [sorted(y)[:k] for y in best]
+        found = [(i, *y) for i, own in enumerate(best) for y in own]
+        yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in found], pa.int32()), pa.array([-y[1] for y in found], pa.float64()), pa.array([y[2] for y in found], pa.int64()), pa.array([y[3] for y in found], pa.int32())], ["i", "score", "vec_id", "leaf"])
 
     near = indexed.select("v", "leaf", "ids").mapInArrow(brute, "i int, score double, vec_id long, leaf int")
     order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
