@@ -62,7 +62,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(size, _P_INV if inverse else _P, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 4 * CHUNK:
+        if size <= 6 * CHUNK:
             _POWERS[inverse] = have
     return have[:n]
 

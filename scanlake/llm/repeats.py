@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -282,9 +283,12 @@ def unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that are over: it does when their
+    plans are collected, and Python's references to them go first, a moment later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
