@@ -18,6 +18,7 @@ stored one after another. Null doc_ids come first. An empty table makes no shard
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -83,36 +84,47 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Encode pieces. Those of a space and letters split again where they were
         joined, so many go as one text."""
-        plain = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        plain, rest = [], []
+        for x in new:
+            (plain if x[0] == " " and x[1:].isalpha() else rest).append(x)
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
             e = self.library.encode("".join(part), add_special_tokens=False)
             cut = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
             raw = np.array(e.ids, dtype="<u4").tobytes()
-            self.memo.update((x, raw[a:z]) for x, a, z in zip(part, cut, cut[1:]))
-        rest = [x for x in new if x not in self.memo]
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:]))))
         for at in range(0, len(rest), 2000):
             self.memo.update(zip(rest[at : at + 2000], self.whole(rest[at : at + 2000])))
 
+    def know(self, lists) -> None:
+        """See to it that all these pieces are remembered."""
+        new = list(set(chain.from_iterable(lists)) - self.memo.keys())
+        if self.old:
+            known = {x: ids for x, ids in zip(new, map(self.old.get, new)) if ids is not None}
+            self.memo.update(known)
+            new = [x for x in new if x not in known]
+        self.learn(new)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            odd = [i for i, t in enumerate(part) if self.ODD.search(t)]
-            strange = dict(zip(odd, self.whole([part[i] for i in odd]))) if odd else {}
-            pieces = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
-            if len(self.memo) > MEMO:
-                self.memo, self.old = {}, self.memo
-            new = list(set(chain.from_iterable(pieces)) - self.memo.keys())
-            if self.old:
-                known = {x: ids for x, ids in zip(new, map(self.old.get, new)) if ids is not None}
-                self.memo.update(known)
-                new = [x for x in new if x not in known]
-            self.learn(new)
-            get = self.memo.__getitem__
-            out += [strange[i] if i in strange else b"".join(map(get, p)) for i, p in enumerate(pieces)]
-        return out
+        """The ids of each text as little-endian 32-bit integers. Millions of
+        strings and no cycles are made here, so the collector of cycles rests."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, part: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(part) if self.ODD.search(t)]
+        strange = dict(zip(odd, self.whole([part[i] for i in odd]))) if odd else {}
+        pieces = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        self.know(pieces)
+        get = self.memo.__getitem__
+        return [strange[i] if i in strange else b"".join(map(get, p)) for i, p in enumerate(pieces)]
 
 
 def _ranks(bits: np.ndarray) -> tuple[bytes, np.ndarray]:
