@@ -33,7 +33,10 @@ from scanlake.llm.repeats import release
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: An n-gram's hash has so many bits more than the logarithm of their number: about
+#: one in 2^SPARE_BITS n-grams shares its hash with another, at any size.
+SPARE_BITS = 24
 #: Bytes of text for each hash bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -52,12 +55,17 @@ def _expand(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _pack_sorted(h: np.ndarray) -> bytes:
-    return _squeeze(np.diff(h, prepend=np.uint64(0)))
+def _pack_sorted(h: np.ndarray, drop: int) -> bytes:
+    """Sorted hashes whose lowest `drop` bits are zero, as steps."""
+    return _squeeze(np.diff(h, prepend=np.uint64(0)) >> np.uint64(drop))
 
 
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_expand(blob, np.uint64), dtype=np.uint64)
+def _unpack_sorted(blob: bytes, drop: int) -> np.ndarray:
+    return np.cumsum(_expand(blob, np.uint64), dtype=np.uint64) << np.uint64(drop)
+
+
+def _grams(words: np.ndarray, first: np.ndarray, n: int, drop: int) -> np.ndarray:
+    return ngram_hashes(words, first, n)[0] >> np.uint64(drop) << np.uint64(drop)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def _open(blob: bytes, n: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[8 * n :]))
 
 
-def questions(packed: DataFrame, order: int, bits: int) -> DataFrame:
+def questions(packed: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
     """bucket, n, block, hashes, counts: what a block asks of a bucket."""
     small_batches(packed.sparkSession, 1)
 
@@ -106,7 +114,7 @@ def questions(packed: DataFrame, order: int, bits: int) -> DataFrame:
             for block, ids, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 words, first = word_hashes(_open(blob.as_buffer().to_pybytes(), len(ids)))
                 for n in range(1, order + 1):
-                    h = np.sort(ngram_hashes(words, first, n)[0])
+                    h = np.sort(_grams(words, first, n, drop))
                     if not len(h):
                         continue
                     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -117,7 +125,7 @@ def questions(packed: DataFrame, order: int, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
-                            pa.array([_pack_sorted(h[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([_squeeze(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
+                            pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([_squeeze(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
                         ],
                         ["bucket", "n", "block", "hashes", "counts"],
                     )
@@ -125,11 +133,11 @@ def questions(packed: DataFrame, order: int, bits: int) -> DataFrame:
     return packed.select("block", "ids", "texts").mapInArrow(ask, "bucket int, n int, block long, hashes binary, counts binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, drop: int) -> DataFrame:
     """block, n, bucket, counts: the corpus counts, in the order of the question."""
 
     def count(table):
-        hashes = [_unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+        hashes = [_unpack_sorted(x, drop) for x in table.column("hashes").to_pylist()]
         own = np.concatenate([_expand(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
         _, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, own).astype(np.uint64)[where]
@@ -139,13 +147,13 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket", "n").applyInArrow(count, "block long, n int, bucket int, total binary")
 
 
-def block_scores(words: np.ndarray, first: np.ndarray, totals: dict[int, np.ndarray], all_words: int, order: int, alpha: float, min_count: int) -> np.ndarray:
+def block_scores(words: np.ndarray, first: np.ndarray, totals: dict[int, np.ndarray], all_words: int, order: int, alpha: float, min_count: int, drop: int) -> np.ndarray:
     """The sum of log scores of each text."""
     size = np.diff(first)
     place = np.arange(len(words)) - np.repeat(first[:-1], size)  # in its text
     counts = {}
     for n in range(1, order + 1):
-        h, _ = ngram_hashes(words, first, n)
+        h = _grams(words, first, n, drop)
         c = np.zeros(len(words), dtype=np.int64)  # by the n-gram's last word
         c[place >= n - 1] = totals[n][np.unique(h, return_inverse=True)[1]].astype(np.int64) if len(h) else 0
         counts[n] = c
@@ -165,7 +173,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     packed = materialize(blocks(docs))
     size = packed.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(16, max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET_BYTES))))))
-    answered = materialize(answers(questions(packed, order, bits)))
+    # No text has more words than bytes.
+    drop = max(0, 64 - SPARE_BITS - max(16, int(size).bit_length()))
+    answered = materialize(answers(questions(packed, order, bits, drop), drop))
     release(spark)
 
     def words_in(batches):
@@ -180,7 +190,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         words, first = word_hashes(_open(blob, len(ids)))
         rows = sorted(zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("total").to_pylist()), key=lambda x: x[:2])
         totals = {n: np.concatenate([np.zeros(0, np.uint64), *(_expand(x, np.uint64) for m, _, x in rows if m == n)]) for n in range(1, order + 1)}
-        sums, n_words = block_scores(words, first, totals, all_words, order, alpha, min_count), np.diff(first)
+        sums, n_words = block_scores(words, first, totals, all_words, order, alpha, min_count, drop), np.diff(first)
         mean = [s / n if n else None for s, n in zip(sums.tolist(), n_words.tolist())]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64())})
 
