@@ -138,3 +138,21 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def pack_integers(x: np.ndarray) -> bytes:
+    """Compressed integers: bytes of equal significance stand together."""
+    import zstandard
+
+    if not len(x):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unpack_integers(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    if not blob:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)

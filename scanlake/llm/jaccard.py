@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import materialize, mix64, ngram_hashes, read, signed, small_batches, word_hashes
+from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, unpack_integers, word_hashes
 from scanlake.operators.components import connected_components
 
 #: Equal parts asked for beyond one, so that as many empty ones can be left out.
@@ -115,37 +115,56 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def candidate_edges(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: documents that share a signature, each with the smallest that does.
-    Rows of a signature stream through in order; none is held."""
+def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the least document of each, and edges (n, 2) from
+    the other documents of a key to its least."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    head = doc[new]
+    hubs = head[np.cumsum(new) - 1]
+    far = hubs != doc
+    return key[new], head, np.unique(np.stack([doc[far], hubs[far]], axis=1), axis=0)
+
+
+def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> DataFrame:
+    """a, b: documents that share a signature, each with the smallest that does. A
+    batch ties its own documents and passes on each signature once, with its least
+    document, so a signature that a third of the documents share is a row a batch.
+    Signatures travel packed, in columns by hash bucket; `shingles` (of all
+    documents) sets the number of buckets."""
     small_batches(docs.sparkSession, 1000)
     brackets = Brackets(percent)
+    bits = min(16, max(0, int(shingles >> 20).bit_length()))
 
     def sign(batches):
+        k = 0
         for b in batches:
             own = [signatures(s, brackets) if len(s) else s for s in shingle_sets(b.column(1), n)]
-            rep = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(own)) if own else np.zeros(0, np.int64)), b.column(0).take(rep)], ["sig", "doc"])
-
-    def tie(batches):
-        sig_now, hub = None, 0
-        for b in batches:
-            sig, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(sig):
+            if not own or not sum(map(len, own)):
                 continue
-            new = np.ones(len(sig), dtype=bool)
-            new[1:] = sig[1:] != sig[:-1]
-            head = doc[np.flatnonzero(new)]
-            if sig_now is not None and sig[0] == sig_now:
-                head[0] = hub
-            hubs = head[np.cumsum(new) - 1]
-            sig_now, hub = sig[-1], hubs[-1]
-            far = hubs != doc
-            pairs = np.unique(np.stack([doc[far], hubs[far]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    signed_rows = docs.filter("doc_id is not null").mapInArrow(sign, "sig long, doc long")
-    return signed_rows.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(tie, "a long, b long").distinct()
+            doc = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
+            sig, doc, edges = _least_per_key(np.concatenate(own), doc)
+            bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(sig))
+            k += 1
+            names = bucket[cut[:-1]].tolist() + [-1 - k % 64]
+            keys = [pack_integers(np.diff(sig[x:z], prepend=np.uint64(0))) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 0])]
+            values = [pack_integers(doc[x:z]) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["bucket", "keys", "docs"])
+
+    def tie(table):
+        keys, values = table.column("keys").to_pylist(), table.column("docs").to_pylist()
+        doc = np.concatenate([unpack_integers(x, np.int64) for x in values])
+        if table.column("bucket")[0].as_py() < 0:  # edges that a batch has found
+            edges = np.stack([np.concatenate([unpack_integers(x, np.int64) for x in keys]), doc], axis=1)
+        else:
+            edges = _least_per_key(np.concatenate([np.cumsum(unpack_integers(x, np.uint64), dtype=np.uint64) for x in keys]), doc)[2]
+        return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
+
+    packed = docs.filter("doc_id is not null").mapInArrow(sign, "bucket int, keys binary, docs binary")
+    return packed.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 
 class Node:
@@ -297,7 +316,8 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = materialize(fingerprints(docs, n))
-    units = connected_components(candidate_edges(docs, n, percent)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
+    shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
+    units = connected_components(candidate_edges(docs, n, percent, shingles)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
     units = materialize(units)
     # Equal sets share all signatures, so a class lies in one unit.
     known = base.filter("n_shingles > 0 and doc_id is not null").join(units, "doc_id")

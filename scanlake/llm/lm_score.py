@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import drop_table, materialize, ngram_hashes, read, small_batches, word_hashes
+from scanlake.llm.common import materialize, ngram_hashes, pack_integers, read, small_batches, unpack_integers, word_hashes
 from scanlake.llm.repeats import release
 
 ORDER = 3
@@ -41,27 +41,13 @@ SPARE_BITS = 24
 BUCKET_BYTES = 8 << 20
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Compressed integers: bytes of equal significance stand together."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def _expand(blob: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
 def _pack_sorted(h: np.ndarray, drop: int) -> bytes:
     """Sorted hashes whose lowest `drop` bits are zero, as steps."""
-    return _squeeze(np.diff(h, prepend=np.uint64(0)) >> np.uint64(drop))
+    return pack_integers(np.diff(h, prepend=np.uint64(0)) >> np.uint64(drop))
 
 
 def _unpack_sorted(blob: bytes, drop: int) -> np.ndarray:
-    return np.cumsum(_expand(blob, np.uint64), dtype=np.uint64) << np.uint64(drop)
+    return np.cumsum(unpack_integers(blob, np.uint64), dtype=np.uint64) << np.uint64(drop)
 
 
 def _grams(words: np.ndarray, first: np.ndarray, n: int, drop: int) -> np.ndarray:
@@ -125,7 +111,7 @@ def questions(packed: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
-                            pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([_squeeze(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
+                            pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([pack_integers(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
                         ],
                         ["bucket", "n", "block", "hashes", "counts"],
                     )
@@ -138,11 +124,11 @@ def answers(asked: DataFrame, drop: int) -> DataFrame:
 
     def count(table):
         hashes = [_unpack_sorted(x, drop) for x in table.column("hashes").to_pylist()]
-        own = np.concatenate([_expand(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        own = np.concatenate([unpack_integers(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
         _, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, own).astype(np.uint64)[where]
         cut = np.cumsum([0, *map(len, hashes)])
-        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "total": pa.array([_squeeze(total[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())})
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "total": pa.array([pack_integers(total[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())})
 
     return asked.groupBy("bucket", "n").applyInArrow(count, "block long, n int, bucket int, total binary")
 
@@ -189,7 +175,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         ids, blob = left.column("ids")[0].as_py(), left.column("texts")[0].as_py()
         words, first = word_hashes(_open(blob, len(ids)))
         rows = sorted(zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("total").to_pylist()), key=lambda x: x[:2])
-        totals = {n: np.concatenate([np.zeros(0, np.uint64), *(_expand(x, np.uint64) for m, _, x in rows if m == n)]) for n in range(1, order + 1)}
+        totals = {n: np.concatenate([np.zeros(0, np.uint64), *(unpack_integers(x, np.uint64) for m, _, x in rows if m == n)]) for n in range(1, order + 1)}
         sums, n_words = block_scores(words, first, totals, all_words, order, alpha, min_count, drop), np.diff(first)
         mean = [s / n if n else None for s, n in zip(sums.tolist(), n_words.tolist())]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64())})
