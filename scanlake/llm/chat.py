@@ -50,10 +50,10 @@ def assemble(encoder, roles: list[str], texts: list[str]) -> tuple[np.ndarray, n
     """ids and loss mask of the turns end to end, and where each begins (n+1)."""
     n = len(roles)
     segments = encoder([escape(x) for x in roles + texts])
-    mark = [np.array([x], dtype="<u4").tobytes() for x in (TURN, SEP, END)]
-    ids = np.frombuffer(b"".join(x for i in range(n) for x in (mark[0], segments[i], mark[1], segments[n + i], mark[2])), dtype="<u4")
-    long_role = np.array([len(x) // 4 for x in segments[:n]], dtype=np.int64)
-    long_text = np.array([len(x) // 4 for x in segments[n:]], dtype=np.int64)
+    mark = [np.array([x], dtype=np.uint32) for x in (TURN, SEP, END)]
+    ids = np.concatenate([np.zeros(0, np.uint32), *(x for i in range(n) for x in (mark[0], segments[i], mark[1], segments[n + i], mark[2]))])
+    long_role = np.array([len(x) for x in segments[:n]], dtype=np.int64)
+    long_text = np.array([len(x) for x in segments[n:]], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(long_role + long_text + 3)]).astype(np.int64)
     step = np.zeros(len(ids) + 1, dtype=np.int32)
     own = np.array([r == ASSISTANT for r in roles], dtype=bool)

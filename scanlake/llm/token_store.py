@@ -18,29 +18,26 @@ stored one after another. Null doc_ids come first. An empty table makes no shard
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 import struct
 import sys
 import types
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, shared_dir, small_batches
+from scanlake.llm.common import read, shared_dir, small_batches, span_hashes, text_bytes
 
 MAGIC = b"DAC1"
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
-#: Pieces of text whose ids a worker remembers, twice at most.
-MEMO = 250_000
+#: Pieces of text whose ids a worker remembers.
+MEMO = 600_000
 BLOCK = 512
 
 
@@ -50,15 +47,67 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Classes of bytes of UTF-8 text: space, other white space, letter, digit, other,
+#: and those of characters for which the library decides.
+SPACE_, WHITE, LETTER, DIGIT, OTHER, ODD = range(6)
+CLASS = np.full(256, OTHER, dtype=np.uint8)
+CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[9:14], CLASS[32] = WHITE, SPACE_
+CLASS[[*range(9), *range(14, 32), 127, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = ODD
+
+
+def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin in texts end to end, and which texts are odd.
+
+    The pieces of this public vocabulary's pattern: a contraction ('s 't 're 've 'm
+    'll 'd); letters, digits or other characters, each with one space before if there
+    is one; white space, of which the last character before anything else is a piece
+    of its own or goes with what follows. Odd texts hold characters outside
+    U+0009-U+024F, controls, or U+0080-U+00BF."""
+    n = len(data)
+    kind = CLASS[data]
+    following = np.append(data[1:], 0)
+    # Multiplication and division signs are no letters; U+0250 and on is for the library.
+    sign = (data == 0xC3) & ((following == 0x97) | (following == 0xB7))
+    kind[sign] = OTHER
+    kind[1:][sign[:-1]] = OTHER
+    odd = (kind == ODD) | ((data == 0xC9) & (following >= 0x90))
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    white = kind <= WHITE
+    group = np.where(white, 0, kind)
+    turn = np.ones(n, dtype=bool)
+    turn[1:] = group[1:] != group[:-1]
+    turn |= edge[:-1]
+    start = turn.copy()
+    # The last white space before something else begins a piece; a space takes what follows along.
+    last = white & np.append(~white[1:], True) & ~edge[1:]
+    start |= last
+    after_space = np.zeros(n, dtype=bool)
+    after_space[1:] = (last & (kind == SPACE_))[:-1]
+    start &= ~after_space
+    # Contractions: a lone apostrophe that begins a piece, then certain letters.
+    apostrophe = np.flatnonzero((data == 39) & start)
+    if len(apostrophe):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        one, two = padded[apostrophe + 1], padded[apostrophe + 2]
+        room = offsets[np.searchsorted(offsets, apostrophe, "right")] - apostrophe
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (room > 1)
+        long = ((two == 101) & ((one == 114) | (one == 118)) | (one == 108) & (two == 108)) & (room > 2)
+        size = np.where(short, 2, np.where(long, 3, 0))
+        for p, k in zip(apostrophe[size > 0].tolist(), size[size > 0].tolist()):
+            start[p + 1] = False
+            if p + k < n and not edge[p + k]:
+                start[p + k] = start[p + k] or bool(kind[p + k] == LETTER)
+    return np.flatnonzero(start), np.add.reduceat(np.append(odd, False), np.minimum(offsets[:-1], n)).astype(bool) & (np.diff(offsets) > 0) if len(offsets) > 1 else np.zeros(0, bool)
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library. A byte-level BPE works on
-    the pieces that its splitting pattern makes, each alone; pieces recur, so
-    each is encoded once and remembered. Texts with characters for which the
-    pattern below might differ from the library's go to the library whole."""
-
-    # The splitting pattern of this public vocabulary, for the characters of PLAIN.
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    ODD = re.compile(r"[^\t-\r -~À-ɏ]")
+    the pieces that its splitting pattern makes, each alone; pieces recur, so each is
+    encoded once and known again by a 64-bit hash. Texts for which the splitting
+    below might differ from the library's go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -66,8 +115,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def here(cls, path: str) -> Encoder:
@@ -78,53 +126,77 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.begin, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces. Those of a space and letters split again where they were
-        joined, so many go as one text."""
-        plain, rest = [], []
-        for x in new:
-            (plain if x[0] == " " and x[1:].isalpha() else rest).append(x)
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Remember pieces. Those of a space and letters split again where they
+        were joined, so many go as one text."""
+        plain = [i for i, x in enumerate(texts) if x[0] == " " and x[1:].isalpha()]
+        rest = sorted(set(range(len(texts))) - set(plain))
         for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            cut = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:]))))
+            some = plain[at : at + 2000]
+            e = self.library.encode("".join([texts[i] for i in some]), add_special_tokens=False)
+            self._keep([hashes[i] for i in some], np.array(e.ids, dtype=np.uint32), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)))
         for at in range(0, len(rest), 2000):
-            self.memo.update(zip(rest[at : at + 2000], self.whole(rest[at : at + 2000])))
-
-    def know(self, lists) -> None:
-        """See to it that all these pieces are remembered."""
-        new = list(set(chain.from_iterable(lists)) - self.memo.keys())
-        if self.old:
-            known = {x: ids for x, ids in zip(new, map(self.old.get, new)) if ids is not None}
-            self.memo.update(known)
-            new = [x for x in new if x not in known]
-        self.learn(new)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers. Millions of
-        strings and no cycles are made here, so the collector of cycles rests."""
-        resting = gc.isenabled()
-        gc.disable()
-        try:
-            return [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
-        finally:
-            if resting:
-                gc.enable()
-
-    def _encode(self, part: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(part) if self.ODD.search(t)]
-        strange = dict(zip(odd, self.whole([part[i] for i in odd]))) if odd else {}
-        pieces = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(part)]
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        self.know(pieces)
-        get = self.memo.__getitem__
-        return [strange[i] if i in strange else b"".join(map(get, p)) for i, p in enumerate(pieces)]
+            some = rest[at : at + 2000]
+            ids = self.whole([texts[i] for i in some])
+            self._keep([hashes[i] for i in some], np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, cut: np.ndarray) -> None:
+        k, n = len(self.slot), len(hashes)
+        if k + n > len(self.begin):
+            more = np.zeros(max(n, len(self.begin)), np.int64)
+            self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)])
+        self.begin[k : k + n], self.size[k : k + n] = self.used + cut[:-1], np.diff(cut)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slot.update(zip(hashes, range(k, k + n)))
+
+    def column(self, column) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column; null is empty."""
+        data, offsets = text_bytes(column)
+        start, odd = split_pieces(data, offsets)
+        out = self._pieces(data, offsets, start)
+        if odd.any():
+            rows = np.flatnonzero(odd).tolist()
+            raw = data.tobytes()
+            for i, ids in zip(rows, self.whole([raw[offsets[i] : offsets[i + 1]].decode() for i in rows])):
+                out[i] = ids
+        return out
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return self.column(pa.array(texts, pa.large_string()))
+
+    def _pieces(self, data, offsets, start) -> list[np.ndarray]:
+        if not len(start):
+            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
+        end = np.append(start[1:], len(data))
+        distinct, which = np.unique(span_hashes(data, start, end), return_inverse=True)
+        if len(self.slot) + len(distinct) > MEMO:
+            self.forget()
+        hashes = distinct.tolist()
+        slots = np.fromiter(map(lambda h, get=self.slot.get: get(h, -1), hashes), dtype=np.int64, count=len(hashes))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            one = np.zeros(len(distinct), np.int64)
+            one[which] = np.arange(len(which))
+            raw = data.tobytes()
+            # Odd texts are split without regard to characters; what isn't text isn't learnt.
+            texts = [raw[a:z].decode(errors="replace") for a, z in zip(start[one[new]].tolist(), end[one[new]].tolist())]
+            self._learn([hashes[i] for i in new.tolist()], texts)
+            slots[new] = [self.slot[hashes[i]] for i in new.tolist()]
+        size = self.size[slots][which]
+        upto = np.cumsum(size)
+        ids = self.pool[np.repeat(self.begin[slots][which] - upto + size, size) + np.arange(upto[-1])]
+        cut = np.append(0, upto)[np.searchsorted(start, offsets)].tolist()
+        return [ids[a:z] for a, z in zip(cut, cut[1:])]
 
 
 def _ranks(bits: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -220,24 +292,24 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     first and encoded where they are packed, so each is encoded once."""
     spark = docs.sparkSession
     small_batches(spark, 500, "4m")
-    vocabulary, tail = tokenizer or tokenizer_path(), struct.pack("<I", end_id)
+    vocabulary, tail = tokenizer or tokenizer_path(), np.array([end_id], dtype=np.uint32)
 
     def shards(batches):
         encoder = Encoder.here(vocabulary)
         docs, held, count, part, k = [], [], 0, -1, 0
 
         def out():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            ends = np.cumsum([len(x) // 4 for x in held])
+            ids = np.concatenate(held)
+            ends = np.cumsum([len(x) + 1 for x in held[::2]])
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, docs, ends, bits)], pa.binary())], ["part", "shard", "n_ids", "blob"])
 
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
             own = b.column(0).to_pylist()
-            for doc, ids in zip(own, encoder([t or "" for t in b.column(1).to_pylist()])):
+            for doc, ids in zip(own, encoder.column(b.column(1))):
                 docs.append(doc)
-                held.append(ids + tail)
-                count += len(ids) // 4 + 1
+                held += [ids, tail]
+                count += len(ids) + 1
                 if count >= shard_ids:
                     yield out()
                     docs, held, count, k = [], [], 0, k + 1
