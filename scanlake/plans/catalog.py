@@ -1,4 +1,4 @@
 """All queries of the engine: importing this fills the registry."""
 
-from scanlake.plans import clouds, ordered  # noqa: F401
+from scanlake.plans import clouds, ordered, perception  # noqa: F401
 from scanlake.plans.registry import ORACLES, QUERIES  # noqa: F401
