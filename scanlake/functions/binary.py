@@ -39,16 +39,22 @@ def hex_be(value, size: int) -> Column:
 
 
 def _crc(data, width: int, polynomial: int, start: int, xor: int) -> Column:
-    """A fold over the bytes; eight steps of the shift register each."""
+    """A fold over the bytes with a table of what each leading byte adds; the table
+    follows from the polynomial."""
     top, mask = 1 << (width - 1), (1 << width) - 1
 
-    def step(state, byte):
-        state = state.bitwiseXOR(F.shiftleft(byte, width - 8))
+    def entry(byte: int) -> int:
+        state = byte << (width - 8)
         for _ in range(8):
-            moved = F.shiftleft(state, 1).bitwiseAND(F.lit(mask).cast("long"))
-            state = F.when(state.bitwiseAND(F.lit(top).cast("long")) != 0, moved.bitwiseXOR(F.lit(polynomial).cast("long"))).otherwise(moved)
+            state = (state << 1 ^ polynomial if state & top else state << 1) & mask
         return state
 
+    table = F.array(*(F.lit(entry(i)).cast("long") for i in range(256)))
+
+    def step(state, byte):
+        at = F.shiftright(state, width - 8).bitwiseXOR(byte).bitwiseAND(F.lit(255).cast("long"))
+        return F.shiftleft(state, 8).bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.get(table, at.cast("int")))
+
     text = F.hex(c(data))
     each = F.transform(F.sequence(F.lit(0), F.length(c(data)) - 1), lambda i: F.conv(F.substr(text, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
     empty = F.length(c(data)) == 0
