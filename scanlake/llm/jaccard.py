@@ -3,13 +3,11 @@
 Documents are sets of hashed word shingles; two link when
 100 * |intersection| >= percent * |union|. Equal sets are one class.
 
-Which sets can meet at all: a linked pair of sizes a and b differs in at most
-(a + b) * (100 - percent) / (100 + percent) shingles. Sets of a size bracket are cut
-by hash range into more parts than that, so linked sets have equal parts; a part's
-fingerprint is a signature, and documents that share one are candidates (empty
-parts are set aside by asking for SPARE equal parts more). That finds every linked
-pair, and a passage in many documents makes no candidates by itself, as it lies
-spread over all parts.
+Which sets can meet at all: shingles have an order, rarer ones first, by a sketch of
+their frequency and then by hash. Sets that link share a shingle among the first
+n - percent * n / 100 + 1 of each. Those are signatures, and documents that share
+one are candidates. That finds every linked pair, and a passage in many documents
+makes no candidates as long as a document has rarer shingles of its own.
 
 Candidates' components are units. A unit's sets are packed by size into blocks of
 bounded bytes, pairs of blocks whose size ranges can link form the top of the
@@ -35,11 +33,12 @@ from pyspark.sql import functions as F
 from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, unpack_integers, word_hashes
 from scanlake.operators.components import connected_components
 
-#: Equal parts asked for beyond one, so that as many empty ones can be left out.
-SPARE = 3
+#: The frequency sketch has 2^SKETCH_BITS counters.
+SKETCH_BITS = 22
 #: Shingles of a block.
 BLOCK = 1 << 20
-BITS = 1024
+#: Bits of a node's bitmaps; a set is its own at a leaf.
+BITS = 1 << 16
 FAN = 8
 
 
@@ -57,62 +56,49 @@ def shingle_sets(column, n: int) -> list[np.ndarray]:
     return out
 
 
-class Brackets:
-    """Size brackets such that linked sizes lie in one or in neighbours, and the
-    number of parts for the pairs from a bracket up to the next."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.lows = [1]
-        while self.lows[-1] < 1 << 40:
-            # Sizes from low to high link with sizes up to 100 * high / percent.
-            high = max(self.lows[-1], self.lows[-1] * 100 // percent)
-            self.lows.append(high + 1)
-        self.lows = np.array(self.lows)
-
-    def of(self, size: int) -> int:
-        return int(np.searchsorted(self.lows, size, "right")) - 1
-
-    def parts(self, level: int) -> int:
-        """Parts for pairs with the smaller set in bracket `level`."""
-        low, high = int(self.lows[level]), int(self.lows[level + 1]) - 1
-        most = high + high * 100 // self.percent
-        differ = most * (100 - self.percent) // (100 + self.percent)
-        return 1 if not differ else differ + 1 + SPARE
-
-
-def signatures(s: np.ndarray, brackets: Brackets) -> np.ndarray:
-    """Fingerprints of the parts of a set, for its bracket as the smaller set and
-    for the bracket below as the larger."""
-    top = brackets.of(len(s))
-    mixed = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
-    out = []
-    for level in (top, top - 1):
-        if level < 0:
-            continue
-        k = brackets.parts(level)
-        part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        at = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-        sig = sums[at[1:]] - sums[at[:-1]]
-        full = at[1:] > at[:-1]
-        keep = full if (~full).sum() <= SPARE and k > 1 else np.ones(k, dtype=bool)
-        tag = np.uint64(level * 0x1F123BB5) + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(mix64(sig[keep] + mix64(tag[keep] + np.uint64(1))))
-    return np.unique(np.concatenate(out))
+def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order of (frequency, hash), so many that
+    two sets that link share one of them: each misses fewer of the other's."""
+    order = np.lexsort((s, sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+    return s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
 
 
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2: the size of each set and 128 bits of it."""
+    """doc_id, n_shingles, f1, f2: the size of each set and 128 bits of it. Beside
+    them, rows with `part`: a slice of the task's frequency sketch, which counts
+    shingles by the first SKETCH_BITS of their hash."""
     small_batches(docs.sparkSession, 1000)
+    names = ["doc_id", "n_shingles", "f1", "f2", "part", "counts"]
 
     def run(batches):
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for b in batches:
             sets = shingle_sets(b.column(1), n)
             f = [np.array([mix64(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64) for c in (1, 0xABCDEF)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1]))], ["doc_id", "n_shingles", "f1", "f2"])
+            if sets:
+                at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                sketch[at] += count.astype(np.uint32)
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1])), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        if sketch.any():
+            parts = sketch.reshape(64, -1)
+            none = pa.nulls(64).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(64, dtype=np.int32)), pa.array([pack_integers(x) for x in parts], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, part int, counts binary")
+
+
+def frequency_sketch(base: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches: 2^SKETCH_BITS counters, whatever the input."""
+
+    def add(table):
+        total = sum(unpack_integers(x, np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([pack_integers(np.minimum(total, (1 << 32) - 1).astype(np.uint32))], pa.binary())})
+
+    out = np.zeros((64, (1 << SKETCH_BITS) // 64), dtype=np.uint32)
+    for r in base.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[r.part] = unpack_integers(r.counts, np.uint32)
+    return out.ravel()
 
 
 def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,20 +114,20 @@ def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[new], head, np.unique(np.stack([doc[far], hubs[far]], axis=1), axis=0)
 
 
-def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> DataFrame:
-    """a, b: documents that share a signature, each with the smallest that does. A
+def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int, sketch: np.ndarray) -> DataFrame:
+    """a, b: documents that share a signature (a shingle of the prefix), each with the smallest that does. A
     batch ties its own documents and passes on each signature once, with its least
     document, so a signature that a third of the documents share is a row a batch.
     Signatures travel packed, in columns by hash bucket; `shingles` (of all
     documents) sets the number of buckets."""
     small_batches(docs.sparkSession, 1000)
-    brackets = Brackets(percent)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
     bits = min(16, max(0, int(shingles >> 20).bit_length()))
 
     def sign(batches):
         k = 0
         for b in batches:
-            own = [signatures(s, brackets) if len(s) else s for s in shingle_sets(b.column(1), n)]
+            own = [prefix(s, sent.value, percent) if len(s) else s for s in shingle_sets(b.column(1), n)]
             if not own or not sum(map(len, own)):
                 continue
             doc = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
@@ -195,24 +181,27 @@ class Trees:
         if not rows:
             return None
         rows = sorted(rows, key=lambda i: (len(self.sets[i]), self.sets[i][0]))
-        nodes = []
-        for i in rows:
-            flags = np.zeros(BITS, dtype=np.uint8)
-            flags[(self.sets[i] & np.uint64(BITS - 1)).astype(np.int64)] = 1
-            bitmap = int.from_bytes(np.packbits(flags).tobytes(), "big")
-            nodes.append(Node(bitmap, bitmap, len(self.sets[i]), len(self.sets[i]), bitmap.bit_count(), [], [i]))
+        nodes = [Node(0, 0, len(self.sets[i]), len(self.sets[i]), 0, [], [i]) for i in rows]
+        leaves = True
         while len(nodes) > 1:
             up = []
             for k in range(0, len(nodes), FAN):
                 g = nodes[k : k + FAN]
+                maps = [self.bitmap(x.rows[0]) for x in g] if leaves else [(x.any, x.all, x.bits) for x in g]
                 any_, all_ = 0, -1
-                for x in g:
-                    any_ |= x.any
-                    all_ &= x.all
-                up.append(Node(any_, all_, min(x.low for x in g), max(x.high for x in g), min(x.bits for x in g), g, None))
-            nodes = up
+                for one, every, _ in maps:
+                    any_ |= one
+                    all_ &= every
+                up.append(Node(any_, all_, min(x.low for x in g), max(x.high for x in g), min(m[2] for m in maps), g, None))
+            nodes, leaves = up, False
         return nodes[0]
 
+    def bitmap(self, i: int) -> tuple[int, int, int]:
+        flags = np.zeros(BITS, dtype=np.uint8)
+        flags[(self.sets[i] & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        bits = int.from_bytes(np.packbits(flags).tobytes(), "big")
+        return bits, bits, bits.bit_count()
+
     def label(self, x: Node) -> int | None:
         """The component of a node's sets, if all have one."""
         if x.rows:
@@ -231,6 +220,8 @@ class Trees:
         p = self.percent
         if min(x.high, y.high) * 100 < p * max(x.low, y.low):
             return False
+        if x.rows or y.rows:
+            return True  # a set of one: comparing it is as cheap
         both = (x.any & y.any).bit_count()
         only_x = max(x.bits - both, (x.all & ~y.any).bit_count(), 0)
         only_y = max(y.bits - both, (y.all & ~x.any).bit_count(), 0)
@@ -315,9 +306,10 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = materialize(fingerprints(docs, n))
+    counted = materialize(fingerprints(docs, n))
+    base = counted.filter("part is null").drop("part", "counts")
     shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
-    units = connected_components(candidate_edges(docs, n, percent, shingles)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
+    units = connected_components(candidate_edges(docs, n, percent, shingles, frequency_sketch(counted))).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
     units = materialize(units)
     # Equal sets share all signatures, so a class lies in one unit.
     known = base.filter("n_shingles > 0 and doc_id is not null").join(units, "doc_id")
