@@ -25,16 +25,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component of near copies (five words, 0.8) the document of the
-    smallest doc_id; rows that repeat a doc_id count as copies."""
-    found = jaccard.components(docs, n=5, percent=80).select(F.col("doc_id").alias("own"), "component_id").distinct()
-    kept = docs.join(found.filter("own = component_id").select("own"), docs.doc_id == F.col("own")).drop("own")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id"])
+    smallest doc_id; rows that repeat a doc_id count as copies, rows without one by
+    their text."""
+    found = jaccard.components(docs, n=5, percent=80)
+    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(copies, docs.doc_id == F.col("__id"), "left_anti")
+    kept = kept.withColumn("__text", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a benchmark item occurs, exactly or edited."""
-    hit = decontamination.find(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("own")).distinct()
-    return docs.join(hit, docs.doc_id == F.col("own"), "left_anti").select(*docs.columns)
+    hit = decontamination.find(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +45,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of its source in which the mix takes more than half of the document's words."""
     pieces, sized = mixing.schedule(docs)
     taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    times = sized.join(taken, ["sid", "pos"]).withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int"))
-    times = times.filter("times > 0").groupBy(F.col("doc_id").alias("own")).agg(F.max("times").alias("times"))
-    kept = docs.join(times, docs.doc_id == F.col("own"))
-    return kept.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    times = sized.join(taken, ["sid", "pos"]).withColumn("__times", F.round(F.col("taken") / F.col("size")).cast("int"))
+    times = times.filter("__times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("__times").alias("__times"))
+    kept = docs.join(times, docs.doc_id.eqNullSafe(F.col("__id")))
+    return kept.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

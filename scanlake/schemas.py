@@ -1,4 +1,5 @@
-"""Column types of the tables the operators work on, and a guard that fails fast.
+"""Column types of the tables the operators work on, as DDL text, and a guard that
+fails fast.
 
 Nanosecond stamps are BIGINT (TIMESTAMP has microseconds); coordinates are DOUBLE;
 a missing value is NULL inside the engine, sentinels exist at sources and sinks.
@@ -7,21 +8,16 @@ a missing value is NULL inside the engine, sentinels exist at sources and sinks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-POINT = _struct("frame_id INT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity SMALLINT, return_type TINYINT, channel INT, azimuth DOUBLE, elevation DOUBLE, distance DOUBLE, t_ns BIGINT")
-PACKET = _struct("packet_id BIGINT, stamp_ns BIGINT, data BINARY")
-UNIT = _struct("packet_id BIGINT, block INT, channel INT, raw_az INT, raw_dist INT, refl INT, return_mode INT")
-TWIST = _struct("t_ns BIGINT, vx DOUBLE, wz DOUBLE")
-TRANSFORM = _struct("source STRING, target STRING, m11 DOUBLE, m12 DOUBLE, m13 DOUBLE, m21 DOUBLE, m22 DOUBLE, m23 DOUBLE, m31 DOUBLE, m32 DOUBLE, m33 DOUBLE, tx DOUBLE, ty DOUBLE, tz DOUBLE")
-BOX = _struct("box_id INT, min_x DOUBLE, max_x DOUBLE, min_y DOUBLE, max_y DOUBLE, min_z DOUBLE, max_z DOUBLE")
-DETECTION = _struct("det_idx BIGINT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE, class_id STRING, score DOUBLE")
-CALIBRATION = _struct("channel INT, elev_deg DOUBLE, azim_off_deg DOUBLE")
+POINT = "frame_id INT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity SMALLINT, return_type TINYINT, channel INT, azimuth DOUBLE, elevation DOUBLE, distance DOUBLE, t_ns BIGINT"
+PACKET = "packet_id BIGINT, stamp_ns BIGINT, data BINARY"
+UNIT = "packet_id BIGINT, block INT, channel INT, raw_az INT, raw_dist INT, refl INT, return_mode INT"
+TWIST = "t_ns BIGINT, vx DOUBLE, wz DOUBLE"
+TRANSFORM = "source STRING, target STRING, m11 DOUBLE, m12 DOUBLE, m13 DOUBLE, m21 DOUBLE, m22 DOUBLE, m23 DOUBLE, m31 DOUBLE, m32 DOUBLE, m33 DOUBLE, tx DOUBLE, ty DOUBLE, tz DOUBLE"
+BOX = "box_id INT, min_x DOUBLE, max_x DOUBLE, min_y DOUBLE, max_y DOUBLE, min_z DOUBLE, max_z DOUBLE"
+DETECTION = "det_idx BIGINT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE, class_id STRING, score DOUBLE"
+CALIBRATION = "channel INT, elev_deg DOUBLE, azim_off_deg DOUBLE"
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
