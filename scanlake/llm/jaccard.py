@@ -3,8 +3,8 @@
 Documents are sets of hashed word shingles; two link when
 100 * |intersection| >= percent * |union|. Equal sets are one class.
 
-Which sets can meet at all: shingles have an order, rarer ones first, by a sketch of
-their frequency and then by hash. Sets that link share a shingle among the first
+Which sets can meet at all: shingles have an order, those in fewer documents first,
+then by hash. Sets that link share a shingle among the first
 n - percent * n / 100 + 1 of each. Those are signatures, and documents that share
 one are candidates. That finds every linked pair, and a passage in many documents
 makes no candidates as long as a document has rarer shingles of its own.
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanlake.llm import lm_score
 from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, unpack_integers, word_hashes
+from scanlake.llm.repeats import release
 from scanlake.operators.components import connected_components
 
-#: The frequency sketch has 2^SKETCH_BITS counters.
-SKETCH_BITS = 22
 #: Shingles of a block.
 BLOCK = 1 << 20
 #: Bits of a node's bitmaps; a set is its own at a leaf.
@@ -56,49 +56,39 @@ def shingle_sets(column, n: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+def prefix(s: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set in the order of (frequency, hash), so many that
-    two sets that link share one of them: each misses fewer of the other's."""
-    order = np.lexsort((s, sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-    return s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
+    two sets that link share one of them: each misses fewer of the other's. A
+    shingle that no other document has is no use."""
+    order = np.lexsort((s, frequency))[: len(s) - -(-percent * len(s) // 100) + 1]
+    return s[order[frequency[order] > 1]]
 
 
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2: the size of each set and 128 bits of it. Beside
-    them, rows with `part`: a slice of the task's frequency sketch, which counts
-    shingles by the first SKETCH_BITS of their hash."""
+    """doc_id, n_shingles, f1, f2: the size of each set and 128 bits of it."""
     small_batches(docs.sparkSession, 1000)
-    names = ["doc_id", "n_shingles", "f1", "f2", "part", "counts"]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for b in batches:
             sets = shingle_sets(b.column(1), n)
             f = [np.array([mix64(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64) for c in (1, 0xABCDEF)]
-            if sets:
-                at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                sketch[at] += count.astype(np.uint32)
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1])), none.cast(pa.int32()), none.cast(pa.binary())], names)
-        if sketch.any():
-            parts = sketch.reshape(64, -1)
-            none = pa.nulls(64).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(64, dtype=np.int32)), pa.array([pack_integers(x) for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1]))], ["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def frequency_sketch(base: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: 2^SKETCH_BITS counters, whatever the input."""
+def frequencies(packed: DataFrame, n: int, bits: int, drop: int) -> DataFrame:
+    """block, n, bucket, total: in how many documents each shingle of a block occurs,
+    in the order of their hashes. A block asks for each of its shingles once."""
+    small_batches(packed.sparkSession, 1)
 
-    def add(table):
-        total = sum(unpack_integers(x, np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([pack_integers(np.minimum(total, (1 << 32) - 1).astype(np.uint32))], pa.binary())})
+    def ask(batches):
+        for b in batches:
+            for block, ids, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                sets = shingle_sets(lm_score.open_block(blob.as_buffer().to_pybytes(), len(ids)), n)
+                yield lm_score.question(block, n, np.sort(np.concatenate(sets) >> np.uint64(drop) << np.uint64(drop)), bits, drop)
 
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), dtype=np.uint32)
-    for r in base.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[r.part] = unpack_integers(r.counts, np.uint32)
-    return out.ravel()
+    return lm_score.answers(packed.select("block", "ids", "texts").mapInArrow(ask, lm_score.QUESTION), drop)
 
 
 def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,31 +104,36 @@ def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[new], head, np.unique(np.stack([doc[far], hubs[far]], axis=1), axis=0)
 
 
-def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: documents that share a signature (a shingle of the prefix), each with the smallest that does. A
-    batch ties its own documents and passes on each signature once, with its least
-    document, so a signature that a third of the documents share is a row a batch.
-    Signatures travel packed, in columns by hash bucket; `shingles` (of all
-    documents) sets the number of buckets."""
-    small_batches(docs.sparkSession, 1000)
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> DataFrame:
+    """a, b: documents that share a signature (a shingle of the prefix), each with
+    the smallest that does. A block of documents ties its own and passes on each
+    signature once, with its least document, so a signature that a third of the
+    documents share is a row a block. Frequencies and signatures travel packed, in
+    columns by hash bucket; `shingles` (of all documents) sets the number of buckets."""
+    spark = docs.sparkSession
     bits = min(16, max(0, int(shingles >> 20).bit_length()))
-
-    def sign(batches):
-        k = 0
-        for b in batches:
-            own = [prefix(s, sent.value, percent) if len(s) else s for s in shingle_sets(b.column(1), n)]
-            if not own or not sum(map(len, own)):
-                continue
-            doc = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
-            sig, doc, edges = _least_per_key(np.concatenate(own), doc)
-            bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(sig))
-            k += 1
-            names = bucket[cut[:-1]].tolist() + [-1 - k % 64]
-            keys = [pack_integers(np.diff(sig[x:z], prepend=np.uint64(0))) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 0])]
-            values = [pack_integers(doc[x:z]) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["bucket", "keys", "docs"])
+    drop = max(0, 64 - lm_score.SPARE_BITS - max(16, int(shingles).bit_length()))
+    packed = materialize(lm_score.blocks(docs.filter("doc_id is not null")))
+    counted = materialize(frequencies(packed, n, bits, drop))
+    release(spark)
+    small_batches(spark, 1000)
+
+    def sign(left, right):
+        ids = np.array(left.column("ids")[0].as_py(), dtype=np.int64)
+        sets = shingle_sets(lm_score.open_block(left.column("texts")[0].as_py(), len(ids)), n)
+        rows = sorted(zip(right.column("bucket").to_pylist(), right.column("total").to_pylist()))
+        total = np.concatenate([np.zeros(0, np.uint64), *(unpack_integers(x, np.uint64) for _, x in rows)])
+        everything = np.concatenate(sets) >> np.uint64(drop) << np.uint64(drop)
+        frequency = total[np.unique(everything, return_inverse=True)[1]] if len(everything) else total
+        cut = np.cumsum([0, *map(len, sets)]).tolist()
+        own = [prefix(s, frequency[a:z], percent) if len(s) else s for s, a, z in zip(sets, cut, cut[1:])]
+        sig, doc, edges = _least_per_key(np.concatenate(own), np.repeat(ids, [len(x) for x in own]))
+        bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(sig))
+        names = bucket[cut[:-1]].tolist() + [-1 - left.column("block")[0].as_py() % 64]
+        keys = [pack_integers(np.diff(sig[x:z], prepend=np.uint64(0))) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 0])]
+        values = [pack_integers(doc[x:z]) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 1])]
+        return pa.table({"bucket": pa.array(names, pa.int32()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(values, pa.binary())})
 
     def tie(table):
         keys, values = table.column("keys").to_pylist(), table.column("docs").to_pylist()
@@ -149,8 +144,9 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int, sketch
             edges = _least_per_key(np.concatenate([np.cumsum(unpack_integers(x, np.uint64), dtype=np.uint64) for x in keys]), doc)[2]
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
-    packed = docs.filter("doc_id is not null").mapInArrow(sign, "bucket int, keys binary, docs binary")
-    return packed.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
+    met = packed.select("block", "ids", "texts").groupBy("block").cogroup(counted.groupBy("block"))
+    signed_rows = met.applyInArrow(sign, "bucket int, keys binary, docs binary")
+    return signed_rows.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 
 class Node:
@@ -306,11 +302,11 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counted = materialize(fingerprints(docs, n))
-    base = counted.filter("part is null").drop("part", "counts")
+    base = materialize(fingerprints(docs, n))
     shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
-    units = connected_components(candidate_edges(docs, n, percent, shingles, frequency_sketch(counted))).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
+    units = connected_components(candidate_edges(docs, n, percent, shingles)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
     units = materialize(units)
+    release(docs.sparkSession)
     # Equal sets share all signatures, so a class lies in one unit.
     known = base.filter("n_shingles > 0 and doc_id is not null").join(units, "doc_id")
     classes = materialize(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("unit").alias("unit")))

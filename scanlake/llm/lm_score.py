@@ -83,7 +83,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "block long, ids array<long>, texts binary, n_bytes long")
 
 
-def _open(blob: bytes, n: int) -> pa.Array:
+def open_block(blob: bytes, n: int) -> pa.Array:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -91,32 +91,37 @@ def _open(blob: bytes, n: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[8 * n :]))
 
 
+QUESTION = "bucket int, n int, block long, hashes binary, counts binary"
+
+
+def question(block: int, n: int, h: np.ndarray, bits: int, drop: int) -> pa.RecordBatch:
+    """What a block asks about its sorted hashes: a row for each bucket."""
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    h, count = h[at], np.diff(np.append(at, len(h))).astype(np.uint32)
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
+    m = len(cut) - 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
+            pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([pack_integers(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
+        ],
+        ["bucket", "n", "block", "hashes", "counts"],
+    )
+
+
 def questions(packed: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
-    """bucket, n, block, hashes, counts: what a block asks of a bucket."""
+    """bucket, n, block, hashes, counts: what the blocks ask of the buckets."""
     small_batches(packed.sparkSession, 1)
 
     def ask(batches):
         for b in batches:
             for block, ids, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                words, first = word_hashes(_open(blob.as_buffer().to_pybytes(), len(ids)))
+                words, first = word_hashes(open_block(blob.as_buffer().to_pybytes(), len(ids)))
                 for n in range(1, order + 1):
-                    h = np.sort(_grams(words, first, n, drop))
-                    if not len(h):
-                        continue
-                    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    h, count = h[at], np.diff(np.append(at, len(h))).astype(np.uint32)
-                    bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
-                    m = len(cut) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
-                            pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([pack_integers(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
-                        ],
-                        ["bucket", "n", "block", "hashes", "counts"],
-                    )
-
-    return packed.select("block", "ids", "texts").mapInArrow(ask, "bucket int, n int, block long, hashes binary, counts binary")
+                    yield question(block, n, np.sort(_grams(words, first, n, drop)), bits, drop)
+
+    return packed.select("block", "ids", "texts").mapInArrow(ask, QUESTION)
 
 
 def answers(asked: DataFrame, drop: int) -> DataFrame:
@@ -166,14 +171,14 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def words_in(batches):
         for b in batches:
-            n = sum(len(word_hashes(_open(blob.as_buffer().to_pybytes(), len(ids)))[0]) for ids, blob in zip(b.column(0), b.column(1)))
+            n = sum(len(word_hashes(open_block(blob.as_buffer().to_pybytes(), len(ids)))[0]) for ids, blob in zip(b.column(0), b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     all_words = packed.select("ids", "texts").mapInArrow(words_in, "n long").agg(F.sum("n")).first()[0] or 0
 
     def add_up(left, right):
         ids, blob = left.column("ids")[0].as_py(), left.column("texts")[0].as_py()
-        words, first = word_hashes(_open(blob, len(ids)))
+        words, first = word_hashes(open_block(blob, len(ids)))
         rows = sorted(zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("total").to_pylist()), key=lambda x: x[:2])
         totals = {n: np.concatenate([np.zeros(0, np.uint64), *(unpack_integers(x, np.uint64) for m, _, x in rows if m == n)]) for n in range(1, order + 1)}
         sums, n_words = block_scores(words, first, totals, all_words, order, alpha, min_count, drop), np.diff(first)
