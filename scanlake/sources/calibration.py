@@ -64,7 +64,7 @@ def read_mirror_correction(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return frames, channels, grid
 
 
-_PAIR = re.compile(r"([a-z_]+)\s*:\s*([-+0-9.eE]+)")
+_PAIR = re.compile(r"([a-z_]+)\s*:\s*([-+]?[0-9.][-+0-9.eE]*)")
 LASER = "laser_id int, rot_correction double, vert_correction double, dist_correction double, dist_correction_x double, dist_correction_y double, vert_offset_correction double, horiz_offset_correction double, focal_distance double, focal_slope double, max_intensity double, min_intensity double"
 
 

@@ -114,11 +114,12 @@ def late_stream(updates: DataFrame, interval: str, watermark: str = "10 minutes"
 
 
 def sync_streams(left: DataFrame, right: DataFrame, interval: str, watermark: str = "1 minute") -> DataFrame:
-    """Pairs of two streams (id, ts) no farther apart than the interval."""
-    a = left.select(c("id").alias("left_id"), c("ts").alias("left_ts")).withWatermark("left_ts", watermark)
-    b = right.select(c("id").alias("right_id"), c("ts").alias("right_ts")).withWatermark("right_ts", watermark)
-    near = F.expr(f"right_ts between left_ts - interval {interval} and left_ts + interval {interval}")
-    return a.join(b, near)
+    """Pairs of two streams (key, id, ts) of one key, no farther apart than the
+    interval; state is kept for as long as the watermark and the interval ask."""
+    a = left.select("key", c("id").alias("left_id"), c("ts").alias("left_ts")).withWatermark("left_ts", watermark)
+    b = right.select(c("key").alias("right_key"), c("id").alias("right_id"), c("ts").alias("right_ts")).withWatermark("right_ts", watermark)
+    near = F.expr(f"key = right_key and right_ts between left_ts - interval {interval} and left_ts + interval {interval}")
+    return a.join(b, near).drop("right_key")
 
 
 def run_once(stream: DataFrame) -> DataFrame:

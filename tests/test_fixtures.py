@@ -185,9 +185,9 @@ def test_x25_counter_wraps(spark):
 
 
 def ramp(spark, n=200):
-    """A flat floor with a wall at 8 to 9 metres."""
-    rows = [(0.1 * i * math.cos(a), 0.1 * i * math.sin(a), 1.0 if 80 <= i < 90 else 0.0) for i in range(1, n) for a in (0.3, 1.3)]
-    return points(spark, rows), {k for k, r in enumerate(rows) if r[2] == 1.0}
+    """A flat floor with a wall at 16 to 18 metres."""
+    rows = [(0.2 * i * math.cos(a), 0.2 * i * math.sin(a), 4.0 if 80 <= i < 90 else 0.0) for i in range(1, n) for a in (0.3, 1.3)]
+    return points(spark, rows), {k for k, r in enumerate(rows) if r[2] == 4.0}
 
 
 @pytest.mark.parametrize("f", [ground.ray_filter, ground.scan_filter, lambda p: grid_filter(p, GridParams(step=0.5, azimuth_deg=3.0))])
