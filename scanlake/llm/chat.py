@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, small_batches
+from scanlake.llm.common import read, small_batches, trimmed
 from scanlake.llm.token_store import Encoder, tokenizer_path
 
 #: Strings that a plain-text rendering of the template uses, or its readers react to.
@@ -82,7 +82,7 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> Data
             )
 
     rows = conversations.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, loss array<boolean>")
+    return rows.mapInArrow(trimmed(encode), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, loss array<boolean>")
 
 
 def digest(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def digest(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     arrow = to_arrow_type(formatted.schema["conv_id"].dataType)
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "loss")
-    return ordered.mapInArrow(read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(trimmed(read_back), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A text that tries to end its turn.

@@ -7,6 +7,9 @@ multi-byte sequence of UTF-8 holds those bytes.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +42,24 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "6m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
+        found.malloc_trim(0)
+
+
+def trimmed(f):
+    """A function for mapInArrow() that trims when it is through."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a bijection on 64 bits."""
     x = x.astype(np.uint64, copy=True)

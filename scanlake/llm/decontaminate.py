@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import LOWER, NOT_ALNUM, ngram_hashes, read, small_batches, span_hashes, text_bytes, word_spans
+from scanlake.llm.common import LOWER, NOT_ALNUM, ngram_hashes, read, small_batches, span_hashes, text_bytes, trimmed, word_spans
 
 SEED_WORDS = 3
 SIMILARITY = 0.5
@@ -170,7 +170,7 @@ def _frequencies(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(k), pa.array(t[k])], ["size", "k", "n"])
 
     out = {size: np.zeros(len(s), dtype=np.int64) for size, s in seeds.items()}
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "size int, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "size int, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n")).collect():
         out[r.size][r.k] = r.n
     return out
 
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, si
     rows = docs.select("doc_id", F.col("text").cast("string"))
     for block in blocks(benchmark, seed_words):
         small_batches(spark, 1000, "4m")
-        out = out.unionByName(rows.mapInArrow(_search(block.rarer(_frequencies(docs, block), keep), similarity, benchmark.schema["item_id"]), schema))
+        out = out.unionByName(rows.mapInArrow(trimmed(_search(block.rarer(_frequencies(docs, block), keep), similarity, benchmark.schema["item_id"])), schema))
     return out
 
 

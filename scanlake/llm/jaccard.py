@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm import lm_score
-from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, unpack_integers, word_hashes
+from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, trimmed, unpack_integers, word_hashes
 from scanlake.llm.repeats import release
 from scanlake.operators.components import connected_components
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
             f = [np.array([mix64(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64) for c in (1, 0xABCDEF)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1]))], ["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, f1 long, f2 long")
 
 
 def frequencies(packed: DataFrame, n: int, bits: int, drop: int) -> DataFrame:
@@ -88,7 +88,7 @@ def frequencies(packed: DataFrame, n: int, bits: int, drop: int) -> DataFrame:
                 sets = shingle_sets(lm_score.open_block(blob.as_buffer().to_pybytes(), len(ids)), n)
                 yield lm_score.question(block, n, np.sort(np.concatenate(sets) >> np.uint64(drop) << np.uint64(drop)), bits, drop)
 
-    return lm_score.answers(packed.select("block", "ids", "texts").mapInArrow(ask, lm_score.QUESTION), drop)
+    return lm_score.answers(packed.select("block", "ids", "texts").mapInArrow(trimmed(ask), lm_score.QUESTION), drop)
 
 
 def _least_per_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], ["doc_id", "unit", "block", "set"])
 
     texts = docs.join(placed.select("doc_id", "unit", "block"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "unit", "block")
-    dealt = texts.mapInArrow(pack, "doc_id long, unit long, block long, set binary").join(sides, ["unit", "block"])
+    dealt = texts.mapInArrow(trimmed(pack), "doc_id long, unit long, block long, set binary").join(sides, ["unit", "block"])
 
     def run(table):
         ids, block = table.column("doc_id").to_pylist(), table.column("block").to_pylist()

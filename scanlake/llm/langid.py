@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, small_batches
+from scanlake.llm.common import read, small_batches, trimmed
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
@@ -158,6 +158,12 @@ class Parser:
 def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS) -> dict[str, Counter]:
     """The words of labelled texts by language, of at most `sample_docs` documents each."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string"), "doc_id", F.xxhash64("doc_id", "lang").alias("h"))
+    # A language may have a third of all rows: what can't be among the smallest hashes goes before they are ranked.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return {}
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n))))
+    rows = rows.withColumn("h", F.shiftrightunsigned("h", 1)).filter(F.col("h") <= share[F.col("lang")] * float(1 << 63))
     ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.filter(F.col("k") <= sample_docs).select("doc_id", F.col("lang").alias("own"), "h")
     ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
@@ -186,7 +192,7 @@ def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, lexicon
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out(k: int, r: int):

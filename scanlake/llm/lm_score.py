@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import materialize, ngram_hashes, pack_integers, read, small_batches, unpack_integers, word_hashes
+from scanlake.llm.common import materialize, ngram_hashes, pack_integers, read, small_batches, trimmed, unpack_integers, word_hashes
 from scanlake.llm.repeats import release
 
 ORDER = 3
@@ -80,7 +80,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "block long, ids array<long>, texts binary, n_bytes long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(pack), "block long, ids array<long>, texts binary, n_bytes long")
 
 
 def open_block(blob: bytes, n: int) -> pa.Array:
@@ -121,7 +121,7 @@ def questions(packed: DataFrame, order: int, bits: int, drop: int) -> DataFrame:
                 for n in range(1, order + 1):
                     yield question(block, n, np.sort(_grams(words, first, n, drop)), bits, drop)
 
-    return packed.select("block", "ids", "texts").mapInArrow(ask, QUESTION)
+    return packed.select("block", "ids", "texts").mapInArrow(trimmed(ask), QUESTION)
 
 
 def answers(asked: DataFrame, drop: int) -> DataFrame:
@@ -174,7 +174,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             n = sum(len(word_hashes(open_block(blob.as_buffer().to_pybytes(), len(ids)))[0]) for ids, blob in zip(b.column(0), b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    all_words = packed.select("ids", "texts").mapInArrow(words_in, "n long").agg(F.sum("n")).first()[0] or 0
+    all_words = packed.select("ids", "texts").mapInArrow(trimmed(words_in), "n long").agg(F.sum("n")).first()[0] or 0
 
     def add_up(left, right):
         ids, blob = left.column("ids")[0].as_py(), left.column("texts")[0].as_py()

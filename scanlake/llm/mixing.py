@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import materialize, read, small_batches, text_bytes, word_spans
+from scanlake.llm.common import materialize, read, small_batches, text_bytes, trimmed, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Parts of a source's stream whose prefix sums are taken apart.
@@ -38,7 +38,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             first = word_spans(*text_bytes(b.column(2)))[2]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first))], ["doc_id", "source", "size"])
 
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, f"doc_id {kind}, source string, size long")
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(trimmed(count), f"doc_id {kind}, source string, size long")
 
 
 def targets(sizes: list[int], share: float = 1.5, weights=WEIGHTS, most: float = 2.0) -> list[float]:
@@ -83,7 +83,7 @@ def slots(spark: SparkSession, table: list[tuple], block_words: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.minimum(sid, len(cuts) - 1).astype(np.int32))], ["slot", "sid"])
 
     own = "transform(array(%s), x -> cast(x as bigint))[sid]" % ",".join(map(str, need))
-    placed = spark.range(total).mapInArrow(place, "slot long, sid int").withColumn("part", F.expr("slot div 65536"))
+    placed = spark.range(total).mapInArrow(trimmed(place), "slot long, sid int").withColumn("part", F.expr("slot div 65536"))
     before = placed.groupBy("sid", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n"))
     ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1)
     ranked = ranked.join(before.drop("n"), ["sid", "part"]).select("slot", "sid", (F.col("before") + F.col("k")).alias("r"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import materialize, read, small_batches
+from scanlake.llm.common import materialize, read, small_batches, trimmed
 
 FIT_ROWS = 50_000
 BRANCH = 16
@@ -195,7 +195,7 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.assign(_lift(_matrix(b.column(0), d), m2)))], ["v", "ids", "h", "leaf"])
 
-    indexed = materialize(classes.mapInArrow(index, "v array<double>, ids array<long>, h long, leaf int"))
+    indexed = materialize(classes.mapInArrow(trimmed(index), "v array<double>, ids array<long>, h long, leaf int"))
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     held_by = np.zeros(tree.value.leaves, dtype=np.int64)
     for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most a row per leaf
@@ -218,7 +218,7 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
     held = indexed.withColumn("group", F.col("leaf") % GROUPS)
     parts = held.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     held = held.join(parts, "group").withColumn("part", F.pmod("h", "parts").cast("int"))
-    visiting = asked.mapInArrow(walk, "query_id long, q array<double>, group int, leaves array<int>").join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visiting = asked.mapInArrow(trimmed(walk), "query_id long, q array<double>, group int, leaves array<int>").join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(left, right):
         out = []
@@ -264,7 +264,7 @@ def _calibrate(spark, indexed, asked, tree, d, k, recall, calibration) -> int:
         found = [(i, *y) for i, own in enumerate(best) for y in own]
         yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in found], pa.int32()), pa.array([-y[1] for y in found], pa.float64()), pa.array([y[2] for y in found], pa.int64()), pa.array([y[3] for y in found], pa.int32())], ["i", "score", "vec_id", "leaf"])
 
-    near = indexed.select("v", "leaf", "ids").mapInArrow(brute, "i int, score double, vec_id long, leaf int")
+    near = indexed.select("v", "leaf", "ids").mapInArrow(trimmed(brute), "i int, score double, vec_id long, leaf int")
     order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
     truth = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).collect()
     ranks = []

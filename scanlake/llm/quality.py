@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import LOWER, materialize, read, small_batches, span_hashes, text_bytes, word_spans
+from scanlake.llm.common import LOWER, materialize, read, small_batches, span_hashes, text_bytes, trimmed, word_spans
 from scanlake.llm.langid import held_out
 
 FIT_ROWS = 200_000
@@ -113,7 +113,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimmed(run), f"doc_id {kind}, x array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -130,7 +130,7 @@ def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
             total += f(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    parts = rows.select("x", "y").coalesce(PARTS).mapInArrow(run, "v binary").collect()
+    parts = rows.select("x", "y").coalesce(PARTS).mapInArrow(trimmed(run), "v binary").collect()
     return np.sum([np.frombuffer(p.v) for p in parts] or [np.zeros(size)], axis=0)
 
 
@@ -223,7 +223,7 @@ def score(statistics_: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, *
             s = model.score(_matrix(b.column(1))) if model and len(b.column(1)) else np.full(len(b.column(1)), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return statistics_.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return statistics_.mapInArrow(trimmed(run), f"doc_id {kind}, score double, predicted int")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import BYTE, CHUNK, drop_table, materialize, mix64, powers, read, signed, small_batches, text_bytes
+from scanlake.llm.common import BYTE, CHUNK, drop_table, materialize, mix64, powers, read, signed, small_batches, text_bytes, trimmed
 
 GRAM = 32
 #: Windows of a shard, unless an anchor's alone are more.
@@ -177,8 +177,8 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     def empty():
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["k", "p", "h"])
 
-    rows = _keyed(docs).select("k", "text").mapInArrow(mark, "h long, k long, p long")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(twice, "k long, p long, h long")
+    rows = _keyed(docs).select("k", "text").mapInArrow(trimmed(mark), "h long, k long, p long")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(twice), "k long, p long, h long")
 
 
 def windows(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
@@ -217,7 +217,7 @@ def windows(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
 
     grouped = marked.groupBy("k").agg(F.collect_list(F.struct("p", "h")).alias("marks"))  # of one text
     rows = _keyed(docs).select("k", "text").join(grouped, "k").select("k", "text", "marks")
-    return rows.mapInArrow(cut, "h long, n_before int, window binary, ks array<long>, ps array<long>")
+    return rows.mapInArrow(trimmed(cut), "h long, n_before int, window binary, ks array<long>, ps array<long>")
 
 
 def _shard(rows: list[tuple], length: int) -> pa.RecordBatch:
@@ -269,7 +269,7 @@ def repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
         if rows:
             yield _shard(rows, length)
 
-    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(match, "k long, lo long, hi long")
+    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(match), "k long, lo long, hi long")
 
 
 def unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +317,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["doc_id", "text", "spans"])
 
     rows = _keyed(docs).join(grouped, "k", "left").select("doc_id", "text", "runs")
-    return rows.mapInArrow(gather, f"doc_id {kind}, text string, spans array<struct<lo: long, hi: long>>")
+    return rows.mapInArrow(trimmed(gather), f"doc_id {kind}, text string, spans array<struct<lo: long, hi: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def digest(found: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, shared_dir, small_batches, span_hashes, text_bytes
+from scanlake.llm.common import read, shared_dir, small_batches, span_hashes, text_bytes, trimmed
 
 MAGIC = b"DAC1"
 END_ID = 2
@@ -37,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 300_000
 BLOCK = 512
 
 
@@ -291,7 +291,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     one another by `part`, and shards in a file by `shard`. Texts are dealt out
     first and encoded where they are packed, so each is encoded once."""
     spark = docs.sparkSession
-    small_batches(spark, 500, "4m")
+    small_batches(spark, 250, "2m")
     vocabulary, tail = tokenizer or tokenizer_path(), np.array([end_id], dtype=np.uint32)
 
     def shards(batches):
@@ -318,7 +318,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ranged.withColumn("part", F.spark_partition_id()).mapInArrow(shards, "part int, shard int, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(path)
+    ranged.withColumn("part", F.spark_partition_id()).mapInArrow(trimmed(shards), "part int, shard int, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -344,7 +344,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "shard", "doc_id", "own", "n_tokens", "ids_crc32"],
                 )
 
-    docs = table.select("part", "shard", "blob").mapInArrow(opened, "part int, shard int, doc_id long, own long, n_tokens long, ids_crc32 long")
+    docs = table.select("part", "shard", "blob").mapInArrow(trimmed(opened), "part int, shard int, doc_id long, own long, n_tokens long, ids_crc32 long")
     return docs.join(at, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
