@@ -10,7 +10,7 @@ logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scanlake.storage import drop_table, materialize
@@ -38,13 +38,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        new = materialize(_small_star(_large_star(now)))
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
+        # The edges' number and the sum of their hashes are taken as they are written.
+        mark = Observation()
+        new = materialize(_small_star(_large_star(now)).observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
         drop_table(now)
         now = new
-        # Stars have one edge a node; one more round must leave them as they are.
-        if tuple(mark) == seen and mark[0] == mark[2]:
+        # A round leaves stars as they are, and nothing else.
+        if mark.get == seen:
             break
-        seen = tuple(mark)
+        seen = mark.get
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

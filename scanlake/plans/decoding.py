@@ -184,7 +184,7 @@ def d22(v):
     return D.mask_filter(u, _mask(v), 36, 0.0, 1.0).select("packet_id", "block")
 
 
-@query("d24_sensor_specs")
+@query("d24_sensor_specs", "SELECT * FROM (VALUES " + ", ".join(f"('{s.model}', {s.n_blocks}, {s.n_channels}, {s.max_returns}, {s.azimuth_steps}, {s.min_range}::DOUBLE, {s.max_range}::DOUBLE, {s.max_points})" for s in D.SPECS.values()) + ") v(model, n_blocks, n_channels, max_returns, azimuth_steps, min_range, max_range, max_points)")
 def d24(v):
     return D.sensor_specs(v.spark)
 

@@ -105,7 +105,7 @@ def r12(v):
     return R.normalized_objects(_objects(v)).select("object_id", "status_name", F.size("classes").alias("n_classes"))
 
 
-@query("r13_field_info")
+@query("r13_field_info", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {lo!r}::DOUBLE, {hi!r}::DOUBLE, {'NULL' if x is None else x}::DOUBLE)" for f, lo, hi, x in R.FIELDS) + ") v(field, min_value, max_value, resolution)")
 def r13(v):
     return R.field_info(v.spark)
 

@@ -155,7 +155,7 @@ def c20(v):
     return I.model_metadata(v.table("part").select("p_partkey", file.alias("file"))).select("p_partkey", "version", "size", "task")
 
 
-@query("fn_pixel_formats")
+@query("fn_pixel_formats", "SELECT *, NOT is_color AND NOT is_bayer AS is_mono FROM (VALUES " + ", ".join(f"('{n}', {k}, {b}, {d}, {a}, {y})" for n, k, b, d, a, y in I.FORMATS) + ") v(encoding, is_color, bytes_per_pixel, bit_depth, has_alpha, is_bayer)")
 def fn_pixel_formats(v):
     return I.format_table(v.spark)
 
