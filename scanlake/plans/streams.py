@@ -188,12 +188,41 @@ def _twists(v):
     return t.select("day", "t_ns", (c("vx") / 1000).alias("vx"), F.lit(0.0001).alias("vy"), F.lit(0.0).alias("vz"), z(0.5)("wx"), z(-0.25)("wy"), z(1.0)("wz"))
 
 
-@query("w04_integrate_3d")
+_I = (1, 2, 3)
+_K = {(1, 2): "-fz", (1, 3): "fy", (2, 1): "fz", (2, 3): "-fx", (3, 1): "-fy", (3, 2): "fx"}
+_AX = "xyz"
+
+
+def _exp(one: str, two: str, i: int, j: int) -> str:
+    """An entry of I + one * K + two * K^2 for the rotation vector (fx, fy, fz)."""
+    square = f"f{_AX[i - 1]} * f{_AX[j - 1]}" + (" - a2" if i == j else "")
+    return f"({1 if i == j else 0} + {one} * ({_K.get((i, j), '0')}) + {two} * ({square}))"
+
+
+_SERIES = """CASE WHEN sqrt(a2) < 1e-6 THEN 1 - a2 / 6 ELSE sin(sqrt(a2)) / sqrt(a2) END AS s, CASE WHEN sqrt(a2) < 1e-6 THEN 0.5 - a2 / 24 ELSE (1 - cos(sqrt(a2))) / a2 END AS b,
+ CASE WHEN sqrt(a2) < 1e-6 THEN 1.0 / 6 - a2 / 120 ELSE (sqrt(a2) - sin(sqrt(a2))) / (a2 * sqrt(a2)) END AS g"""
+_TW = """tw AS (SELECT *, row_number() OVER o AS n, coalesce(lag(t_ns) OVER o, t_ns) AS prev_ns FROM (SELECT t_ns, CAST(floor(t_ns / 86400000000000.0) AS BIGINT) AS day, vx / 1000 AS vx, 0.0001::DOUBLE AS vy, 0.0::DOUBLE AS vz,
+ wz * 0.5 / 1000 AS wx, wz * -0.25 / 1000 AS wy, wz / 1000 AS wz FROM twist_ev) WINDOW o AS (PARTITION BY day ORDER BY t_ns)),
+q0 AS (SELECT *, wx * (t_ns - prev_ns) / 1e9 AS fx, wy * (t_ns - prev_ns) / 1e9 AS fy, wz * (t_ns - prev_ns) / 1e9 AS fz, vx * (t_ns - prev_ns) / 1e9 AS rx, vy * (t_ns - prev_ns) / 1e9 AS ry, vz * (t_ns - prev_ns) / 1e9 AS rz FROM tw),
+q1 AS (SELECT *, """ + _SERIES + """ FROM (SELECT *, fx * fx + fy * fy + fz * fz AS a2 FROM q0)),
+q2 AS (SELECT *, """ + ", ".join(f"{_exp('s', 'b', i, j)} AS d{i}{j}" for i in _I for j in _I) + ", " + ", ".join(" + ".join(f"{_exp('b', 'g', i, j)} * r{_AX[j - 1]}" for j in _I) + f" AS e{i}" for i in _I) + """ FROM q1),
+f AS (SELECT day, n, """ + ", ".join(f"d{i}{j} AS r{i}{j}" for i in _I for j in _I) + ", " + ", ".join(f"e{i} AS p{i}" for i in _I) + """ FROM q2 WHERE n = 1
+ UNION ALL SELECT q2.day, q2.n, """ + ", ".join(" + ".join(f"f.r{i}{k} * d{k}{j}" for k in _I) for i in _I for j in _I) + ", " + ", ".join(f"f.p{i} + " + " + ".join(f"f.r{i}{k} * e{k}" for k in _I) for i in _I) + """ FROM f JOIN q2 ON q2.day = f.day AND q2.n = f.n + 1),
+pose AS (SELECT tw.*, """ + ", ".join(f"f.r{i}{j}" for i in _I for j in _I) + """, f.p1, f.p2, f.p3 FROM tw JOIN f USING (day, n))"""
+
+
+@query("w04_integrate_3d", f"WITH {_TW} SELECT day, t_ns, R4(p1) AS px, R4(p2) AS py, R4(p3) AS pz, R4(r11) AS r11, R4(r33) AS r33 FROM pose", recursive=True)
 def w04(v):
     return integrate_3d(_twists(v), "day").select("day", "t_ns", *(out4(k).alias(k) for k in ("px", "py", "pz", "r11", "r33")))
 
 
-@query("w06_undistort_3d")
+@query("w06_undistort_3d", f"""WITH {_TW}, pts AS (SELECT event_id, t_ns, value AS x, event_id % 17 - 8.0::DOUBLE AS y, event_id % 5 - 2.0::DOUBLE AS z FROM stream_ev),
+met AS (SELECT p.*, coalesce(q.t_ns, (SELECT max(t_ns) FROM tw)) AS twist_ns FROM pts p ASOF LEFT JOIN tw q ON p.t_ns <= q.t_ns),
+m0 AS (SELECT m.event_id, m.x, m.y, m.z, greatest(0.0, (m.t_ns - q.prev_ns) / 1e9) AS dt, q.day, q.n, q.vx, q.vy, q.vz, q.wx, q.wy, q.wz FROM met m JOIN tw q ON q.t_ns = m.twist_ns),
+m1 AS (SELECT *, {_SERIES} FROM (SELECT *, fx * fx + fy * fy + fz * fz AS a2 FROM (SELECT *, wx * dt AS fx, wy * dt AS fy, wz * dt AS fz FROM m0))),
+m2 AS (SELECT *, {', '.join(' + '.join(f"{_exp('s', 'b', i, j)} * {_AX[j - 1]} + {_exp('b', 'g', i, j)} * v{_AX[j - 1]} * dt" for j in _I) + f' AS l{i}' for i in _I)} FROM m1),
+m3 AS (SELECT m2.event_id, l1, l2, l3, {', '.join(f'coalesce(o.r{i}{j}, {1 if i == j else 0}) AS r{i}{j}' for i in _I for j in _I)}, {', '.join(f'coalesce(o.p{i}, 0) AS p{i}' for i in _I)} FROM m2 LEFT JOIN pose o ON o.day = m2.day AND o.n = m2.n - 1)
+SELECT event_id, {', '.join(f"R4(r{i}1 * l1 + r{i}2 * l2 + r{i}3 * l3 + p{i}) AS u{_AX[i - 1]}" for i in _I)} FROM m3""", recursive=True)
 def w06(v):
     pts = v.stream_ev().select("event_id", "t_ns", c("value").alias("x"), (c("event_id") % 17 - 8.0).alias("y"), (c("event_id") % 5 - 2.0).alias("z"))
     return undistort_3d(pts, integrate_3d(_twists(v), "day").drop("day")).select("event_id", *(out4(k).alias(k) for k in ("ux", "uy", "uz")))
