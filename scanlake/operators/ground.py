@@ -150,7 +150,8 @@ def ransac(points: DataFrame, iterations: int = 200, threshold: float = 0.15, ti
     leaves = leaves.withColumn("i", F.row_number().over(order) - 1).select("frame_id", "i", "x", "y", "z")
     size = leaves.groupBy("frame_id").agg(F.count("*").alias("n"))
     tries = size.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).filter("n >= 3")
-    pick = lambda k: F.pmod(F.crc32(F.concat_ws("_", F.lit(seed), c("frame_id"), c("h"), F.lit(k))), c("n"))
+    # A multiplicative hash of the try and the corner.
+    pick = lambda k: F.pmod(F.shiftright((c("h").cast("long") * 3 + k) * 2_654_435_761 + c("frame_id").cast("long") * 40_503 + seed, 8), c("n"))
     tries = tries.withColumns({f"i{k}": pick(k) for k in (1, 2, 3)}).filter("i1 <> i2 and i2 <> i3 and i1 <> i3")
     for k in (1, 2, 3):
         corner = leaves.select("frame_id", c("i").alias(f"i{k}"), *(c(a).alias(f"{a}{k}") for a in "xyz"))

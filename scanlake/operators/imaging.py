@@ -75,7 +75,7 @@ def merge_pairs(images: DataFrame, labels: DataFrame, prefix: str, digits: int =
 def split_train_validation(files: DataFrame, key: str, percent: int) -> DataFrame:
     """is_validation by hash of the key; if that leaves validation empty, the row of
     smallest hash goes there. The guarantee costs one aggregate of two numbers."""
-    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(100))
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100
     f = files.withColumn("_b", bucket)
     facts = f.agg(F.count_if(F.col("_b") < percent).alias("_n"), F.min(F.struct("_b", key)).alias("_first"))
     out = f.join(F.broadcast(facts)).withColumn("is_validation", (F.col("_b") < percent) | ((F.col("_n") == 0) & (F.col(key) == F.col(f"_first.{key}"))))

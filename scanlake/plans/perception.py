@@ -20,11 +20,11 @@ _ROI = " AND ".join(f"{a} BETWEEN {ROI[f'min_{a}']} AND {ROI[f'max_{a}']}" for a
 _RAYS = """SELECT *, CAST(floor((CASE WHEN {t} < 0 THEN {t} + 2 * pi() ELSE {t} END) / radians({d})) AS INT) AS ray, sqrt(x * x + y * y) AS radius FROM {source}"""
 
 
-def _reach(edges: str) -> str:
+def _reach(edges: str, k: str = "") -> str:
     """Components of edges (f, a, b) over points, by reachability."""
-    return f"""e AS ({edges}), both_ AS (SELECT f, a, b FROM e UNION SELECT f, b, a FROM e),
-reach AS (SELECT frame_id AS f, point_idx AS a, point_idx AS r FROM {{nodes}} UNION SELECT b.f, b.b, reach.r FROM both_ b JOIN reach ON reach.f = b.f AND reach.a = b.a),
-labelled AS (SELECT f AS frame_id, a AS point_idx, min(r) AS label FROM reach GROUP BY f, a)"""
+    return f"""e{k} AS ({edges}), both{k}_ AS (SELECT f, a, b FROM e{k} UNION SELECT f, b, a FROM e{k}),
+reach{k} AS (SELECT frame_id AS f, point_idx AS a, point_idx AS r FROM {{nodes}} UNION SELECT b.f, b.b, reach{k}.r FROM both{k}_ b JOIN reach{k} ON reach{k}.f = b.f AND reach{k}.a = b.a),
+labelled{k} AS (SELECT f AS frame_id, a AS point_idx, min(r) AS label FROM reach{k} GROUP BY f, a)"""
 
 
 @query("w08_radial_division", f"SELECT frame_id, point_idx, ray, R4(radius) AS radius, CAST(row_number() OVER (PARTITION BY frame_id, ray ORDER BY radius, point_idx) AS INT) AS place FROM ({_RAYS.format(t='atan2(y, x)', d='0.5', source='pts_emb')})")
@@ -78,9 +78,22 @@ def g04(v):
     return grid_filter(v.pts_li().withColumn("z", c("z") / 4), GridParams(step=0.5, azimuth_deg=3.0))
 
 
-@query("g14_ransac_ground")
+_CORNER = "((h * 3 + {k}) * 2654435761 + frame_id * 40503 + 1) >> 8"
+
+
+@query("g14_ransac_ground", f"""WITH src AS (SELECT frame_id, point_idx, x, y, z / 10 AS z FROM pts_li), l0 AS (SELECT frame_id, floor(x / 1.0) AS vx, floor(y / 1.0) AS vy, floor(z / 1.0) AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM src GROUP BY ALL),
+l AS (SELECT frame_id, x, y, z, row_number() OVER (PARTITION BY frame_id ORDER BY vx, vy, vz) - 1 AS i FROM l0), n AS (SELECT frame_id, count(*) AS n FROM l GROUP BY frame_id),
+t AS (SELECT frame_id, h, (({_CORNER.format(k=1)}) % n + n) % n AS i1, (({_CORNER.format(k=2)}) % n + n) % n AS i2, (({_CORNER.format(k=3)}) % n + n) % n AS i3 FROM n, (SELECT unnest(range(30)) AS h) WHERE n >= 3),
+d AS (SELECT t.frame_id, t.h, p.x AS x1, p.y AS y1, p.z AS z1, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, r.x - p.x AS bx, r.y - p.y AS by_, r.z - p.z AS bz FROM t JOIN l p ON p.frame_id = t.frame_id AND p.i = i1 JOIN l q ON q.frame_id = t.frame_id AND q.i = i2 JOIN l r ON r.frame_id = t.frame_id AND r.i = i3 WHERE i1 <> i2 AND i2 <> i3 AND i1 <> i3),
+c0 AS (SELECT *, ay * bz - az * by_ AS a, az * bx - ax * bz AS b, ax * by_ - ay * bx AS k FROM d), c1 AS (SELECT *, sqrt(a * a + b * b + k * k) AS s FROM c0), c2 AS (SELECT frame_id, h, a / s AS a, b / s AS b, k / s AS k, x1, y1, z1 FROM c1 WHERE s > 1e-9),
+c3 AS (SELECT frame_id, h, a, b, k, -(a * x1 + b * y1 + k * z1) AS d FROM c2), votes AS (SELECT c3.frame_id, h, a, b, k, d, count(*) FILTER (abs(a * x + b * y + k * z + d) <= 0.1503) AS votes FROM c3 JOIN l ON l.frame_id = c3.frame_id GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, h) = 1),
+m AS (SELECT best.frame_id, a, b, k, d, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM best JOIN l ON l.frame_id = best.frame_id WHERE abs(a * x + b * y + k * z + d) <= 0.1503 GROUP BY ALL),
+w AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS fx, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS fy, xx * yy - xy * xy > 1e-9 AND abs(k) > 0.1 AS fits FROM m), u AS (SELECT *, sqrt(fx * fx + fy * fy + 1) AS q FROM w),
+plane AS (SELECT frame_id, CASE WHEN fits THEN -fx / q ELSE a END AS a, CASE WHEN fits THEN -fy / q ELSE b END AS b, CASE WHEN fits THEN 1 / q ELSE k END AS k, CASE WHEN fits THEN (fx * mx + fy * my - mz) / q ELSE d END AS d FROM u)
+SELECT src.frame_id, point_idx, coalesce(abs(a * x + b * y + k * z + d) > 0.2007, true) AS is_obstacle FROM src LEFT JOIN (SELECT * FROM plane WHERE abs(k) >= cos(radians(15.0))) p ON p.frame_id = src.frame_id""")
 def g14(v):
-    return G.ransac(v.pts_li().withColumn("z", c("z") / 10), iterations=30, voxel=1.0)
+    return G.ransac(v.pts_li().withColumn("z", c("z") / 10), iterations=30, threshold=0.1503, height=0.2007, voxel=1.0)
 
 
 @query("g15_split", """SELECT frame_id, count(*) AS n_points, CAST(count_if(abs(z) > 1) AS BIGINT) AS n_obstacle FROM pts_emb GROUP BY frame_id""")
@@ -134,7 +147,13 @@ def c08(v):
     return C.range_image_clusters(v.pts_emb(), 1.5, 0.3)
 
 
-@query("c09_multi_level")
+_REST = "rest AS (SELECT * FROM pts_emb ANTI JOIN taken USING (frame_id, point_idx))"
+_PIX2 = _PIX.replace("pix AS", "pix2 AS").replace("FROM pts_emb)", "FROM rest)").replace("JOIN pts_emb USING", "JOIN rest USING")
+
+
+@query("c09_multi_level", f"WITH {_PIX}, " + _reach(_image("pix", 1.0, 0.2)).format(nodes="pix") + ", taken AS (SELECT frame_id, point_idx, label FROM labelled WHERE (frame_id, label) IN (SELECT (frame_id, label) FROM labelled GROUP BY frame_id, label HAVING count(*) BETWEEN 2 AND 5000)), "
+       + _REST + ", " + _PIX2 + ", " + _reach(_image("pix2", 2.5, 0.4), "2").format(nodes="pix2") + """ SELECT frame_id, point_idx, 0 AS level, label FROM taken UNION ALL
+ SELECT frame_id, point_idx, 1, label FROM labelled2 WHERE (frame_id, label) IN (SELECT (frame_id, label) FROM labelled2 GROUP BY frame_id, label HAVING count(*) BETWEEN 2 AND 5000)""", recursive=True)
 def c09(v):
     return C.multi_level(v.pts_emb(), 2, 1.0, 0.2, 1.5, 0.2)
 

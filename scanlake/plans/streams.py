@@ -133,7 +133,7 @@ def s18(v):
     return rows.select("line", "class", F.size("poly").alias("n_corners"), c("poly")[0]["x"].alias("x0"))
 
 
-@query("s19_split")
+@query("s19_split", "WITH b AS (SELECT p_partkey, CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS b FROM part) SELECT p_partkey, b < 20 OR (NOT EXISTS (SELECT 1 FROM b WHERE b < 20) AND (b, p_partkey) = (SELECT min((b, p_partkey)) FROM b)) AS is_validation FROM b")
 def s19(v):
     return I.split_train_validation(v.table("part").select("p_partkey"), "p_partkey", 20)
 
