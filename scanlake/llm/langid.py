@@ -28,8 +28,8 @@ from scanlake.llm.common import read, small_batches, trimmed
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
-LEXICON = 6000
-MEMO = 200_000
+LEXICON = 4000
+MEMO = 80_000
 PIECE = 256
 
 
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, lexicon
     """The rows of `docs` with lang_pred and score. `learn`: a condition on the
     rows to learn from (all, if none)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 300, "2m")
     model = model if model is not None else fit(sample(docs, F.lit(True) if learn is None else learn, sample_docs), lexicon)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*names)

@@ -37,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 BLOCK = 512
 
 
