@@ -96,7 +96,7 @@ def test_stream_keeps_its_state_between_triggers(spark, tmp_path):
 
 def test_streams_meet_within_the_interval(spark, tmp_path):
     for side, second in (("a", 0), ("b", 3)):
-        df = spark.range(5).select(F.lit(1).alias("key"), "id", F.timestamp_seconds(F.col("id") * 60 + second).alias("ts"))
+        df = spark.range(5).select(F.lit(1).alias("key"), "id", F.timestamp_seconds(F.col("id") * 60 + 1000 + second).alias("ts"))
         df.coalesce(1).write.parquet(str(tmp_path / side))
     read = lambda side: spark.readStream.schema("key int, id long, ts timestamp").parquet(str(tmp_path / side))
     pairs = scans.run_once(scans.sync_streams(read("a"), read("b"), "10 seconds"))
