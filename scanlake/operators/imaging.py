@@ -83,7 +83,7 @@ def split_train_validation(files: DataFrame, key: str, percent: int) -> DataFram
 
 
 def model_metadata(models: DataFrame) -> DataFrame:
-    """Version, size letter and task from a model's file name, e.g. 'yolov8n-seg.pt'."""
+    """Version, size letter and task from a model's file name, e.g. 'netv8n-seg.pt'."""
     name = F.lower(F.regexp_extract("file", r"([^/]+)$", 1))
     size = {"n": "nano", "s": "small", "m": "medium", "l": "large", "x": "extra large"}
     letter = F.regexp_extract(name, r"[0-9]+([nsmlx])(?:[-_.]|$)", 1)

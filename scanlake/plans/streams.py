@@ -151,7 +151,7 @@ def s22(v):
 @query("c20_model_metadata", "SELECT p_partkey, CAST(5 + p_partkey % 7 AS VARCHAR) AS version, ['nano', 'small', 'medium'][CAST(p_partkey % 3 + 1 AS INT)] AS size, CASE WHEN p_partkey % 2 = 0 THEN 'segment' ELSE 'detect' END AS task FROM part")
 def c20(v):
     k = c("p_partkey")
-    file = F.concat(F.lit("models/yolov"), 5 + k % 7, F.element_at(F.array(F.lit("n"), F.lit("s"), F.lit("m")), (k % 3 + 1).cast("int")), F.when(k % 2 == 0, "-seg.pt").otherwise(".pt"))
+    file = F.concat(F.lit("models/netv"), 5 + k % 7, F.element_at(F.array(F.lit("n"), F.lit("s"), F.lit("m")), (k % 3 + 1).cast("int")), F.when(k % 2 == 0, "-seg.pt").otherwise(".pt"))
     return I.model_metadata(v.table("part").select("p_partkey", file.alias("file"))).select("p_partkey", "version", "size", "task")
 
 
