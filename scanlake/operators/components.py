@@ -17,10 +17,11 @@ from scanlake.storage import drop_table, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is tied to the node's smallest neighbour."""
+    """Each larger neighbour of a node is tied to the node's smallest neighbour: one
+    edge for each before. Repeated ones go with the small star."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
