@@ -141,7 +141,7 @@ def j02_3d(v):
 
 
 @query("j03_concat_sensors", """WITH s AS (SELECT frame_id, channel % 3 AS sensor, point_idx, 1000 * frame_id + 10 * (channel % 3) AS stamp, x, y, z FROM pts_emb)
-SELECT frame_id, point_idx, min(stamp) OVER (PARTITION BY frame_id) AS stamp, R4(CASE WHEN sensor = 0 THEN m11 * x + m12 * y + m13 * z + tx ELSE x END) AS x,
+SELECT frame_id, point_idx, CAST(min(stamp) OVER (PARTITION BY frame_id) AS BIGINT) AS stamp, R4(CASE WHEN sensor = 0 THEN m11 * x + m12 * y + m13 * z + tx ELSE x END) AS x,
  R4(CASE WHEN sensor = 0 THEN m21 * x + m22 * y + m23 * z + ty ELSE y END) AS y FROM s, (SELECT * FROM tf WHERE source = 'lidar')""")
 def j03(v):
     """Clouds of one frame from several sensors, in the base frame, at the oldest
