@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import gc
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,6 @@ CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,7 +45,9 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "6m") -> No
 
 
 def trim() -> None:
-    """Give freed memory back to the system: workers stay for later tasks."""
+    """Give freed memory back to the system: workers stay for later tasks, and the
+    functions of earlier ones, which hold their modules' names, are cycles."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.util.find_library("c")
     if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
@@ -76,15 +80,17 @@ BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """_P (or its inverse modulo 2**64) to the powers 0..n-1."""
-    have = _POWERS.get(inverse)
+    """_P (or its inverse modulo 2**64) to the powers 0..n-1. A process keeps one
+    table of each, whatever its tasks."""
+    kept = sys.modules.setdefault("_scanlake_powers", types.ModuleType("_scanlake_powers")).__dict__
+    have = kept.get(("powers", inverse))
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 4096)
+        size = max(n, 2 * CHUNK + 4096)
         have = np.full(size, _P_INV if inverse else _P, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 6 * CHUNK:
-            _POWERS[inverse] = have
+        if size <= 2 * CHUNK + 4096:
+            kept["powers", inverse] = have
     return have[:n]
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm import lm_score
-from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, trimmed, unpack_integers, word_hashes
+from scanlake.llm.common import materialize, mix64, ngram_hashes, pack_integers, read, signed, small_batches, trim, trimmed, unpack_integers, word_hashes
 from scanlake.llm.repeats import release
 from scanlake.operators.components import connected_components
 
@@ -133,6 +133,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> Dat
         names = bucket[cut[:-1]].tolist() + [-1 - left.column("block")[0].as_py() % 64]
         keys = [pack_integers(np.diff(sig[x:z], prepend=np.uint64(0))) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 0])]
         values = [pack_integers(doc[x:z]) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 1])]
+        trim()
         return pa.table({"bucket": pa.array(names, pa.int32()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(values, pa.binary())})
 
     def tie(table):

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import materialize, ngram_hashes, pack_integers, read, small_batches, trimmed, unpack_integers, word_hashes
+from scanlake.llm.common import materialize, ngram_hashes, pack_integers, read, small_batches, trim, trimmed, unpack_integers, word_hashes
 from scanlake.llm.repeats import release
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: An n-gram's hash has so many bits more than the logarithm of their number: about
 #: one in 2^SPARE_BITS n-grams shares its hash with another, at any size.
 SPARE_BITS = 24
@@ -182,6 +182,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         rows = sorted(zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("total").to_pylist()), key=lambda x: x[:2])
         totals = {n: np.concatenate([np.zeros(0, np.uint64), *(unpack_integers(x, np.uint64) for m, _, x in rows if m == n)]) for n in range(1, order + 1)}
         sums, n_words = block_scores(words, first, totals, all_words, order, alpha, min_count, drop), np.diff(first)
+        trim()
         mean = [s / n if n else None for s, n in zip(sums.tolist(), n_words.tolist())]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64())})
 
