@@ -37,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a shard, unless a document alone has more.
 SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
-MEMO = 200_000
+MEMO = 600_000
 BLOCK = 512
 
 
@@ -115,15 +115,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.most = MEMO
         self.forget()
 
     @classmethod
-    def here(cls, path: str) -> Encoder:
+    def here(cls, path: str, remember: int = MEMO) -> Encoder:
         """The encoder of this process: a worker that runs several tasks goes on
         with what it remembers."""
         kept = sys.modules.setdefault("_scanlake_encoders", types.ModuleType("_scanlake_encoders")).__dict__
         if path not in kept:
             kept[path] = cls(path)
+        kept[path].most = remember
         return kept[path]
 
     def forget(self) -> None:
@@ -179,7 +181,7 @@ class Encoder:
             return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
         end = np.append(start[1:], len(data))
         distinct, which = np.unique(span_hashes(data, start, end), return_inverse=True)
-        if len(self.slot) + len(distinct) > MEMO:
+        if len(self.slot) + len(distinct) > self.most:
             self.forget()
         hashes = distinct.tolist()
         slots = np.fromiter(map(lambda h, get=self.slot.get: get(h, -1), hashes), dtype=np.int64, count=len(hashes))
@@ -286,16 +288,16 @@ class Shard:
             begin = int(end)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, shard_ids: int = SHARD_IDS) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, shard_ids: int = SHARD_IDS, remember: int = MEMO) -> None:
     """Write the shards: documents by range of doc_id, ascending, so files follow
     one another by `part`, and shards in a file by `shard`. Texts are dealt out
     first and encoded where they are packed, so each is encoded once."""
     spark = docs.sparkSession
-    small_batches(spark, 250, "2m")
+    small_batches(spark, 500, "4m")
     vocabulary, tail = tokenizer or tokenizer_path(), np.array([end_id], dtype=np.uint32)
 
     def shards(batches):
-        encoder = Encoder.here(vocabulary)
+        encoder = Encoder.here(vocabulary, remember)
         docs, held, count, part, k = [], [], 0, -1, 0
 
         def out():
@@ -348,11 +350,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(at, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8) -> DataFrame:
+def store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, remember: int = MEMO) -> DataFrame:
     """Encode, write to `path` (a new shared folder if none) and read back."""
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    write_store(docs, path, tokenizer, end_id, bits)
+    write_store(docs, path, tokenizer, end_id, bits, remember=remember)
     return read_store(spark, path)
 
 
