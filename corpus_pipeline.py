@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token store and return what it holds of each document."""
-    return token_store.store(docs)
+    return token_store.store(docs, remember=200_000)  # workers hold what earlier stages left
 
 
 STAGES = [
