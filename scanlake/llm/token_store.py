@@ -293,7 +293,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     one another by `part`, and shards in a file by `shard`. Texts are dealt out
     first and encoded where they are packed, so each is encoded once."""
     spark = docs.sparkSession
-    small_batches(spark, 500, "4m")
+    small_batches(spark, 500, "4m" if remember >= MEMO else "2m")  # both bound what a worker holds
     vocabulary, tail = tokenizer or tokenizer_path(), np.array([end_id], dtype=np.uint32)
 
     def shards(batches):
