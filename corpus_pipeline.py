@@ -23,31 +23,47 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __row, 128 bits of (doc_id, text, source): a key that is never null. Null
+    values count, as xxhash64() alone passes over them."""
+    parts = [x for c in ("doc_id", "text", "source") for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("__row", F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component of near copies (five words, 0.8) the document of the
-    smallest doc_id; rows that repeat a doc_id count as copies, rows without one by
-    their text."""
-    found = jaccard.components(docs, n=5, percent=80)
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(copies, docs.doc_id == F.col("__id"), "left_anti")
+    smallest doc_id, one without doc_id only where none has one. Rows that repeat a
+    doc_id count as copies; rows without one are nodes by a hash of their text."""
+    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no doc_id"), F.coalesce("text", F.lit(""))))
+    found = materialize(jaccard.components(docs.select(node.alias("doc_id"), "text"), n=5, percent=80))
+    unnamed = docs.filter("doc_id is null").select(node.alias("__node")).distinct()
+    # Components whose smallest node has no doc_id, though another has.
+    member = found.join(unnamed, found.doc_id == F.col("__node"), "left")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("__node").isNotNull().alias("unnamed"), "doc_id")).alias("m"))
+    first = first.select(F.col("component_id").alias("__c"), F.col("m.doc_id").alias("__first")).filter("__c <> __first")
+    copies = found.join(first, found.component_id == F.col("__c"), "left").filter(F.col("doc_id") != F.coalesce("__first", "component_id"))
+    kept = docs.withColumn("__node", node).join(copies.select(F.col("doc_id").alias("__id")).distinct(), F.col("__node") == F.col("__id"), "left_anti")
     kept = kept.withColumn("__text", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
     return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a benchmark item occurs, exactly or edited."""
-    hit = decontamination.find(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    hit = decontamination.find(rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    hit = hit.select(F.col("doc_id").alias("__id")).distinct()
+    return rows.join(hit, F.col("__row") == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents as the mix takes them: a row for each pass over the stream
     of its source in which the mix takes more than half of the document's words."""
-    pieces, sized = mixing.schedule(docs)
+    rows = keyed(docs)
+    pieces, sized = mixing.schedule(rows.select(F.col("__row").alias("doc_id"), "source", "text"))
     taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     times = sized.join(taken, ["sid", "pos"]).withColumn("__times", F.round(F.col("taken") / F.col("size")).cast("int"))
     times = times.filter("__times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("__times").alias("__times"))
-    kept = docs.join(times, docs.doc_id.eqNullSafe(F.col("__id")))
+    kept = rows.join(times, F.col("__row") == F.col("__id"))
     return kept.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -210,3 +210,26 @@ def test_pipeline_of_nothing(spark, make, tmp_path):
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_rows_without_an_id(spark, make, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    text = lambda n=60: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    leak = text(30)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [text() for _ in range(40)]
+    run = lambda stage, rows: stage(spark, p.materialize(make(rows)), str(tmp_path)).collect()
+
+    copied = [(None, clean[0]), (None, clean[0] + " end"), (None, clean[1]), (7, clean[1]), (9, clean[1] + " end"), (None, clean[2]), (None, clean[2]), (None, clean[3])]
+    got = run(p.near_duplicates, copied)
+    assert len(got) == 4 and {r.text for r in got} - {clean[0], clean[0] + " end"} == {clean[1], clean[2], clean[3]}
+    assert [r.doc_id for r in got if r.doc_id is not None] == [7]
+
+    got = run(p.decontaminate, [(None, t) for t in clean] + [(None, f"{text()} {leak} {text()}"), (3, leak), (4, text())])
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted(clean) and [r.doc_id for r in got if r.doc_id is not None] == [4]
+
+    got = run(p.mix, [(None, t, "en", "s1") for t in clean])
+    times = [sum(r.text == t for r in got) for t in clean]
+    assert set(times) == {1, 2} and abs(sum(times) - 60) <= 1
