@@ -1,13 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 Benchmark items are split into blocks of at most BLOCK_BYTES, which is what a
-worker holds of them; each block is set against all documents. A first scan
-counts in how many documents each n-gram of the block occurs. An item's seeds are
-its rarer n-grams: the `keep` share of lowest document frequency. A second scan
-finds seeds in the whole texts, and around each (widened by the item's length)
-aligns the words with the item's by Smith-Waterman: match 1, mismatch -1, gap -1.
-A pair is reported when score / item words >= `similarity`. Texts are never
-shuffled and no candidate is capped.
+worker holds of them; each block is set against all documents. An item's seeds are
+all its 3-grams and some of its pairs of neighbouring words. A scan finds seeds in
+the whole texts, and around each (widened by the item's length) aligns the words
+with the item's by Smith-Waterman: match 1, mismatch -1, gap -1. A pair is reported
+when score / item words >= `similarity`. Texts are never shuffled and no candidate
+is capped; left out are those where fewer words are the item's than the score needs.
+
+Which pairs: let an alignment of an item of m words leave no 3-gram whole, u words
+unmatched and s matched alone. Its other runs are of two words, and an error parts
+each run from the next, so the score is at most (m - u - s) / 2 + 1, and one that
+reaches the similarity has u + s <= 2 + (1 - 2 similarity) m. Any other word lies in
+a whole pair. So the two pairs around each of one word more than that will do: a
+first scan counts in how many documents pairs occur, and the rarest are taken. Short
+items are seeded with all pairs. For other `seed_words` than 3 (2 seeds with all
+pairs) there is no such proof, and the n-grams are the only seeds.
 
 Words are runs of bytes other than ASCII non-alphanumerics, A-Z lowered, so case
 and punctuation don't hide a copy. Items of fewer words than a seed are seeds as a
@@ -29,7 +37,6 @@ from scanlake.llm.common import LOWER, NOT_ALNUM, ngram_hashes, read, small_batc
 
 SEED_WORDS = 3
 SIMILARITY = 0.5
-KEEP = 0.75
 BLOCK_BYTES = 4 << 20
 
 
@@ -49,26 +56,38 @@ class Block:
         self.length = np.diff(self.first)
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({int(min(x, n)) for x in self.length if x}):
-            h, begin = ngram_hashes(self.words, self.first, size)
-            item = np.repeat(np.arange(len(ids)), np.diff(begin))
+            h, item, offset = self._grams(size)
             own = self.length[item] >= n if size == n else self.length[item] == size
-            self._index(size, h[own], item[own], (np.arange(len(h)) - begin[item])[own])
+            self._index(size, h[own], item[own], offset[own])
+        h, item, offset = self._grams(2)
+        own = self.length[item] >= 3 if n == 3 else np.zeros(len(h), dtype=bool)
+        self.pairs = h[own], item[own], offset[own]
+
+    def _grams(self, size):
+        h, begin = ngram_hashes(self.words, self.first, size)
+        item = np.repeat(np.arange(len(self.ids)), np.diff(begin))
+        return h, item, np.arange(len(h)) - begin[item]
 
     def _index(self, size, h, item, offset):
         order = np.argsort(h, kind="stable")
         seeds, at = np.unique(h[order], return_index=True)
         self.seeds[size] = seeds, np.append(at, len(h)), item[order], offset[order]
 
-    def rarer(self, frequency: dict[int, np.ndarray], keep: float) -> Block:
-        """Keep the `keep` share of each item's n-grams, those in fewest documents."""
-        for size, (seeds, at, item, offset) in list(self.seeds.items()):
-            df = np.repeat(frequency[size], np.diff(at))
-            order = np.lexsort((offset, df, item))
-            rank = np.empty(len(item), dtype=np.int64)
-            count = np.bincount(item, minlength=len(self.ids))
-            rank[order] = np.arange(len(item)) - (np.cumsum(count) - count)[item[order]]
-            kept = rank < np.ceil(keep * count)[item]
-            self._index(size, np.repeat(seeds, np.diff(at))[kept], item[kept], offset[kept])
+    def with_pairs(self, frequency: np.ndarray, similarity: float) -> Block:
+        """Add the pairs around each item's words whose pairs are in fewest documents.
+        `frequency`: of the distinct pairs, in order."""
+        h, item, offset = self.pairs
+        if not len(h):
+            return self
+        df = frequency[np.unique(h, return_inverse=True)[1]]
+        inner = np.flatnonzero(offset > 0)  # a word with a pair on both sides
+        order = inner[np.lexsort((offset[inner], df[inner] + df[inner - 1], item[inner]))]
+        count = np.bincount(item[order], minlength=len(self.ids))
+        rank = np.arange(len(order)) - (np.cumsum(count) - count)[item[order]]
+        chosen = order[rank < np.floor(2 + (1 - 2 * similarity) * self.length + 1e-9)[item[order]] + 1]
+        kept = np.unique(np.concatenate([chosen, chosen - 1]))
+        seeds, at, items, offsets = self.seeds.get(2, (h[:0], np.zeros(1, np.int64), item[:0], offset[:0]))
+        self._index(2, np.concatenate([np.repeat(seeds, np.diff(at)), h[kept]]), np.concatenate([items, item[kept]]), np.concatenate([offsets, offset[kept]]))
         return self
 
 
@@ -152,30 +171,30 @@ def compare(block: Block, pairs: list[tuple[int, int, np.ndarray]]) -> list[tupl
     return out
 
 
-def _frequencies(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
-    """In how many documents each n-gram of the block occurs."""
-    seeds = {size: x[0] for size, x in block.seeds.items()}
+def _frequencies(docs: DataFrame, block: Block) -> np.ndarray:
+    """In how many documents each distinct pair of the block occurs."""
+    seeds = np.unique(block.pairs[0])
+    if not len(seeds):
+        return np.zeros(0, dtype=np.int64)
 
     def count(batches):
-        total = {size: np.zeros(len(s), dtype=np.int64) for size, s in seeds.items()}
+        total = np.zeros(len(seeds), dtype=np.int64)
         for b in batches:
             words, first, *_ = _words(b.column(0))
-            for size, s in seeds.items():
-                h, begin = ngram_hashes(words, first, size)
-                at, k = _find(s, h)
-                doc = np.searchsorted(begin, at, "right") - 1
-                total[size] += np.bincount(np.unique(doc * len(s) + k) % len(s), minlength=len(s)) if len(s) else 0
-        for size, t in total.items():
-            k = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(k), pa.array(t[k])], ["size", "k", "n"])
-
-    out = {size: np.zeros(len(s), dtype=np.int64) for size, s in seeds.items()}
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "size int, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n")).collect():
-        out[r.size][r.k] = r.n
+            h, begin = ngram_hashes(words, first, 2)
+            at, k = _find(seeds, h)
+            doc = np.searchsorted(begin, at, "right") - 1
+            total += np.bincount(np.unique(doc * len(seeds) + k) % len(seeds), minlength=len(seeds))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+
+    out = np.zeros(len(seeds), dtype=np.int64)
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, similarity: float = SIMILARITY, keep: float = KEEP) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, score, byte_from, byte_to: for each document
     and item the best alignment that reaches `similarity`."""
     spark = docs.sparkSession
@@ -185,7 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, si
     rows = docs.select("doc_id", F.col("text").cast("string"))
     for block in blocks(benchmark, seed_words):
         small_batches(spark, 1000, "4m")
-        out = out.unionByName(rows.mapInArrow(trimmed(_search(block.rarer(_frequencies(docs, block), keep), similarity, benchmark.schema["item_id"])), schema))
+        out = out.unionByName(rows.mapInArrow(trimmed(_search(block.with_pairs(_frequencies(docs, block), similarity), similarity, benchmark.schema["item_id"])), schema))
     return out
 
 
@@ -220,9 +239,10 @@ def _search(block: Block, similarity: float, field):
                     j += 1
                 # An alignment that reaches the similarity spends at most m gaps.
                 a, z = max(first[d], first[d] + place[i] - m), min(first[d + 1], first[d] + place[j - 1] + 2 * m)
-                pairs.append((t, a, words[a:z]))
-                who.append(d)
                 i = j
+                if np.isin(words[a:z], block.words[block.first[t] : block.first[t + 1]]).sum() >= similarity * m:
+                    pairs.append((t, a, words[a:z]))
+                    who.append(d)
             best: dict = {}
             for (t, a, _), d, (s, lo, hi) in zip(pairs, who, compare(block, pairs)):
                 if s >= similarity * block.length[t] and s > best.get((d, t), (0,))[0]:

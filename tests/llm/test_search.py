@@ -94,3 +94,31 @@ def test_alignment_of_words():
     a, b = np.array([[1, 2, 3, 4]], dtype=np.uint64), np.array([[9, 1, 2, 8, 3, 4, 9]], dtype=np.uint64)
     score, ae, be = decontaminate.align(a, b, np.array([4]), np.array([7]))
     assert (score[0], ae[0], be[0]) == (3, 4, 6)
+
+
+def test_dense_edits_against_alignment_of_all_pairs(spark, make):
+    rng = np.random.default_rng(7)
+    items = [item(rng, n).split() for n in (40, 40, 24, 9, 6, 5, 4, 3)]
+    docs = []
+    for w in items:
+        docs.append(["edit" if i % 4 == 3 else x for i, x in enumerate(w)])
+        for every in (2, 3):
+            docs.append([y for i, x in enumerate(w) for y in ([x, f"new{i}"] if i % every == every - 1 else [x])])
+        for _ in range(12):
+            p, out = rng.choice([0.1, 0.2, 0.3, 0.4]), []
+            for i, x in enumerate(w):
+                out += [[x], ["edit"], [], [x, f"new{i}"]][int(rng.choice(4, p=[1 - p, p / 4, p / 4, p / 2]))]
+            docs.append(out)
+    docs += [item(rng, 30).split() for _ in range(20)]
+    # Most pairs of items 0 are common, so that few are rare.
+    docs += [items[0][i : i + 7] for i in range(0, 33, 3)] * 2
+    code = {}
+    number = lambda w: np.array([[code.setdefault(x, len(code) + 1) for x in w]], dtype=np.uint64)
+    want = set()
+    for d, w in enumerate(docs):
+        for t, x in enumerate(items):
+            if w and decontaminate.align(number(x), number(w), np.array([len(x)]), np.array([len(w)]))[0][0] >= 0.5 * len(x):
+                want.add((d, t))
+    bench = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(make([(d, " ".join(w)) for d, w in enumerate(docs)]), bench).collect()}
+    assert got == want and len(want) > 60
