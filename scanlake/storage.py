@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one only where that is
-    unset, as in tests."""
+    """A new folder in spark.checkpoint.dir. Where that is unset, a temporary one, if
+    driver and executors are one process, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dir()
     return f"{base.rstrip('/')}/scanlake-{uuid.uuid4().hex}"
 
