@@ -1,8 +1,8 @@
 """Ground segmentation.
 
 Rays are the unit of work: a ray is a narrow sector of one frame, so its points are
-few. The ray and scan filters carry a state from point to point; they run per
-(frame, ray) over points sorted by radius, in Arrow batches of whole frames' rays.
+few. The ray and scan filters carry a state from point to point. They run over points
+sorted by (frame, ray, radius), in batches of whole rays, all rays of a batch in step.
 """
 
 from __future__ import annotations
@@ -24,56 +24,89 @@ def with_rays(points: DataFrame, divider_deg: float, swapped: bool = False) -> D
     return points.withColumns({"radius": F.sqrt(c("x") * c("x") + c("y") * c("y")), "ray": F.floor(theta / math.radians(divider_deg)).cast("int")})
 
 
-def _fold(rays: DataFrame, f, out: str) -> DataFrame:
-    """Run f(radius, x, z) -> labels over each ray, by radius, then index. Rays of
-    a frame are dealt out by key; a batch holds many whole rays."""
-    names = ["frame_id", "point_idx", "ray", "radius", "x", "z"]
-    rows = rays.select(*names).repartition("frame_id", "ray").sortWithinPartitions("frame_id", "ray", "radius", "point_idx")
+def _fold(rays: DataFrame, start, step, labels: list[str], out: str = "label") -> DataFrame:
+    """Label the points of each ray, by radius, then index. All rays of a batch go in
+    step: `step(i, state, r, x, y, z)` takes the i-th point of every ray that has one,
+    updates `state` (arrays by ray, from `start(n)`) and returns their labels' numbers.
+    Rays of a frame are dealt out by key; a batch holds many whole rays."""
+    rows = rays.select("frame_id", "point_idx", "ray", "radius", "x", "y", "z").repartition("frame_id", "ray").sortWithinPartitions("frame_id", "ray", "radius", "point_idx")
+    names = np.array(labels)
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []  # what is there of the last ray
         for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (held.frame_id.iloc[-1], held.ray.iloc[-1])
-            whole = ~((held.frame_id == last[0]) & (held.ray == last[1]))
-            if whole.any():
-                yield label(held[whole])
-                held = held[~whole].reset_index(drop=True)
-        if held is not None and len(held):
-            yield label(held)
+            if not len(b):
+                continue
+            own = (b.frame_id == b.frame_id.iloc[-1]) & (b.ray == b.ray.iloc[-1])
+            cut = len(b) - int(own.sum())
+            goes_on = not cut and held and held[-1].frame_id.iloc[-1] == b.frame_id.iloc[0] and held[-1].ray.iloc[-1] == b.ray.iloc[0]
+            if not goes_on:
+                if whole := [*held, *([b[:cut]] if cut else [])]:
+                    yield label(pd.concat(whole, ignore_index=True))
+                held = []
+            held.append(b[cut:])
+        if held:
+            yield label(pd.concat(held, ignore_index=True))
 
     def label(rows):
-        key = rows[["frame_id", "ray"]].to_numpy()
-        cut = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])), len(rows))
-        r, x, z = (rows[k].tolist() for k in ("radius", "x", "z"))
-        labels = [y for a, e in zip(cut, cut[1:]) for y in f(r[a:e], x[a:e], z[a:e])]
-        return rows[["frame_id", "point_idx"]].assign(**{out: labels})
+        frame, ray = rows.frame_id.to_numpy(), rows.ray.to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], (frame[1:] != frame[:-1]) | (ray[1:] != ray[:-1])]))
+        size = np.diff(np.append(at, len(rows)))
+        order = np.argsort(-size, kind="stable")  # rays that go on stand first
+        at, size = at[order], size[order]
+        r, x, y, z = (rows[k].to_numpy(dtype=float) for k in ("radius", "x", "y", "z"))
+        state, found = start(len(at)), np.zeros(len(rows), dtype=np.int8)
+        for i in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -i, "left"))
+            state = {k: v[:n] for k, v in state.items()}
+            k = at[:n] + i
+            found[k] = step(i, state, r[k], x[k], y[k], z[k])
+        return rows[["frame_id", "point_idx"]].assign(**{out: names[found]})
 
     kinds = {x.name: x.dataType.simpleString() for x in rays.schema}
     return rows.mapInPandas(run, f"frame_id {kinds['frame_id']}, point_idx long, {out} string")
 
 
-def ray_filter(points: DataFrame, general: float = 10.0, local: float = 7.0, initial: float = 3.0, divider: float = 0.5, min_height: float = 0.03, concentric: float = 0.15, reclass: float = 0.15) -> DataFrame:
+def _first_crossing(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Where the way from the origin to (x, y) first meets the border of a box (min x,
+    max x, min y, max y), as a share of it; inf if it does not."""
+    first = np.full(len(x), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for along, across, bounds, (low, high) in ((x, y, box[:2], box[2:]), (y, x, box[2:], box[:2])):
+            for bound in bounds:
+                t = bound / along
+                meets = (t >= 0) & (t <= 1) & (across * t >= low) & (across * t <= high)
+                first = np.where(meets, np.minimum(first, t), first)
+    return first
+
+
+def ray_filter(
+    points: DataFrame, general: float = 10.0, local: float = 7.0, initial: float = 3.0, divider: float = 0.5, min_height: float = 0.03, concentric: float = 0.15, reclass: float = 0.15,
+    footprint: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
     """frame_id, point_idx, label (ground, obstacle) by slopes along each ray.
-    Angles are in degrees."""
+    Angles are in degrees. With a `footprint` (min x, max x, min y, max y) a ray starts
+    where it leaves it; a first point that lies inside is passed over as obstacle."""
     tg, tl, ti = (math.tan(math.radians(a)) for a in (general, local, initial))
 
-    def run(r, x, z):
-        near, height, ground, out = 0.0, 0.0, False, []
-        for i, (ri, zi) in enumerate(zip(r, z)):
-            gap = ri - near
-            band, limit = max((tl if i else ti) * gap, min_height), tg * ri
-            if gap < concentric:
-                now = ground
-            elif abs(zi - height) <= band:
-                now = ground or abs(zi) <= limit
-            else:
-                now = gap > reclass and abs(zi) <= limit
-            near, height, ground = ri, zi, now
-            out.append("ground" if now else "obstacle")
-        return out
+    def start(n):
+        return {"near": np.zeros(n), "height": np.zeros(n), "ground": np.zeros(n, dtype=bool)}
+
+    def step(i, s, r, x, y, z):
+        passed = np.zeros(len(r), dtype=bool)
+        near = s["near"]
+        if not i and footprint:
+            t = _first_crossing(x, y, footprint)
+            passed = np.isinf(t)
+            near = np.where(passed, 0.0, np.where(passed, 0.0, t) * r)
+        gap, level = r - near, np.abs(z) <= tg * r
+        even = np.abs(z - s["height"]) <= np.maximum((tl if i else ti) * gap, min_height)
+        now = np.where(gap < concentric, s["ground"], np.where(even, s["ground"] | level, (gap > reclass) & level)) & ~passed
+        for name, value in (("near", r), ("height", z), ("ground", now)):
+            s[name][~passed] = value[~passed]
+        return now.astype(np.int8)
 
-    return _fold(with_rays(points, divider), run, "label")
+    return _fold(with_rays(points, divider), start, step, ["obstacle", "ground"])
 
 
 def scan_filter(
@@ -81,52 +114,40 @@ def scan_filter(
 ) -> DataFrame:
     """frame_id, point_idx, label (ground, obstacle, follow) by running centroids of
     ground and obstacle points along each ray. A point that follows one without a
-    label stays `follow`."""
-    tan_global, local, angle = math.tan(math.radians(global_slope)), math.radians(local_slope), math.radians(divider)
-
-    def run(r, x, z):
-        out, last = [], "init"
-        px = pz = pr = 0.0
-        gr = gz = slope = 0.0
-        ground, obstacle = [0.0, 0.0, 0], [0.0, 0.0, 0]  # sums of r and z, count
-        mean = lambda s, k: s[k] / s[2] if s[2] else 0.0
-        for i, (ri, xi, zi) in enumerate(zip(r, x, z)):
-            if not i:
-                gr, gz = (wheel_base, 0.0) if virtual_ground and xi > wheel_base else (0.0, 0.0)
-                slope, ground, obstacle = 0.0, [0.0, 0.0, 0], [0.0, 0.0, 0]
-                apart = math.hypot(ri - gr, zi - gz)
-            else:
-                apart = math.hypot(ri - pr, zi - pz)
-            close = apart < ri * angle + tolerance
-            dz, dr = zi - gz, ri - gr
-            if close and ground[2]:
-                cz, cr = zi - mean(ground, 1), ri - mean(ground, 0)
-            else:
-                cz, cr = dz, dr
-            sloped = "obstacle" if math.atan2(cz, cr) - slope > local else "ground"
-            if ri > 0 and zi / ri > tan_global:
-                now = "obstacle"
-            elif last == "obstacle" and abs(zi - mean(obstacle, 1)) >= split_height:
-                now = sloped
-                if now == "ground":
-                    ground, obstacle = [0.0, 0.0, 0], [0.0, 0.0, 0]
-            elif close and abs(dz) < split_height:
-                now = last if last in ("ground", "obstacle") else "follow"
-            else:
-                now = sloped
-                if now == "ground":
-                    ground, obstacle = [0.0, 0.0, 0], [0.0, 0.0, 0]
-            if now == "ground":
-                gr, gz = ri, zi
-                ground = [ground[0] + ri, ground[1] + zi, ground[2] + 1]
-                slope = math.atan2(mean(ground, 1), mean(ground, 0))
-            elif now == "obstacle":
-                obstacle = [obstacle[0] + ri, obstacle[1] + zi, obstacle[2] + 1]
-            last, px, pz, pr = now, xi, zi, ri
-            out.append(now)
-        return out
-
-    return _fold(with_rays(points, divider, swapped=True), run, "label")
+    label stays `follow`. Distances are in space; centroids without points are 0."""
+    steepest, local, angle = math.tan(math.radians(global_slope)), math.radians(local_slope), math.radians(divider)
+    FOLLOW, GROUND, OBSTACLE = 0, 1, 2
+
+    def start(n):
+        s = {k: np.zeros(n) for k in ("px", "py", "pz", "gr", "gz", "slope", "sum_r", "sum_z", "n_ground", "sum_o", "n_obstacle")}
+        return s | {"last": np.full(n, FOLLOW)}
+
+    def step(i, s, r, x, y, z):
+        if not i:
+            s["px"][:] = s["gr"][:] = np.where(virtual_ground & (x > wheel_base), wheel_base, 0.0)
+        apart = np.sqrt((x - s["px"]) ** 2 + (y - s["py"]) ** 2 + (z - s["pz"]) ** 2)
+        close = apart < r * angle + tolerance
+        n = np.maximum(s["n_ground"], 1)
+        rise, run = np.where(close, z - s["sum_z"] / n, z - s["gz"]), np.where(close, r - s["sum_r"] / n, r - s["gr"])
+        sloped = np.where(np.arctan2(rise, run) - s["slope"] > local, OBSTACLE, GROUND)
+        steep = z > steepest * r
+        parted = (s["last"] == OBSTACLE) & (np.abs(z - s["sum_o"] / np.maximum(s["n_obstacle"], 1)) >= split_height)
+        along = close & (np.abs(z - s["gz"]) < split_height)
+        now = np.select([steep, parted, along], [np.full(len(r), OBSTACLE), sloped, s["last"]], sloped)
+        anew = ~steep & (parted | ~along) & (sloped == GROUND)
+        for name in ("sum_r", "sum_z", "n_ground", "sum_o", "n_obstacle"):
+            s[name][anew] = 0.0
+        ground, obstacle = now == GROUND, now == OBSTACLE
+        for name, value in (("sum_r", r), ("sum_z", z), ("n_ground", np.ones(len(r)))):
+            s[name][ground] += value[ground]
+        for name, value in (("sum_o", z), ("n_obstacle", np.ones(len(r)))):
+            s[name][obstacle] += value[obstacle]
+        s["gr"][ground], s["gz"][ground] = r[ground], z[ground]
+        s["slope"][ground] = np.arctan2(s["sum_z"][ground] / s["n_ground"][ground], s["sum_r"][ground] / s["n_ground"][ground])
+        s["px"][:], s["py"][:], s["pz"][:], s["last"][:] = x, y, z, now
+        return now.astype(np.int8)
+
+    return _fold(with_rays(points, divider, swapped=True), start, step, ["follow", "ground", "obstacle"])
 
 
 def split(points: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -109,17 +109,17 @@ def neighbours(points: DataFrame, tolerance: float, cell: float | None = None) -
 
 
 def points_in_detections(pixels: DataFrame, dets: DataFrame) -> DataFrame:
-    """Pixels inside detection boxes; bounds are widened to whole pixels and belong
-    to the box. Detections are a frame's, so the smaller side of a range join."""
+    """Pixels inside the detection boxes of their frame; bounds are widened to whole
+    pixels and belong to the box."""
     d = dets.select(
-        "det_idx", F.floor(c("cx") - c("w") / 2).cast("int").alias("u0"), F.ceil(c("cx") + c("w") / 2).cast("int").alias("u1"),
+        "frame_id", "det_idx", F.floor(c("cx") - c("w") / 2).cast("int").alias("u0"), F.ceil(c("cx") + c("w") / 2).cast("int").alias("u1"),
         F.floor(c("cy") - c("h") / 2).cast("int").alias("v0"), F.ceil(c("cy") + c("h") / 2).cast("int").alias("v1"),
     )
     # Tiles of the image turn the range join into an equi-join; a detection covers few.
     tile = 64
     tiles = d.withColumn("tu", F.explode(F.sequence(F.floor(F.col("u0") / tile), F.floor(F.col("u1") / tile)))).withColumn("tv", F.explode(F.sequence(F.floor(F.col("v0") / tile), F.floor(F.col("v1") / tile))))
     p = pixels.withColumns({"tu": F.floor(c("u") / tile), "tv": F.floor(c("v") / tile)})
-    met = p.join(tiles, ["tu", "tv"]).filter(c("u").between(F.col("u0"), F.col("u1")) & c("v").between(F.col("v0"), F.col("v1")))
+    met = p.join(tiles, ["frame_id", "tu", "tv"]).filter(c("u").between(F.col("u0"), F.col("u1")) & c("v").between(F.col("v0"), F.col("v1")))
     return met.select(*pixels.columns, "det_idx")
 
 

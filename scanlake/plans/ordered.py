@@ -184,7 +184,7 @@ def j07(v):
     return J.neighbours(v.pts_emb(), 0.7).withColumn("dist", out4("dist"))
 
 
-@query("j09_points_in_detections", f"""SELECT point_idx, det_idx FROM ({PIXELS}) p JOIN dets d ON u BETWEEN floor(cx - w / 2) AND ceil(cx + w / 2) AND v BETWEEN floor(cy - h / 2) AND ceil(cy + h / 2)""")
+@query("j09_points_in_detections", f"""SELECT point_idx, det_idx FROM ({PIXELS}) p JOIN dets d ON p.frame_id = d.frame_id AND u BETWEEN floor(cx - w / 2) AND ceil(cx + w / 2) AND v BETWEEN floor(cy - h / 2) AND ceil(cy + h / 2)""")
 def j09(v):
     return J.points_in_detections(P.pinhole(v.pts_emb(), CAMERA), v.dets()).select("point_idx", "det_idx")
 

@@ -53,20 +53,36 @@ def g01(v):
     return G.ray_filter(v.pts_emb().withColumn("z", c("z") / 4), divider=5.0)
 
 
+_FOOT = (-3.0, 5.0, -2.0, 2.0)
+
+
+@query("g01_ray_ground_footprint", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY frame_id, ray ORDER BY radius, point_idx) AS n,
+  least(CASE WHEN x > 0 THEN {_FOOT[1]} / x WHEN x < 0 THEN {_FOOT[0]} / x END, CASE WHEN y > 0 THEN {_FOOT[3]} / y WHEN y < 0 THEN {_FOOT[2]} / y END) AS t
+  FROM ({_RAYS.format(t='atan2(y, x)', d='5.0', source='(SELECT frame_id, point_idx, x, y, z / 4 AS z FROM pts_emb)')})),
+f AS (SELECT frame_id, ray, n, point_idx, CASE WHEN t <= 1 THEN radius ELSE 0 END AS near, CASE WHEN t <= 1 THEN z ELSE 0 END AS height, t <= 1 AND {_g01_step('(p.t * p.radius)', '0.0', 'false', _T['i'])} AS g FROM p WHERE n = 1
+ UNION ALL SELECT p.frame_id, p.ray, p.n, p.point_idx, p.radius, p.z, {_g01_step('f.near', 'f.height', 'f.g', _T['l'])} FROM f JOIN p ON p.frame_id = f.frame_id AND p.ray = f.ray AND p.n = f.n + 1)
+SELECT frame_id, point_idx, CASE WHEN g THEN 'ground' ELSE 'obstacle' END AS label FROM f""", recursive=True)
+def g01_footprint(v):
+    return G.ray_filter(v.pts_emb().withColumn("z", c("z") / 4), divider=5.0, footprint=_FOOT)
+
+
 _SCAN = {"tg": math.tan(math.radians(10.0)), "local": math.radians(13.0), "angle": math.radians(2.0), "tol": 0.40, "split": 0.50, "base": 2.79}
 
 
 @query("g02_scan_ground", """WITH q AS (SELECT *, CASE WHEN atan2(x, y) < 0 THEN atan2(x, y) + 2 * pi() ELSE atan2(x, y) END AS th, sqrt(x * x + y * y) AS r FROM (SELECT frame_id, point_idx, x, y, z / 4 AS z FROM pts_li)),
 p AS (SELECT *, row_number() OVER (PARTITION BY frame_id, ray ORDER BY r, point_idx) AS n FROM (SELECT *, CAST(floor(th / radians(2.0)) AS INT) AS ray FROM q)),
-f AS (SELECT frame_id, ray, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS point_idx, CASE WHEN x > {base} THEN {base} ELSE 0.0 END::DOUBLE AS pr, 0.0::DOUBLE AS pz, CASE WHEN x > {base} THEN {base} ELSE 0.0 END::DOUBLE AS gr, 0.0::DOUBLE AS gz, 0.0::DOUBLE AS slope,
+f AS (SELECT frame_id, ray, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS point_idx, CASE WHEN x > {base} THEN {base} ELSE 0.0 END::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz,
+  CASE WHEN x > {base} THEN {base} ELSE 0.0 END::DOUBLE AS gr, 0.0::DOUBLE AS gz, 0.0::DOUBLE AS slope,
   0.0::DOUBLE AS sgr, 0.0::DOUBLE AS sgz, 0.0::DOUBLE AS sgn, 0.0::DOUBLE AS soz, 0.0::DOUBLE AS son, 'init' AS last FROM p WHERE n = 1
- UNION ALL SELECT frame_id, ray, n, point_idx, r, z, CASE WHEN g = 'ground' THEN r ELSE gr END, CASE WHEN g = 'ground' THEN z ELSE gz END, CASE WHEN g = 'ground' THEN atan2((bz + z) / (bn + 1), (br + r) / (bn + 1)) ELSE slope END,
-  br + CASE WHEN g = 'ground' THEN r ELSE 0 END, bz + CASE WHEN g = 'ground' THEN z ELSE 0 END, bn + CASE WHEN g = 'ground' THEN 1 ELSE 0 END, oz + CASE WHEN g = 'obstacle' THEN z ELSE 0 END, o_n + CASE WHEN g = 'obstacle' THEN 1 ELSE 0 END, g FROM (
+ UNION ALL SELECT frame_id, ray, n, point_idx, x, y, z, CASE WHEN g = 'ground' THEN r ELSE gr END, CASE WHEN g = 'ground' THEN z ELSE gz END, CASE WHEN g = 'ground' THEN atan2((bz + z) / (bn + 1), (br + r) / (bn + 1)) ELSE slope END,
+  br + CASE WHEN g = 'ground' THEN r ELSE 0 END, bz + CASE WHEN g = 'ground' THEN z ELSE 0 END, bn + CASE WHEN g = 'ground' THEN 1 ELSE 0 END,
+  oz + CASE WHEN g = 'obstacle' THEN z ELSE 0 END, o_n + CASE WHEN g = 'obstacle' THEN 1 ELSE 0 END, g FROM (
   SELECT *, CASE WHEN fresh THEN 0 ELSE sgr END AS br, CASE WHEN fresh THEN 0 ELSE sgz END AS bz, CASE WHEN fresh THEN 0 ELSE sgn END AS bn, CASE WHEN fresh THEN 0 ELSE soz END AS oz, CASE WHEN fresh THEN 0 ELSE son END AS o_n FROM (
   SELECT *, CASE WHEN way = 1 THEN 'obstacle' WHEN way = 3 THEN CASE WHEN last IN ('ground', 'obstacle') THEN last ELSE 'follow' END ELSE sloped END AS g, way IN (2, 4) AND sloped = 'ground' AS fresh FROM (
-  SELECT *, CASE WHEN r > 0 AND z / r > {tg} THEN 1 WHEN last = 'obstacle' AND abs(z - CASE WHEN son > 0 THEN soz / son ELSE 0 END) >= {split} THEN 2 WHEN close AND abs(z - gz) < {split} THEN 3 ELSE 4 END AS way,
-   CASE WHEN atan2(CASE WHEN close AND sgn > 0 THEN z - sgz / sgn ELSE z - gz END, CASE WHEN close AND sgn > 0 THEN r - sgr / sgn ELSE r - gr END) - slope > {local} THEN 'obstacle' ELSE 'ground' END AS sloped FROM (
-  SELECT p.frame_id, p.ray, p.n, p.point_idx, p.r, p.z, f.pr, f.pz, f.gr, f.gz, f.slope, f.sgr, f.sgz, f.sgn, f.soz, f.son, f.last, sqrt((p.r - f.pr) * (p.r - f.pr) + (p.z - f.pz) * (p.z - f.pz)) < p.r * {angle} + {tol} AS close
+  SELECT *, CASE WHEN z > {tg} * r THEN 1 WHEN last = 'obstacle' AND abs(z - CASE WHEN son > 0 THEN soz / son ELSE 0 END) >= {split} THEN 2 WHEN close AND abs(z - gz) < {split} THEN 3 ELSE 4 END AS way,
+   CASE WHEN atan2(z - CASE WHEN NOT close THEN gz WHEN sgn > 0 THEN sgz / sgn ELSE 0 END, r - CASE WHEN NOT close THEN gr WHEN sgn > 0 THEN sgr / sgn ELSE 0 END) - slope > {local} THEN 'obstacle' ELSE 'ground' END AS sloped FROM (
+  SELECT p.frame_id, p.ray, p.n, p.point_idx, p.x, p.y, p.r, p.z, f.gr, f.gz, f.slope, f.sgr, f.sgz, f.sgn, f.soz, f.son, f.last,
+   sqrt((p.x - f.px) * (p.x - f.px) + (p.y - f.py) * (p.y - f.py) + (p.z - f.pz) * (p.z - f.pz)) < p.r * {angle} + {tol} AS close
   FROM f JOIN p ON p.frame_id = f.frame_id AND p.ray = f.ray AND p.n = f.n + 1)))))
 SELECT frame_id, point_idx, last AS label FROM f WHERE n > 0""".format(**_SCAN), recursive=True)
 def g02(v):
@@ -177,7 +193,7 @@ def c13(v):
 
 
 _VOTES = f"""v0 AS (SELECT frame_id, point_idx, CAST(point_idx % 12 AS INT) AS cluster_id, u, v FROM ({PIXELS})),
-votes AS (SELECT frame_id, det_idx, cluster_id, count(*) AS votes FROM v0 JOIN dets ON u BETWEEN floor(cx - w / 2) AND ceil(cx + w / 2) AND v BETWEEN floor(cy - h / 2) AND ceil(cy + h / 2) GROUP BY ALL),
+votes AS (SELECT v0.frame_id, det_idx, cluster_id, count(*) AS votes FROM v0 JOIN dets ON v0.frame_id = dets.frame_id AND u BETWEEN floor(cx - w / 2) AND ceil(cx + w / 2) AND v BETWEEN floor(cy - h / 2) AND ceil(cy + h / 2) GROUP BY ALL),
 totals AS (SELECT frame_id, cluster_id, count(*) AS total FROM v0 GROUP BY ALL)"""
 
 

@@ -72,7 +72,7 @@ class Views:
         k = F.col("s_suppkey")
         return self.table("supplier").select(
             k.alias("det_idx"), (k * 37 % 640).cast("double").alias("cx"), (k * 53 % 480).cast("double").alias("cy"), (40 + k % 80).cast("double").alias("w"), (30 + k % 60).cast("double").alias("h"),
-            F.concat(F.lit("class_"), F.col("s_nationkey") % 5).alias("class_id"), (k % 100 / 100.0).alias("score"),
+            F.concat(F.lit("class_"), F.col("s_nationkey") % 5).alias("class_id"), (k % 100 / 100.0).alias("score"), (k % 10).cast("int").alias("frame_id"),
         )
 
     def calib(self) -> DataFrame:
@@ -106,7 +106,7 @@ SQL = {
     "imu_ev": f"SELECT {_EV} AS t_ns, (event_id % 21 - 10) / 100.0::DOUBLE AS wz FROM events WHERE event_type = 'purchase'",
     "stream_ev": f"SELECT user_id AS sensor, event_id, {_EV} AS t_ns, value, props, event_type FROM events",
     "dets": """SELECT s_suppkey AS det_idx, CAST(s_suppkey * 37 % 640 AS DOUBLE) AS cx, CAST(s_suppkey * 53 % 480 AS DOUBLE) AS cy, CAST(40 + s_suppkey % 80 AS DOUBLE) AS w,
-  CAST(30 + s_suppkey % 60 AS DOUBLE) AS h, 'class_' || (s_nationkey % 5) AS class_id, (s_suppkey % 100) / 100.0::DOUBLE AS score FROM supplier""",
+  CAST(30 + s_suppkey % 60 AS DOUBLE) AS h, 'class_' || (s_nationkey % 5) AS class_id, (s_suppkey % 100) / 100.0::DOUBLE AS score, CAST(s_suppkey % 10 AS INT) AS frame_id FROM supplier""",
     "calib": _values(CALIB, "channel, elev_deg, azim_off_deg"),
     "tf": _values(TF, "source, target, m11, m12, m13, m21, m22, m23, m31, m32, m33, tx, ty, tz"),
     "boxes": _values(BOXES, "box_id, min_x, max_x, min_y, max_y, min_z, max_z"),

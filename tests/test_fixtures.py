@@ -2,13 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scanlake.functions import binary as B
 from scanlake.functions import geometry as G
 from scanlake.operators import aggregates, clouds, clustering, decode, ground, imaging, joins, motion, ordered, radar
-from scanlake.operators.grid_ground import Grid, GridParams, grid_filter, pseudo_atan2, pseudo_tan
+from scanlake.operators.grid_ground import Grid, GridParams, grid_filter, pseudo_angle, pseudo_tan
 from scanlake.streaming import scans
 
 
@@ -203,11 +204,118 @@ def test_ransac_finds_the_floor_and_repeats(spark):
     assert a == b == wall
 
 
-def test_pseudo_functions():
+def test_a_ray_starts_where_it_leaves_the_footprint(spark):
+    rows = [(0.5, 0.0, 0.0), (2.0, 0.0, 0.05), (-0.004, 1.1, 0.0)]
+    label = lambda **k: [r.label for r in ground.ray_filter(points(spark, rows), divider=5.0, **k).orderBy("point_idx").collect()]
+    # The first point lies inside and is passed over; the last is 0.1 from the border, too near to judge.
+    assert label(footprint=(-1.0, 1.0, -1.0, 1.0)) == ["obstacle", "ground", "obstacle"]
+    assert label() == ["ground", "ground", "ground"]
+
+
+def test_virtual_ground_is_measured_in_space(spark):
+    # 10 m beside the virtual origin: far, though its radius is only 7.65 m more.
+    assert [r.label for r in ground.scan_filter(points(spark, [(3.0, 10.0, 0.3)]), tolerance=9.0).collect()] == ["ground"]
+    assert [r.label for r in ground.scan_filter(points(spark, [(3.0, 10.0, 0.3)]), tolerance=10.5).collect()] == ["follow"]
+
+
+def test_pseudo_functions(spark):
     assert pseudo_tan(0.0) == 0.0 and math.isclose(pseudo_tan(math.pi / 4), 1.0)
-    assert [round(float(pseudo_atan2(*v)), 6) for v in ((0, 1), (1, 1), (1, 0), (0, -1), (-1, 1))] == [round(x, 6) for x in (0, math.pi / 4, math.pi / 2, math.pi, 7 * math.pi / 4)]
+    at = [(1.0, 0.0, 0), (1.0, 1.0, 1), (0.0, 1.0, 2), (-1.0, 0.0, 4), (1.0, -1.0, 7), (-1.0, 1.0, 3), (-1.0, -1.0, 5), (0.0, -1.0, -2), (0.0, 0.0, 0), (2.0, 1.0, 0.5), (-1.0, 2.0, 2.5), (1.0, -2.0, 6.5)]
+    got = spark.createDataFrame([(x, y, float(e)) for x, y, e in at], "x double, y double, eighths double").select(pseudo_angle("x", "y").alias("a"), "eighths").collect()
+    assert all(math.isclose(r.a, r.eighths * math.pi / 4, abs_tol=1e-12) for r in got)
     g = Grid(GridParams(step=0.5, azimuth_deg=3.0))
-    assert all(b < i for i, b in enumerate(g.before))
+    assert all(b < i or b == g.none for i, b in enumerate(g.before)) and all(n == 1 or not 120 % n for n in g.count)
+
+
+def plain_grid(g, rows):
+    """Labels by cell and the survey's table, cell by cell and by recursion."""
+    p, inside, out, known = g.p, {}, {}, {}
+    tg, tl, lift = (math.tan(math.radians(a)) for a in (p.global_slope_deg, p.local_slope_deg, 5.0))
+    for r in rows:
+        inside.setdefault(r.cell, []).append(r)
+    inside.pop(-1, None)
+
+    def root_of(k):
+        k = g.before[k]
+        while k != g.none and k not in inside:
+            k = g.before[k]
+        return None if k == g.none else int(k)
+
+    def grounds(k, n):
+        found = []
+        while k is not None and len(found) < n:
+            if cell(k)["ground"]:
+                found.append(cell(k))
+            k = root_of(k)
+        return found
+
+    def judge(e, parent, line, mode):
+        dz, dr = e.z - parent["z"], e.radius - parent["r"]
+        if dz > p.z_max:
+            return "unknown"
+        if e.z > tg * e.radius:
+            return "obstacle"
+        if mode == "continuous":
+            a, b = 0.0, 0.0
+            if len(line) == 1:
+                a = line[0]["z"] / line[0]["r"]
+            elif line:
+                n, sr, sz = len(line), sum(q["r"] for q in line), sum(q["z"] for q in line)
+                a = max(-tg, min(tg, (n * sum(q["r"] * q["z"] for q in line) - sr * sz) / (n * sum(q["r"] ** 2 for q in line) - sr * sr)))
+                b = (sz - a * sr) / n
+            err, band = e.z - (a * e.radius + b), p.height + lift * dr
+            return "ground" if abs(dz) < tl * dr or abs(err) <= band else "obstacle" if err > band else "unknown"
+        if mode == "discontinuous":
+            return "ground" if abs(dz) < tl * dr or abs(dz) < p.height or abs(e.z - parent["top"]) < p.height else "obstacle" if dz >= tl * dr else "unknown"
+        return "ground" if abs(dz) < tg * dr else "obstacle" if dz >= tg * dr else "unknown"
+
+    def cell(k):
+        if k in known:
+            return known[k]
+        ring, root, points_ = int(g.ring_of[k]), root_of(k), inside[k]
+        parent = cell(root) if root is not None else None
+        if parent is None or not parent["started"]:
+            for e in points_:
+                out[e.point_idx] = "obstacle" if e.z >= tg * e.radius and e.z > p.height else "ground" if abs(e.z) < min(tg * e.radius, p.height) else "unknown"
+            parent = None
+        else:
+            line = grounds(root, p.ancestors)
+            oldest = (line[-1]["ring"] if line else parent["ring"]) + len(line)
+            gap = g.middle[ring] - g.middle[parent["ring"]]
+            mode = "break" if gap >= p.continual * g.size[ring] else "continuous" if ring - oldest < p.continual else "discontinuous"
+            for e in points_:
+                out[e.point_idx] = judge(e, parent, line, mode)
+            low = [e.z for e in points_ if out[e.point_idx] == "ground"]
+            for e in points_:
+                if low and parent["r"] > p.switch_grid_radius and out[e.point_idx] == "ground" and e.z >= min(low) + p.height:
+                    out[e.point_idx] = "obstacle"
+        kept = [e for e in points_ if out[e.point_idx] == "ground"]
+        me = {"ring": ring, "ground": bool(kept), "started": parent is not None or bool(kept), "r": 0.0, "z": 0.0, "top": 0.0}
+        if kept:
+            me |= {"r": sum(e.radius for e in kept) / len(kept), "z": sum(e.z for e in kept) / len(kept), "top": max(e.z for e in kept)}
+        elif parent:
+            me |= {n: parent[n] for n in ("r", "z", "top")}
+        known[k] = me
+        return me
+
+    for k in sorted(inside):
+        cell(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_grid_filter_equals_the_plain_rules(spark, seed):
+    rng = np.random.default_rng(seed)
+    radius, angle = rng.uniform(0, 60, 4000), rng.uniform(0, 2 * math.pi, 4000)
+    angle[:2000] = rng.choice([0.1, 0.7, 2.0, 4.0], 2000)  # dense rays beside sparse ground
+    z = rng.normal(0, 0.05, 4000) + 0.05 * radius * rng.choice([0, 0, 1], 4000) + rng.choice([0, 0, 0, 0.3, 1.0, 7.0], 4000)
+    rows = [*zip((radius * np.cos(angle)).tolist(), (radius * np.sin(angle)).tolist(), z.tolist()), (300.0, 0.0, 0.0), (0.0, -3.0, 0.0)]
+    p, params = points(spark, rows), GridParams(step=0.5, azimuth_deg=3.0)
+    g = Grid(params)
+    want = plain_grid(g, g.cells(p).collect())
+    got = {r.point_idx: r.label for r in grid_filter(p, params).collect()}
+    assert len(got) == len(rows) and {k: want.get(k, "unknown") for k in got} == got
+    assert min(sum(v == k for v in got.values()) for k in ("ground", "obstacle")) > 300
 
 
 def test_greedy_merge_restarts(spark):
