@@ -9,7 +9,8 @@ mask is the prefix sum of +1 where an assistant text begins and -1 where it ends
 
 Defined cases: null text or role: empty. Turns are ordered by turn, then role and
 text (nulls first); rows that repeat are turns of their own. A conversation with
-a null id is one conversation. An empty table gives no rows.
+a null id is one conversation. Long texts are encoded whole. Other columns,
+whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> Data
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
 
     def encode(batches):
-        encoder = Encoder.here(path)
+        encoder = Encoder.here(path, literal=True)
         for b in batches:
             texts = [[x or "" for x in b.column(k).to_pylist()] for k in (2, 3)]
             ids, loss, begin = assemble(encoder, *texts)

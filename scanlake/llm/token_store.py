@@ -12,8 +12,18 @@ ids and end offsets. Shards are rows of a Parquet table in the shared folder,
 `shard` ascending with doc_id; Parquet is only the container, so the files live
 wherever Spark can write.
 
-Defined cases: a null text is empty and holds the end id only. Repeated rows are
-stored one after another. Null doc_ids come first. An empty table makes no shard.
+Documents are read back as the library would read any span: the span's first and
+last position go down the levels by rank, and only chunks between them are touched.
+
+Ids are the library's own for the whole text, special tokens in it included
+(`literal` encodes their strings as any text; chat formatting needs that).
+
+Defined cases: a null text is empty and holds the end id only. Null doc_ids come
+first. Rows that repeat a doc_id follow one another by a hash of their text, then by
+text, so the order never changes, and a doc_id that a third of the rows share is
+split among tasks. Long texts are encoded whole; one of more than SHARD_IDS ids is a
+shard of its own. Other columns, whatever their names, are not read. An empty table
+makes no shard.
 """
 
 from __future__ import annotations
@@ -39,6 +49,8 @@ SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
 MEMO = 600_000
 BLOCK = 512
+#: Bytes of text of a range of documents.
+PART_BYTES = 32 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -107,26 +119,29 @@ class Encoder:
     """Whole texts to ids with the tokenizers library. A byte-level BPE works on
     the pieces that its splitting pattern makes, each alone; pieces recur, so each is
     encoded once and known again by a 64-bit hash. Texts for which the splitting
-    below might differ from the library's go to the library whole."""
+    below might differ from the library's, or that hold a special token's string, go
+    to the library whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = MEMO, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.most = MEMO
+        if literal:
+            self.library.encode_special_tokens = True
+        self.special = [] if literal else [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.most = remember
         self.forget()
 
     @classmethod
-    def here(cls, path: str, remember: int = MEMO) -> Encoder:
-        """The encoder of this process: a worker that runs several tasks goes on
-        with what it remembers."""
+    def here(cls, path: str, remember: int = MEMO, literal: bool = False) -> Encoder:
+        """The encoder of this process and these options: a worker that runs several
+        tasks goes on with what it remembers."""
         kept = sys.modules.setdefault("_scanlake_encoders", types.ModuleType("_scanlake_encoders")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        kept[path].most = remember
-        return kept[path]
+        key = path, remember, literal
+        if key not in kept:
+            kept[key] = cls(*key)
+        return kept[key]
 
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
@@ -166,9 +181,14 @@ class Encoder:
         data, offsets = text_bytes(column)
         start, odd = split_pieces(data, offsets)
         out = self._pieces(data, offsets, start)
+        raw = data.tobytes() if odd.any() or self.special else b""
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
         if odd.any():
             rows = np.flatnonzero(odd).tolist()
-            raw = data.tobytes()
             for i, ids in zip(rows, self.whole([raw[offsets[i] : offsets[i + 1]].decode() for i in rows])):
                 out[i] = ids
         return out
@@ -231,7 +251,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, bits: int
 
 class Shard:
     """A shard opened for reading: shard[i] is an id without decoding others,
-    ids() is all of them, documents() the ids of each document."""
+    span(a, z) the ids from a to z - 1, documents() the ids of each document."""
 
     def __init__(self, blob: bytes):
         magic, self.bits, n_levels, n_docs, self.n = struct.unpack_from("<4sBBIQ", blob)
@@ -257,43 +277,50 @@ class Shard:
     def __len__(self) -> int:
         return self.n
 
+    def _rank(self, k: int, i: int) -> int:
+        """How many of the first i chunks of level k go on at the next."""
+        chunks, bitmap, directory = self.levels[k]
+        block = min(i // BLOCK, len(directory) - 1)
+        inside = np.unpackbits(bitmap[block * BLOCK // 8 : -(-i // 8)], bitorder="little", count=i - block * BLOCK)
+        return int(directory[block]) + int(np.count_nonzero(inside))
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, directory) in enumerate(self.levels):
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (k * self.bits)
             if bitmap is None or not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            inside = np.unpackbits(bitmap[block * BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK]
-            i = int(directory[block]) + int(inside.sum())
+            i = self._rank(k, i)
         return value
 
-    def ids(self) -> np.ndarray:
-        value = None
-        for k in range(len(self.levels) - 1, -1, -1):
-            chunks, bitmap, _ = self.levels[k]
-            level = chunks.astype(np.uint32)
-            if value is not None:
-                on = np.unpackbits(bitmap, bitorder="little", count=len(chunks)).astype(bool)
-                level[on] |= value << np.uint32(self.bits)
-            value = level
-        return value
+    def span(self, a: int, z: int, k: int = 0) -> np.ndarray:
+        """The ids a to z - 1: ranks lead its two ends from level to level."""
+        chunks, bitmap, _ = self.levels[k]
+        out = chunks[a:z].astype(np.uint32)
+        if bitmap is not None and z > a:
+            first = a >> 3 << 3
+            on = np.flatnonzero(np.unpackbits(bitmap[a >> 3 : -(-z // 8)], bitorder="little", count=z - first)[a - first :])
+            if len(on):
+                low = self._rank(k, a)
+                out[on] |= self.span(low, low + len(on), k + 1) << np.uint32(self.bits)
+        return out
 
     def documents(self):
-        ids, begin = self.ids(), 0
-        for doc, end in zip(self.doc_ids, self.ends):
-            yield doc, ids[begin : int(end)]
-            begin = int(end)
+        begin = 0
+        for doc, end in zip(self.doc_ids, self.ends.tolist()):
+            yield doc, self.span(begin, end)
+            begin = end
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, shard_ids: int = SHARD_IDS, remember: int = MEMO) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, shard_ids: int = SHARD_IDS, remember: int = MEMO, batch: str = "4m") -> None:
     """Write the shards: documents by range of doc_id, ascending, so files follow
     one another by `part`, and shards in a file by `shard`. Texts are dealt out
-    first and encoded where they are packed, so each is encoded once."""
+    first and encoded where they are packed, so each is encoded once. `remember` and
+    `batch` bound what a worker holds; neither changes a result."""
     spark = docs.sparkSession
-    small_batches(spark, 500, "4m" if remember >= MEMO else "2m")  # both bound what a worker holds
+    small_batches(spark, 500, batch)
     vocabulary, tail = tokenizer or tokenizer_path(), np.array([end_id], dtype=np.uint32)
 
     def shards(batches):
@@ -318,8 +345,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         if docs:
             yield out()
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ranged = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     ranged.withColumn("part", F.spark_partition_id()).mapInArrow(trimmed(shards), "part int, shard int, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(path)
 
 
@@ -350,11 +380,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(at, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, remember: int = MEMO) -> DataFrame:
+def store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, bits: int = 8, remember: int = MEMO, batch: str = "4m") -> DataFrame:
     """Encode, write to `path` (a new shared folder if none) and read back."""
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    write_store(docs, path, tokenizer, end_id, bits, remember=remember)
+    write_store(docs, path, tokenizer, end_id, bits, remember=remember, batch=batch)
     return read_store(spark, path)
 
 

@@ -59,5 +59,5 @@ def test_empty_table_and_other_columns(spark):
 def test_assemble_bounds(texts):
     from scanlake.llm.token_store import Encoder, tokenizer_path
 
-    ids, loss, begin = chat.assemble(Encoder.here(tokenizer_path()), ["assistant"] * len(texts), texts)
-    assert len(ids) == len(loss) == begin[-1] and loss.sum() == len(ids) - 3 * len(texts) - sum(1 for _ in texts) * (len(Encoder.here(tokenizer_path())(["assistant"])[0]))
+    ids, loss, begin = chat.assemble(Encoder.here(tokenizer_path(), literal=True), ["assistant"] * len(texts), texts)
+    assert len(ids) == len(loss) == begin[-1] and loss.sum() == len(ids) - 3 * len(texts) - sum(1 for _ in texts) * (len(Encoder.here(tokenizer_path(), literal=True)(["assistant"])[0]))

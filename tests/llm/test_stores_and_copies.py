@@ -14,15 +14,26 @@ STRANGE = ["", None, " ", "a  b", "\n\n x", "it's we'll 'sfoo é×é", "日本 
 
 
 def plain_ids(texts):
-    enc = token_store.Encoder.here(token_store.tokenizer_path())
-    return enc.whole([t or "" for t in texts])
+    """From the library as it comes."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_store.tokenizer_path())
+    return [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
 
 
 def test_encoder_equals_the_library():
     enc = token_store.Encoder.here(token_store.tokenizer_path())
     rng = random.Random(4)
     texts = [t or "" for t in STRANGE] + ["".join(rng.choice(" \n\tabé'stmdrevl0.!_×—") for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    assert all((a == b).all() and len(a) == len(b) for a, b in zip(enc(texts), enc.whole(texts)))
+    assert all(np.array_equal(a, b) for a, b in zip(enc(texts), plain_ids(texts)))
+
+
+def test_special_tokens_in_texts_are_the_librarys():
+    path = token_store.tokenizer_path()
+    texts = ["plain words", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y " + "w " * 50, "<|endoftext|"]
+    got = token_store.Encoder.here(path)(texts)
+    assert got[1].tolist() == [64, 50256, 65] and all(np.array_equal(a, b) for a, b in zip(got, plain_ids(texts)))
+    assert 50256 not in np.concatenate(token_store.Encoder.here(path, literal=True)(texts))
 
 
 def test_store(make):
@@ -34,6 +45,15 @@ def test_store(make):
     assert sorted((r.doc_id, r.ids_crc32, r.n_tokens) for r in got) == want
 
 
+def test_one_doc_id_with_many_texts_is_in_a_fixed_order(make):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 4, 4, 4, 9]), " ".join(rng.choices("abcdef", k=rng.randint(0, 9)))) for _ in range(300)]
+    key = lambda docs: [tuple(r) for r in token_store.store(docs).orderBy("start").collect()]
+    first = key(make(rows))
+    rng.shuffle(rows)
+    assert first == key(make(rows).repartition(5)) and [r[0] for r in first] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+
+
 def test_store_of_nothing(make):
     assert token_store.store(make([])).count() == 0
 
@@ -43,8 +63,10 @@ def test_store_of_nothing(make):
 def test_any_id_without_decoding_others(bits, n):
     ids = np.random.default_rng(n).integers(0, 1 << 17, size=n).astype(np.uint32)
     s = token_store.Shard(token_store.pack(ids, [1], np.array([n]), bits))
-    assert (s.ids() == ids).all() and len(s) == n
+    assert np.array_equal(s.span(0, n), ids) and len(s) == n
     assert all(s[i] == ids[i] for i in range(0, n, 37))
+    cuts = sorted(np.random.default_rng(1).integers(0, n + 1, size=60).tolist())
+    assert all(np.array_equal(s.span(a, z), ids[a:z]) for a, z in zip(cuts, cuts[1:]))
     with pytest.raises(IndexError):
         s[n]
 
