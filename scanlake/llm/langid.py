@@ -1,36 +1,42 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds the lexicon of its labelled text. A
-text is cut greedily into phrases, each the longest match from where the last one
-ended; the language that needs fewest phrases per byte wins. Phrases end with
-their word (the spaces around it belong to it), so a word's phrases do not depend
-on its neighbours, and each distinct word is parsed once per worker and language.
-
-The model is fitted on a bounded sample: per language the `sample_docs` labelled
-documents of smallest hash, their `lexicon` most frequent words. Every text is
-scored whole. Words beyond 256 bytes are parsed in pieces of 256.
-
-Defined cases: null or empty text, or one without a letter: `und`, score 0. Ties
-go to the first language by code point. With no labelled text every prediction is
-`und`. Rows that repeat are predicted one by one; other columns are not read.
+For each language a suffix automaton holds labelled text as it stands. A text is cut
+greedily into phrases, each the longest match from where the last one ended, across
+words and lines; the language that needs fewest phrases per byte wins. Text is UTF-8
+bytes, lower-cased, runs of white space as one space.
+
+A worker parses all texts of a batch in step. Long texts are cut into segments that
+are first parsed each for itself. A true phrase that crosses into a segment is then
+followed until it ends where the segment's own parse begins a phrase too; from there
+on both are the same. So the phrases are those of one parse of the whole text.
+
+The automata are fitted on a bounded sample of labelled rows: per language those of
+smallest hash, at most `sample_docs` and together at most `sample_bytes` (the
+shortest row alone, if none is so short). Every text is scored whole.
+
+Defined cases: null or empty text, or one without a letter: `und`, score 0. Ties go to
+the first language by code point. With no labelled text every prediction is `und`. A
+row without doc_id is a row like any other. Rows that repeat are predicted one by
+one, and are learnt once. Texts of any length, with or without spaces, are parsed
+alike. An empty table gives no rows. Other columns are handed on, but for lang_pred
+and score, which are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, small_batches, trimmed
+from scanlake.llm.common import read, small_batches, text_bytes, trimmed
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
-LEXICON = 4000
-MEMO = 80_000
-PIECE = 256
+SAMPLE_BYTES = 60_000
+#: Bytes of a segment of a text.
+SEGMENT = 1024
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -64,131 +70,163 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return nexts
 
 
-def tokens(text: str) -> list[str]:
-    return text.lower().split()
+def normal(column) -> pa.Array:
+    """Texts as they are parsed; null is empty."""
+    column = pc.fill_null(pa.array(column, pa.large_string()) if isinstance(column, list) else column.cast(pa.large_string()), "")
+    return pc.replace_substring_regex(pc.utf8_lower(column), r"\s+", " ")
 
 
-def fit(counts: dict[str, Counter], lexicon: int = LEXICON) -> dict[str, tuple[int, np.ndarray]]:
-    """Words by language to, for each language, the number of states and the
-    transitions as (state, byte, next). Words beyond a piece aren't learnt."""
+def fit(texts: dict[str, list[str]]) -> dict[str, tuple[int, np.ndarray]]:
+    """Texts by language to, for each language, the number of states and the
+    transitions as (state, byte, next)."""
     out = {}
-    for lang in sorted(counts):
-        words = sorted(((-n, w) for w, n in counts[lang].items() if len(w.encode()) <= PIECE))[:lexicon]
-        nexts = suffix_automaton(b" " + b" ".join(w.encode() for _, w in words) + b" ")
+    for lang in sorted(texts):
+        nexts = suffix_automaton("\n".join(normal(texts[lang]).to_pylist()).encode())
         out[lang] = len(nexts), np.array([(s, c, t) for s, d in enumerate(nexts) for c, t in d.items()], dtype=np.int32).reshape(-1, 3)
     return out
 
 
 class Parser:
-    """Phrase counts of words, for all languages at once."""
+    """Phrase counts of texts under each language."""
 
     def __init__(self, model: dict[str, tuple[int, np.ndarray]]):
         self.langs = list(model)
-        seen = np.unique(np.concatenate([[32], *(e[:, 1] for _, e in model.values())]))
+        seen = np.unique(np.concatenate([e[:, 1] for _, e in model.values()]))
         self.kind = np.full(256, len(seen), dtype=np.int32)
         self.kind[seen] = np.arange(len(seen))
-        self.width = len(seen) + 1
+        width = len(seen) + 1
+        # By state and kind of byte: the next state's row, times 2, plus 1 if a phrase
+        # begins at this byte. Where the state has no such step, the start's applies.
         self.tables = []
         for n, edges in model.values():
-            table = np.full(n * self.width, -1, dtype=np.int32)
-            table[edges[:, 0] * self.width + self.kind[edges[:, 1]]] = edges[:, 2]
-            self.tables.append(table)
-        self.memo: dict[str, int] = {}
-        self.costs = np.zeros((0, len(self.langs) + 1))
-
-    def phrases(self, words: list[bytes]) -> np.ndarray:
-        """A row per word: its phrases under each language, then its bytes."""
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for k in range(0, len(w), PIECE):
-                parts.append(b" " + w[k : k + PIECE] + b" ")
-                owner.append(i)
-        length = np.array([len(p) for p in parts], dtype=np.int64)
-        order = np.argsort(-length, kind="stable")
-        begin = np.cumsum(length) - length
-        data = self.kind[np.frombuffer(b"".join(parts), dtype=np.uint8)]
-        out = np.zeros((len(words), len(self.langs) + 1))
-        np.add.at(out[:, -1], np.array(owner), length - 1.0)
-        begin, length = begin[order], length[order]
-        alive = [int(np.searchsorted(-length, -k, "left")) for k in range(int(length[0]) if len(length) else 0)]
+            step = np.full((n, width), -1, dtype=np.int32)
+            step[edges[:, 0], self.kind[edges[:, 1]]] = edges[:, 2]
+            start = np.maximum(step[0], 0) * width * 2 + 1
+            table = np.where(step >= 0, step * (width * 2), start)
+            table[0] = start
+            self.tables.append(table.reshape(-1))
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row for each text: its phrases under each language."""
+        size = np.diff(offsets)
+        parts = -(-size // SEGMENT)  # segments of each text
+        text = np.repeat(np.arange(len(size)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = offsets[:-1][text] + nth * SEGMENT
+        end = np.minimum(begin + SEGMENT, offsets[1:][text])
+        kinds = np.append(self.kind[data], 0)
+        out = np.zeros((len(size), len(self.tables)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(parts), dtype=np.int32)
-            count = np.zeros(len(parts), dtype=np.int32)
-            for step, n in enumerate(alive):
-                c = data[begin[:n] + step]
-                to = table[state[:n] * self.width + c]
-                if len(lost := np.flatnonzero(to < 0)):
-                    # The phrase ends here, unless it is empty; the next begins with this byte.
-                    count[lost] += state[lost] > 0
-                    again = table[c[lost]]
-                    count[lost] += again < 0
-                    to[lost] = np.maximum(again, 0)
-                state[:n] = to
-            count += state > 0
-            np.add.at(out[:, k], np.array(owner)[order], count)
+            out[:, k] = self._count(table, kinds, text, begin, end, offsets)
         return out
 
-    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        words = [tokens(t) for t in texts]
-        memo = self.memo
-        new = {w for ws in words for w in ws if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            self.costs = self.costs[:0]
-            new = {w for ws in words for w in ws}
-        if new:
-            new = list(new)
-            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-            self.costs = np.concatenate([self.costs, self.phrases([w.encode() for w in new])])
-        for text, ws in zip(texts, words):
-            if not self.langs or not any(w.isalpha() or any(map(str.isalpha, w)) for w in ws):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = self.costs[np.fromiter(map(memo.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(0)
-            rate = total[:-1] / total[-1]
-            best = int(np.argmin(rate))
-            rest = np.delete(rate, best)
-            langs.append(self.langs[best])
-            scores.append(float(1.0 if not len(rest) else min(1.0, max(0.0, 1.0 - rate[best] / max(rest.min(), 1e-12)))))
-        return langs, scores
-
-
-def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS) -> dict[str, Counter]:
-    """The words of labelled texts by language, of at most `sample_docs` documents each."""
-    rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string"), "doc_id", F.xxhash64("doc_id", "lang").alias("h"))
-    # A language may have a third of all rows: what can't be among the smallest hashes goes before they are ranked.
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n))))
-    rows = rows.withColumn("h", F.shiftrightunsigned("h", 1)).filter(F.col("h") <= share[F.col("lang")] * float(1 << 63))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.filter(F.col("k") <= sample_docs).select("doc_id", F.col("lang").alias("own"), "h")
-    ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
-    out: dict[str, Counter] = {}
-    for r in docs.filter(F.col("doc_id").isin(ids) & learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text").toLocalIterator():
-        out.setdefault(r.lang, Counter()).update(tokens(r.text))
+    def _count(self, table, kinds, text, begin, end, offsets) -> np.ndarray:
+        starts = np.zeros(len(kinds), dtype=bool)  # where phrases of segments begin
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        length = (end - begin)[order]
+        row, at = np.zeros(len(order), dtype=np.int32), begin[order]
+        for i, n in enumerate(np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left").tolist()):
+            code = table[row[:n] + kinds[at[:n] + i]]
+            starts[at[:n] + i] = code & 1
+            row[:n] = code >> 1
+        # From the last phrase of each segment on: where it meets the next one's own, and the phrases until there.
+        upto = np.concatenate([[0], np.cumsum(starts[:-1])])
+        last = np.searchsorted(upto, upto[end], "left") - 1  # the last start before `end`
+        follow = np.flatnonzero(np.append(text[1:] == text[:-1], False))
+        meet, extra = self._follow(table, kinds, starts, last[follow], end[follow], offsets[1:][text[follow]])
+        # Along each text: a segment's own phrases from where they hold, then those until the next meeting.
+        total = np.zeros(len(offsets) - 1)
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+        total[text[first]] = upto[end[first]]
+        total[text[first]] -= upto[begin[first]]
+        many = np.flatnonzero(np.bincount(text, minlength=len(total)) > 1)
+        lane = np.full(len(text), -1)
+        lane[follow] = np.arange(len(follow))
+        for t, head in zip(many.tolist(), np.searchsorted(text, many).tolist()):
+            s, low, high = head, int(offsets[t]), int(offsets[t + 1])
+            while (j := lane[s]) >= 0:
+                total[t] += extra[j]
+                if (at := int(meet[j])) >= high:
+                    break
+                s = head + (at - low) // SEGMENT
+                total[t] += upto[end[s]] - upto[at]
+        return total
+
+    @staticmethod
+    def _follow(table, kinds, starts, last, edge, stop) -> tuple[np.ndarray, np.ndarray]:
+        """Parse on from phrase starts `last` until a phrase begins, at `edge` or after,
+        where `starts` has one too (or at `stop`, the text's end), and count those that
+        begin at `edge` or after, without that one."""
+        meet, extra = stop.copy(), np.zeros(len(last), dtype=np.int64)
+        lanes, at, row = np.arange(len(last)), last.copy(), np.zeros(len(last), dtype=np.int32)
+        while len(lanes):
+            on = at < stop[lanes]
+            lanes, at, row = lanes[on], at[on], row[on]
+            code = table[row + kinds[at]]
+            begins = ((code & 1) > 0) & (at >= edge[lanes])
+            met = begins & starts[at]
+            meet[lanes[met]] = at[met]
+            extra[lanes[begins & ~met]] += 1
+            on = ~met
+            lanes, at, row = lanes[on], at[on] + 1, code[on] >> 1
+        return meet, extra
+
+    def __call__(self, column) -> tuple[list[str], list[float]]:
+        texts = normal(column)
+        n = len(texts)
+        named = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) & bool(self.langs)
+        data, offsets = text_bytes(texts)
+        rate = self.phrases(data, offsets) / np.maximum(np.diff(offsets), 1)[:, None] if self.langs else np.zeros((n, 1))
+        best = rate.argmin(1) if n else np.zeros(0, np.int64)
+        least = rate[np.arange(n), best]
+        rest = rate.copy()
+        rest[np.arange(n), best] = np.inf
+        second = rest.min(1) if n else least
+        score = np.where(np.isinf(second), 1.0, np.clip(1.0 - least / np.maximum(second, 1e-12), 0.0, 1.0))
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), named.tolist())], np.where(named, score, 0.0).tolist()
+
+
+def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Labelled texts by language, each once: those of smallest hash, at most
+    `sample_docs` and `sample_bytes` together, or the shortest alone."""
+    rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.withColumns({"h": F.xxhash64("lang", "text"), "g": F.xxhash64("text", "lang")})
+    # A row for each text, combined in each task; each task keeps its first ones.
+    sized = rows.groupBy("lang", "h", "g").agg(F.min(F.octet_length("text")).cast("long").alias("n"))
+    order = Window.partitionBy("lang").orderBy("h", "g")
+    first = sized.filter(F.col("n") <= sample_bytes).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
+    chosen, size = {}, {}
+    for r in first.orderBy("lang", "k").collect():  # at most sample_docs a language
+        size[r.lang] = size.get(r.lang, 0) + r.n
+        if size[r.lang] <= sample_bytes:
+            chosen[r.lang, r.h, r.g] = r.k
+    for r in sized.groupBy("lang").agg(F.min(F.struct("n", "h", "g")).alias("m")).collect():  # a row a language
+        if r.lang not in size:
+            chosen[r.lang, r.m.h, r.m.g] = 0
+    out: dict[str, list[str]] = {}
+    if chosen:
+        wanted = docs.sparkSession.createDataFrame(list(chosen), "lang string, h long, g long")
+        found = rows.join(F.broadcast(wanted), ["lang", "h", "g"]).groupBy("lang", "h", "g").agg(F.min("text").alias("text"))
+        for r in sorted(found.collect(), key=lambda r: (r.lang, chosen[r.lang, r.h, r.g])):  # at most sample_bytes a language
+            out.setdefault(r.lang, []).append(r.text)
     return out
 
 
-def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, lexicon: int = LEXICON, model=None) -> DataFrame:
+def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, model=None) -> DataFrame:
     """The rows of `docs` with lang_pred and score. `learn`: a condition on the
     rows to learn from (all, if none)."""
     spark = docs.sparkSession
-    small_batches(spark, 300, "2m")
-    model = model if model is not None else fit(sample(docs, F.lit(True) if learn is None else learn, sample_docs), lexicon)
+    model = model if model is not None else fit(sample(docs, F.lit(True) if learn is None else learn, sample_docs, sample_bytes))
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*names)
-    sent = spark.sparkContext.broadcast(model)  # bounded by `lexicon` per language
+    sent = spark.sparkContext.broadcast(model)  # bounded by sample_bytes a language
     at = names.index("text")
+    small_batches(spark, 2000, "4m")
 
     def run(batches):
         parser = Parser(sent.value) if sent.value else None
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            langs, scores = parser(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            langs, scores = parser(b.column(at)) if parser else ([UNKNOWN] * b.num_rows, [0.0] * b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scanlake.llm import common as C
 from scanlake.llm import langid, lm_score, quality
 
 TEXTS = ["a b c a b d", "a b c", "", None, "z", "a  B\nc", "q " * 400, "a b c a b d"]
@@ -71,11 +72,58 @@ def test_language_without_labels_or_rows(make):
     assert langid.predict(make([])).count() == 0
 
 
-@pytest.mark.parametrize("text,word,n", [(b" abcab ", b"abc", 2), (b" ab ", b"zz", 4), (b" hello ", b"hello", 1)])
-def test_phrases(text, word, n):
-    edges = [(s, c, t) for s, d in enumerate(langid.suffix_automaton(text)) for c, t in d.items()]
-    p = langid.Parser({"x": (len(langid.suffix_automaton(text)), np.array(edges, dtype=np.int32))})
-    assert p.phrases([word])[0].tolist()[0] <= n
+def plain_phrases(texts, learnt):
+    """Greedy longest matches by substring search."""
+    import re
+
+    norm = lambda t: re.sub(r"[\t\n\f\r ]+", " ", (t or "").lower()).encode()
+    held = b"\n".join(norm(t) for t in learnt)
+    out = []
+    for t in texts:
+        t, i, n = norm(t), 0, 0
+        while i < len(t):
+            j = i + 1
+            while j <= len(t) and t[i:j] in held:
+                j += 1
+            i, n = max(i + 1, j - 1), n + 1
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 64, 4096])
+def test_phrases_equal_a_plain_greedy_parse(segment, monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = np.random.default_rng(segment)
+    learnt = {k: [words(rng, a, 30) for _ in range(4)] for k, a in (("aa", "abcde"), ("bb", "dé\u65e5\u672c"), ("cc", "zz"))}
+    texts = [words(rng, a, int(rng.integers(0, 60))) for a in ("abcde", "abcxyz", "\u65e5\u672cé", "q", "aab") for _ in range(6)]
+    texts += ["", None, " ", "x", "Abc  \n\n ab", learnt["aa"][0], learnt["aa"][0] + learnt["aa"][1], "zzzzzzzzz" * 30, "\u65e5" * 50]
+    data, offsets = C.text_bytes(langid.normal(texts))
+    got = langid.Parser(langid.fit(learnt)).phrases(data, offsets)
+    for k, lang in enumerate(sorted(learnt)):
+        assert got[:, k].tolist() == plain_phrases(texts, learnt[lang])
+
+
+def test_learning_does_not_depend_on_ids(make):
+    rng = np.random.default_rng(3)
+    rows = [(i, t, k) for ids, k, a, n in (((7,), "aa", "abc", 400), ((8, 9, None), "bb", "cde", 300), ((None,), "cc", "efg", 200)) for j in range(n) for i, t in [(ids[j % len(ids)], words(rng, a, 12))]]
+    got = langid.sample(make(rows), F.lit(True), sample_docs=50)
+    assert {k: len(v) for k, v in got.items()} == {"aa": 50, "bb": 50, "cc": 50}
+    own = {(k, t) for _, t, k in rows}
+    assert all((k, t) in own for k, v in got.items() for t in v) and got == langid.sample(make(rows[::-1]).repartition(3), F.lit(True), sample_docs=50)
+
+
+def test_sample_is_bounded_by_bytes_and_copies_count_once(make):
+    rows = [(i, "same text", "aa") for i in range(100)] + [(i, "x" * 500, "bb") for i in range(3)] + [(9, "y" * 400, "bb")]
+    got = langid.sample(make(rows), F.lit(True), sample_docs=10, sample_bytes=100)
+    assert got == {"aa": ["same text"], "bb": ["y" * 400]}
+
+
+def test_language_without_spaces(make):
+    rng = np.random.default_rng(9)
+    run = lambda a, n=900: "".join(rng.choice(list(a), n))
+    rows = [(i, run(a), k) for i in range(20) for k, a in (("ja", "\u3042\u3044\u3046\u3048\u304a"), ("th", "\u0e01\u0e02\u0e04\u0e07\u0e08"))]
+    out = langid.predict(make(rows), F.col("doc_id") % 5 != 0, sample_bytes=9_000).collect()
+    assert all(r.lang_pred == r.lang for r in out)
 
 
 def test_automaton_holds_all_substrings_and_no_others():
