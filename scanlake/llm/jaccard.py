@@ -111,7 +111,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> Dat
     documents share is a row a block. Frequencies and signatures travel packed, in
     columns by hash bucket; `shingles` (of all documents) sets the number of buckets."""
     spark = docs.sparkSession
-    bits = min(16, max(0, int(shingles >> 20).bit_length()))
+    bits = max(0, int(shingles >> 20).bit_length())
     drop = max(0, 64 - lm_score.SPARE_BITS - max(16, int(shingles).bit_length()))
     packed = materialize(lm_score.blocks(docs.filter("doc_id is not null")))
     counted = materialize(frequencies(packed, n, bits, drop))
@@ -130,11 +130,11 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> Dat
         sig, doc, edges = _least_per_key(np.concatenate(own), np.repeat(ids, [len(x) for x in own]))
         bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(sig))
-        names = bucket[cut[:-1]].tolist() + [-1 - left.column("block")[0].as_py() % 64]
+        names = bucket[cut[:-1]].tolist() + [-1 - int(mix64(np.array([left.column("block")[0].as_py()]))[0] % np.uint64(1 << max(bits, 6)))]
         keys = [pack_integers(np.diff(sig[x:z], prepend=np.uint64(0))) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 0])]
         values = [pack_integers(doc[x:z]) for x, z in zip(cut, cut[1:])] + [pack_integers(edges[:, 1])]
         trim()
-        return pa.table({"bucket": pa.array(names, pa.int32()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(values, pa.binary())})
+        return pa.table({"bucket": pa.array(names, pa.int64()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(values, pa.binary())})
 
     def tie(table):
         keys, values = table.column("keys").to_pylist(), table.column("docs").to_pylist()
@@ -146,7 +146,7 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> Dat
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
     met = packed.select("block", "ids", "texts").groupBy("block").cogroup(counted.groupBy("block"))
-    signed_rows = met.applyInArrow(sign, "bucket int, keys binary, docs binary")
+    signed_rows = met.applyInArrow(sign, "bucket long, keys binary, docs binary")
     return signed_rows.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 

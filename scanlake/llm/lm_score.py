@@ -10,13 +10,17 @@ holds, and sums the scores of each of its documents.
 
 Score of a word: for the longest n-gram ending in it (at most `order` words, inside
 its document) that the tables hold, count / count of its context, times `alpha` for
-each order given up; for a single word its count / all words. Tables hold n-grams of
-two words or more with a count of at least `min_count`; words are never pruned.
+each order given up; for a single word its count / all words. Tables hold every
+n-gram; `min_count` above 1 leaves out rarer ones of two words or more.
 Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lowered.
 
+N-grams are known by hashes of SPARE_BITS more bits than it takes to number them;
+two that share one add their counts.
+
 Defined cases: null or wordless text: 0 words, log_score 0, mean null. Rows that
-repeat count and are scored each. An empty table gives no rows. Other columns are
-not read.
+repeat count and are scored each, as do rows without doc_id. A text longer than a
+block is a block of its own. An empty table gives no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from scanlake.llm.repeats import release
 
 ORDER = 3
 ALPHA = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 BLOCK_BYTES = 5 << 20
 #: An n-gram's hash has so many bits more than the logarithm of their number: about
 #: one in 2^SPARE_BITS n-grams shares its hash with another, at any size.
@@ -91,7 +95,7 @@ def open_block(blob: bytes, n: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[8 * n :]))
 
 
-QUESTION = "bucket int, n int, block long, hashes binary, counts binary"
+QUESTION = "bucket long, n int, block long, hashes binary, counts binary"
 
 
 def question(block: int, n: int, h: np.ndarray, bits: int, drop: int) -> pa.RecordBatch:
@@ -103,7 +107,7 @@ def question(block: int, n: int, h: np.ndarray, bits: int, drop: int) -> pa.Reco
     m = len(cut) - 1
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
+            pa.array(bucket[cut[:-1]]), pa.array(np.full(m, n, np.int32)), pa.array(np.full(m, block, np.int64)),
             pa.array([_pack_sorted(h[a:z], drop) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([pack_integers(count[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()),
         ],
         ["bucket", "n", "block", "hashes", "counts"],
@@ -135,7 +139,7 @@ def answers(asked: DataFrame, drop: int) -> DataFrame:
         cut = np.cumsum([0, *map(len, hashes)])
         return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "total": pa.array([pack_integers(total[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())})
 
-    return asked.groupBy("bucket", "n").applyInArrow(count, "block long, n int, bucket int, total binary")
+    return asked.groupBy("bucket", "n").applyInArrow(count, "block long, n int, bucket long, total binary")
 
 
 def block_scores(words: np.ndarray, first: np.ndarray, totals: dict[int, np.ndarray], all_words: int, order: int, alpha: float, min_count: int, drop: int) -> np.ndarray:
@@ -163,7 +167,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     spark = docs.sparkSession
     packed = materialize(blocks(docs))
     size = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET_BYTES))))))
+    bits = max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET_BYTES)))))
     # No text has more words than bytes.
     drop = max(0, 64 - SPARE_BITS - max(16, int(size).bit_length()))
     answered = materialize(answers(questions(packed, order, bits, drop), drop))
@@ -207,8 +211,8 @@ WITH docs AS (
 ), total AS (SELECT count(*) AS n FROM places
 ), scored AS (
   SELECT at_.doc_id, CASE
-    WHEN n3.n >= 2 THEN ln(n3.n) - ln(c2.n)
-    WHEN n2.n >= 2 THEN ln(n2.n) - ln(c1.n) + (least(i, 3) - 2) * ln(0.4)
+    WHEN n3.n >= 1 THEN ln(n3.n) - ln(c2.n)
+    WHEN n2.n >= 1 THEN ln(n2.n) - ln(c1.n) + (least(i, 3) - 2) * ln(0.4)
     ELSE ln(n1.n) - ln(total.n) + (least(i, 3) - 1) * ln(0.4) END AS s
   FROM places at_ CROSS JOIN total JOIN n1 ON n1.a = at_.a
   LEFT JOIN n2 ON n2.b = at_.b AND n2.a = at_.a LEFT JOIN n1 c1 ON c1.a = at_.b

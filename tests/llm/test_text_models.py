@@ -13,7 +13,7 @@ from scanlake.llm import langid, lm_score, quality
 TEXTS = ["a b c a b d", "a b c", "", None, "z", "a  B\nc", "q " * 400, "a b c a b d"]
 
 
-def plain_scores(texts, order=3, alpha=0.4, least=2):
+def plain_scores(texts, order=3, alpha=0.4, least=1):
     words = [(t or "").lower().split() for t in texts]
     counts = Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
     total = sum(map(len, words))
@@ -40,6 +40,18 @@ def test_lm_scores(make, order, monkeypatch):
         assert (got[i].mean_log_score is None) == (n == 0)
 
 
+def test_lm_scores_of_rarer_ngrams_left_out(make):
+    got = {r.doc_id: r.log_score for r in lm_score.score(make([(i, t) for i, t in enumerate(TEXTS)]), min_count=2).collect()}
+    assert all(math.isclose(got[i], s, abs_tol=1e-6) for i, (_, s) in enumerate(plain_scores(TEXTS, least=2)))
+
+
+def test_lm_scores_of_a_text_beyond_a_block(make, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 50)
+    texts = ["a b c " * 100, "c a", "b c a " * 3]
+    got = {r.doc_id: r.log_score for r in lm_score.score(make([(i, t) for i, t in enumerate(texts)])).collect()}
+    assert all(math.isclose(got[i], s, abs_tol=1e-6) for i, (_, s) in enumerate(plain_scores(texts)))
+
+
 def test_lm_scores_of_nothing(make):
     assert lm_score.score(make([])).count() == 0
     assert [r.n_words for r in lm_score.score(make([(1, None), (1, None)])).collect()] == [0, 0]
