@@ -2,8 +2,8 @@
 
 For each language a suffix automaton holds labelled text as it stands. A text is cut
 greedily into phrases, each the longest match from where the last one ended, across
-words and lines; the language that needs fewest phrases per byte wins. Text is UTF-8
-bytes, lower-cased, runs of white space as one space.
+words and lines. A phrase costs the logarithm of the language's learnt bytes, and the
+language of least cost per byte wins. Text is UTF-8 bytes, lower-cased, runs of what is neither letter nor mark as one space.
 
 A worker parses all texts of a batch in step. Long texts are cut into segments that
 are first parsed each for itself. A true phrase that crosses into a segment is then
@@ -34,7 +34,7 @@ from scanlake.llm.common import read, small_batches, text_bytes, trimmed
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
-SAMPLE_BYTES = 60_000
+SAMPLE_BYTES = 100_000
 #: Bytes of a segment of a text.
 SEGMENT = 1024
 
@@ -73,32 +73,34 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 def normal(column) -> pa.Array:
     """Texts as they are parsed; null is empty."""
     column = pc.fill_null(pa.array(column, pa.large_string()) if isinstance(column, list) else column.cast(pa.large_string()), "")
-    return pc.replace_substring_regex(pc.utf8_lower(column), r"\s+", " ")
+    return pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{M}]+", " ")
 
 
-def fit(texts: dict[str, list[str]]) -> dict[str, tuple[int, np.ndarray]]:
-    """Texts by language to, for each language, the number of states and the
-    transitions as (state, byte, next)."""
+def fit(texts: dict[str, list[str]]) -> dict[str, tuple[int, np.ndarray, float]]:
+    """Texts by language to, for each language, the number of states, the transitions
+    as (state, byte, next) and the cost of a phrase."""
     out = {}
     for lang in sorted(texts):
-        nexts = suffix_automaton("\n".join(normal(texts[lang]).to_pylist()).encode())
-        out[lang] = len(nexts), np.array([(s, c, t) for s, d in enumerate(nexts) for c, t in d.items()], dtype=np.int32).reshape(-1, 3)
+        learnt = "\n".join(normal(texts[lang]).to_pylist()).encode()
+        nexts = suffix_automaton(learnt)
+        out[lang] = len(nexts), np.array([(s, c, t) for s, d in enumerate(nexts) for c, t in d.items()], dtype=np.int32).reshape(-1, 3), float(np.log2(len(learnt) + 2))
     return out
 
 
 class Parser:
     """Phrase counts of texts under each language."""
 
-    def __init__(self, model: dict[str, tuple[int, np.ndarray]]):
+    def __init__(self, model: dict[str, tuple[int, np.ndarray, float]]):
         self.langs = list(model)
-        seen = np.unique(np.concatenate([e[:, 1] for _, e in model.values()]))
+        self.cost = np.array([cost for _, _, cost in model.values()])
+        seen = np.unique(np.concatenate([e[:, 1] for _, e, _ in model.values()]))
         self.kind = np.full(256, len(seen), dtype=np.int32)
         self.kind[seen] = np.arange(len(seen))
         width = len(seen) + 1
         # By state and kind of byte: the next state's row, times 2, plus 1 if a phrase
         # begins at this byte. Where the state has no such step, the start's applies.
         self.tables = []
-        for n, edges in model.values():
+        for n, edges, _ in model.values():
             step = np.full((n, width), -1, dtype=np.int32)
             step[edges[:, 0], self.kind[edges[:, 1]]] = edges[:, 2]
             start = np.maximum(step[0], 0) * width * 2 + 1
@@ -176,7 +178,7 @@ class Parser:
         n = len(texts)
         named = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) & bool(self.langs)
         data, offsets = text_bytes(texts)
-        rate = self.phrases(data, offsets) / np.maximum(np.diff(offsets), 1)[:, None] if self.langs else np.zeros((n, 1))
+        rate = self.phrases(data, offsets) * self.cost / np.maximum(np.diff(offsets), 1)[:, None] if self.langs else np.zeros((n, 1))
         best = rate.argmin(1) if n else np.zeros(0, np.int64)
         least = rate[np.arange(n), best]
         rest = rate.copy()

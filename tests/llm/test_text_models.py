@@ -88,7 +88,7 @@ def plain_phrases(texts, learnt):
     """Greedy longest matches by substring search."""
     import re
 
-    norm = lambda t: re.sub(r"[\t\n\f\r ]+", " ", (t or "").lower()).encode()
+    norm = lambda t: re.sub(r"[\W\d_]+", " ", (t or "").lower()).encode()
     held = b"\n".join(norm(t) for t in learnt)
     out = []
     for t in texts:
