@@ -7,16 +7,23 @@ smallest hash); every vector is indexed. Equal vectors are one class with the
 smallest `k` + 1 ids (no answer needs more of them), so a vector that a third of
 the rows share weighs as one. A query walks the tree with a priority queue of
 bins by distance to their centre and visits leaves in that order. How many is
-calibrated: a bounded set of queries is also answered by brute force, and visits
-widen until their recall reaches `recall`. Leaves are searched in groups, and a
-group in parts of at most CHUNK classes or so, so no task holds more.
+calibrated: a bounded set of vectors that are no queries is also answered by brute
+force, and visits widen until their recall reaches `recall`.
+
+Leaves are numbered as the tree grows, so neighbouring numbers are neighbouring
+leaves. Runs of them that hold about CHUNK classes are searched as one group, and a
+query goes to the groups that hold its leaves, once each. A leaf of more classes is
+split, and so are the queries of a group beyond ASKED, so no task holds more than
+about CHUNK vectors and ASKED queries.
 
 Scores are inner products of the original vectors in double precision, summed in
 order of the components.
 
 Defined cases: a vector that is null, zero, of another length than most or that
-holds null or non-finite components takes no part. Repeated ids count once per
-row. With no vectors, no rows.
+holds null or non-finite components takes no part; nor does a row without id.
+Repeated ids count once per row. Ties go to the smaller id. Vectors of any length
+work alike. With no vectors, no rows. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -33,9 +40,9 @@ from scanlake.llm.common import materialize, read, small_batches, trimmed
 FIT_ROWS = 50_000
 BRANCH = 16
 LEAVES = 256
-#: Leaves are searched in so many groups, and a group in parts of CHUNK classes.
-GROUPS = 16
+#: Classes and queries that one search holds, or so.
 CHUNK = 16384
+ASKED = 4096
 CALIBRATION = 256
 RECALL = 0.94
 
@@ -186,10 +193,15 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
     few = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     classes = few.groupBy("v").agg(F.collect_list("vec_id").alias("ids")).withColumn("h", F.xxhash64("v"))
     m2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    sample = np.array([r.v for r in classes.select("h", "v").orderBy("h", "v").limit(fit_rows).toLocalIterator()])
+    classes = materialize(classes)
+    n = classes.count()
+    # Hashes of distinct vectors are spread evenly, so a threshold leaves about as many as wanted.
+    share = min(1.0, fit_rows / n + 4 * np.sqrt(fit_rows) / n)
+    some = sorted((r.h, r.v) for r in classes.select("h", "v").filter(F.col("h") <= F.lit(int(min(share * 2.0**64 - 2.0**63, 2.0**63 - 1025)))).toLocalIterator()) if share < 1 else sorted((r.h, r.v) for r in classes.select("h", "v").toLocalIterator())
+    sample = np.array([v for _, v in some[:fit_rows]])
     # About sqrt(rows) leaves, at least LEAVES: visits and comparisons then grow alike.
-    n_leaves = max(LEAVES, int(np.sqrt(rows.count())))
-    tree = spark.sparkContext.broadcast(Tree(_lift(sample, m2), branch, max(16, -(-len(sample) * 2 // n_leaves))))  # bounded by fit_rows
+    n_leaves = max(LEAVES, int(np.sqrt(n)))
+    tree = spark.sparkContext.broadcast(Tree(_lift(sample, m2), branch, max(4, -(-len(sample) * 2 // n_leaves))))  # bounded by fit_rows
 
     def index(batches):
         for b in batches:
@@ -197,28 +209,40 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
 
     indexed = materialize(classes.mapInArrow(trimmed(index), "v array<double>, ids array<long>, h long, leaf int"))
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    held_by = np.zeros(tree.value.leaves, dtype=np.int64)
-    for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most a row per leaf
-        held_by[r.leaf] = r.n
-    visits = _calibrate(spark, indexed, asked, tree, d, k, recall, calibration)
+    held_by, classes_in = np.zeros(tree.value.leaves, dtype=np.int64), np.zeros(tree.value.leaves, dtype=np.int64)
+    for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("m")).collect():  # at most a row per leaf
+        held_by[r.leaf], classes_in[r.leaf] = r.n, r.m
+    others = rows.filter(~queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    visits = _calibrate(spark, indexed, others if others.head(1) else asked, tree, d, k, recall, calibration)
+    # Runs of leaves; one that is too large has a group of its own.
+    group_of = np.zeros(tree.value.leaves, dtype=np.int32)
+    size = 0
+    for leaf in range(1, tree.value.leaves):
+        size = classes_in[leaf - 1] + (size if leaf > 1 and group_of[leaf - 1] == group_of[leaf - 2] else 0)
+        group_of[leaf] = group_of[leaf - 1] + (size + classes_in[leaf] > CHUNK)
+    parts_of = np.maximum(1, -(-np.bincount(group_of, classes_in).astype(np.int64) // CHUNK))
 
     def walk(batches):
         for b in batches:
             rep, group, leaves = [], [], []
             for i, x in enumerate(_query(_matrix(b.column(1), d))):
                 bins = np.array(tree.value.best_bins(x, visits, held_by, k + 1), dtype=np.int32)
-                for g in np.unique(bins % GROUPS):
+                bins = bins[held_by[bins] > 0]
+                own = group_of[bins]
+                for g in np.unique(own):
                     rep.append(i)
                     group.append(g)
-                    leaves.append(bins[bins % GROUPS == g])
+                    leaves.append(bins[own == g])
             at = pa.array(np.cumsum([0, *map(len, leaves)]).astype(np.int32))
             rep = pa.array(rep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(group, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(leaves) if leaves else np.zeros(0, np.int32)))], ["query_id", "q", "group", "leaves"])
 
-    held = indexed.withColumn("group", F.col("leaf") % GROUPS)
-    parts = held.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    held = held.join(parts, "group").withColumn("part", F.pmod("h", "parts").cast("int"))
-    visiting = asked.mapInArrow(trimmed(walk), "query_id long, q array<double>, group int, leaves array<int>").join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visiting = materialize(asked.mapInArrow(trimmed(walk), "query_id long, q array<double>, group int, leaves array<int>"))
+    counted = visiting.groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks"))
+    cuts = spark.createDataFrame([(g, int(n)) for g, n in enumerate(parts_of)], "group int, parts int").join(counted, "group")  # a row per group
+    groups = spark.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "leaf int, group int")  # a row per leaf
+    held = indexed.join(groups, "leaf").join(cuts, "group").withColumn("part", F.pmod("h", "parts").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    visiting = visiting.join(cuts, "group").withColumn("ask", F.pmod(F.xxhash64("query_id"), "asks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def nearest(left, right):
         out = []
@@ -236,7 +260,7 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = RECALL, fit
         found = [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    met = visiting.select("group", "part", "query_id", "q", "leaves").groupBy("group", "part").cogroup(held.select("group", "part", "leaf", "v", "ids").groupBy("group", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    met = visiting.select("group", "part", "ask", "query_id", "q", "leaves").groupBy("group", "part", "ask").cogroup(held.select("group", "part", "ask", "leaf", "v", "ids").groupBy("group", "part", "ask")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -32,6 +32,27 @@ def test_recall_and_order(spark):
         assert r.score == pytest.approx(float(np.dot(dict(rows)[r.query_id], dict(rows)[r.vec_id])), abs=1e-12)
 
 
+def test_split_groups_and_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 40)
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=6)
+    rows = [(i, (near + 1e-3 * rng.normal(size=6) if i % 3 else rng.normal(size=6)).tolist()) for i in range(500)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    out = neighbours.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=10, recall=1.0).collect()
+    found = {q: {r.vec_id for r in out if r.query_id == q} for q in range(0, 500, 20)}
+    assert all(len(v) == 10 for v in found.values()) and len(out) == 250
+    assert sum(len(found[q] & set(brute(rows, q, 10))) for q in found) >= 0.9 * 250
+
+
+def test_a_bounded_sample_and_all_rows_as_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(400)]
+    out = neighbours.search(vectors(spark, rows), F.col("vec_id") >= 0, k=5, fit_rows=50).collect()
+    hits = sum(r.vec_id in brute(rows, r.query_id, 5) for r in out)
+    assert len(out) == 2000 and hits >= 0.85 * 2000
+
+
 def test_unusable_vectors_and_copies(spark):
     same = [1.0, 2.0]
     rows = [(0, same), *((i, same) for i in range(1, 60)), (100, [0.0, 0.0]), (120, None), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (200, [1.0, 2.0, 3.0]), (61, [0.5, 0.5])]
