@@ -8,12 +8,14 @@ products approximate a Gaussian kernel. Each partition sums its normal equations
 scores fall into BINS bins, counted by Spark, and pooling adjacent violators over
 the bins turns a score into a probability.
 
-The fit uses at most `fit_rows` labelled documents, those of smallest hash; the
-scores cover all documents and use their text only.
-
-Defined cases: null text counts as empty, and empty texts are scored as any other.
-Null labels are no labels; a document labelled twice counts twice. With no labels
-every score is 0.5. Repeated rows get equal scores; other columns are not read.
+The fit uses about `fit_rows` labelled doc_ids, those whose hash lies below a
+threshold; the scores cover all documents and use their text only.
+
+Defined cases: null text counts as empty, and empty texts are scored as any other, as
+are texts of any length, whole. Null labels are no labels; a doc_id labelled twice
+counts twice, and rows that share a labelled doc_id all count. With no labels every
+score is 0.5. Rows that repeat get equal scores. An empty table gives no rows. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -127,10 +129,10 @@ def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size)
         for b in batches:
-            total += f(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float))
+            total += f(_matrix(b.column(0)), *(b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    parts = rows.select("x", "y").coalesce(PARTS).mapInArrow(trimmed(run), "v binary").collect()
+    parts = rows.select("x", "y", "w").coalesce(PARTS).mapInArrow(trimmed(run), "v binary").collect()
     return np.sum([np.frombuffer(p.v) for p in parts] or [np.zeros(size)], axis=0)
 
 
@@ -173,9 +175,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, width: float = 4.0, ridge: float = 1e-4, seed: int = 7) -> Model | None:
-    """`labelled`: x, y (0 or 1). None, if it has no rows."""
+    """`labelled`: x, y (how often labelled 1), w (how often labelled). None, if it
+    has no rows."""
     m = len(NAMES)
-    moments = _summed(labelled, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 2 * m + 1)
+    moments = _summed(labelled, lambda x, y, w: np.concatenate([[w.sum()], w @ x, w @ x**2]), 2 * m + 1)
     n = moments[0]
     if not n:
         return None
@@ -184,9 +187,9 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = 4.0, ridge
     model = Model(mean, np.where(scale < 1e-5, 1.0, scale), features, width, seed)
     d = features + 1
 
-    def equations(x, y):
+    def equations(x, y, w):
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        return np.concatenate([((z.T * w) @ z).ravel(), z.T @ y])
 
     sums = _summed(labelled, equations, d * d + d)
     a = sums[: d * d].reshape(d, d) + ridge * n * np.eye(d)
@@ -200,9 +203,9 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = 4.0, ridge
 
 
 def _summed_bins(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def count(x, y):
+    def count(x, y, w):
         k = np.clip((model.raw(x) + 1.0) / 3.0 * BINS, 0, BINS - 1).astype(int)
-        return np.concatenate([np.bincount(k, minlength=BINS), np.bincount(k, y, minlength=BINS)])
+        return np.concatenate([np.bincount(k, w, minlength=BINS), np.bincount(k, y, minlength=BINS)])
 
     sums = _summed(labelled, count, 2 * BINS)
     used = np.flatnonzero(sums[:BINS])
@@ -212,9 +215,11 @@ def _summed_bins(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndar
 def score(statistics_: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **options) -> DataFrame:
     """doc_id, score, predicted of every row of document_statistics(). `labels`:
     doc_id, y."""
-    y = labels.filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("y").cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
-    chosen = y.orderBy("h", "doc_id", "y").limit(fit_rows)
-    labelled = materialize(statistics_.join(chosen, "doc_id").select("x", "y").repartition(PARTS))
+    y = labels.filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sum("y").cast("double").alias("y"), F.count("*").alias("w"))
+    n = y.count()
+    if n > fit_rows:
+        y = y.filter(F.xxhash64("doc_id") <= int((fit_rows / n - 0.5) * 2.0**64))
+    labelled = materialize(statistics_.join(y, "doc_id").select("x", "y", "w").repartition(PARTS))
     model = fit(labelled, **options)
     kind = statistics_.schema["doc_id"].dataType.simpleString()
 

@@ -170,6 +170,38 @@ def test_quality_of_held_out_documents(spark, make):
     assert len(out) == len(docs) + len(odd) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
 
 
+def test_quality_equals_a_plain_ridge(spark, make):
+    docs, labels = quality_docs()
+    rng = np.random.default_rng(8)
+    labels = [(i, int(rng.random() < (0.8 if y else 0.3))) for i, y in labels] + [(5, 1), (5, 0), (90, 1)]
+    y = spark.createDataFrame(labels, "doc_id long, y int")
+    got = {r.doc_id: r.score for r in quality.score(quality.document_statistics(make(docs).repartition(7)), y, features=32, ridge=1e-2).collect()}
+    import pyarrow as pa
+
+    x = quality.statistics(pa.array([t for _, t in docs], pa.string()))
+    at, t = x[[i for i, _ in labels]], np.array([float(q) for _, q in labels])
+    scale = at.std(0)
+    m = quality.Model(at.mean(0), np.where(scale < 1e-5, 1.0, scale), 32, 4.0, 7)
+    z = m.features(at)
+    # Ridge as least squares with added rows.
+    m.beta = np.linalg.lstsq(np.vstack([z, np.sqrt(1e-2 * len(t)) * np.eye(33)]), np.append(t, np.zeros(33)), rcond=None)[0]
+    k = np.floor((z @ m.beta + 1) / 3 * quality.BINS).astype(int)
+    bins = np.unique(k)
+    s, n = np.array([t[k == b].sum() for b in bins]), np.array([(k == b).sum() for b in bins])
+    # Isotonic by its min-max form.
+    value = [max(min(s[i : j + 1].sum() / n[i : j + 1].sum() for j in range(b, len(bins))) for i in range(b + 1)) for b in range(len(bins))]
+    m.at, m.value = (bins + 0.5) / quality.BINS * 3 - 1, np.array(value)
+    want = m.score(x)
+    assert max(abs(got[i] - want[i]) for i, _ in docs) < 1e-6
+
+
+def test_quality_fits_on_a_bounded_sample(spark, make):
+    docs, labels = quality_docs()
+    y = spark.createDataFrame(labels + [(3, 1)] * 500, "doc_id long, y int")
+    out = quality.score(quality.document_statistics(make(docs)), y, fit_rows=60).collect()
+    assert sum(r.predicted == int(r.doc_id < 60) for r in out) >= 0.95 * len(docs)
+
+
 def test_quality_without_labels_or_rows(spark, make):
     none = spark.createDataFrame([], "doc_id long, y int")
     assert {r.score for r in quality.score(quality.document_statistics(make([(1, "x"), (2, None)])), none).collect()} == {0.5}
