@@ -6,9 +6,14 @@ pass through the cumulative targets and so give each slot of the mix a source;
 the r-th slot of a source takes its r-th block. The last block of a source ends
 at its target, so what a source gives equals its target to within a word.
 
-Defined cases: null text or no words: size 0, never taken. A null source is a
-source of its own, the last. Rows that repeat are documents of their own. An
-empty table gives no rows. Other columns are not read.
+Rows that repeat stand together in the stream; each task counts them, so a row that
+a third of the table repeats is as many rows as tasks until their places are known.
+
+Defined cases: null text or no words: size 0, never taken. A null source is a source
+of its own, the last; a null doc_id is a value like any other. Rows that repeat are
+documents of their own. Rows of equal key are ordered by doc_id and size. A long text
+spans many blocks. An empty table gives no rows. Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +33,18 @@ BUCKETS = 4096
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of each text."""
+def word_counts(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, key, size: a keyed hash and the words of each text."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches):
         for b in batches:
-            first = word_spans(*text_bytes(b.column(2)))[2]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first))], ["doc_id", "source", "size"])
+            first = word_spans(*text_bytes(b.column(3)))[2]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(first))], ["doc_id", "source", "key", "size"])
 
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(trimmed(count), f"doc_id {kind}, source string, size long")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(trimmed(count), f"doc_id {kind}, source string, key long, size long")
 
 
 def targets(sizes: list[int], share: float = 1.5, weights=WEIGHTS, most: float = 2.0) -> list[float]:
@@ -82,7 +88,6 @@ def slots(spark: SparkSession, table: list[tuple], block_words: int) -> DataFram
             sid = np.searchsorted(cuts, np.mod((i + 1) * GOLDEN, 1.0) * span, "right")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.minimum(sid, len(cuts) - 1).astype(np.int32))], ["slot", "sid"])
 
-    own = "transform(array(%s), x -> cast(x as bigint))[sid]" % ",".join(map(str, need))
     placed = spark.range(total).mapInArrow(trimmed(place), "slot long, sid int").withColumn("part", F.expr("slot div 65536"))
     before = placed.groupBy("sid", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n"))
     ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1)
@@ -92,7 +97,7 @@ def slots(spark: SparkSession, table: list[tuple], block_words: int) -> DataFram
     names = spark.createDataFrame([(i, n) for i, n in enumerate(need) if n], "sid int, need long")
     short = names.join(have, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("need > n")
     short = short.select(F.lit(total).cast("long").alias("slot"), "sid", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("r"))
-    return ranked.filter(F.col("r") < F.expr(own)).unionByName(short)
+    return ranked.join(names, "sid").filter("r < need").drop("need").unionByName(short)
 
 
 def schedule(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: int = 2, block_words: int = 2048, seed: int = 17):
@@ -100,16 +105,19 @@ def schedule(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: int = 2
     row for each run of a document's words in a slot of the mix. sized: every
     document with sid, pos (its place in its source's stream) and size."""
     spark = docs.sparkSession
-    counted = materialize(word_counts(docs))
+    counted = materialize(word_counts(docs, seed))
     table = source_table(counted, share, weights, most)
     known = spark.createDataFrame(table, "sid int, source string, source_size long, target double")
-    keyed = counted.join(F.broadcast(known), counted.source.eqNullSafe(known.source)).drop(known.source) if len(table) <= 100_000 else counted.join(known, counted.source.eqNullSafe(known.source)).drop(known.source)
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
-    before = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
+    # Equal rows of a task are one until they have their places.
+    grouped = counted.groupBy("doc_id", "source", "key", "size", F.spark_partition_id().alias("task")).agg(F.count("*").alias("copies"))
+    keyed = grouped.join(known, grouped.source.eqNullSafe(known.source)).drop(known.source)
+    keyed = keyed.withColumn("bucket", F.pmod("key", F.lit(BUCKETS))).withColumn("all", F.col("size") * F.col("copies"))
+    before = keyed.groupBy("sid", "bucket").agg(F.sum("all").alias("n"))
     before = before.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).drop("n")
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumn("upto", F.sum("size").over(inside)).join(before, ["sid", "bucket"])
-    sized = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("pos")))
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keyed.withColumn("upto", F.sum("all").over(inside)).join(before, ["sid", "bucket"])
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    sized = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", (F.col("base") + F.col("upto") - F.col("all") + F.col("nth") * F.col("size")).alias("pos")))
 
     B = F.lit(block_words)
     runs = sized.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
@@ -121,12 +129,13 @@ def schedule(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: int = 2
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and source of every document."""
+    """doc_id, size, source_size, target, taken, source and first_slot (where in the
+    mix it first comes, null if never) of every document."""
     pieces, sized = schedule(docs, **options)
-    taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("got"))
+    taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("got"), F.min("slot").alias("slot"))
     out = sized.join(taken, ["sid", "pos"], "left")
     got = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", got.alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", got.alias("taken"), "source", F.when(F.col("size") > 0, F.col("slot")).alias("first_slot"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,41 @@ def test_mixing(make):
     assert key(out) == key(mixing.mix(docs.repartition(3), block_words=64).collect())
 
 
+def plain_mix(rows, block, seed=17):
+    """A loop over the keyed order. `rows`: doc_id, source, key, size."""
+    names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r[3] for r in rows if r[1] == x) for x in names]
+    target = mixing.targets(sizes)
+    need = [-(-round(t) // block) for t in target]
+    at, slots, place, cum = 0, {}, [0] * len(names), np.cumsum(target)
+    for i in range(sum(need)):  # the r-th slot of each source
+        sid = min(int(np.searchsorted(cum, (i + 1) * mixing.GOLDEN % 1.0 * cum[-1], "right")), len(names) - 1)
+        if place[sid] < need[sid]:
+            slots[sid, place[sid]] = i
+        place[sid] += 1
+    out = []
+    for sid, x in enumerate(names):
+        at = 0
+        for doc, _, key, size in sorted((r for r in rows if r[1] == x), key=lambda r: (r[2] % mixing.BUCKETS, r[2], r[0] is not None, r[0] or 0, r[3])):
+            runs = [(a, min(a + size, round(target[sid]))) for a in (at, at + sizes[sid])]
+            got = sum(max(0, z - a) for a, z in runs)
+            first = slots.get((sid, at // block), sum(need)) if got else None
+            out.append((doc, size, sizes[sid], got, x, first))
+            at += size
+    return sorted(out, key=repr)
+
+
+def test_mixing_equals_a_plain_loop(make):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3, *range(9, 120)]), " ".join("ab"[k % 2] for k in range(rng.choice([0, 1, 7, 40, 300]))), None, rng.choice(["hot", "hot", "b", "é", None])) for _ in range(250)]
+    rows += [(77, "same row here", None, "hot")] * 90
+    docs = make(rows, extra=True).repartition(4)
+    out = mixing.mix(docs, block_words=64).collect()
+    keyed = [tuple(r) for r in mixing.word_counts(docs, 17).collect()]
+    got = sorted(((r.doc_id, r.size, r.source_size, r.taken, r.source, r.first_slot) for r in out), key=repr)
+    assert got == plain_mix(keyed, 64)
+
+
 def test_mixing_of_nothing(make):
     assert mixing.mix(make([])).count() == 0
     assert [r.taken for r in mixing.mix(make([(1, None), (2, "")])).collect()] == [0, 0]
