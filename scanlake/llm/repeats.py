@@ -1,26 +1,34 @@
 """Repeated strings: every byte that lies in a string of `length` bytes which also
 starts elsewhere, found with suffix arrays of what surrounds shared anchors.
 
-Sorting all suffixes of a corpus costs far more than looking where repeats can be.
 Of each run of W = length - K + 1 consecutive K-byte grams the one of smallest hash
-is an anchor; equal strings of `length` bytes hold equal anchors at equal places.
-Anchors whose gram occurs once are dropped. Around each of the others lies a window
-of W - 1 bytes before it and `length` from it on, and equal windows of a batch are
-one row.
+is an anchor; equal strings of `length` bytes hold equal anchors at equal places. So
+only suffixes at anchors are compared, and only of grams that occur more than once:
+a sparse suffix array. Around an anchor lies a window of W - 1 bytes before it and
+`length` from it on, and equal windows of a batch are one row.
 
 Windows meet by anchor, in shards of whole anchor groups. A shard has two suffix
 arrays: of what follows the anchors, and of what precedes them, read backwards.
 Both are built by Larsson-Sadakane refinement (ranks of 8 bytes, then of pairs of
 ranks, doubling), and neighbours' common prefixes give the classes of suffixes that
 agree for d bytes, for any d. A string that starts o bytes before its anchor equals
-another just if the two agree in o bytes backwards and length - o forwards. So the
-comparison is of bytes, not of hashes.
+another just if the two agree in o bytes backwards and length - o forwards.
 
-Found runs go back to their documents, where they are united. Documents are known
-by a hash of doc_id and text, so rows that repeat are copies of one another.
+An anchor with more than HOT places is in no shard. Its windows are counted by a
+128-bit hash: one that occurs twice is repeated throughout, and one of each kind goes
+on. Those are told apart by the hashes of what strings of neighbouring offsets share,
+and what is left, by the hash of each string. So no window meets all others of its
+anchor in one task, and results come back by joins whose other side is unique.
+
+Equal texts are one text, named by 128 bits of its hash: each task passes one on, and
+one of `length` bytes or more that occurs twice is repeated throughout. Places are
+thus in proportion to distinct texts, however often they are repeated.
 
 Defined cases: null text: no bytes, nothing removed. Texts shorter than `length`
-lose nothing. An empty table gives no rows. Other columns are not read.
+lose nothing. Rows that repeat, with one doc_id, several or none, are copies of one
+another. Texts of any length are whole; one is held by one task. Windows that tie in
+all bytes are one. An empty table gives no rows. Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -31,14 +39,21 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import BYTE, CHUNK, drop_table, materialize, mix64, powers, read, signed, small_batches, text_bytes, trimmed
 
 GRAM = 32
-#: Windows of a shard, unless an anchor's alone are more.
+#: Windows of a shard, or a few more: those of an anchor stay together.
 SHARD = 8192
+#: Places of an anchor beyond which its windows are compared by hashes.
+HOT = 2048
+#: Offsets that are told apart together there.
+RANGE = 21
+#: Texts that a task knows to have passed on.
+KNOWN = 1 << 18
 
 
 def _sliding(f, v: np.ndarray, w: int) -> np.ndarray:
@@ -136,95 +151,194 @@ def repeated(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after:
     return out
 
 
+#: A second random value for each byte.
+BYTE2 = mix64(BYTE)
+KEY = ["k1", "k2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    return docs.select("doc_id", text.alias("text")).withColumns({"k1": F.xxhash64(F.lit(1), "text"), "k2": F.xxhash64(F.lit(2), "text")})
+
+
+class Sums:
+    """128-bit hashes of any spans of a batch of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.inverse = powers(len(data) + 1, True)
+        self.sums = []
+        for table in (BYTE, BYTE2):
+            x = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(table[data] * powers(len(data)), out=x[1:])
+            self.sums.append(x)
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray, *also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the bytes lo to hi and of further numbers."""
+        out = []
+        for seed, x in enumerate(self.sums):
+            h = mix64((x[hi] - x[lo]) * self.inverse[lo] + np.uint64(seed))
+            for more in (hi - lo, *also):
+                h = mix64(h + more.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            out.append(signed(h))
+        return out[0], out[1]
+
+
+def long_texts(docs: DataFrame, length: int, f, schema: str) -> DataFrame:
+    """Run f(k1, k2, texts) -> a batch over texts of `length` bytes or more, of which
+    a task passes on one of each kind (as far as it remembers)."""
+
+    def run(batches):
+        known: set = set()
+        for b in batches:
+            names = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            new = [i for i, x in enumerate(names) if x not in known and (known.add(x) or True)]
+            if len(known) > KNOWN:
+                known.clear()
+            if new:
+                yield f(*(b.take(pa.array(new)) if len(new) < len(names) else b).columns)
+
+    return _keyed(docs).filter(F.octet_length("text") >= length).select(*KEY, "text").mapInArrow(trimmed(run), schema)
 
 
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """k, p, h: anchors whose gram occurs more than once. Rows of a gram stream
-    through in order; none but the last is held."""
+    """k1, k2, p, h, n: the anchors whose gram has n > 1 places. A gram's places are
+    counted in each task before they meet; the join back splits those of a hot one."""
     small_batches(docs.sparkSession, 1000, "4m")
 
-    def mark(batches):
-        for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            p, h = anchors(data, offsets, length)
-            d = np.searchsorted(offsets, p, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), b.column(0).take(pa.array(d)), pa.array((p - offsets[d]).astype(np.int64))], ["h", "k", "p"])
-
-    def twice(batches):
-        held = None
-        was = False  # whether the last row's gram came before
-        for b in batches:
-            b = pa.RecordBatch.from_arrays(b.columns, ["h", "k", "p"])
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            h = t.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= was
-            # The last row waits: the next batch may go on with its gram.
-            was, held = bool(keep[-1]), t.slice(len(h) - 1).to_batches()[0]
-            keep[-1] = False
-            yield t.filter(pa.array(keep)).select(["k", "p", "h"]).combine_chunks().to_batches()[0] if keep.any() else empty()
-        if held is not None and was:
-            yield pa.RecordBatch.from_arrays([held.column(1), held.column(2), held.column(0)], ["k", "p", "h"])
-
-    def empty():
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["k", "p", "h"])
-
-    rows = _keyed(docs).select("k", "text").mapInArrow(trimmed(mark), "h long, k long, p long")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(twice), "k long, p long, h long")
+    def mark(k1, k2, texts):
+        data, offsets = text_bytes(texts)
+        p, h = anchors(data, offsets, length)
+        d = np.searchsorted(offsets, p, "right") - 1
+        own = pa.array(d)
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), k1.take(own), k2.take(own), pa.array((p - offsets[d]).astype(np.int32))], ["h", "k1", "k2", "p"])
+
+    places = materialize(long_texts(docs, length, mark, "h long, k1 long, k2 long, p int"))
+    shared = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # A text that several tasks have passed on has its places several times.
+    marked = materialize(places.join(shared, "h").select(*KEY, "p", "h", "n").distinct())
+    drop_table(places)
+    return marked
+
+
+def _marked_texts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """k1, k2, text, marks (p, h) of the texts that have any; a text may come from
+    several tasks, one after another."""
+    small_batches(docs.sparkSession, 1000, "4m")
+    grouped = marks.groupBy(*KEY).agg(F.collect_list(F.struct("p", "h")).alias("marks"))  # of one text
+    same = lambda k1, k2, texts: pa.RecordBatch.from_arrays([k1, k2, texts], ["k1", "k2", "text"])
+    return long_texts(docs, length, same, "k1 long, k2 long, text string").join(grouped, KEY).select(*KEY, "text", "marks")
+
+
+def _around(b: pa.RecordBatch, length: int):
+    """Of a batch of marked texts: bytes, the text, place, gram and position of each
+    mark, and where its window begins and ends."""
+    data, offsets = text_bytes(b.column(2))
+    count = b.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = b.column(3).flatten()
+    p, h = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False)
+    d = np.repeat(np.arange(b.num_rows), count)
+    at = offsets[d] + p
+    return data, d, p, h, at, np.maximum(at - (length - GRAM), offsets[d]), np.minimum(at + length, offsets[d + 1])
 
 
 def windows(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
-    """h, n_before, window, ks, ps: the distinct windows of each batch, and where
-    they lie."""
-    w = length - GRAM + 1
-    small_batches(docs.sparkSession, 300, "2m")
+    """h, n_before, window, k1s, k2s, ps: the distinct windows of each batch, and
+    where they lie."""
 
     def cut(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            data, offsets = text_bytes(b.column(1))
-            lists = b.column(2)
-            count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            p, h = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            d = np.repeat(np.arange(b.num_rows), count)
-            at = offsets[d] + p
-            lo, hi = np.maximum(at - w + 1, offsets[d]), np.minimum(at + length, offsets[d + 1])
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(BYTE[data] * powers(len(data)), out=sums[1:])
-            mark = mix64((sums[hi] - sums[lo]) * powers(len(data) + 1, True)[lo] + mix64((at - lo).astype(np.uint64) * np.uint64(512) + (hi - at).astype(np.uint64)))
-            order = np.lexsort((mark, h))
+            data, d, p, h, at, lo, hi = _around(b, length)
+            w1, w2 = Sums(data)(lo, hi, at - lo)
+            order = np.lexsort((w2, w1, h))
             new = np.ones(len(order), dtype=bool)
-            new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+            new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
             first = order[new]
-            ends = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+            ends = pa.array(np.append(np.flatnonzero(new), len(order)).astype(np.int32))
             raw = data.tobytes()
             text = pa.array([raw[a:z] for a, z in zip(lo[first].tolist(), hi[first].tolist())], pa.binary())
-            k = b.column(0).to_numpy()
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (b.column(0).to_numpy()[d[order]], b.column(1).to_numpy()[d[order]], p[order])]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array((at - lo)[first].astype(np.int32)), text, *lists], ["h", "n_before", "window", "k1s", "k2s", "ps"])
+
+    small_batches(docs.sparkSession, 300, "2m")
+    rows = _marked_texts(docs, marked, length)
+    return rows.mapInArrow(trimmed(cut), "h long, n_before int, window binary, k1s array<long>, k2s array<long>, ps array<long>")
+
+
+def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+    """k1, k2, lo, hi: the repeated runs around anchors with many places."""
+    w = length - GRAM + 1
+
+    def offsets_of(at, lo, hi):
+        return np.maximum(0, length - (hi - at)), np.minimum(at - lo, w - 1)
+
+    def describe(batches):
+        for b in batches:
+            data, d, p, h, at, lo, hi = _around(b, length)
+            first, last = offsets_of(at, lo, hi)
+            keep = first <= last
+            d, p, h, at, lo, hi, first, last = (x[keep] for x in (d, p, h, at, lo, hi, first, last))
+            sums = Sums(data)
+            w1, w2 = sums(lo, hi, at - lo, h)
+            part, g1, g2, owner = [], [], [], []
+            for a in range(0, w, RANGE):
+                z = min(a + RANGE, w)
+                own = np.flatnonzero(np.maximum(first, a) < np.minimum(last + 1, z))
+                x1, x2 = sums(at[own] - a, at[own] + length - z + 1, h[own], np.full(len(own), a))
+                for held, x in ((part, np.full(len(own), a, np.int32)), (g1, x1), (g2, x2), (owner, own)):
+                    held.append(x)
+            part, g1, g2, owner = (np.concatenate(x) for x in (part, g1, g2, owner))
+            order = np.argsort(owner, kind="stable")
+            ends = pa.array(np.searchsorted(owner[order], np.arange(len(p) + 1)).astype(np.int32))
+            struct = pa.StructArray.from_arrays([pa.array(x[order]) for x in (part, g1, g2)], ["part", "g1", "g2"])
+            own = pa.array(d)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first]), pa.array((at - lo)[first].astype(np.int32)), text, pa.ListArray.from_arrays(pa.array(ends), pa.array(k[d[order]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(p[order]))],
-                ["h", "n_before", "window", "ks", "ps"],
-            )
+                [b.column(0).take(own), b.column(1).take(own), pa.array(p), pa.array(h), pa.array(w1), pa.array(w2), pa.array(p - last), pa.array(p - first + length), pa.ListArray.from_arrays(ends, struct)],
+                ["k1", "k2", "p", "h", "w1", "w2", "lo", "hi", "parts"],
+            )
+
+    def strings(batches):
+        for b in batches:
+            data, d, p, h, at, lo, hi = _around(b.select([0, 1, 2, 3]), length)
+            first, last = offsets_of(at, lo, hi)
+            a = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, last = np.maximum(first, a), np.minimum(last, a + RANGE - 1)
+            n = np.maximum(last - first + 1, 0)
+            i = np.repeat(np.arange(len(p)), n)
+            o = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            s1, s2 = Sums(data)(at[i] - o, at[i] - o + length, h[i], o)
+            own = pa.array(d[i])
+            yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), b.column(0).take(own), b.column(1).take(own), pa.array(p[i] - o)], ["s1", "s2", "k1", "k2", "lo"])
 
-    grouped = marked.groupBy("k").agg(F.collect_list(F.struct("p", "h")).alias("marks"))  # of one text
-    rows = _keyed(docs).select("k", "text").join(grouped, "k").select("k", "text", "marks")
-    return rows.mapInArrow(trimmed(cut), "h long, n_before int, window binary, ks array<long>, ps array<long>")
+    small_batches(docs.sparkSession, 300, "2m")
+    kinds = "k1 long, k2 long, p long, h long, w1 long, w2 long, lo long, hi long, parts array<struct<part: int, g1: long, g2: long>>"
+    rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds).withColumn("r", F.xxhash64(*KEY, "p")))
+    # Text may have come twice, so places are counted, not rows.
+    kinds_of_window = rows.groupBy("w1", "w2").agg(F.min("r").alias("one"), F.max("r").alias("other"))
+    whole = rows.join(kinds_of_window.filter("one <> other"), ["w1", "w2"]).select(*KEY, "lo", "hi")
+    one_each = rows.join(kinds_of_window, ["w1", "w2"]).filter("r = one").select(*KEY, "p", "h", "w1", F.explode("parts").alias("x")).select(*KEY, "p", "h", "w1", "x.*")
+    several = one_each.groupBy("g1", "g2").agg(F.min("w1").alias("one"), F.max("w1").alias("other")).filter("one <> other").select("g1", "g2")
+    left = materialize(one_each.join(several, ["g1", "g2"]).select(*KEY, "p", "h", "part").distinct())
+    release(docs.sparkSession)
+    small_batches(docs.sparkSession, 300, "2m")
+    marks = left.groupBy(*KEY).agg(F.collect_list(F.struct("p", "h", "part")).alias("m"))  # of one text
+    same = lambda k1, k2, texts: pa.RecordBatch.from_arrays([k1, k2, texts], ["k1", "k2", "text"])
+    texts = long_texts(docs, length, same, "k1 long, k2 long, text string").join(marks, KEY)
+    texts = texts.select(*KEY, "text", F.transform("m", lambda x: F.struct(x["p"], x["h"])).alias("marks"), F.transform("m", lambda x: x["part"]).alias("parts"))
+    found = materialize(texts.mapInArrow(trimmed(strings), "s1 long, s2 long, k1 long, k2 long, lo long").withColumn("r", F.xxhash64(*KEY, "lo")))
+    twice = found.groupBy("s1", "s2").agg(F.min("r").alias("one"), F.max("r").alias("other")).filter("one <> other").select("s1", "s2")
+    runs = found.join(twice, ["s1", "s2"]).select(*KEY, "lo", (F.col("lo") + length).alias("hi"))
+    return whole.unionByName(runs)
 
 
 def _shard(rows: list[tuple], length: int) -> pa.RecordBatch:
     w = length - GRAM + 1
     merged: dict = {}
-    for h, nb, text, ks, ps in rows:
-        merged.setdefault((h, nb, text), []).append((ks, ps))
+    for h, nb, text, *places in rows:
+        merged.setdefault((h, nb, text), []).append(np.stack(places))
+    # A text that came twice has its places twice.
+    merged = {x: np.unique(np.hstack(places), axis=1) for x, places in merged.items()}
     keys = list(merged)
     n = len(keys)
     group = np.unique(np.array([x[0] for x in keys], dtype=np.int64), return_inverse=True)[1]
@@ -237,39 +351,36 @@ def _shard(rows: list[tuple], length: int) -> pa.RecordBatch:
     c = np.arange(len(flat)) - np.repeat(start + nb, size)
     after[i[c >= 0], c[c >= 0]] = flat[c >= 0]
     before[i[c < 0], -1 - c[c < 0]] = flat[c < 0]
-    copies = np.array([sum(len(ks) for ks, _ in merged[x]) for x in keys], dtype=np.int64)
+    copies = np.array([merged[x].shape[1] for x in keys], dtype=np.int64)
     found = repeated(group, before, nb, after, size - nb, copies)
     # Runs of neighbouring starts: the string from the largest offset to the smallest.
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    out_k, out_lo, out_hi = [], [], []
+    out = [np.zeros((4, 0), np.int64)]
     for r, a, z in zip(row.tolist(), first.tolist(), last.tolist()):
-        for ks, ps in merged[keys[r]]:
-            out_k.append(ks)
-            out_lo.append(ps - z)
-            out_hi.append(ps - a + length)
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([join(out_k), join(out_lo), join(out_hi)], ["k", "lo", "hi"])
+        k1, k2, p = merged[keys[r]]
+        out.append(np.stack([k1, k2, p - z, p - a + length]))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(out)], ["k1", "k2", "lo", "hi"])
 
 
 def repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
-    """k, lo, hi: runs of bytes of text k that lie in repeated strings."""
+    """k1, k2, lo, hi: the repeated runs around anchors with few places."""
     cut = windows(docs, marked, length)
 
     def match(batches):
         rows: list[tuple] = []
         for b in batches:
-            ks, ps = b.column(3), b.column(4)
+            lists = b.columns[3:6]
             for i, (h, nb, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
                 if len(rows) >= SHARD and h != rows[-1][0]:
                     yield _shard(rows, length)
                     rows = []
-                rows.append((h, nb, text, ks[i].values.to_numpy(), ps[i].values.to_numpy()))
+                rows.append((h, nb, text, *(x[i].values.to_numpy() for x in lists)))
         if rows:
             yield _shard(rows, length)
 
-    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(match), "k long, lo long, hi long")
+    return cut.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(match), "k1 long, k2 long, lo long, hi long")
 
 
 def unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,29 +405,37 @@ def release(spark: SparkSession) -> None:
 def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, text, spans (array of lo, hi in bytes, maximal, ascending) per row."""
     spark = docs.sparkSession
-    marked = materialize(shared_anchors(docs, length))
+    marked = shared_anchors(docs, length)
     release(spark)
-    runs = materialize(repeats(docs, marked, length))
-    drop_table(marked)
+    runs = materialize(repeats(docs, marked.filter(F.col("n") <= HOT), length))
     release(spark)
+    hot = marked.filter(F.col("n") > HOT)
+    if hot.head(1):
+        runs = runs.unionByName(materialize(hot_repeats(docs, hot, length).distinct()))
+        release(spark)
+    drop_table(marked)
+    # Texts that occur twice are repeated from end to end.
+    copied = _keyed(docs).filter(F.octet_length("text") >= length).groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1")
+    runs = runs.unionByName(copied.select(*KEY, F.lit(0).cast("long").alias("lo"), F.lit(1 << 62).alias("hi")))
     small_batches(spark, 1000, "4m")
-    grouped = runs.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # of one text
+    grouped = runs.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # of one text
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def gather(batches):
         for b in batches:
             lists = b.column(2)
+            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
             spans = []
             for i in range(b.num_rows):
                 if not lists[i].is_valid:
                     spans.append([])
                     continue
                 x = lists[i].values
-                lo, hi = unite(x.field(0).to_numpy(), x.field(1).to_numpy())
+                lo, hi = unite(x.field(0).to_numpy(), np.minimum(x.field(1).to_numpy(), size[i]))
                 spans.append([{"lo": a, "hi": z} for a, z in zip(lo.tolist(), hi.tolist())])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["doc_id", "text", "spans"])
 
-    rows = _keyed(docs).join(grouped, "k", "left").select("doc_id", "text", "runs")
+    rows = _keyed(docs).join(grouped, KEY, "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(trimmed(gather), f"doc_id {kind}, text string, spans array<struct<lo: long, hi: long>>")
 
 

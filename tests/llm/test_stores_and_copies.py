@@ -221,9 +221,10 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_repeats(make, monkeypatch, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 2048), (2, 2048), (3, 4), (4, 1), (5, 1), (6, 20)])
+def test_repeats(make, monkeypatch, seed, hot):
     monkeypatch.setattr(repeats, "SHARD", 40)
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abc é") for _ in range(n))
     shared = [text(n) for n in (99, 100, 101, 130, 260)]
@@ -233,6 +234,25 @@ def test_repeats(make, monkeypatch, seed):
     assert got == brute_repeats(rows, 100)
 
 
+def test_places_do_not_grow_with_copies(make):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    places = [repeats.shared_anchors(make([(i if i % 2 else None, text) for i in range(n)] + [(9, text[:3000] + "!" + text[3000:])]).repartition(4), 200).count() for n in (100, 400)]
+    assert places[0] == places[1] > 10
+
+
+@pytest.mark.parametrize("hot", [2048, 30])
+def test_a_common_line_and_hundreds_of_copies(make, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage, base = text(60), text(150), text(400)
+    rows = [(i, text(80) + line + text(80)) for i in range(120)] + [(200 + i, text(60) + passage + text(60)) for i in range(120)]
+    rows += [(400 + i, base[: 200 + i] + "#" + base[200 + i :]) for i in range(0, 90, 3)] + [(None, base)] * 150 + [(7, base)] * 150 + [(8, text(300))]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(repeats.find_repeats(make(rows).repartition(5), 100)).collect()), key=repr)
+    assert got == brute_repeats(rows, 100)
+
+
 def test_repeats_of_nothing(make):
     assert repeats.digest(repeats.find_repeats(make([]))).count() == 0
 
