@@ -10,13 +10,14 @@ a sparse suffix array. Around an anchor lies a window of W - 1 bytes before it a
 Windows meet by anchor, in shards of whole anchor groups. A shard has two suffix
 arrays: of what follows the anchors, and of what precedes them, read backwards.
 Both are built by Larsson-Sadakane refinement (ranks of 8 bytes, then of pairs of
-ranks, doubling), and neighbours' common prefixes give the classes of suffixes that
-agree for d bytes, for any d. A string that starts o bytes before its anchor equals
-another just if the two agree in o bytes backwards and length - o forwards.
+ranks, doubling). Neighbours' common prefixes give, as the least of those between, the
+common prefix of any two, and the classes of suffixes that agree for d bytes. A string
+that starts o bytes before its anchor equals another just if the two agree in o bytes
+backwards and length - o forwards: small groups are settled by pairs, others by classes.
 
 An anchor with more than HOT places is in no shard. Its windows are counted by a
-128-bit hash: one that occurs twice is repeated throughout, and one of each kind goes
-on. Those are told apart by the hashes of what strings of neighbouring offsets share,
+128-bit hash, equal ones of a batch as one: one that occurs twice is repeated
+throughout, and one of each kind goes on. Those are told apart by the hashes of what strings of neighbouring offsets share,
 and what is left, by the hash of each string. So no window meets all others of its
 anchor in one task, and results come back by joins whose other side is unique.
 
@@ -49,7 +50,9 @@ GRAM = 32
 #: Windows of a shard, or a few more: those of an anchor stay together.
 SHARD = 8192
 #: Places of an anchor beyond which its windows are compared by hashes.
-HOT = 2048
+HOT = 1 << 14
+#: Windows of a group that is settled by pairs.
+PAIRS = 32
 #: Offsets that are told apart together there.
 RANGE = 21
 #: Texts that a task knows to have passed on.
@@ -121,34 +124,83 @@ def common_prefixes(order: np.ndarray, group: np.ndarray, context: np.ndarray, s
     return out
 
 
+class Least:
+    """The least value of any stretch, from those of stretches of powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 * (n := 1 << (len(self.levels) - 1)) <= len(x):
+            self.levels.append(np.minimum(self.levels[-1][:-n], self.levels[-1][n:]))
+
+    def __call__(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Of a to z, both included."""
+        k = np.frexp((z - a + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(a), dtype=self.levels[0].dtype)
+        for level in np.unique(k):
+            own = k == level
+            out[own] = np.minimum(self.levels[level][a[own]], self.levels[level][z[own] - (1 << level) + 1])
+        return out
+
+
 def repeated(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """Row i, column o: whether the string that starts o bytes before anchor i
-    also starts elsewhere. `before` is read backwards from the anchor."""
-    n, length = len(group), after.shape[1]
-    classes = []
-    for context, size in ((before, n_before), (after, n_after)):
-        order = suffix_order(group, context)
-        classes.append((order, common_prefixes(order, group, context, size)))
-    out = np.zeros((n, before.shape[1] + 1), dtype=bool)
-
-    def label(side: int, d: int) -> np.ndarray:
-        order, shared = classes[side]
+    """Row i, column o: whether the string that starts o bytes before anchor i also
+    starts elsewhere. `before` is read backwards from the anchor; groups ascend."""
+    n, length, widest = len(group), after.shape[1], before.shape[1]
+    order_b, order_f = suffix_order(group, before), suffix_order(group, after)
+    shared_b, shared_f = common_prefixes(order_b, group, before, n_before), common_prefixes(order_f, group, after, n_after)
+    # The most that a row shares with any other, on each side.
+    most_b, most_f = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    for most, order, shared in ((most_b, order_b, shared_b), (most_f, order_f, shared_f)):
+        most[order] = np.maximum(shared, np.append(shared[1:], -1))
+    edges = np.zeros((n, widest + 2), dtype=np.int32)  # +1 where a run of offsets begins, -1 after it
+
+    def add(rows, first, last):
+        some = first <= last
+        np.add.at(edges, (rows[some], first[some]), 1)
+        np.add.at(edges, (rows[some], last[some] + 1), -1)
+
+    twice = np.flatnonzero(copies > 1)
+    add(twice, np.maximum(0, length - n_after[twice]), np.minimum(n_before[twice], widest))
+    large = np.bincount(group)[group] > PAIRS
+    place_b, least = np.empty(n, np.int64), Least(shared_b)
+    place_b[order_b] = np.arange(n)
+    # Small groups: pairs at distance d in the forward order, while they share enough.
+    i = np.flatnonzero(~large[order_f])
+    common = np.full(len(i), length, dtype=np.int32)
+    d = 0
+    while len(i):
+        d += 1
+        on = i + d < n
+        i, common = i[on], np.minimum(common[on], shared_f[i[on] + d])
+        a, b = order_f[i], order_f[np.minimum(i + d, n - 1)]
+        on = (common >= 0) & (common + most_b[a] >= length)  # else farther ones share too little as well
+        i, common, a, b = i[on], common[on], a[on], b[on]
+        low, high = np.minimum(place_b[a], place_b[b]), np.maximum(place_b[a], place_b[b])
+        back = least(low + 1, high) if len(a) else common
+        for rows in (a, b):
+            add(rows, length - common, np.minimum(back, widest))
+
+    def label(order: np.ndarray, shared: np.ndarray, d: int) -> np.ndarray:
         x = np.empty(n, dtype=np.int64)
         x[order] = np.cumsum(shared < d)
         return x
 
-    for o in range(out.shape[1]):
-        fits = np.flatnonzero((n_before >= o) & (n_after >= length - o))
-        if not len(fits):
+    # Large ones: classes, offset by offset, of the rows that may have a partner there.
+    rows = np.flatnonzero(large & (most_b + most_f >= length))
+    first, last = length - most_f[rows], np.minimum(most_b[rows], widest)
+    single = copies[rows] < 2
+    for o in range(widest + 1) if len(rows) else ():
+        fits = (first <= o) & (o <= last)
+        if not (fits & single).any():
             continue
-        key = (label(0, o) * (n + 2) + label(1, length - o))[fits]
+        own = rows[fits]
+        key = label(order_b, shared_b, o)[own] * (n + 2) + label(order_f, shared_f, length - o)[own]
         order = np.argsort(key, kind="stable")
-        twice = np.zeros(len(fits), dtype=bool)
-        equal = key[order[1:]] == key[order[:-1]]
-        twice[order[1:]] |= equal
-        twice[order[:-1]] |= equal
-        out[fits, o] = twice | (copies[fits] > 1)
-    return out
+        equal = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+        found = own[order[equal[1:] | equal[:-1]]]
+        edges[found, o] += 1
+        edges[found, o + 1] -= 1
+    return np.cumsum(edges[:, :-1], axis=1) > 0
 
 
 #: A second random value for each byte.
@@ -279,25 +331,45 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
             first, last = offsets_of(at, lo, hi)
             keep = first <= last
             d, p, h, at, lo, hi, first, last = (x[keep] for x in (d, p, h, at, lo, hi, first, last))
-            sums = Sums(data)
+            k1, k2, sums = b.column(0).to_numpy()[d], b.column(1).to_numpy()[d], Sums(data)
             w1, w2 = sums(lo, hi, at - lo, h)
+            r = signed(mix64(k1.view(np.uint64) + mix64(k2.view(np.uint64) + mix64(p.astype(np.uint64)))))
+            order = np.lexsort((r, w2, w1))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
+            one, ends = order[new], np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in (k1, k2, p)]
             part, g1, g2, owner = [], [], [], []
             for a in range(0, w, RANGE):
                 z = min(a + RANGE, w)
-                own = np.flatnonzero(np.maximum(first, a) < np.minimum(last + 1, z))
-                x1, x2 = sums(at[own] - a, at[own] + length - z + 1, h[own], np.full(len(own), a))
-                for held, x in ((part, np.full(len(own), a, np.int32)), (g1, x1), (g2, x2), (owner, own)):
+                own = np.flatnonzero(np.maximum(first[one], a) < np.minimum(last[one] + 1, z))
+                k = one[own]
+                x1, x2 = sums(at[k] - a, at[k] + length - z + 1, h[k], np.full(len(k), a))
+                for held, x in ((part, np.full(len(k), a, np.int32)), (g1, x1), (g2, x2), (owner, own)):
                     held.append(x)
             part, g1, g2, owner = (np.concatenate(x) for x in (part, g1, g2, owner))
-            order = np.argsort(owner, kind="stable")
-            ends = pa.array(np.searchsorted(owner[order], np.arange(len(p) + 1)).astype(np.int32))
-            struct = pa.StructArray.from_arrays([pa.array(x[order]) for x in (part, g1, g2)], ["part", "g1", "g2"])
-            own = pa.array(d)
+            by = np.argsort(owner, kind="stable")
+            parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[by], np.arange(len(one) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x[by]) for x in (part, g1, g2)], ["part", "g1", "g2"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(own), b.column(1).take(own), pa.array(p), pa.array(h), pa.array(w1), pa.array(w2), pa.array(p - last), pa.array(p - first + length), pa.ListArray.from_arrays(ends, struct)],
-                ["k1", "k2", "p", "h", "w1", "w2", "lo", "hi", "parts"],
+                [*(pa.array(x[one]) for x in (k1, k2, p, h, w1, w2, first, last, r)), pa.array(r[order][ends[1:] - 1]), *lists, parts],
+                ["k1", "k2", "p", "h", "w1", "w2", "first", "last", "low", "high", "k1s", "k2s", "ps", "parts"],
             )
 
+    def spread(batches):
+        for b in batches:
+            n = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            k1, k2, p = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
+            first, last = (np.repeat(b.column(i).to_numpy(), n) for i in (3, 4))
+            lo, hi = p - last, p - first + length
+            order = np.lexsort((lo, k2, k1))
+            k1, k2, lo, hi = k1[order], k2[order], lo[order], hi[order]
+            # Runs of a text that meet are one.
+            text = np.cumsum(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])) if len(lo) else lo
+            top = np.maximum.accumulate(hi + text * (1 << 40)) - text * (1 << 40) if len(lo) else hi
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (lo[1:] > top[:-1])]) if len(lo) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], k2[at], lo[at], top[np.append(at[1:], len(lo)) - 1] if len(at) else lo)], ["k1", "k2", "lo", "hi"])
+
     def strings(batches):
         for b in batches:
             data, d, p, h, at, lo, hi = _around(b.select([0, 1, 2, 3]), length)
@@ -311,13 +383,13 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
             own = pa.array(d[i])
             yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), b.column(0).take(own), b.column(1).take(own), pa.array(p[i] - o)], ["s1", "s2", "k1", "k2", "lo"])
 
-    small_batches(docs.sparkSession, 300, "2m")
-    kinds = "k1 long, k2 long, p long, h long, w1 long, w2 long, lo long, hi long, parts array<struct<part: int, g1: long, g2: long>>"
-    rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds).withColumn("r", F.xxhash64(*KEY, "p")))
-    # Text may have come twice, so places are counted, not rows.
-    kinds_of_window = rows.groupBy("w1", "w2").agg(F.min("r").alias("one"), F.max("r").alias("other"))
-    whole = rows.join(kinds_of_window.filter("one <> other"), ["w1", "w2"]).select(*KEY, "lo", "hi")
-    one_each = rows.join(kinds_of_window, ["w1", "w2"]).filter("r = one").select(*KEY, "p", "h", "w1", F.explode("parts").alias("x")).select(*KEY, "p", "h", "w1", "x.*")
+    small_batches(docs.sparkSession, 2000, "4m")
+    kinds = "k1 long, k2 long, p long, h long, w1 long, w2 long, first long, last long, low long, high long, k1s array<long>, k2s array<long>, ps array<long>, parts array<struct<part: int, g1: long, g2: long>>"
+    rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds))
+    # Text may have come twice, so places are told apart, not counted.
+    seen = rows.groupBy("w1", "w2").agg(F.min("low").alias("one"), F.max("high").alias("other"))
+    whole = rows.join(seen.filter("one <> other"), ["w1", "w2"]).select("k1s", "k2s", "ps", "first", "last").mapInArrow(trimmed(spread), "k1 long, k2 long, lo long, hi long")
+    one_each = rows.join(seen, ["w1", "w2"]).filter("low = one").select(*KEY, "p", "h", "w1", F.explode("parts").alias("x")).select(*KEY, "p", "h", "w1", "x.*")
     several = one_each.groupBy("g1", "g2").agg(F.min("w1").alias("one"), F.max("w1").alias("other")).filter("one <> other").select("g1", "g2")
     left = materialize(one_each.join(several, ["g1", "g2"]).select(*KEY, "p", "h", "part").distinct())
     release(docs.sparkSession)
@@ -332,36 +404,48 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(runs)
 
 
-def _shard(rows: list[tuple], length: int) -> pa.RecordBatch:
-    w = length - GRAM + 1
-    merged: dict = {}
-    for h, nb, text, *places in rows:
-        merged.setdefault((h, nb, text), []).append(np.stack(places))
-    # A text that came twice has its places twice.
-    merged = {x: np.unique(np.hstack(places), axis=1) for x, places in merged.items()}
-    keys = list(merged)
-    n = len(keys)
-    group = np.unique(np.array([x[0] for x in keys], dtype=np.int64), return_inverse=True)[1]
-    nb = np.array([x[1] for x in keys], dtype=np.int64)
-    size = np.array([len(x[2]) for x in keys], dtype=np.int64)
-    flat = np.frombuffer(b"".join(x[2] for x in keys), dtype=np.uint8)
-    start = np.cumsum(size) - size
+def _shard(rows: pa.Table, length: int) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    h, nb = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+    text = rows.column(2).chunk(0).cast(pa.large_binary())
+    start = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    flat, start = np.frombuffer(text.buffers()[2], dtype=np.uint8)[start[0] : start[-1]], start - start[0]
+    size = np.diff(start)
+    # Equal windows are one; the first row of each stands for it.
+    group = np.unique(h, return_inverse=True)[1]
+    w1, w2 = Sums(flat)(start[:-1], start[1:], nb, group)
+    order = np.lexsort((w2, w1, group))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]]) | (group[order[1:]] != group[order[:-1]])
+    one, kind = order[new], np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    # Their places; a text that came twice has its places twice.
+    lists = [rows.column(i).chunk(0) for i in (3, 4, 5)]
+    owner = np.repeat(kind, lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    k1, k2, p = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    order = np.lexsort((p, k2, k1, owner))
+    owner, k1, k2, p = owner[order], k1[order], k2[order], p[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (p[1:] != p[:-1])
+    owner, k1, k2, p = owner[new], k1[new], k2[new], p[new]
+    n = len(one)
+    copies = np.bincount(owner, minlength=n)
+    w, nb, size, start = length - GRAM + 1, nb[one], size[one], start[:-1][one]
     after, before = np.zeros((n, length), dtype=np.uint8), np.zeros((n, w - 1), dtype=np.uint8)
     i = np.repeat(np.arange(n), size)
-    c = np.arange(len(flat)) - np.repeat(start + nb, size)
-    after[i[c >= 0], c[c >= 0]] = flat[c >= 0]
-    before[i[c < 0], -1 - c[c < 0]] = flat[c < 0]
-    copies = np.array([merged[x].shape[1] for x in keys], dtype=np.int64)
-    found = repeated(group, before, nb, after, size - nb, copies)
-    # Runs of neighbouring starts: the string from the largest offset to the smallest.
+    c = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+    raw = flat[start[i] + c]
+    c -= nb[i]
+    after[i[c >= 0], c[c >= 0]] = raw[c >= 0]
+    before[i[c < 0], -1 - c[c < 0]] = raw[c < 0]
+    found = repeated(group[one], before, nb, after, size - nb, copies)
+    # Runs of neighbouring starts: the string from the largest offset to the smallest, at each place.
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    out = [np.zeros((4, 0), np.int64)]
-    for r, a, z in zip(row.tolist(), first.tolist(), last.tolist()):
-        k1, k2, p = merged[keys[r]]
-        out.append(np.stack([k1, k2, p - z, p - a + length]))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(out)], ["k1", "k2", "lo", "hi"])
+    times, begin = copies[row], (np.cumsum(copies) - copies)[row]
+    at = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], k2[at], p[at] - np.repeat(last, times), p[at] - np.repeat(first, times) + length)], ["k1", "k2", "lo", "hi"])
 
 
 def repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
@@ -369,16 +453,20 @@ def repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     cut = windows(docs, marked, length)
 
     def match(batches):
-        rows: list[tuple] = []
+        held, n = [], 0
         for b in batches:
-            lists = b.columns[3:6]
-            for i, (h, nb, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
-                if len(rows) >= SHARD and h != rows[-1][0]:
-                    yield _shard(rows, length)
-                    rows = []
-                rows.append((h, nb, text, *(x[i].values.to_numpy() for x in lists)))
-        if rows:
-            yield _shard(rows, length)
+            if not b.num_rows:
+                continue
+            h = b.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1], "left"))  # the batch's last group may go on
+            if held and (n >= SHARD or n + last >= SHARD) and (last or held[-1].column(0)[-1].as_py() != h[0]):
+                held.append(b.slice(0, last))
+                yield _shard(pa.Table.from_batches(held), length)
+                held, n, b = [], 0, b.slice(last)
+            held.append(b)
+            n += b.num_rows
+        if held:
+            yield _shard(pa.Table.from_batches(held), length)
 
     return cut.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(match), "k1 long, k2 long, lo long, hi long")
 
