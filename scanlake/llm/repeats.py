@@ -17,9 +17,11 @@ backwards and length - o forwards: small groups are settled by pairs, others by
 
 An anchor with more than HOT places is in no shard. Its windows are counted by a
 128-bit hash, equal ones of a batch as one: one that occurs twice is repeated
-throughout, and one of each kind goes on. Those are told apart by the hashes of what strings of neighbouring offsets share,
-and what is left, by the hash of each string. So no window meets all others of its
-anchor in one task, and results come back by joins whose other side is unique.
+throughout, and one of each kind goes on. Of RANGE neighbouring offsets the strings share some bytes and cover others: if no
+other window shares the former, none of them is repeated; if one shares the latter,
+all are; what is left is told apart by the hash of each string. So no window meets all
+others of its anchor in one task, and results come back by joins whose other side is
+unique.
 
 Equal texts are one text, named by 128 bits of its hash: each task passes one on, and
 one of `length` bytes or more that occurs twice is repeated throughout. Places are
@@ -50,7 +52,7 @@ GRAM = 32
 #: Windows of a shard, or a few more: those of an anchor stay together.
 SHARD = 8192
 #: Places of an anchor beyond which its windows are compared by hashes.
-HOT = 1 << 14
+HOT = 2048
 #: Windows of a group that is settled by pairs.
 PAIRS = 32
 #: Offsets that are told apart together there.
@@ -322,13 +324,14 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     """k1, k2, lo, hi: the repeated runs around anchors with many places."""
     w = length - GRAM + 1
 
-    def offsets_of(at, lo, hi):
-        return np.maximum(0, length - (hi - at)), np.minimum(at - lo, w - 1)
-
     def describe(batches):
+        """A row for each distinct window of a batch: the least of its places, all of
+        them, and for each range of offsets the hashes of shared and covered bytes."""
         for b in batches:
+            if not b.num_rows:
+                continue
             data, d, p, h, at, lo, hi = _around(b, length)
-            first, last = offsets_of(at, lo, hi)
+            first, last = np.maximum(0, length - (hi - at)), np.minimum(at - lo, w - 1)
             keep = first <= last
             d, p, h, at, lo, hi, first, last = (x[keep] for x in (d, p, h, at, lo, hi, first, last))
             k1, k2, sums = b.column(0).to_numpy()[d], b.column(1).to_numpy()[d], Sums(data)
@@ -339,69 +342,84 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
             new[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
             one, ends = order[new], np.append(np.flatnonzero(new), len(order)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in (k1, k2, p)]
-            part, g1, g2, owner = [], [], [], []
-            for a in range(0, w, RANGE):
-                z = min(a + RANGE, w)
-                own = np.flatnonzero(np.maximum(first[one], a) < np.minimum(last[one] + 1, z))
-                k = one[own]
-                x1, x2 = sums(at[k] - a, at[k] + length - z + 1, h[k], np.full(len(k), a))
-                for held, x in ((part, np.full(len(k), a, np.int32)), (g1, x1), (g2, x2), (owner, own)):
-                    held.append(x)
-            part, g1, g2, owner = (np.concatenate(x) for x in (part, g1, g2, owner))
-            by = np.argsort(owner, kind="stable")
-            parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[by], np.arange(len(one) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x[by]) for x in (part, g1, g2)], ["part", "g1", "g2"]))
+            own, a = np.divmod(np.arange(len(one) * -(-w // RANGE)), -(-w // RANGE))
+            a *= RANGE
+            k = one[own]
+            x, y = np.maximum(first[k], a), np.minimum(last[k], np.minimum(a + RANGE, w) - 1)
+            own, a, k, x, y = (v[x <= y] for v in (own, a, k, x, y))
+            z = np.minimum(a + RANGE, w)
+            shared, covered = sums(at[k] - a, at[k] + length - z + 1, h[k], a), sums(at[k] - y, at[k] + length - x, h[k], x, y)
+            parts = pa.StructArray.from_arrays([pa.array(v) for v in (*shared, *covered, x, y)], ["g1", "g2", "o1", "o2", "x", "y"])
+            parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(one) + 1)).astype(np.int32)), parts)
+            raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[one]) for x in (k1, k2, p, h, w1, w2, first, last, r)), pa.array(r[order][ends[1:] - 1]), *lists, parts],
-                ["k1", "k2", "p", "h", "w1", "w2", "first", "last", "low", "high", "k1s", "k2s", "ps", "parts"],
+                [
+                    *(pa.array(v[one]) for v in (k1, k2, p, h, w1, w2, at - lo, first, last, r)), pa.array(r[order][ends[1:] - 1]), *lists, parts,
+                    pa.array([raw[i:j] for i, j in zip(lo[one].tolist(), hi[one].tolist())], pa.binary()),
+                ],
+                ["k1", "k2", "p", "h", "w1", "w2", "n_before", "first", "last", "low", "high", "k1s", "k2s", "ps", "parts", "window"],
             )
 
     def spread(batches):
+        """All places of windows that are repeated throughout; runs of a text that meet are one."""
         for b in batches:
             n = b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not n.sum():
+                continue
             k1, k2, p = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
             first, last = (np.repeat(b.column(i).to_numpy(), n) for i in (3, 4))
             lo, hi = p - last, p - first + length
             order = np.lexsort((lo, k2, k1))
             k1, k2, lo, hi = k1[order], k2[order], lo[order], hi[order]
-            # Runs of a text that meet are one.
-            text = np.cumsum(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])) if len(lo) else lo
-            top = np.maximum.accumulate(hi + text * (1 << 40)) - text * (1 << 40) if len(lo) else hi
-            new = np.concatenate([[True], (text[1:] != text[:-1]) | (lo[1:] > top[:-1])]) if len(lo) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], k2[at], lo[at], top[np.append(at[1:], len(lo)) - 1] if len(at) else lo)], ["k1", "k2", "lo", "hi"])
+            text = np.cumsum(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+            top = np.maximum.accumulate(hi + (text << 40)) - (text << 40)
+            at = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (lo[1:] > top[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], k2[at], lo[at], top[np.append(at[1:], len(lo)) - 1])], ["k1", "k2", "lo", "hi"])
 
     def strings(batches):
         for b in batches:
-            data, d, p, h, at, lo, hi = _around(b.select([0, 1, 2, 3]), length)
-            first, last = offsets_of(at, lo, hi)
-            a = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            first, last = np.maximum(first, a), np.minimum(last, a + RANGE - 1)
-            n = np.maximum(last - first + 1, 0)
-            i = np.repeat(np.arange(len(p)), n)
-            o = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            s1, s2 = Sums(data)(at[i] - o, at[i] - o + length, h[i], o)
-            own = pa.array(d[i])
-            yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), b.column(0).take(own), b.column(1).take(own), pa.array(p[i] - o)], ["s1", "s2", "k1", "k2", "lo"])
+            if not b.num_rows:
+                continue
+            window = b.column(5).cast(pa.large_binary())
+            begin = np.frombuffer(window.buffers()[1], dtype=np.int64)[window.offset : window.offset + len(window) + 1]
+            data, begin = np.frombuffer(window.buffers()[2], dtype=np.uint8)[begin[0] : begin[-1]], begin - begin[0]
+            parts = b.column(6)
+            d = np.repeat(np.arange(b.num_rows), parts.value_lengths().to_numpy(zero_copy_only=False))
+            x, y = (parts.flatten().field(i).to_numpy() for i in range(2))
+            n = y - x + 1
+            o = np.repeat(x, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            d = np.repeat(d, n)
+            at = begin[d] + b.column(4).to_numpy()[d] - o
+            s1, s2 = Sums(data)(at, at + length, b.column(3).to_numpy()[d], o)
+            own = pa.array(d)
+            yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), b.column(0).take(own), b.column(1).take(own), pa.array(b.column(2).to_numpy()[d] - o)], ["s1", "s2", "k1", "k2", "lo"])
 
     small_batches(docs.sparkSession, 2000, "4m")
-    kinds = "k1 long, k2 long, p long, h long, w1 long, w2 long, first long, last long, low long, high long, k1s array<long>, k2s array<long>, ps array<long>, parts array<struct<part: int, g1: long, g2: long>>"
+    kinds = (
+        "k1 long, k2 long, p long, h long, w1 long, w2 long, n_before long, first long, last long, low long, high long, k1s array<long>, k2s array<long>, ps array<long>, "
+        "parts array<struct<g1: long, g2: long, o1: long, o2: long, x: long, y: long>>, window binary"
+    )
     rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds))
-    # Text may have come twice, so places are told apart, not counted.
+    # A text may have come twice, so places are told apart, not counted.
     seen = rows.groupBy("w1", "w2").agg(F.min("low").alias("one"), F.max("high").alias("other"))
-    whole = rows.join(seen.filter("one <> other"), ["w1", "w2"]).select("k1s", "k2s", "ps", "first", "last").mapInArrow(trimmed(spread), "k1 long, k2 long, lo long, hi long")
-    one_each = rows.join(seen, ["w1", "w2"]).filter("low = one").select(*KEY, "p", "h", "w1", F.explode("parts").alias("x")).select(*KEY, "p", "h", "w1", "x.*")
-    several = one_each.groupBy("g1", "g2").agg(F.min("w1").alias("one"), F.max("w1").alias("other")).filter("one <> other").select("g1", "g2")
-    left = materialize(one_each.join(several, ["g1", "g2"]).select(*KEY, "p", "h", "part").distinct())
+    both = materialize(rows.join(seen, ["w1", "w2"]))
+    drop_table(rows)
     release(docs.sparkSession)
-    small_batches(docs.sparkSession, 300, "2m")
-    marks = left.groupBy(*KEY).agg(F.collect_list(F.struct("p", "h", "part")).alias("m"))  # of one text
-    same = lambda k1, k2, texts: pa.RecordBatch.from_arrays([k1, k2, texts], ["k1", "k2", "text"])
-    texts = long_texts(docs, length, same, "k1 long, k2 long, text string").join(marks, KEY)
-    texts = texts.select(*KEY, "text", F.transform("m", lambda x: F.struct(x["p"], x["h"])).alias("marks"), F.transform("m", lambda x: x["part"]).alias("parts"))
-    found = materialize(texts.mapInArrow(trimmed(strings), "s1 long, s2 long, k1 long, k2 long, lo long").withColumn("r", F.xxhash64(*KEY, "lo")))
+    whole = both.filter("one <> other").select("k1s", "k2s", "ps", "first", "last").mapInArrow(trimmed(spread), "k1 long, k2 long, lo long, hi long")
+    single = both.filter("low = one")
+    parts = single.select("w1", "w2", *KEY, "p", F.explode("parts").alias("v")).select("w1", "w2", *KEY, "p", "v.*")
+    shared = parts.groupBy("g1", "g2").agg(F.min("w1").alias("a"), F.max("w1").alias("b")).filter("a <> b").select("g1", "g2")
+    covered = parts.groupBy("o1", "o2").agg(F.min("w1").alias("lead"), F.max("w1").alias("b")).filter("lead <> b").select("o1", "o2", "lead")
+    left = materialize(parts.join(shared, ["g1", "g2"]).join(covered, ["o1", "o2"], "left").select("w1", "w2", *KEY, "p", "x", "y", "lead"))
+    release(docs.sparkSession)
+    runs = left.filter("lead is not null").select(*KEY, (F.col("p") - F.col("y")).alias("lo"), (F.col("p") - F.col("x") + length).alias("hi"))
+    # The rest, and of each kind of repeated ranges one.
+    open_ = left.filter("lead is null or lead = w1").groupBy("w1", "w2").agg(F.collect_list(F.struct("x", "y")).alias("ranges"))  # at most a window's ranges
+    rest = single.join(open_, ["w1", "w2"]).select(*KEY, "p", "h", "n_before", "window", "ranges")
+    found = materialize(rest.mapInArrow(trimmed(strings), "s1 long, s2 long, k1 long, k2 long, lo long").withColumn("r", F.xxhash64(*KEY, "lo")))
     twice = found.groupBy("s1", "s2").agg(F.min("r").alias("one"), F.max("r").alias("other")).filter("one <> other").select("s1", "s2")
-    runs = found.join(twice, ["s1", "s2"]).select(*KEY, "lo", (F.col("lo") + length).alias("hi"))
-    return whole.unionByName(runs)
+    more = found.join(twice, ["s1", "s2"]).select(*KEY, "lo", (F.col("lo") + length).alias("hi"))
+    return whole.unionByName(runs).unionByName(more)
 
 
 def _shard(rows: pa.Table, length: int) -> pa.RecordBatch:
