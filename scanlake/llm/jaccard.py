@@ -19,8 +19,10 @@ compared exactly. So a group of copies costs about as many comparisons as member
 
 Defined cases: null or wordless text: empty set, linked with nothing, its own
 component. Fewer words than a shingle: the whole sequence is one. Rows that repeat
-a doc_id are one node. A null doc_id has a null component. Other columns are not
-read.
+a doc_id are one node, which has the links of all their texts. A null doc_id has a
+null component. Long texts are whole sets; one beyond a block is a block of its own.
+Sets that tie in order and size are ordered by id. An empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -64,6 +66,11 @@ def prefix(s: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
     return s[order[frequency[order] > 1]]
 
 
+def _names(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """128 bits of each set."""
+    return [signed(np.array([mix64(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)) for c in (1, 0xABCDEF)]
+
+
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2: the size of each set and 128 bits of it."""
     small_batches(docs.sparkSession, 1000)
@@ -71,8 +78,7 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1), n)
-            f = [np.array([mix64(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64) for c in (1, 0xABCDEF)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f[0])), pa.array(signed(f[1]))], ["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _names(sets))], ["doc_id", "n_shingles", "f1", "f2"])
 
     return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, f1 long, f2 long")
 
@@ -261,7 +267,8 @@ class Trees:
 
 def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links that span the components of each unit's sets. `members`: doc_id,
-    unit, n_shingles of one document per class, in units of two or more."""
+    unit, n_shingles, f1, f2 of one document per class, in units of two or more. A
+    doc_id that has several texts may stand for several classes."""
     spark = docs.sparkSession
     # Blocks by size: how much lies before a size is summed per (unit, size), not per document.
     from pyspark.sql import Window
@@ -271,7 +278,7 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
     by_size = by_size.withColumn("before", F.sum("own").over(order) - F.col("own"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     placed = members.join(by_size, ["unit", "n_shingles"]).withColumn("block", F.floor((F.col("before") + spread * F.col("own")) / BLOCK))
-    placed = materialize(placed.select("doc_id", "unit", "block", "n_shingles"))
+    placed = materialize(placed.select("doc_id", "unit", "block", "n_shingles", "f1", "f2"))
     tops = placed.groupBy("unit", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     left, right = tops.select("unit", F.col("block").alias("i"), F.col("high").alias("hi")), tops.select("unit", F.col("block").alias("j"), F.col("low").alias("lo"))
     pairs = left.join(right, "unit").filter((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent)).select("unit", "i", "j")
@@ -280,10 +287,13 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
 
     def pack(batches):
         for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(b.column(1), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], ["doc_id", "unit", "block", "set"])
+            sets = shingle_sets(b.column(1), n)
+            own = [x.to_numpy() for x in b.columns[4:]]
+            kept = pa.array(np.flatnonzero(np.all([f == x for f, x in zip(_names(sets), own)], axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(2).take(kept), b.column(3).take(kept), pa.array([sets[i].tobytes() for i in kept.to_pylist()], pa.binary())], ["doc_id", "unit", "block", "set"])
 
-    texts = docs.join(placed.select("doc_id", "unit", "block"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "unit", "block")
+    texts = docs.join(placed.select("doc_id", "unit", "block", "f1", "f2"), "doc_id").withColumn("h", F.xxhash64("text"))
+    texts = texts.dropDuplicates(["doc_id", "f1", "f2", "h"]).select("doc_id", "text", "unit", "block", "f1", "f2")
     dealt = texts.mapInArrow(trimmed(pack), "doc_id long, unit long, block long, set binary").join(sides, ["unit", "block"])
 
     def run(table):
@@ -312,7 +322,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     known = base.filter("n_shingles > 0 and doc_id is not null").join(units, "doc_id")
     classes = materialize(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("unit").alias("unit")))
     several = classes.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
-    members = classes.join(several, "unit").select(F.col("rep").alias("doc_id"), "unit", "n_shingles")
+    members = classes.join(several, "unit").select(F.col("rep").alias("doc_id"), "unit", "n_shingles", "f1", "f2")
     found = links(docs, members, n, percent)
     copies = known.join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = connected_components(found.unionByName(copies))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import read, small_batches, text_bytes, trimmed
+from scanlake.llm.common import materialize, read, small_batches, text_bytes, trimmed
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
@@ -194,9 +194,12 @@ def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, sample_bytes:
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.withColumns({"h": F.xxhash64("lang", "text"), "g": F.xxhash64("text", "lang")})
     # A row for each text, combined in each task; each task keeps its first ones.
-    sized = rows.groupBy("lang", "h", "g").agg(F.min(F.octet_length("text")).cast("long").alias("n"))
+    sized = materialize(rows.groupBy("lang", "h", "g").agg(F.min(F.octet_length("text")).cast("long").alias("n")))
     order = Window.partitionBy("lang").orderBy("h", "g")
-    first = sized.filter(F.col("n") <= sample_bytes).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
+    # Hashes of distinct texts are spread evenly: what can't be among the first goes before they meet.
+    counts = {r.lang: r.n for r in sized.filter(F.col("n") <= sample_bytes).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    near = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(2.0**63 * (min(2.0, 2.0 * (sample_docs + 10 * sample_docs**0.5 + 10) / n) - 1) * (1 - 1e-15))))) if counts else F.lit(None).cast("map<string,long>")
+    first = sized.filter((F.col("n") <= sample_bytes) & (F.col("h") <= near[F.col("lang")])).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     chosen, size = {}, {}
     for r in first.orderBy("lang", "k").collect():  # at most sample_docs a language
         size[r.lang] = size.get(r.lang, 0) + r.n

@@ -267,10 +267,12 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(signed(h)), k1.take(own), k2.take(own), pa.array((p - offsets[d]).astype(np.int32))], ["h", "k1", "k2", "p"])
 
     places = materialize(long_texts(docs, length, mark, "h long, k1 long, k2 long, p int"))
-    shared = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # As a table of its own, so that Spark may split the places of a hot gram between tasks.
+    shared = materialize(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     # A text that several tasks have passed on has its places several times.
     marked = materialize(places.join(shared, "h").select(*KEY, "p", "h", "n").distinct())
     drop_table(places)
+    drop_table(shared)
     return marked
 
 
@@ -401,7 +403,7 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     )
     rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds))
     # A text may have come twice, so places are told apart, not counted.
-    seen = rows.groupBy("w1", "w2").agg(F.min("low").alias("one"), F.max("high").alias("other"))
+    seen = materialize(rows.groupBy("w1", "w2").agg(F.min("low").alias("one"), F.max("high").alias("other")))
     both = materialize(rows.join(seen, ["w1", "w2"]))
     drop_table(rows)
     release(docs.sparkSession)
