@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last
 keep the columns of `documents`. Between stages the rows are written as Parquet in
 the shared folder and read again, so a lost executor costs one stage at most.
+
+Defined cases, for all stages: null doc_id, lang or source are values like any other;
+null and empty texts go with the first stage, as none has a letter; texts of any length
+are handled whole; rows that repeat are copies, of which the second stage keeps one;
+an empty table stays empty, as does one without labels (no language is learnt, so all
+go). An empty benchmark removes nothing. Columns beyond those of `documents` are handed
+on, whatever their names, but for names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -48,7 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a benchmark item occurs, exactly or edited."""
+    """Drop documents in which a benchmark item occurs, exactly or edited. Items that
+    are null or wordless occur nowhere; rows are told apart by doc_id, text and source."""
     rows = keyed(docs)
     hit = decontamination.find(rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
     hit = hit.select(F.col("doc_id").alias("__id")).distinct()
@@ -56,8 +64,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents as the mix takes them: a row for each pass over the stream
-    of its source in which the mix takes more than half of the document's words."""
+    """Repeat documents as the mix takes them: a row for each pass over the stream of
+    its source that takes the document, whole. The one document of a source at which
+    its target ends counts as taken if more than half of its words are. A source without
+    words gives nothing."""
     rows = keyed(docs)
     pieces, sized = mixing.schedule(rows.select(F.col("__row").alias("doc_id"), "source", "text"))
     taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
@@ -68,8 +78,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token store and return what it holds of each document."""
-    return token_store.store(docs, remember=200_000)  # workers hold what earlier stages left
+    """Write the token store and return what it holds of each document, a row for each
+    row of the mix."""
+    return token_store.store(docs, remember=200_000, batch="2m")  # workers hold what earlier stages left
 
 
 STAGES = [
