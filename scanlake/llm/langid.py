@@ -34,7 +34,7 @@ from scanlake.llm.common import materialize, read, small_batches, text_bytes, tr
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
-SAMPLE_BYTES = 100_000
+SAMPLE_BYTES = 40_000
 #: Bytes of a segment of a text.
 SEGMENT = 1024
 
@@ -132,7 +132,8 @@ class Parser:
             starts[at[:n] + i] = code & 1
             row[:n] = code >> 1
         # From the last phrase of each segment on: where it meets the next one's own, and the phrases until there.
-        upto = np.concatenate([[0], np.cumsum(starts[:-1])])
+        upto = np.zeros(len(starts), dtype=np.int32)
+        np.cumsum(starts[:-1], out=upto[1:])
         last = np.searchsorted(upto, upto[end], "left") - 1  # the last start before `end`
         follow = np.flatnonzero(np.append(text[1:] == text[:-1], False))
         meet, extra = self._follow(table, kinds, starts, last[follow], end[follow], offsets[1:][text[follow]])
@@ -226,7 +227,7 @@ def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, sample_
     rows = docs.select(*names)
     sent = spark.sparkContext.broadcast(model)  # bounded by sample_bytes a language
     at = names.index("text")
-    small_batches(spark, 2000, "4m")
+    small_batches(spark, 1000, "2m")
 
     def run(batches):
         parser = Parser(sent.value) if sent.value else None
