@@ -132,7 +132,9 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, shingles: int) -> Dat
         everything = np.concatenate(sets) >> np.uint64(drop) << np.uint64(drop)
         frequency = total[np.unique(everything, return_inverse=True)[1]] if len(everything) else total
         cut = np.cumsum([0, *map(len, sets)]).tolist()
-        own = [prefix(s, frequency[a:z], percent) if len(s) else s for s, a, z in zip(sets, cut, cut[1:])]
+        one = np.zeros(len(sets), dtype=bool)  # of equal sets, one signs
+        one[np.unique(np.stack(_names(sets), axis=1), axis=0, return_index=True)[1]] = True
+        own = [prefix(s, frequency[a:z], percent) if len(s) and x else s[:0] for s, x, a, z in zip(sets, one, cut, cut[1:])]
         sig, doc, edges = _least_per_key(np.concatenate(own), np.repeat(ids, [len(x) for x in own]))
         bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(sig))
@@ -266,9 +268,9 @@ class Trees:
 
 
 def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links that span the components of each unit's sets. `members`: doc_id,
-    unit, n_shingles, f1, f2 of one document per class, in units of two or more. A
-    doc_id that has several texts may stand for several classes."""
+    """a, b: links that span the components of each unit's sets, as names `rep`.
+    `members`: rep, doc_id, unit, n_shingles, f1, f2 of one document per class, in
+    units of two or more. A doc_id with several texts may stand for several classes."""
     spark = docs.sparkSession
     # Blocks by size: how much lies before a size is summed per (unit, size), not per document.
     from pyspark.sql import Window
@@ -278,7 +280,7 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
     by_size = by_size.withColumn("before", F.sum("own").over(order) - F.col("own"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     placed = members.join(by_size, ["unit", "n_shingles"]).withColumn("block", F.floor((F.col("before") + spread * F.col("own")) / BLOCK))
-    placed = materialize(placed.select("doc_id", "unit", "block", "n_shingles", "f1", "f2"))
+    placed = materialize(placed.select("rep", "doc_id", "unit", "block", "n_shingles", "f1", "f2"))
     tops = placed.groupBy("unit", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     left, right = tops.select("unit", F.col("block").alias("i"), F.col("high").alias("hi")), tops.select("unit", F.col("block").alias("j"), F.col("low").alias("lo"))
     pairs = left.join(right, "unit").filter((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent)).select("unit", "i", "j")
@@ -288,12 +290,13 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
     def pack(batches):
         for b in batches:
             sets = shingle_sets(b.column(1), n)
-            own = [x.to_numpy() for x in b.columns[4:]]
+            own = [x.to_numpy() for x in b.columns[4:6]]
             kept = pa.array(np.flatnonzero(np.all([f == x for f, x in zip(_names(sets), own)], axis=0)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(2).take(kept), b.column(3).take(kept), pa.array([sets[i].tobytes() for i in kept.to_pylist()], pa.binary())], ["doc_id", "unit", "block", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(6).take(kept), b.column(2).take(kept), b.column(3).take(kept), pa.array([sets[i].tobytes() for i in kept.to_pylist()], pa.binary())], ["doc_id", "unit", "block", "set"])
 
-    texts = docs.join(placed.select("doc_id", "unit", "block", "f1", "f2"), "doc_id").withColumn("h", F.xxhash64("text"))
-    texts = texts.dropDuplicates(["doc_id", "f1", "f2", "h"]).select("doc_id", "text", "unit", "block", "f1", "f2")
+    # Merged at any size: one class in a few documents is no side to broadcast.
+    texts = docs.join(placed.select("rep", "doc_id", "unit", "block", "f1", "f2").hint("merge"), "doc_id").withColumn("h", F.xxhash64("text"))
+    texts = texts.dropDuplicates(["doc_id", "f1", "f2", "h"]).select("doc_id", "text", "unit", "block", "f1", "f2", "rep")
     dealt = texts.mapInArrow(trimmed(pack), "doc_id long, unit long, block long, set binary").join(sides, ["unit", "block"])
 
     def run(table):
@@ -318,16 +321,22 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     units = connected_components(candidate_edges(docs, n, percent, shingles)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
     units = materialize(units)
     release(docs.sparkSession)
-    # Equal sets share all signatures, so a class lies in one unit.
-    known = base.filter("n_shingles > 0 and doc_id is not null").join(units, "doc_id")
-    classes = materialize(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("unit").alias("unit")))
-    several = classes.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
-    members = classes.join(several, "unit").select(F.col("rep").alias("doc_id"), "unit", "n_shingles", "f1", "f2")
-    found = links(docs, members, n, percent)
-    copies = known.join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = connected_components(found.unionByName(copies))
-    out = base.join(labels, base.doc_id == labels.node, "left")
-    return out.select(base.doc_id, "n_shingles", F.coalesce("label", base.doc_id).alias("component_id"))
+    # A class of equal sets goes by its smallest doc_id; each lies in one unit, as its members share all signatures.
+    name = ["n_shingles", "f1", "f2"]
+    known = base.filter("n_shingles > 0 and doc_id is not null")
+    classes = materialize(known.groupBy(*name).agg(F.min("doc_id").alias("rep")))
+    placed = known.join(units, "doc_id").groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.min("unit").alias("unit"))
+    members = materialize(classes.join(placed, name))
+    several = members.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
+    found = links(docs, members.join(several, "unit"), n, percent)
+    # A doc_id with several texts ties their classes.
+    mixed = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select("doc_id")
+    ties = known.join(mixed, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = materialize(connected_components(found.unionByName(ties)))
+    named = materialize(classes.join(labels, classes.rep == labels.node, "left").select(*name, F.coalesce("label", "rep").alias("own")))
+    full = base.filter("n_shingles > 0").join(named, name, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("own")).alias("component_id"))
+    empty = base.filter("n_shingles = 0").join(labels, base.doc_id == labels.node, "left").select(base.doc_id, "n_shingles", F.coalesce("label", base.doc_id).alias("component_id"))
+    return full.unionByName(empty)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,10 +129,10 @@ def test_a_doc_id_with_several_texts_has_the_links_of_all(make):
     rng = random.Random(4)
     text = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(40))
     a, b, c = text(), text(), text()
-    rows = [(1, a), (5, a + " end"), (5, b + " end"), (2, b), (7, c), (8, b.upper()), (5, text())]
+    rows = [(1, a), (5, a + " end"), (5, b + " end"), (2, b), (7, c), (8, b.upper()), (5, text()), (5, ""), (9, c), (7, None), (10, text()), (10, "")]
     for order in (rows, rows[::-1]):
         got = {(r.doc_id, r.component_id) for r in jaccard.components(make(order).repartition(3), 3, 90).collect()}
-        assert got == {(1, 1), (2, 1), (5, 1), (8, 1), (7, 7)}
+        assert got == {(1, 1), (2, 1), (5, 1), (8, 1), (7, 7), (9, 7), (10, 10)}
 
 
 def test_trees_compare_few_pairs_of_a_group_of_copies():
