@@ -8,7 +8,6 @@ that are joined as dimensions.
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import TAU, c, wrap
+from scanlake.operators.firing import FIRING_NS
 
 
 @dataclass(frozen=True)
@@ -228,11 +228,16 @@ def block_offset_ns(model: str, block, n_returns) -> Column:
 
 
 def channel_offset_ns(model: str, channel) -> Column:
-    """Nanoseconds from a block to a channel, for models whose channels fire in order."""
+    """Nanoseconds from a block to a channel: by a rule where channels fire in order,
+    else from the model's table."""
     ch = c(channel).cast("long")
     # Fixed values.
-    table = {"PandarXT16": lambda: 368 + 3024 * ch, "PandarXT32": lambda: 368 + 1512 * ch, "PandarXT32M": lambda: 368 + 2888 * (ch % 16)}
-    return table[model]() if model in table else F.lit(0).cast("long")
+    rule = {"PandarXT16": lambda: 368 + 3024 * ch, "PandarXT32": lambda: 368 + 1512 * ch, "PandarXT32M": lambda: 368 + 2888 * (ch % 16)}
+    if model in rule:
+        return rule[model]()
+    if model not in FIRING_NS:
+        raise ValueError(f"no channel times of {model}")
+    return F.element_at(F.array(*(F.lit(x).cast("long") for x in FIRING_NS[model])), (ch + 1).cast("int"))
 
 
 def point_time(units: DataFrame, model: str) -> DataFrame:

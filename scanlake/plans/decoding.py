@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanlake.functions.binary import crc8_h2f, crc16, hex_le, yuv_rgb
 from scanlake.functions.geometry import c, in_arc, out4
 from scanlake.operators import decode as D
+from scanlake.operators.firing import BLOCKS, FIRING_NS
 from scanlake.plans.registry import query
 
 _N = "CASE WHEN return_mode IN (51, 52, 55, 56) THEN 1 WHEN return_mode = 61 THEN 3 ELSE 2 END"
@@ -142,13 +143,27 @@ _OFF = {
 }
 
 
-@query("d18_time_offsets", " UNION ALL ".join(f"SELECT '{m}' AS model, packet_id, block, channel, CAST({e} AS BIGINT) AS offset_ns FROM (SELECT *, {_N} AS n FROM units_li WHERE block < 2)" for m, e in _OFF.items()))
+def _fired(model: str) -> str:
+    return f"[{', '.join(map(str, FIRING_NS[model]))}][channel + 1]" if model in FIRING_NS else "0"
+
+
+def _channels(model: str) -> int:
+    return len(FIRING_NS.get(model, range(32)))
+
+
+# Blocks of each model's own packets; channels are spread over all that the model has.
+_D18 = """SELECT '{m}' AS model, packet_id, block, channel, CAST({e} + {f} AS BIGINT) AS offset_ns FROM
+ (SELECT packet_id, block, CAST((channel * 5 + block * 32 + packet_id) % {n_ch} AS INT) AS channel, {n} AS n FROM units_li WHERE block < {blocks})"""
+
+
+@query("d18_time_offsets", " UNION ALL ".join(_D18.format(m=m, e=e, f=_fired(m), n_ch=_channels(m), n=_N, blocks=BLOCKS[m]) for m, e in _OFF.items()))
 def d18(v):
-    u = v.units_li().filter("block < 2").join(F.broadcast(D.return_modes(v.spark)), "return_mode")
-    each = [u.select(F.lit(m).alias("model"), "packet_id", "block", "channel", (D.block_offset_ns(m, "block", "n_returns") + D.channel_offset_ns(m, "channel")).alias("offset_ns")) for m in _OFF]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
+    u = v.units_li().join(F.broadcast(D.return_modes(v.spark)), "return_mode")
+    out = None
+    for m in _OFF:
+        own = u.filter(c("block") < BLOCKS[m]).withColumn("channel", ((c("channel") * 5 + c("block") * 32 + c("packet_id")) % _channels(m)).cast("int"))
+        own = own.select(F.lit(m).alias("model"), "packet_id", "block", "channel", (D.block_offset_ns(m, "block", "n_returns") + D.channel_offset_ns(m, "channel")).alias("offset_ns"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 

@@ -318,6 +318,20 @@ def test_grid_filter_equals_the_plain_rules(spark, seed):
     assert min(sum(v == k for v in got.values()) for k in ("ground", "obstacle")) > 300
 
 
+@pytest.mark.parametrize("model,block,channel,n,want", [
+    ("Pandar40P", 9, 0, 1, -28_580 - 42_220), ("Pandar40P", 0, 39, 2, -28_580 - 4 * 55_560 - 3_620), ("Pandar64", 5, 63, 1, -42_580 - 12_748),
+    ("PandarQT64", 3, 55, 1, 25_710 + 500_000 + 12_960), ("PandarAT128", 1, 127, 1, -9_249 - 41_666 + 8_264), ("PandarXT32", 7, 31, 1, 5_632 + 368 + 1_512 * 31),
+])
+def test_times_of_channels(spark, model, block, channel, n, want):
+    offset = decode.block_offset_ns(model, F.lit(block), F.lit(n)) + decode.channel_offset_ns(model, F.lit(channel))
+    assert one(spark.range(1).select(offset)) == want
+
+
+def test_models_without_times_are_named():
+    with pytest.raises(ValueError, match="Helios"):
+        decode.channel_offset_ns("Helios", 0)
+
+
 def test_greedy_merge_restarts(spark):
     p = points(spark, [(0, 0, 0), (1, 0, 0), (1.8, 0, 0), (9, 0, 0)]).withColumn("cluster_id", F.col("point_idx").cast("int"))
     r = {x.cluster_id: x.merged_id for x in clustering.merge_greedily(p, 1.4).collect()}
