@@ -9,20 +9,14 @@ from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import c
 from scanlake.operators.aggregates import aabb, centroids, cluster_quality, range_image, relabel
-from scanlake.operators.components import connected_components
+from scanlake.operators.components import components_of_frames
 from scanlake.operators.joins import neighbours
 
-#: Points of a frame are fewer.
-_FRAME = 1 << 40
-
 
 def _components(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """frame_id, point_idx, label: the smallest index of each point's component.
-    Frames share one run: a node is a frame's number and a point's index."""
-    node = lambda k: c("frame_id").cast("long") * _FRAME + c(k)
-    labels = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
-    own = points.select("frame_id", "point_idx").withColumn("node", node("point_idx")).join(labels, "node", "left")
-    return own.select("frame_id", "point_idx", F.coalesce(c("label") - c("frame_id").cast("long") * _FRAME, "point_idx").alias("label"))
+    """frame_id, point_idx, label: the smallest index of each point's component."""
+    labels = components_of_frames(edges)
+    return points.select("frame_id", "point_idx").join(labels, ["frame_id", "point_idx"], "left").select("frame_id", "point_idx", F.coalesce("label", "point_idx").alias("label"))
 
 
 def euclidean(points: DataFrame, tolerance: float, min_size: int = 1, max_size: int = 1 << 30, voxel: float | None = None) -> DataFrame:

@@ -6,10 +6,15 @@ grouped minimum, combined in each task, and is joined back to its edges, a join
 whose one side has unique keys, so a hub's edges can be split among tasks. Each
 round is written to the shared folder. The number of rounds grows with the
 logarithm of the longest path.
+
+Graphs that fall into many bounded ones, as the points of frames do, need no rounds:
+each is settled in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -50,3 +55,35 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = mark.get
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges a-b, ascending, and for each the smallest of its
+    component: trees hook on to smaller ones and are flattened, all at once."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+    return nodes, nodes[root]
+
+
+def components_of_frames(edges: DataFrame) -> DataFrame:
+    """frame_id, point_idx, label of every point that has an edge (frame_id, a, b) to
+    another: the smallest index of its component. A frame is one scan, which bounds a
+    task."""
+    kind = edges.schema["frame_id"].dataType
+
+    def settle(frame):
+        nodes, label = smallest_labels(*(frame.column(k).to_numpy() for k in ("a", "b")))
+        key = pa.array([frame.column("frame_id")[0].as_py()] * len(nodes), frame.schema.field("frame_id").type)
+        return pa.table([key, pa.array(nodes), pa.array(label)], ["frame_id", "point_idx", "label"])
+
+    rows = edges.select("frame_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null")
+    return rows.groupBy("frame_id").applyInArrow(settle, f"frame_id {kind.simpleString()}, point_idx long, label long")

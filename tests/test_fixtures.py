@@ -332,6 +332,23 @@ def test_models_without_times_are_named():
         decode.channel_offset_ns("Helios", 0)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_components_of_frames_equal_a_plain_search(spark, seed):
+    from scanlake.operators.components import components_of_frames
+
+    rng = np.random.default_rng(seed)
+    edges = [(int(rng.integers(3)), int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(9, i, i + 1) for i in range(300)]
+    want = {}
+    for f in {e[0] for e in edges}:
+        label = {n: n for e in edges if e[0] == f for n in e[1:]}
+        for _ in range(len(label)):
+            for _, a, b in (e for e in edges if e[0] == f):
+                label[a] = label[b] = min(label[a], label[b])
+        want |= {(f, n): v for n, v in label.items()}
+    got = {(r.frame_id, r.point_idx): r.label for r in components_of_frames(spark.createDataFrame(edges, "frame_id int, a long, b long")).collect()}
+    assert got == want
+
+
 def test_greedy_merge_restarts(spark):
     p = points(spark, [(0, 0, 0), (1, 0, 0), (1.8, 0, 0), (9, 0, 0)]).withColumn("cluster_id", F.col("point_idx").cast("int"))
     r = {x.cluster_id: x.merged_id for x in clustering.merge_greedily(p, 1.4).collect()}
