@@ -22,8 +22,10 @@ and punctuation don't hide a copy. Items of fewer words than a seed are seeds as
 whole.
 
 Defined cases: null and wordless items and texts match nothing. Repeated items or
-documents are reported each. An empty benchmark or table gives no rows. Other
-columns are not read.
+documents are reported each, as are rows without an id. Of alignments with the same
+score the first in the text is reported. Texts of any length are scanned whole. An
+empty benchmark or table gives no rows. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations

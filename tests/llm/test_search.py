@@ -97,6 +97,17 @@ def test_spans_hold_the_passage(planted):
     assert r.byte_to - r.byte_from == 20 * 6 - 1
 
 
+def test_the_first_of_equal_alignments_and_rows_without_ids(spark, make):
+    rng = np.random.default_rng(6)
+    x, far = item(rng, 12), item(rng, 200)
+    rows = [(1, f"{x} {far} {x}"), (None, x), (None, x), (None, None), (2, f"{far} {x} {far} {x[:40]}")]
+    bench = spark.createDataFrame([(1, x), (None, x)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.similarity, r.byte_from, r.byte_to) for r in decontaminate.find(make(rows), bench).collect()), key=repr)
+    n, m = len(x), len(far) + 1
+    want = [(d, t, 1.0, a, a + n) for t in (1, None) for d, a in ((1, 0), (None, 0), (None, 0), (2, m))]
+    assert got == sorted(want, key=repr)
+
+
 def test_nothing_to_compare(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(make([(1, "a b c")]), none).count() == 0
