@@ -36,7 +36,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 40_000
 #: Bytes of a segment of a text.
-SEGMENT = 1024
+SEGMENT = 512
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -218,24 +218,24 @@ def sample(docs: DataFrame, learn, sample_docs: int = SAMPLE_DOCS, sample_bytes:
     return out
 
 
-def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, model=None) -> DataFrame:
-    """The rows of `docs` with lang_pred and score. `learn`: a condition on the
-    rows to learn from (all, if none)."""
+def predict(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, model=None, keep: list[str] | None = None) -> DataFrame:
+    """The rows of `docs` (all columns, or those to `keep`) with lang_pred and score.
+    `learn`: a condition on the rows to learn from (all, if none)."""
     spark = docs.sparkSession
     model = model if model is not None else fit(sample(docs, F.lit(True) if learn is None else learn, sample_docs, sample_bytes))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*names)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    rows = docs.select(*names, F.col("text").alias("__text")) if "text" not in names else docs.select(*names)
     sent = spark.sparkContext.broadcast(model)  # bounded by sample_bytes a language
-    at = names.index("text")
-    small_batches(spark, 1000, "2m")
+    at, n = names.index("text") if "text" in names else len(names), len(names)
+    small_batches(spark, 500, "1m")
 
     def run(batches):
         parser = Parser(sent.value) if sent.value else None
         for b in batches:
             langs, scores = parser(b.column(at)) if parser else ([UNKNOWN] * b.num_rows, [0.0] * b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     return rows.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
 
 
@@ -245,5 +245,5 @@ def held_out(k: int, r: int):
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = predict(docs.select("doc_id", "text", "lang"), ~F.coalesce(held_out(5, 0), F.lit(False)))
+    out = predict(docs.select("doc_id", "text", "lang"), ~F.coalesce(held_out(5, 0), F.lit(False)), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "lang_pred", "score")
