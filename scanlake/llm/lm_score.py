@@ -42,7 +42,7 @@ BLOCK_BYTES = 5 << 20
 #: one in 2^SPARE_BITS n-grams shares its hash with another, at any size.
 SPARE_BITS = 24
 #: Bytes of text for each hash bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def _pack_sorted(h: np.ndarray, drop: int) -> bytes:
