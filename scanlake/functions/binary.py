@@ -25,6 +25,14 @@ def uint_le(data, offset, size: int) -> Column:
     return out
 
 
+def float_be(data, offset) -> Column:
+    """A big-endian IEEE number of four bytes; null for infinity and what is no number."""
+    raw = uint_be(data, offset, 4)
+    exponent, part = bits(raw, 23, 8), bits(raw, 0, 23).cast("double")
+    size = F.when(exponent == 0, part * 2.0**-149).when(exponent < 255, (1 + part / 2**23) * F.pow(F.lit(2.0), exponent - 127))
+    return F.when(bits(raw, 31, 1) == 1, -size).otherwise(size)
+
+
 def bits(value, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(c(value), shift).bitwiseAND(F.lit((1 << width) - 1))
 

@@ -148,7 +148,7 @@ def return_type(mode, offset, identical, strongest) -> Column:
     return F.when(c(identical), "IDENTICAL").otherwise(out)
 
 
-#: Models whose dual first-last mode sends the last return first.
+#: Models whose dual first-last mode sends the last return first.
 FLIPPED = ("Pandar128E3X", "Pandar128E4X", "PandarXT32", "PandarXT16")
 
 

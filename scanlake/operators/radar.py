@@ -12,7 +12,7 @@ from scanlake.functions.geometry import c
 
 # What a payload is, by service, method and length.
 ARS_MESSAGES = {"status": (0, 380, 84), "detection": (0, 336, 35_336), "object": (0, 329, 9_401)}
-#: Radars mounted at a corner send no objects of use.
+#: Radars mounted at a corner send no objects of use.
 CORNER_DEG = (5.0, 90.0)
 
 # Field, least, most, resolution.
@@ -23,7 +23,7 @@ FIELDS = [
     ("position_x", -1600.0, 1600.0, None), ("position_y", -1600.0, 1600.0, None), ("position_z", -1600.0, 1600.0, None), ("orientation", -math.pi, math.pi, None), ("existence_probability", 0.0, 1.0, 0.01),
 ]
 
-#: Bits of a detection's mask of invalid values.
+#: Bits of a detection's mask of invalid values.
 INVALID_BITS = ("distance", "distance_std", "azimuth", "azimuth_std", "elevation", "elevation_std", "range_rate", "range_rate_std")
 
 
@@ -64,9 +64,9 @@ def flag_names(mask, names: dict[int, str], none: str = "OK") -> Column:
     return F.when(F.size(each) == 0, none).otherwise(F.array_join(each, ", "))
 
 
-def coded(value, names: dict[int, str]) -> Column:
+def coded(value, names: dict[int, str], other: str = "INVALID") -> Column:
     """'1:NAME' of an enumerated value."""
-    out = F.lit("INVALID")
+    out = F.lit(other)
     for k, n in names.items():
         out = F.when(c(value) == k, n).otherwise(out)
     return F.concat(c(value).cast("string"), F.lit(":"), out)
@@ -85,7 +85,7 @@ def valid_scan(d: DataFrame) -> DataFrame:
 
 #: The nine reference points of a box, as shares of length and width from its centre.
 REFERENCE = [(0, 0.5, 0.5), (1, 0.5, 0.0), (2, 0.5, -0.5), (3, 0.0, -0.5), (4, -0.5, -0.5), (5, -0.5, 0.0), (6, -0.5, 0.5), (7, 0.0, 0.5), (8, 0.0, 0.0)]
-#: Classes in order of priority: of equals the first wins.
+#: Classes in order of priority; of equals the first wins.
 CLASSES = ("car", "truck", "motorcycle", "bicycle", "pedestrian", "animal", "hazard", "unknown")
 
 
