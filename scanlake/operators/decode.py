@@ -101,6 +101,75 @@ def open_packets(packets: DataFrame, n_blocks: int, n_channels: int, header: int
     return valid_packets(packets, header + n_blocks * size).select("packet_id", "data").mapInArrow(run, "packet_id long, block int, channel int, raw_az int, raw_dist int, refl int")
 
 
+@dataclass(frozen=True)
+class BlockLayout:
+    """Packets of blocks that begin with a word and an azimuth: bytes before the first
+    block, blocks, channels, byte order, and for each word that can begin a block the
+    channel of its first unit. Without words, any will do."""
+
+    header: int
+    n_blocks: int
+    n_channels: int
+    order: str
+    banks: tuple[tuple[int, int], ...] = ()
+    #: Whether a block of an unknown word ends the packet; else it counts from channel 0.
+    strict: bool = False
+
+    @property
+    def packet(self) -> np.dtype:
+        unit = np.dtype([("distance", f"{self.order}u2"), ("refl", "u1")])
+        block = np.dtype([("word", f"{self.order}u2"), ("azimuth", f"{self.order}u2"), ("units", unit, self.n_channels)])
+        return np.dtype([("header", f"V{self.header}"), ("blocks", block, self.n_blocks)] if self.header else [("blocks", block, self.n_blocks)])
+
+
+# Layouts of packets whose blocks begin with a word.
+LAYOUTS = {
+    "VLP16": BlockLayout(0, 12, 32, "<"),
+    "VLP32": BlockLayout(0, 12, 32, "<", ((0xEEFF, 0), (0xDDFF, 32))),
+    "VLS128": BlockLayout(0, 12, 32, "<", ((0xEEFF, 0), (0xDDFF, 32), (0xCCFF, 64), (0xBBFF, 96)), strict=True),
+    "Helios": BlockLayout(42, 12, 32, ">"),
+    "Bpearl": BlockLayout(42, 12, 32, ">"),
+}
+
+
+def open_blocks(packets: DataFrame, model: str) -> DataFrame:
+    """packet_id, block, channel, raw_az, raw_dist, refl of packets of a model in
+    LAYOUTS. Longer packets are read up to the last block, shorter ones dropped. Where
+    the layout is strict, blocks from the first of an unknown word on are left out."""
+    layout = LAYOUTS[model]
+    packet = layout.packet
+
+    def run(batches):
+        for b in batches:
+            raw = np.frombuffer(b"".join(x[: packet.itemsize] for x in b.column(1).to_pylist()), dtype=packet)["blocks"]
+            word, first = raw["word"].astype(np.int32), np.zeros(raw.shape, dtype=np.int32)
+            known = np.full(raw.shape, not layout.strict)
+            for value, channel in layout.banks:
+                first[word == value] = channel
+                known |= word == value
+            row, block = np.nonzero(np.logical_and.accumulate(known, axis=1))
+            units, n = raw["units"][row, block], layout.n_channels
+            channel = first[row, block][:, None] + np.arange(n, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(np.repeat(row, n))), pa.array(np.repeat(block.astype(np.int32), n)), pa.array(channel.ravel()),
+                    pa.array(np.repeat(raw["azimuth"][row, block].astype(np.int32), n)), pa.array(units["distance"].astype(np.int32).ravel()), pa.array(units["refl"].astype(np.int32).ravel()),
+                ],
+                ["packet_id", "block", "channel", "raw_az", "raw_dist", "refl"],
+            )
+
+    return valid_packets(packets, packet.itemsize).select("packet_id", "data").mapInArrow(run, "packet_id long, block int, channel int, raw_az int, raw_dist int, refl int")
+
+
+def decode_units(packets: DataFrame, model: str) -> DataFrame:
+    """Units of packets by the model's own layout (d23): open_blocks() where blocks begin
+    with a word, else open_packets() by the sensor's constants."""
+    if model in LAYOUTS:
+        return open_blocks(packets, model)
+    spec = SPECS[model]
+    return open_packets(packets, spec.n_blocks, spec.n_channels, header=12)
+
+
 def fine_azimuth(coarse, fine) -> Column:
     """An azimuth of two bytes and a finer one, in 1/256 of its steps."""
     return F.shiftleft(c(coarse), 8) + c(fine)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake.functions.binary import crc8_h2f, crc16, hex_le, yuv_rgb
+from scanlake.functions.binary import crc8_h2f, crc16, hex_be, hex_le, yuv_rgb
 from scanlake.functions.geometry import c, in_arc, out4
 from scanlake.operators import decode as D
 from scanlake.operators.firing import BLOCKS, FIRING_NS
@@ -37,6 +37,46 @@ def d02(v):
     return D.open_packets(packets(v), 4, 4)
 
 
+def _block_packets(v, header: int, order, words):
+    """A packet of 12 blocks of 32 units for each supplier."""
+    k = c("s_suppkey")
+
+    def block(b):
+        units = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda u: F.concat(order((k * 7 + b * 11 + u) * 5 % 65536, 2), order((k + b + u) % 256, 1))), "")
+        return F.concat(order(F.element_at(F.array(*map(F.lit, words)), ((k + b) % len(words) + 1).cast("int")), 2), order((k * 37 + b * 20) % 36000, 2), units)
+
+    text = F.concat(F.lit("00" * header), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), block), ""), F.lit("000000000000"))
+    return v.table("supplier").select(k.alias("packet_id"), F.unhex(text).alias("data"))
+
+
+_BLOCKS = """SELECT s_suppkey AS packet_id, CAST(b AS INT) AS block, CAST({first} + u AS INT) AS channel, CAST((s_suppkey * 37 + b * 20) % 36000 AS INT) AS raw_az, CAST((s_suppkey * 7 + b * 11 + u) * 5 % 65536 AS INT) AS raw_dist,
+ CAST((s_suppkey + b + u) % 256 AS INT) AS refl FROM supplier, (SELECT unnest(range(12)) AS b), (SELECT unnest(range(32)) AS u)"""
+
+
+@query("d25_robosense_blocks", _BLOCKS.format(first="0"))
+def d25(v):
+    """Big-endian blocks behind a header."""
+    return D.open_blocks(_block_packets(v, 42, hex_be, [0xFFEE]), "Helios")
+
+
+@query("d28_velodyne_blocks", _BLOCKS.format(first="(s_suppkey + b) % 2 * 32"))
+def d28(v):
+    """Banks of lasers by the word that a block begins with."""
+    return D.open_blocks(_block_packets(v, 0, hex_le, [0xEEFF, 0xDDFF]), "VLP32")
+
+
+@query("d28_velodyne_four_banks", _BLOCKS.format(first="(s_suppkey + b) % 5 * 32") + " WHERE b < 4 - s_suppkey % 5")
+def d28_four(v):
+    """A word that is of no bank ends its packet."""
+    return D.open_blocks(_block_packets(v, 0, hex_le, [0xEEFF, 0xDDFF, 0xCCFF, 0xBBFF, 0x1234]), "VLS128")
+
+
+@query("d23_model_dispatch", " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_BLOCKS.format(first='0')})" for m in ("VLP16", "Helios", "Bpearl")))
+def d23(v):
+    parts = [D.decode_units(_block_packets(v, D.LAYOUTS[m].header, hex_le if D.LAYOUTS[m].order == "<" else hex_be, [0xFFEE]), m).withColumn("model", F.lit(m)) for m in ("VLP16", "Helios", "Bpearl")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("d03_azimuth_variants", "SELECT packet_id, block, CAST(raw_az * 256 + refl AS INT) AS fine, R4((raw_az * 256 + refl) / 25600.0) AS fine_deg FROM units_li")
 def d03(v):
     return v.units_li().select("packet_id", "block", D.fine_azimuth("raw_az", "refl").alias("fine"), out4(D.fine_azimuth("raw_az", "refl") / 25600.0).alias("fine_deg"))
@@ -212,7 +252,6 @@ def d26(v):
 
 @query("d27_robosense_info", "SELECT s_suppkey AS packet_id, round(((s_suppkey * 7) % 4096) / 4096.0::DOUBLE * 5 + 1e-9, 4) AS bot_5v, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END * ((s_suppkey * 3) % 9000) / 100.0::DOUBLE AS elev_deg FROM supplier")
 def d27(v):
-    from scanlake.functions.binary import hex_be
 
     k = c("s_suppkey")
     data = F.unhex(F.concat(hex_be(k % 4096, 2), hex_be(k * 7 % 4096, 2), hex_be(k * 11 % 4096, 2), hex_be(k * 13 % 4096, 2), hex_be(F.when(k % 2 == 0, 0).otherwise(1), 1), hex_be(k * 3 % 9000, 2)))
@@ -269,9 +308,17 @@ def d37(v):
     return m.join(F.broadcast(D.return_modes(v.spark)), "return_mode").select("packet_id", "mode")
 
 
-@query("fn_checksums")
+def _crc_sql(width: int, polynomial: int, start: int, xor: int) -> str:
+    """Bit by bit: the state moves up by one, and takes the polynomial if the bit that
+    leaves differs from the text's."""
+    bits = "flatten([[(ord(substr(t, CAST(i AS INT), 1)) >> CAST(7 - j AS INT)) & 1 FOR j IN range(8)] FOR i IN range(1, length(t) + 1)])"
+    step = f"xor((s << 1) & {(1 << width) - 1}, CASE WHEN xor((s >> {width - 1}) & 1, x) = 1 THEN {polynomial} ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(CAST({start} AS BIGINT), CAST({bits} AS BIGINT[])), lambda s, x: {step}), {xor})"
+
+
+@query("fn_checksums", f"SELECT o_orderkey, {_crc_sql(16, 0x1021, 0xFFFF, 0)} AS crc16, {_crc_sql(8, 0x2F, 0xFF, 0xFF)} AS crc8 FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS t FROM orders)")
 def fn_checksums(v):
-    """CRC-16 and CRC-8 of order keys' decimal text (tested against a table)."""
+    """CRC-16 and CRC-8 of order keys' decimal text."""
     t = v.table("orders").select("o_orderkey", F.col("o_orderkey").cast("string").cast("binary").alias("b"))
     return t.select("o_orderkey", crc16("b").alias("crc16"), crc8_h2f("b").alias("crc8"))
 
