@@ -88,6 +88,38 @@ def cluster_quality(points: DataFrame, *keys: str, min_density: float = 0.01, ma
     return g.withColumn("quality", F.when((F.col("n_points") < 3) | (F.col("volume") < 1e-6), F.lit(0.0)).otherwise(q)).select(*keys, "n_points", "volume", "quality")
 
 
+def normals(points: DataFrame, radius: float = 0.03) -> DataFrame:
+    """frame_id, point_idx, n_neighbours, nx, ny, nz, curvature: the direction in which a
+    point's neighbourhood (itself included) extends least, turned to the sensor at the
+    origin, and that extent's share of all. Null where fewer than three points or only one
+    line of them lie within the radius. Each point's sums are partial, no group is held."""
+    from scanlake.operators.joins import neighbours
+
+    near = neighbours(points, radius)
+    both = near.select("frame_id", c("a").alias("point_idx"), c("b").alias("_o")).unionByName(near.select("frame_id", c("b").alias("point_idx"), c("a").alias("_o")))
+    other = points.select("frame_id", c("point_idx").alias("_o"), "x", "y", "z")
+    own = points.select("frame_id", "point_idx", "x", "y", "z")
+    around = both.join(other, ["frame_id", "_o"]).select("frame_id", "point_idx", "x", "y", "z").unionByName(own)
+    pairs = (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))
+    m = around.groupBy("frame_id", "point_idx").agg(F.count("*").alias("n_neighbours"), *(F.covar_pop(a, b).alias(f"k{a}{b}") for a, b in pairs))
+    e1, e2, e3 = symmetric_eigenvalues("kxx", "kyy", "kzz", "kxy", "kxz", "kyz")
+    m = m.withColumns({"e1": e1, "e2": e2, "e3": e3})
+    # Two rows of (covariance - e3) span the plane across the normal: of the three
+    # cross products the longest is the most exact.
+    rows = [[c("kxx") - c("e3"), c("kxy"), c("kxz")], [c("kxy"), c("kyy") - c("e3"), c("kyz")], [c("kxz"), c("kyz"), c("kzz") - c("e3")]]
+
+    def cross(p, q):
+        v = [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+        return F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("s"), v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
+
+    m = m.withColumn("v", F.greatest(cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])))
+    m = m.join(own, ["frame_id", "point_idx"])
+    known = (c("n_neighbours") >= 3) & (c("e2") > 1e-6 * c("e1")) & (c("v.s") > 0)
+    toward = F.when(c("v.x") * c("x") + c("v.y") * c("y") + c("v.z") * c("z") > 0, -1.0).otherwise(1.0) / F.sqrt("v.s")
+    share = F.greatest(F.lit(0.0), c("e3")) / (c("e1") + c("e2") + c("e3"))
+    return m.select("frame_id", "point_idx", "n_neighbours", *(F.when(known, c(f"v.{a}") * toward).alias(f"n{a}") for a in "xyz"), F.when(known, share).alias("curvature"))
+
+
 def edge_coverage(points: DataFrame, start: float, end: float, margin: float) -> DataFrame:
     """Per frame whether all, any and how many channels have points near both ends
     of the field of view."""

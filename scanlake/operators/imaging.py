@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlake.functions.binary import byte_at, yuv_rgb
 from scanlake.functions.geometry import c
+from scanlake.storage import materialize
 
 
 def snapped_size(width, height, cap: int = 1280, step: int = 32) -> Column:
@@ -42,6 +43,48 @@ def packed_yuv_to_rgb(images: DataFrame, order: str = "yuyv") -> DataFrame:
     return two.select("image_id", (F.col("pair") * 2 + F.col("half")).alias("pixel"), r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+def mono8(images: DataFrame) -> DataFrame:
+    """image_id, pixel, grey of images of a byte a pixel."""
+    p = images.withColumn("pixel", F.explode(F.sequence(F.lit(0), F.length("data") - 1))).filter(F.length("data") > 0)
+    return p.select("image_id", "pixel", byte_at("data", F.col("pixel")).alias("grey"))
+
+
+def planar_yuv_to_rgb(images: DataFrame) -> DataFrame:
+    """image_id, pixel, r, g, b of images (image_id, width, height, data) that hold a
+    plane of Y and planes of V and U at half the size, of studio range. Images too short
+    for their size are left out. Widths and heights are even."""
+    size, half = c("width") * c("height"), F.expr("width div 2")
+    p = images.filter(F.length("data") * 2 >= size * 3).withColumn("pixel", F.explode(F.sequence(F.lit(0), size - 1)))
+    x, y = c("pixel") % c("width"), F.floor(c("pixel") / c("width")).cast("int")
+    chroma = F.floor(y / 2).cast("int") * half + F.floor(x / 2).cast("int")
+    quarter = F.expr("(width div 2) * (height div 2)")
+    p = p.select("image_id", "pixel", byte_at("data", c("pixel")).alias("y"), (byte_at("data", size + chroma) - 128).alias("v"), (byte_at("data", size + quarter + chroma) - 128).alias("u"))
+    # Factors in units of 2^-20.
+    light = F.greatest(F.lit(0).cast("long"), c("y") - 16) * 1_220_542 + (1 << 19)
+    channel = lambda e: F.greatest(F.lit(0).cast("long"), F.least(F.lit(255).cast("long"), F.shiftright(e, 20)))
+    r, g, b = light + c("v") * 1_673_527, light - c("v") * 852_492 - c("u") * 409_993, light + c("u") * 2_116_026
+    return p.select("image_id", "pixel", channel(r).alias("r"), channel(g).alias("g"), channel(b).alias("b"))
+
+
+def jpegs_to_rgb(spark, path: str) -> DataFrame:
+    """image_id (the file), width, height, pixel, r, g, b of JPEG frames kept as files,
+    read by Spark's image source; files that are no images are passed over."""
+    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").filter("nChannels = 3")
+    p = i.withColumn("pixel", F.explode(F.sequence(F.lit(0), c("width") * c("height") - 1)))
+    # The source's order is blue, green, red.
+    b, g, r = (byte_at("data", c("pixel") * 3 + k) for k in range(3))
+    return p.select(c("origin").alias("image_id"), "width", "height", "pixel", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+def to_pixmap(pixels: DataFrame) -> DataFrame:
+    """image_id, data: colour images (image_id, width, height, pixel, r, g, b) as portable
+    pixmaps, for a file or message each. The bytes of one image are gathered in a task."""
+    text = F.concat(*(F.lpad(F.hex(k), 2, "0") for k in "rgb"))
+    g = pixels.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("pixel", text.alias("h")))).alias("p"))
+    head = F.hex(F.encode(F.concat(F.lit("P6\n"), c("width").cast("string"), F.lit(" "), c("height").cast("string"), F.lit("\n255\n")), "US-ASCII"))
+    return g.select("image_id", F.unhex(F.concat(head, F.array_join(F.transform("p", lambda x: x["h"]), ""))).alias("data"))
+
+
 def y10_to_mono8(images: DataFrame) -> DataFrame:
     """image_id, pixel, grey of images of little-endian 10-bit values in 16 bits."""
     p = images.withColumn("pixel", F.explode(F.sequence(F.lit(0), F.floor(F.length("data") / 2).cast("int") - 1)))
@@ -68,8 +111,20 @@ def merge_pairs(images: DataFrame, labels: DataFrame, prefix: str, digits: int =
     """Images and labels of equal stem, renamed to the prefix and a running index."""
     stem = lambda n: F.regexp_replace(n, r"\.[^.]*$", "")
     both = images.withColumn("stem", stem("image")).join(labels.withColumn("stem", stem("label")), "stem")
-    n = F.row_number().over(Window.orderBy("stem")) - 1
-    return both.withColumn("name", F.concat(F.lit(prefix), F.lpad(n.cast("string"), digits, "0"))).select("stem", "image", "label", "name")
+    return running_index(both, "stem").withColumn("name", F.concat(F.lit(prefix), F.lpad(c("index").cast("string"), digits, "0"))).select("stem", "image", "label", "name")
+
+
+def running_index(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `index`, their place in the order of a column, from 0. Ranges of the key
+    are sorted each on its own; where a range begins follows from a count for each. The
+    ranges are written first, as both steps must see the same."""
+    # Equal keys share a range, as it is cut by the key alone.
+    parts = materialize(rows.repartitionByRange(c(key)).withColumn("_range", F.spark_partition_id()))
+    starts = parts.groupBy("_range").agg(F.count("*").alias("_n"))
+    # A row for each range: as many as there are partitions.
+    before = starts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - c("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return parts.withColumn("_own", own).join(before, "_range").withColumn("index", c("_before") + c("_own")).drop("_range", "_own", "_before")
 
 
 def split_train_validation(files: DataFrame, key: str, percent: int) -> DataFrame:

@@ -13,24 +13,29 @@ from pyspark.sql import functions as F
 from scanlake.functions.geometry import c
 
 
-def asof_forward(left: DataFrame, right: DataFrame, on: str = "t_ns", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, on: str = "t_ns", bucket_ns: int = 3_600_000_000_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Each left row with the first right row whose stamp isn't before its own, else
-    the last right row. Right columns get the prefix r_."""
-    names = [n for n in right.columns]
-    r = right.select(F.struct(*names).alias("_r"), c(on).alias("_t"), F.lit(0).alias("_side"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema))
-    left_rows = left.select(F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), c(on).alias("_t"), F.lit(1).alias("_side"), *left.columns)
+    the last right row. Right columns get the prefix r_. With `by`, only rows of equal
+    keys (a drive, a vehicle) meet, and a task holds a bucket of one key; left rows of a
+    key without right rows get nulls."""
+    names = [n for n in right.columns if n not in by]
+    r = right.select(*by, F.struct(*names).alias("_r"), c(on).alias("_t"), F.lit(0).alias("_side"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in by))
+    left_rows = left.select(*by, F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), c(on).alias("_t"), F.lit(1).alias("_side"), *(n for n in left.columns if n not in by))
     both = r.unionByName(left_rows).withColumn("_b", F.floor(F.col("_t") / bucket_ns))
     # Descending, so that the last of the right rows passed is the first not before.
     # A right row at the same stamp comes first.
-    back = Window.partitionBy("_b").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by, "_b").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_m", F.last("_r", ignorenulls=True).over(back)).filter("_side = 1")
     # What the bucket's own stamps don't answer: the first right row of later buckets, else the last of all.
-    firsts = right.groupBy(F.floor(c(on) / bucket_ns).alias("_b")).agg(F.min_by(F.struct(*names), c(on)).alias("_first"))
-    buckets = found.select("_b").distinct().join(firsts, "_b", "full")
-    later = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    buckets = buckets.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).select("_b", "_next")
-    last = right.agg(F.max_by(F.struct(*names), c(on)).alias("_last"))
-    out = found.join(buckets, "_b", "left").join(F.broadcast(last)).withColumn("_m", F.coalesce("_m", "_next", "_last"))
+    firsts = right.groupBy(*by, F.floor(c(on) / bucket_ns).alias("_b")).agg(F.min_by(F.struct(*names), c(on)).alias("_first"))
+    buckets = found.select(*by, "_b").distinct().join(firsts, [*by, "_b"], "full")
+    later = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    buckets = buckets.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).select(*by, "_b", "_next")
+    last = right.groupBy(*by).agg(F.max_by(F.struct(*names), c(on)).alias("_last"))
+    out = found.join(buckets, [*by, "_b"], "left")
+    # Without keys the last row is one.
+    out = out.join(last, list(by), "left") if by else out.join(F.broadcast(last), how="left")
+    out = out.withColumn("_m", F.coalesce("_m", "_next", "_last"))
     return out.select(*left.columns, *(F.col(f"_m.{n}").alias(f"r_{n}") for n in names))
 
 

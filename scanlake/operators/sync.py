@@ -32,12 +32,25 @@ def concatenate(points: DataFrame, tf: DataFrame, target: str) -> DataFrame:
 
 def approximate_sync(left: DataFrame, right: DataFrame, interval_ns: int) -> DataFrame:
     """For each left row the right row nearest in time within the interval; ties go
-    to the smaller event_id. Stamps meet by interval bucket and its neighbours."""
-    b = left.withColumn("_b", F.explode(F.array(*(F.floor(c("t_ns") / interval_ns) + k for k in (-1, 0, 1)))))
-    r = right.select(F.col("event_id").alias("other"), F.col("t_ns").alias("_t"), F.floor(c("t_ns") / interval_ns).alias("_b"))
-    dt = F.abs(F.col("_t") - F.col("t_ns"))
-    met = b.join(r, "_b").withColumn("dt", dt).filter(F.col("dt") <= interval_ns)
-    best = met.groupBy("event_id").agg(F.min(F.struct("dt", "other")).alias("m"))
+    to the smaller event_id. `left`, `right`: event_id, t_ns.
+
+    Only two right rows can be nearest: the last not after and the first not before. Both
+    sides go into one ordered stream per bucket of the interval, the right ones also into
+    the buckets beside, so the cost is a sort, however many stamps lie in a bucket."""
+    # Of equal stamps the smallest id stands for all.
+    r = right.groupBy("t_ns").agg(F.min("event_id").alias("other"))
+    r = r.withColumn("_b", F.explode(F.array(*(F.floor(c("t_ns") / interval_ns) + k for k in (-1, 0, 1)))))
+    l = left.select("event_id", "t_ns", F.floor(c("t_ns") / interval_ns).alias("_b"))  # noqa: E741
+    stream = l.withColumn("_r", F.lit(None).cast("struct<t:bigint,other:bigint>")).unionByName(
+        r.select(F.lit(None).cast(left.schema["event_id"].dataType).alias("event_id"), "t_ns", "_b", F.struct(c("t_ns").cast("long").alias("t"), c("other").cast("long").alias("other")).alias("_r"))
+    )
+    # Frames by stamp take in all rows of a stamp, so a right row at a left row's own is both.
+    order = Window.partitionBy("_b").orderBy("t_ns")
+    met = stream.withColumns({
+        "_p": F.last("_r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.first("_r", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+    }).filter("_r is null")
+    near = lambda x: F.when(F.col(f"{x}.t").isNotNull(), F.struct(F.abs(F.col(f"{x}.t") - c("t_ns")).alias("dt"), F.col(f"{x}.other").alias("other")))
+    best = met.withColumn("m", F.least(near("_p"), near("_n"))).filter(F.col("m.dt") <= interval_ns)
     return best.select("event_id", F.col("m.other").alias("other"), F.col("m.dt").alias("dt"))
 
 

@@ -215,6 +215,21 @@ def a12(v):
     return A.cluster_quality(v.pts_emb(), "frame_id", "channel").select("frame_id", "channel", "n_points", out4("volume").alias("volume"), out4("quality").alias("quality"))
 
 
+_EIGEN = """SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM (
+ SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (d - q) - g * g) - e_ * (e_ * (d - q) - g * f) + f * (e_ * g - (b - q) * f)) / (2 * p * p * p)))) / 3 AS phi FROM (
+ SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (d - q) * (d - q) + 2 * (e_ * e_ + f * f + g * g)) / 6) AS p FROM (
+ SELECT *, (a + b + d) / 3 AS q FROM m)))"""
+
+
+@query("a13_curvature", f"""WITH o AS (SELECT p.frame_id, p.point_idx, count(*) AS n, covar_pop(q.x, q.x) AS a, covar_pop(q.y, q.y) AS b, covar_pop(q.z, q.z) AS d, covar_pop(q.x, q.y) AS e_, covar_pop(q.x, q.z) AS f, covar_pop(q.y, q.z) AS g
+ FROM pts_emb p JOIN pts_emb q ON p.frame_id = q.frame_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 4 GROUP BY p.frame_id, p.point_idx), m AS (SELECT * FROM o WHERE n >= 4),
+r AS (SELECT *, 3 * q - e1 - e3 AS e2 FROM ({_EIGEN})) SELECT frame_id, point_idx, n AS n_neighbours, round(CASE WHEN e2 > 1e-6 * e1 THEN greatest(0.0, e3) / (e1 + e2 + e3) END + 1e-7, 3) AS curvature FROM r""")
+def a13(v):
+    """Curvature where four points or more lie within 2 m."""
+    n = A.normals(v.pts_emb(), 2.0).filter("n_neighbours >= 4")
+    return n.select("frame_id", "point_idx", "n_neighbours", F.round(F.col("curvature") + 1e-7, 3).alias("curvature"))
+
+
 @query("a15_column_stats", """WITH s AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.999) AS q FROM events GROUP BY event_type)
 SELECT s.event_type, R4(s.mean) AS mean, R4(s.std) AS std, R4(s.q) AS q999, R4(100 * s.mean / b.mean) AS percent_of_baseline FROM s, (SELECT mean FROM s WHERE event_type = 'click') b""")
 def a15(v):

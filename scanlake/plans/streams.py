@@ -163,11 +163,46 @@ def fn_pixel_formats(v):
 @query("fn_yuyv_to_rgb", """WITH q AS (SELECT p_partkey, p_partkey % 256 AS y0, p_partkey * 7 % 256 - 128 AS u, p_partkey * 3 % 256 AS y1, p_partkey * 13 % 256 - 128 AS v FROM part), h AS (SELECT p_partkey AS image_id, 0 AS pixel, y0 AS y, u, v FROM q UNION ALL SELECT p_partkey, 1, y1, u, v FROM q)
 SELECT image_id, pixel, greatest(0, least(255, y + ((v * 37221) >> 15))) AS r, greatest(0, least(255, y - ((u * 12975 + v * 18949) >> 15))) AS g, greatest(0, least(255, y + ((u * 66883) >> 15))) AS b FROM h""")
 def fn_yuyv(v):
+    return I.packed_yuv_to_rgb(_four_bytes(v))
+
+
+def _four_bytes(v):
     from scanlake.functions.binary import hex_le
 
     k = c("p_partkey")
-    data = F.unhex(F.concat(*(hex_le(x % 256, 1) for x in (k, k * 7, k * 3, k * 13))))
-    return I.packed_yuv_to_rgb(v.table("part").select(k.alias("image_id"), data.alias("data")))
+    return v.table("part").select(k.alias("image_id"), F.unhex(F.concat(*(hex_le(x % 256, 1) for x in (k, k * 7, k * 3, k * 13)))).alias("data"))
+
+
+@query("fn_uyvy_to_rgb", """WITH q AS (SELECT p_partkey, p_partkey * 7 % 256 AS y0, p_partkey % 256 - 128 AS u, p_partkey * 13 % 256 AS y1, p_partkey * 3 % 256 - 128 AS v FROM part), h AS (SELECT p_partkey AS image_id, 0 AS pixel, y0 AS y, u, v FROM q UNION ALL SELECT p_partkey, 1, y1, u, v FROM q)
+SELECT image_id, pixel, greatest(0, least(255, y + ((v * 37221) >> 15))) AS r, greatest(0, least(255, y - ((u * 12975 + v * 18949) >> 15))) AS g, greatest(0, least(255, y + ((u * 66883) >> 15))) AS b FROM h""")
+def fn_uyvy(v):
+    return I.packed_yuv_to_rgb(_four_bytes(v), "uyvy")
+
+
+@query("fn_mono8", "SELECT p_partkey AS image_id, CAST(i AS INT) AS pixel, CAST([p_partkey, p_partkey * 7, p_partkey * 3, p_partkey * 13][i + 1] % 256 AS BIGINT) AS grey FROM part, (SELECT unnest(range(4)) AS i)")
+def fn_mono8(v):
+    return I.mono8(_four_bytes(v))
+
+
+_PLANAR = "SELECT p_partkey AS image_id, CAST(i AS INT) AS pixel, (p_partkey * 7 + i * 31) % 256 AS y, (p_partkey * 13 + (i % 4 // 2) * 5) % 256 - 128 AS v, (p_partkey * 3 + (i % 4 // 2) * 11) % 256 - 128 AS u FROM part, (SELECT unnest(range(8)) AS i)"
+
+
+@query("fn_planar_yuv_to_rgb", f"""SELECT image_id, pixel, greatest(0, least(255, (l + v * 1673527) >> 20)) AS r, greatest(0, least(255, (l - v * 852492 - u * 409993) >> 20)) AS g, greatest(0, least(255, (l + u * 2116026) >> 20)) AS b
+FROM (SELECT *, greatest(0, y - 16) * 1220542 + 524288 AS l FROM ({_PLANAR}))""")
+def fn_planar(v):
+    from scanlake.functions.binary import hex_le
+
+    k = c("p_partkey")
+    planes = [(k * 7 + i * 31) % 256 for i in range(8)] + [(k * 13 + i * 5) % 256 for i in range(2)] + [(k * 3 + i * 11) % 256 for i in range(2)]
+    images = v.table("part").select(k.alias("image_id"), F.lit(4).alias("width"), F.lit(2).alias("height"), F.unhex(F.concat(*(hex_le(x, 1) for x in planes))).alias("data"))
+    return I.planar_yuv_to_rgb(images)
+
+
+@query("s12_pixmaps", "SELECT p_partkey AS image_id, '50360A3120310A3235350A' || printf('%02X%02X%02X', p_partkey % 256, p_partkey * 7 % 256, p_partkey * 3 % 256) AS data FROM part")
+def s12(v):
+    k = c("p_partkey")
+    pixels = v.table("part").select(k.alias("image_id"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(0).alias("pixel"), (k % 256).alias("r"), (k * 7 % 256).alias("g"), (k * 3 % 256).alias("b"))
+    return I.to_pixmap(pixels).select("image_id", F.hex("data").alias("data"))
 
 
 @query("fn_y10_to_mono8", "SELECT p_partkey AS image_id, 0 AS pixel, (p_partkey * 5 % 1024) // 4 AS grey FROM part")
