@@ -13,9 +13,10 @@ Candidates' components are units. A unit's sets are packed by size into blocks o
 bounded bytes, pairs of blocks whose size ranges can link form the top of the
 hierarchy, and in each pair signature trees are traversed together: a node holds
 the OR (and AND) of its sets' token bitmaps and their size range, and a pair of
-nodes is left when the largest overlap these allow is too small, or when both lie
-in one component already, as only components are asked for. What remains is
-compared exactly. So a group of copies costs about as many comparisons as members.
+nodes is left when the largest overlap these allow is too small, or, where only
+components are asked for, when both lie in one already. What remains is compared
+exactly. So a group of copies costs components() about as many comparisons as members;
+similarity_join() gives every link.
 
 Defined cases: null or wordless text: empty set, linked with nothing, its own
 component. Fewer words than a shingle: the whole sequence is one. Rows that repeat
@@ -42,6 +43,8 @@ BLOCK = 1 << 20
 #: Bits of a node's bitmaps; a set is its own at a leaf.
 BITS = 1 << 16
 FAN = 8
+#: Size and hashes of a set: sets of equal name are equal.
+NAME = ["n_shingles", "f1", "f2"]
 
 
 def shingle_sets(column, n: int) -> list[np.ndarray]:
@@ -167,10 +170,11 @@ class Node:
 
 
 class Trees:
-    """Signature trees over sets, and the links found between them."""
+    """Signature trees over sets, and the links found between them: all, or as many
+    as span the components."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: list[np.ndarray], percent: int, spanning: bool = True):
+        self.sets, self.percent, self.spanning = sets, percent, spanning
         self.root = list(range(len(sets)))
         self.links: list[tuple[int, int]] = []
         self.compared = 0
@@ -248,7 +252,7 @@ class Trees:
                     todo += [(b[i], b[j]) for i in range(len(b)) for j in range(len(b) - 1, i, -1)]
                     todo += [(c, c) for c in b]
                 continue
-            a = self.label(x)
+            a = self.label(x) if self.spanning else None
             if a is not None and a == self.label(y) or not self.possible(x, y):
                 continue
             if x.rows and y.rows:
@@ -267,8 +271,9 @@ class Trees:
                 todo += [(c, y) for c in x.below]
 
 
-def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links that span the components of each unit's sets, as names `rep`.
+def links(docs: DataFrame, members: DataFrame, n: int, percent: int, spanning: bool = True) -> DataFrame:
+    """a, b: links of each unit's sets, as names `rep`: those that span the components,
+    or every link, each once.
     `members`: rep, doc_id, unit, n_shingles, f1, f2 of one document per class, in
     units of two or more. A doc_id with several texts may stand for several classes."""
     spark = docs.sparkSession
@@ -301,7 +306,7 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
 
     def run(table):
         ids, block = table.column("doc_id").to_pylist(), table.column("block").to_pylist()
-        trees = Trees([np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()], percent)
+        trees = Trees([np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()], percent, spanning)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         first = trees.build([k for k, x in enumerate(block) if x == i])
         # Links inside a block are found where it meets itself.
@@ -313,28 +318,52 @@ def links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFram
     return dealt.groupBy("unit", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows (doc_id, n_shingles, f1, f2), those that can link, their classes
+    of equal sets under the smallest doc_id `rep`, and the classes of units of several."""
     base = materialize(fingerprints(docs, n))
     shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
     units = connected_components(candidate_edges(docs, n, percent, shingles)).select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
     units = materialize(units)
     release(docs.sparkSession)
     # A class of equal sets goes by its smallest doc_id; each lies in one unit, as its members share all signatures.
-    name = ["n_shingles", "f1", "f2"]
     known = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(known.groupBy(*name).agg(F.min("doc_id").alias("rep")))
-    placed = known.join(units, "doc_id").groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.min("unit").alias("unit"))
-    members = materialize(classes.join(placed, name))
+    classes = materialize(known.groupBy(*NAME).agg(F.min("doc_id").alias("rep")))
+    placed = known.join(units, "doc_id").groupBy(*NAME).agg(F.min("doc_id").alias("doc_id"), F.min("unit").alias("unit"))
+    members = materialize(classes.join(placed, NAME))
     several = members.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1").select("unit")
-    found = links(docs, members.join(several, "unit"), n, percent)
+    return base, known, classes, members.join(several, "unit")
+
+
+def similarity_join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and who holds them: pairs (a, b) of classes of
+    equal sets, each under its smallest doc_id `rep`, a < b, and membership (doc_id, rep,
+    n_links: with how many other classes its own links). Equal sets link as well, which
+    sharing a `rep` says; they are not spelt out. As many pairs as there are links, so a
+    group of different near copies gives about the square of its members. Rows that repeat
+    a doc_id and a set are one member; empty sets and null doc_ids are no members. Where a
+    doc_id holds several sets, `rep` may name several classes: (a, b) then stands for a
+    link of any of them, and each member carries the most links of them."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    _, known, classes, several = _classes(docs, n, percent)
+    found = links(docs, several, n, percent, spanning=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(found.filter("a <> b").distinct())
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    members = known.join(classes, NAME).select("doc_id", "rep").distinct()
+    return pairs, members.join(counts, "rep", "left").select("doc_id", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    base, known, classes, several = _classes(docs, n, percent)
+    found = links(docs, several, n, percent)
     # A doc_id with several texts ties their classes.
     mixed = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select("doc_id")
-    ties = known.join(mixed, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ties = known.join(mixed, "doc_id").join(classes, NAME).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = materialize(connected_components(found.unionByName(ties)))
-    named = materialize(classes.join(labels, classes.rep == labels.node, "left").select(*name, F.coalesce("label", "rep").alias("own")))
-    full = base.filter("n_shingles > 0").join(named, name, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("own")).alias("component_id"))
+    named = materialize(classes.join(labels, classes.rep == labels.node, "left").select(*NAME, F.coalesce("label", "rep").alias("own")))
+    full = base.filter("n_shingles > 0").join(named, NAME, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("own")).alias("component_id"))
     empty = base.filter("n_shingles = 0").join(labels, base.doc_id == labels.node, "left").select(base.doc_id, "n_shingles", F.coalesce("label", base.doc_id).alias("component_id"))
     return full.unionByName(empty)
 

@@ -118,6 +118,25 @@ def test_jaccard_components(make, monkeypatch, seed, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("seed,n,percent", [(1, 3, 90), (3, 3, 80)])
+def test_jaccard_join_gives_every_link(make, monkeypatch, seed, n, percent):
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    rows = near_copies(seed) + [(500, None), (501, "")]
+    sets = {}
+    for d, text in rows:
+        w = (text or "").split()
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
+    first = {}
+    for d in sorted(sets, reverse=True):
+        first[sets[d]] = d
+    reps = [(d, x) for x, d in first.items() if x]
+    want = {(a, b) for a, x in reps for b, y in reps if a < b and 100 * len(x & y) >= percent * len(x | y)}
+    pairs, members = jaccard.similarity_join(make(rows, extra=True), n, percent)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert {(r.doc_id, r.rep, r.n_links) for r in members.collect()} == {(d, first[x], sum(first[x] in p for p in want)) for d, x in sets.items() if x}
+    assert [t.count() for t in jaccard.similarity_join(make([]), n, percent)] == [0, 0]
+
+
 def test_jaccard_odd_rows(make):
     rows = [(5, None), (4, ""), (3, "One two"), (2, "one  TWO"), (1, "one"), (7, "one two three"), (7, "one two three"), (6, "one two three"), (None, "one two three"), (8, "w " * 20_000), (9, "w " * 20_000)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(make(rows), 3, 90).collect()), key=repr)
