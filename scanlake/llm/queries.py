@@ -16,6 +16,9 @@ QUERIES = {
     "op8_decontaminate": "decontaminate",
     "op9_mixing": "mixing",
     "op10_repeats": "repeats",
+    "op11_simhash": "simhash",
+    "op12_whitening": "whitening",
+    "op13_divergence": "divergence",
 }
 
 
