@@ -57,6 +57,8 @@ HOT = 2048
 PAIRS = 32
 #: Offsets that are told apart together there.
 RANGE = 21
+#: Bytes whose sums are made at once.
+STEP = 1 << 18
 #: Texts that a task knows to have passed on.
 KNOWN = 1 << 18
 
@@ -205,8 +207,6 @@ def repeated(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after:
     return np.cumsum(edges[:, :-1], axis=1) > 0
 
 
-#: A second random value for each byte.
-BYTE2 = mix64(BYTE)
 KEY = ["k1", "k2"]
 
 
@@ -216,21 +216,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 class Sums:
-    """128-bit hashes of any spans of a batch of bytes."""
+    """128-bit hashes of any spans of a batch of bytes. Half of the bits sum up bytes,
+    half what a mixer makes of eight neighbouring ones: strings built so that one sum
+    agrees don't agree in the other."""
 
     def __init__(self, data: np.ndarray):
-        self.inverse = powers(len(data) + 1, True)
-        self.sums = []
-        for table in (BYTE, BYTE2):
-            x = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(table[data] * powers(len(data)), out=x[1:])
-            self.sums.append(x)
+        n = len(data)
+        power, self.inverse = powers(n), powers(n + 1, True)
+        eight = np.ndarray((max(n - 7, 0),), "<u8", np.ascontiguousarray(data), strides=(1,))
+        self.sums = [np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)]
+        for a in range(0, n, STEP):
+            z = min(a + STEP, n)
+            self.sums[0][a + 1 : z + 1] = BYTE[data[a:z]] * power[a:z]
+            mixed = mix64(eight[a:z])
+            self.sums[1][a + 1 : a + 1 + len(mixed)] = mixed * power[a : a + len(mixed)]
+        for x in self.sums:
+            np.cumsum(x, out=x)
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray, *also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the bytes lo to hi and of further numbers."""
         out = []
         for seed, x in enumerate(self.sums):
-            h = mix64((x[hi] - x[lo]) * self.inverse[lo] + np.uint64(seed))
+            end = np.maximum(hi - 7, lo) if seed else hi
+            h = mix64((x[end] - x[lo]) * self.inverse[lo] + np.uint64(seed))
             for more in (hi - lo, *also):
                 h = mix64(h + more.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             out.append(signed(h))

@@ -47,3 +47,28 @@ def test_ngrams_stay_in_their_text():
 def test_packed_integers(values):
     x = np.array(values, dtype=np.uint64)
     assert (C.unpack_integers(C.pack_integers(x), np.uint64) == x).all()
+
+
+def mirrored():
+    """Two words that any polynomial hash modulo a power of two takes for one."""
+    signs = [0]
+    for _ in range(10):
+        signs += [1 - v for v in signs]
+    return "".join("ab"[v] for v in signs), "".join("ba"[v] for v in signs)
+
+
+def test_words_equal_by_no_construction():
+    x, y = mirrored()
+    h, _ = C.word_hashes(pa.array([x, y, x.upper()], pa.string()))
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 63, 64, 65, 200])
+def test_hashes_of_every_length(size):
+    rng = np.random.default_rng(size)
+    texts = ["".join(rng.choice(list("abc\xe9"), size)) for _ in range(300)]
+    texts += [t[:-1] for t in texts] + [t + "\0" for t in texts]
+    a, _ = C.word_hashes(pa.array([" ".join(texts)], pa.string()))
+    b, _ = C.word_hashes(pa.array(texts, pa.string()))
+    assert len(np.unique(b)) == len({t for t in texts if t})
+    assert (a == b).all()

@@ -340,3 +340,34 @@ def test_pipeline_rows_without_an_id(spark, make, tmp_path):
     got = run(p.mix, [(None, t, "en", "s1") for t in clean])
     times = [sum(r.text == t for r in got) for t in clean]
     assert set(times) == {1, 2} and abs(sum(times) - 60) <= 1
+
+
+def mirrored_words():
+    from test_common import mirrored
+
+    return mirrored()
+
+
+def test_words_that_polynomial_hashes_confuse(make):
+    """Pieces, shingles and counts of the two are told apart, in one task."""
+    from scanlake.llm import lm_score
+
+    x, y = mirrored_words()
+    got = token_store.store(make([(1, x), (2, y)]).coalesce(1)).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.append(i, 2).astype("<u4").tobytes()) for i in plain_ids([x, y])]
+    rows = [(1, x + " x y"), (2, y + " x y")]
+    assert [r.component_id for r in jaccard.components(make(rows), 3, 90).orderBy("doc_id").collect()] == [1, 2]
+    scores = {r.doc_id: r.log_score for r in lm_score.score(make([(1, x), (2, y)])).collect()}
+    assert scores[1] == scores[2] == pytest.approx(np.log(1 / 2))
+
+
+@pytest.mark.parametrize("hot", [0, 2048])
+def test_strings_that_polynomial_hashes_confuse(make, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    x, y = mirrored_words()
+    rng = random.Random(8)
+    p, q = ("".join(rng.choices("cdefghij", k=600)) for _ in range(2))
+    got = repeats.digest(repeats.find_repeats(make([(1, p + x + q), (2, p + y + q)]), 1500)).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    got = repeats.digest(repeats.find_repeats(make([(1, p + x + q), (2, p + x + q[:300])]), 1500)).collect()
+    assert sorted(r.n_removed for r in got) == [1924, 1924]
