@@ -1,21 +1,27 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 Benchmark items are split into blocks of at most BLOCK_BYTES, which is what a
-worker holds of them; each block is set against all documents. An item's seeds are
-all its 3-grams and some of its pairs of neighbouring words. A scan finds seeds in
-the whole texts, and around each (widened by the item's length) aligns the words
-with the item's by Smith-Waterman: match 1, mismatch -1, gap -1. A pair is reported
-when score / item words >= `similarity`. Texts are never shuffled and no candidate
-is capped; left out are those where fewer words are the item's than the score needs.
-
-Which pairs: let an alignment of an item of m words leave no 3-gram whole, u words
-unmatched and s matched alone. Its other runs are of two words, and an error parts
-each run from the next, so the score is at most (m - u - s) / 2 + 1, and one that
-reaches the similarity has u + s <= 2 + (1 - 2 similarity) m. Any other word lies in
-a whole pair. So the two pairs around each of one word more than that will do: a
-first scan counts in how many documents pairs occur, and the rarest are taken. Short
-items are seeded with all pairs. For other `seed_words` than 3 (2 seeds with all
-pairs) there is no such proof, and the n-grams are the only seeds.
+worker holds of them; each block is set against all documents. A first scan counts how
+often an item's 3-grams and pairs of neighbouring words occur, and its seeds are chosen
+so that they occur least. A second finds seeds in the whole texts, and around each
+(widened by the item's length) aligns the words with the item's by Smith-Waterman: match
+1, mismatch -1, gap -1. A pair is reported when score / item words >= `similarity`. Texts
+are never shuffled and no candidate is capped; left out are those where fewer words are
+the item's than the score needs.
+
+Which seeds: say c of an item's 3-grams are not used, the commonest, and let an alignment
+of its m words hold no other 3-gram whole, u words unmatched and s matched alone. Its
+other runs hold two words each and, all together, c more at most, and an error parts each
+run from the next; so the score is at most (m - u - s + c) / 2 + 1, and one that reaches
+the similarity has u + s <= 2 + c + (1 - 2 similarity) m. Any other word lies in a whole
+pair. So the two pairs around each of one word more than that will do, the rarest. Of all
+numbers c the one whose seeds occur least is taken: an opening that thousands of items
+share costs two rare pairs for each 3-gram of it. Short items are seeded with all pairs.
+For other `seed_words` than 3 (2 seeds with all pairs) there is no such proof, and the
+n-grams are the only seeds.
+
+What seeds point at is laid out PLACES at a time and at once united to regions of a text
+for an item, so a worker holds regions, not hits.
 
 Words are runs of bytes other than ASCII non-alphanumerics, A-Z lowered, so case
 and punctuation don't hide a copy. Items of fewer words than a seed are seeds as a
@@ -40,6 +46,9 @@ from scanlake.llm.common import LOWER, NOT_ALNUM, ngram_hashes, read, small_batc
 SEED_WORDS = 3
 SIMILARITY = 0.5
 BLOCK_BYTES = 4 << 20
+#: Places of items in texts that are laid out at once, and regions aligned at once.
+PLACES = 1 << 20
+REGIONS = 2048
 
 
 def _words(column):
@@ -48,6 +57,15 @@ def _words(column):
     return span_hashes(LOWER[data], starts, ends), first, starts, ends, offsets
 
 
+def _sums(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the first 0, 1, ... values of each group of n values, and where each
+    group's begin."""
+    begin = np.cumsum(n + 1) - n - 1
+    group = np.repeat(np.arange(len(n)), n + 1)
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[np.arange(len(group)) - group] - total[(begin - np.arange(len(n)))[group]], begin
+
+
 class Block:
     """Items of a block: their words, and for each n-gram size the sorted seeds
     with the (item, offset) places where each stands."""
@@ -57,13 +75,18 @@ class Block:
         self.words, self.first, *_ = _words(pa.array(texts, pa.string()))
         self.length = np.diff(self.first)
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: Of items from which seeds are to be chosen: hash, item and offset of each n-gram.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({int(min(x, n)) for x in self.length if x}):
             h, item, offset = self._grams(size)
             own = self.length[item] >= n if size == n else self.length[item] == size
-            self._index(size, h[own], item[own], offset[own])
-        h, item, offset = self._grams(2)
-        own = self.length[item] >= 3 if n == 3 else np.zeros(len(h), dtype=bool)
-        self.pairs = h[own], item[own], offset[own]
+            if size == n == 3:
+                self.grams[3] = h[own], item[own], offset[own]
+                h, item, offset = self._grams(2)
+                own = self.length[item] >= 3
+                self.grams[2] = h[own], item[own], offset[own]
+            else:
+                self._index(size, h[own], item[own], offset[own])
 
     def _grams(self, size):
         h, begin = ngram_hashes(self.words, self.first, size)
@@ -71,25 +94,41 @@ class Block:
         return h, item, np.arange(len(h)) - begin[item]
 
     def _index(self, size, h, item, offset):
+        """Add seeds to those of this size."""
+        if size in self.seeds:
+            seeds, at, items, offsets = self.seeds[size]
+            h, item, offset = (np.concatenate(x) for x in ((np.repeat(seeds, np.diff(at)), h), (items, item), (offsets, offset)))
         order = np.argsort(h, kind="stable")
         seeds, at = np.unique(h[order], return_index=True)
         self.seeds[size] = seeds, np.append(at, len(h)), item[order], offset[order]
 
-    def with_pairs(self, frequency: np.ndarray, similarity: float) -> Block:
-        """Add the pairs around each item's words whose pairs are in fewest documents.
-        `frequency`: of the distinct pairs, in order."""
-        h, item, offset = self.pairs
-        if not len(h):
+    def choose(self, occurrences: dict[int, np.ndarray], similarity: float) -> Block:
+        """Take as seeds the 3-grams and pairs that occur least. `occurrences`: of the
+        distinct n-grams of each size, in order."""
+        if not self.grams:
             return self
-        df = frequency[np.unique(h, return_inverse=True)[1]]
-        inner = np.flatnonzero(offset > 0)  # a word with a pair on both sides
-        order = inner[np.lexsort((offset[inner], df[inner] + df[inner - 1], item[inner]))]
-        count = np.bincount(item[order], minlength=len(self.ids))
-        rank = np.arange(len(order)) - (np.cumsum(count) - count)[item[order]]
-        chosen = order[rank < np.floor(2 + (1 - 2 * similarity) * self.length + 1e-9)[item[order]] + 1]
+        often = {size: occurrences[size][np.unique(h, return_inverse=True)[1]].astype(np.float64) for size, (h, _, _) in self.grams.items()}
+        (_, item3, offset3), (_, item2, offset2) = self.grams[3], self.grams[2]
+        inner = np.flatnonzero(offset2 > 0)  # a word with a pair on both sides
+        cost = often[2][inner] + often[2][inner - 1]
+        common = np.lexsort((offset3, -often[3], item3))
+        rare = np.lexsort((offset2[inner], cost, item2[inner]))
+        n3, n2 = (np.bincount(x, minlength=len(self.ids)) for x in (item3, item2[inner]))
+        left_out, begin3 = _sums(often[3][common], n3)
+        added, begin2 = _sums(cost[rare], n2)
+        item = np.repeat(np.arange(len(self.ids)), n3 + 1)
+        c = np.arange(len(item)) - begin3[item]
+        words = np.minimum(np.floor(2 + (1 - 2 * similarity) * self.length + 1e-9).astype(np.int64)[item] + 1 + c, n2[item])
+        price = added[begin2[item] + words] - left_out
+        best = np.flatnonzero(price == np.minimum.reduceat(price, begin3)[item])
+        best = best[np.unique(item[best], return_index=True)[1]]
+        rank = np.arange(len(common)) - (np.cumsum(n3) - n3)[item3[common]]
+        kept = common[rank >= c[best][item3[common]]]
+        self._index(3, *(x[kept] for x in self.grams[3]))
+        rank = np.arange(len(rare)) - (np.cumsum(n2) - n2)[item2[inner][rare]]
+        chosen = inner[rare[rank < words[best][item2[inner][rare]]]]
         kept = np.unique(np.concatenate([chosen, chosen - 1]))
-        seeds, at, items, offsets = self.seeds.get(2, (h[:0], np.zeros(1, np.int64), item[:0], offset[:0]))
-        self._index(2, np.concatenate([np.repeat(seeds, np.diff(at)), h[kept]]), np.concatenate([items, item[kept]]), np.concatenate([offsets, offset[kept]]))
+        self._index(2, *(x[kept] for x in self.grams[2]))
         return self
 
 
@@ -173,26 +212,60 @@ def compare(block: Block, pairs: list[tuple[int, int, np.ndarray]]) -> list[tupl
     return out
 
 
-def _frequencies(docs: DataFrame, block: Block) -> np.ndarray:
-    """In how many documents each distinct pair of the block occurs."""
-    seeds = np.unique(block.pairs[0])
-    if not len(seeds):
-        return np.zeros(0, dtype=np.int64)
+def _occurrences(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
+    """How often each distinct 3-gram and pair of the block occurs: as many numbers as
+    the block, of bounded bytes, has of them."""
+    grams = {size: np.unique(h) for size, (h, _, _) in block.grams.items()}
+    if not grams:
+        return {}
 
     def count(batches):
-        total = np.zeros(len(seeds), dtype=np.int64)
+        total = {size: np.zeros(len(g), dtype=np.int64) for size, g in grams.items()}
         for b in batches:
             words, first, *_ = _words(b.column(0))
-            h, begin = ngram_hashes(words, first, 2)
-            at, k = _find(seeds, h)
-            doc = np.searchsorted(begin, at, "right") - 1
-            total += np.bincount(np.unique(doc * len(seeds) + k) % len(seeds), minlength=len(seeds))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
-
-    out = np.zeros(len(seeds), dtype=np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r.k] = r.n
+            for size, g in grams.items():
+                total[size] += np.bincount(_find(g, ngram_hashes(words, first, size)[0])[1], minlength=len(g))
+        for size, n in total.items():
+            k = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size)), pa.array(k), pa.array(n[k])], ["size", "k", "n"])
+
+    out = {size: np.zeros(len(g), dtype=np.int64) for size, g in grams.items()}
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "size long, k long, n long")
+    for r in rows.groupBy("size", "k").agg(F.sum("n").alias("n")).collect():
+        out[r["size"]][r.k] = r.n
+    return out
+
+
+def _unite(owner: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Regions (of an item in a text) no further apart than the item is long are one."""
+    order = np.lexsort((lo, item, owner))
+    owner, item, lo, hi = owner[order], item[order], lo[order], hi[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])])[: len(owner)]
+    far = np.cumsum(new) << 40
+    top = np.maximum.accumulate(hi + far) - far
+    new[1:] |= lo[1:] - top[:-1] > length[item[1:]]
+    at = np.flatnonzero(new)
+    return owner[at], item[at], lo[at], top[np.append(at[1:], len(lo)) - 1] if len(at) else hi
+
+
+def regions(block: Block, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, item, and between which words the item would begin, by its seeds."""
+    out = tuple(np.zeros(0, np.int64) for _ in range(4))
+    for size, (seeds, at, items, offsets) in block.seeds.items():
+        h, begin = ngram_hashes(words, first, size)
+        hit, k = _find(seeds, h)
+        n = at[k + 1] - at[k]
+        total = np.cumsum(n)
+        i = 0
+        while i < len(hit):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PLACES, "right")))
+            m = n[i:j]
+            where = np.repeat(at[k[i:j]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            where_in_text = np.repeat(hit[i:j], m)
+            owner = np.searchsorted(begin, where_in_text, "right") - 1
+            place = where_in_text - begin[owner] - offsets[where]
+            out = _unite(*(np.concatenate(x) for x in zip(out, (owner, items[where], place, place))), block.length)
+            i = j
     return out
 
 
@@ -206,7 +279,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, si
     rows = docs.select("doc_id", F.col("text").cast("string"))
     for block in blocks(benchmark, seed_words):
         small_batches(spark, 1000, "4m")
-        out = out.unionByName(rows.mapInArrow(trimmed(_search(block.with_pairs(_frequencies(docs, block), similarity), similarity, benchmark.schema["item_id"])), schema))
+        out = out.unionByName(rows.mapInArrow(trimmed(_search(block.choose(_occurrences(docs, block), similarity), similarity, benchmark.schema["item_id"])), schema))
     return out
 
 
@@ -218,37 +291,21 @@ def _search(block: Block, similarity: float, field):
     def run(batches):
         for b in batches:
             words, first, starts, ends, offsets = _words(b.column(1))
-            owner, item, place = [], [], []
-            for size, (seeds, at, items, offs) in block.seeds.items():
-                h, begin = ngram_hashes(words, first, size)
-                hit, k = _find(seeds, h)
-                n = at[k + 1] - at[k]
-                where = np.repeat(at[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                hit = np.repeat(hit, n)
-                doc = np.searchsorted(begin, hit, "right") - 1
-                owner.append(doc)
-                item.append(items[where])
-                place.append(hit - begin[doc] - offs[where])  # where the item would begin
-            owner, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, item, place))
-            order = np.lexsort((place, item, owner))
-            pairs, who = [], []
-            i = 0
-            owner, item, place = owner[order].tolist(), item[order].tolist(), place[order].tolist()
-            while i < len(order):
-                d, t, m = owner[i], item[i], int(block.length[item[i]])
-                j = i + 1
-                while j < len(order) and owner[j] == d and item[j] == t and place[j] - place[j - 1] <= m:
-                    j += 1
-                # An alignment that reaches the similarity spends at most m gaps.
-                a, z = max(first[d], first[d] + place[i] - m), min(first[d + 1], first[d] + place[j - 1] + 2 * m)
-                i = j
-                if np.isin(words[a:z], block.words[block.first[t] : block.first[t + 1]]).sum() >= similarity * m:
-                    pairs.append((t, a, words[a:z]))
-                    who.append(d)
+            owner, item, lo, hi = regions(block, words, first)
+            m = block.length[item]
+            # An alignment that reaches the similarity spends at most m gaps.
+            begin, end = np.maximum(first[owner], first[owner] + lo - m), np.minimum(first[owner + 1], first[owner] + hi + 2 * m)
             best: dict = {}
-            for (t, a, _), d, (s, lo, hi) in zip(pairs, who, compare(block, pairs)):
-                if s >= similarity * block.length[t] and s > best.get((d, t), (0,))[0]:
-                    best[d, t] = s, starts[a + lo] - offsets[d], ends[a + hi - 1] - offsets[d]
+            for i in range(0, len(owner), REGIONS):
+                pairs, who = [], []
+                for d, t, a, z in zip(*(x[i : i + REGIONS].tolist() for x in (owner, item, begin, end))):
+                    own = block.words[block.first[t] : block.first[t + 1]]
+                    if np.isin(words[a:z], own).sum() >= similarity * len(own):
+                        pairs.append((t, a, words[a:z]))
+                        who.append(d)
+                for (t, a, _), d, (s, x, y) in zip(pairs, who, compare(block, pairs)):
+                    if s >= similarity * block.length[t] and s > best.get((d, t), (0,))[0]:
+                        best[d, t] = s, starts[a + x] - offsets[d], ends[a + y - 1] - offsets[d]
             keys = list(best)
             yield pa.RecordBatch.from_arrays(
                 [

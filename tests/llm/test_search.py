@@ -154,3 +154,50 @@ def test_dense_edits_against_alignment_of_all_pairs(spark, make):
     bench = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(make([(d, " ".join(w)) for d, w in enumerate(docs)]), bench).collect()}
     assert got == want and len(want) > 60
+
+
+def test_an_opening_that_many_items_share(spark, make, monkeypatch):
+    """Its 3-grams are no seeds, and all alignments are found still."""
+    monkeypatch.setattr(decontaminate, "PLACES", 100)
+    monkeypatch.setattr(decontaminate, "REGIONS", 3)
+    rng = np.random.default_rng(8)
+    opening = "which of the following is the best".split()
+    items = [opening + item(rng, int(rng.integers(3, 12))).split() for _ in range(40)] + [opening, opening[:3], opening[:2]]
+    docs = [opening * 30 + item(rng, 20).split() for _ in range(5)]
+    for w in items[:20]:
+        keep = rng.random(len(w)) < 0.8
+        docs.append(item(rng, 5).split() + [x for x, k in zip(w, keep) if k] + item(rng, 5).split())
+        docs.append([y for i, x in enumerate(w) for y in ([x, "new"] if i % 3 == 2 else [x])])
+        docs.append(w[len(w) // 2 :] + item(rng, 9).split())
+    code = {}
+    number = lambda w: np.array([[code.setdefault(x, len(code) + 1) for x in w]], dtype=np.uint64)
+    want = {
+        (d, t) for d, w in enumerate(docs) for t, x in enumerate(items)
+        if decontaminate.align(number(x), number(w), np.array([len(x)]), np.array([len(w)]))[0][0] >= (0.5 if len(x) > 2 else 1) * len(x)
+    }
+    bench = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(make([(d, " ".join(w)) for d, w in enumerate(docs)]), bench).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_seeds_of_a_shared_opening_are_few():
+    """Places laid out grow with items and hits of rare seeds, not with their product."""
+    rng = np.random.default_rng(9)
+    opening = "which of the following"
+    items = [f"{opening} {item(rng, 20)}" for _ in range(500)]
+    block = decontaminate.Block(list(range(500)), items, 3)
+    import pyarrow as pa
+
+    text = " ".join(f"{opening} {item(rng, 3)}" for _ in range(2000)) + " " + items[7]
+    words, first, *_ = decontaminate._words(pa.array([text]))
+    counts = {}
+    for size, (h, _, _) in block.grams.items():
+        g = np.unique(h)
+        counts[size] = np.bincount(decontaminate._find(g, decontaminate.ngram_hashes(words, first, size)[0])[1], minlength=len(g))
+    block.choose(counts, 0.5)
+    laid = 0
+    for size, (seeds, at, _, _) in block.seeds.items():
+        _, k = decontaminate._find(seeds, decontaminate.ngram_hashes(words, first, size)[0])
+        laid += int((at[k + 1] - at[k]).sum())
+    owner, found, lo, hi = decontaminate.regions(block, words, first)
+    assert laid < 3000 and 7 in found.tolist()
