@@ -65,16 +65,26 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents as the mix takes them: a row for each pass over the stream of
-    its source that takes the document, whole. The one document of a source at which
-    its target ends counts as taken if more than half of its words are. A source without
-    words gives nothing."""
+    its source that takes the document. The one document of a source at which its target
+    ends comes once more, cut after the last word taken (n_chars then counts what is
+    left), so what a source gives is its target to within a word. Rows equal in doc_id,
+    text and source share what they give among them. A source without words gives
+    nothing."""
     rows = keyed(docs)
     pieces, sized = mixing.schedule(rows.select(F.col("__row").alias("doc_id"), "source", "text"))
     taken = pieces.groupBy("sid", "pos").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    times = sized.join(taken, ["sid", "pos"]).withColumn("__times", F.round(F.col("taken") / F.col("size")).cast("int"))
-    times = times.filter("__times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("__times").alias("__times"))
-    kept = rows.join(times, F.col("__row") == F.col("__id"))
-    return kept.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    each = sized.filter("size > 0").join(taken, ["sid", "pos"], "left").select(F.col("doc_id").alias("__id"), F.coalesce("taken", F.lit(0)).alias("taken"), "size")
+    given = each.groupBy("__id").agg(F.count("*").alias("__n"), F.sum(F.expr("taken div size")).alias("__whole"), F.max(F.expr("taken % size")).alias("__cut"))
+    given = materialize(given.filter("__whole > 0 or __cut > 0"))
+    alike = rows.join(given, F.col("__row") == F.col("__id")).withColumn("__times", F.expr("__whole div __n"))
+    rest = rows.join(given.filter("__cut > 0 or __whole % __n > 0"), F.col("__row") == F.col("__id")).dropDuplicates(["__row"])
+    again = rest.withColumn("__times", F.expr("__whole % __n"))
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = rest.filter("__cut > 0").withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("__cut").cast("int")), "")).withColumn("__times", F.lit(1).cast("long"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = alike.unionByName(again).unionByName(cut).filter("__times > 0")
+    return out.withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
