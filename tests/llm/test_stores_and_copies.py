@@ -342,6 +342,24 @@ def test_pipeline_rows_without_an_id(spark, make, tmp_path):
     assert set(times) == {1, 2} and abs(sum(times) - 60) <= 1
 
 
+def test_pipeline_mix_gives_each_source_its_words(spark, make, tmp_path):
+    """One long document, equal rows, and texts cut after the last word taken."""
+    import corpus_pipeline as p
+
+    one = "\t x " + "  \n".join(f"w{i}" for i in range(5000)) + " "
+    rows = [(1, one, "en", "a", len(one))] + [(2, "same words here", "en", "b", 15)] * 7 + [(3, "other words", "en", "b", 11), (4, " ", "en", "c", 1), (5, None, "en", None, 0)]
+    docs = p.materialize(make(rows))
+    got = p.mix(spark, docs, str(tmp_path)).collect()
+    want = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(len(r.text.split()) for r in mine) - want[source]) <= 1
+        assert all(r.n_chars == len(r.text) for r in mine)
+    cut = [r.text for r in got if r.source == "a" and r.text != one]
+    assert len(cut) <= 1 and all(one.startswith(t) and not t[-1].isspace() for t in cut)
+    assert {r.doc_id for r in got} <= {1, 2, 3} and sum(r.text == one for r in got) <= 2
+
+
 def mirrored_words():
     from test_common import mirrored
 
