@@ -54,6 +54,17 @@ def approximate_sync(left: DataFrame, right: DataFrame, interval_ns: int) -> Dat
     return best.select("event_id", F.col("m.other").alias("other"), F.col("m.dt").alias("dt"))
 
 
+def nearest_sets(lead: DataFrame, others: list[DataFrame], interval_ns: int) -> DataFrame:
+    """For each row of `lead` the nearest of every other input within the interval (ties:
+    the smaller id), where each has one: event_id, id_i and dt_i. All:
+    event_id, t_ns."""
+    out = lead.select("event_id")
+    for i, x in enumerate(others, 1):
+        found = approximate_sync(lead, x, interval_ns).select("event_id", c("other").alias(f"id_{i}"), c("dt").alias(f"dt_{i}"))
+        out = out.join(found, "event_id")
+    return out
+
+
 def collect_groups(messages: DataFrame, timeout_ns: int) -> DataFrame:
     """Collector groups (t14): messages of a key that follow each other within the
     timeout form a group; of each sensor its first message counts. `messages`: key,

@@ -36,6 +36,19 @@ def cut_at_angle(blocks: DataFrame, angle: float, key: str = "sensor") -> DataFr
     return b.withColumn("scan_id", (F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0)) - c("_cut")).cast("long")).drop("_cut")
 
 
+def cut_at_angles(blocks: DataFrame, angles: list[float], key: str = "sensor") -> DataFrame:
+    """scan_id as of cut_at_angle(), where any of several angles closes a scan: sensors of
+    more than one mirror, with one angle a mirror. Angles are few and known, so how many
+    lie before an azimuth is a sum of comparisons."""
+    upto = lambda x: sum((F.lit(float(a)) <= x).cast("int") for a in angles)
+    last = F.lag("azimuth").over(_order(key))
+    b = blocks.withColumn("_last", last).withColumns({"_a": upto(c("_last")), "_b": upto(c("azimuth"))})
+    cut = F.when(c("_last").isNull(), 0).when(c("_last") <= c("azimuth"), (c("_a") < c("_b")).cast("int")).otherwise(((c("_a") < len(angles)) | (c("_b") > 0)).cast("int"))
+    b = b.withColumn("_cut", cut)
+    so_far = F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("scan_id", (so_far - c("_cut")).cast("long")).drop("_cut", "_last", "_a", "_b")
+
+
 def into_next_scan(points: DataFrame, reset: float, emit: float, overlap: float = 20.0, period: float = 360.0) -> DataFrame:
     """Points of blocks between the reset and the emit angle whose corrected azimuth
     lies within `overlap` after it go to the scan that follows."""
