@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,14 +157,18 @@ def split(points: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("label = 'ground'"), both.filter("label = 'obstacle'")
 
 
+#: Centroids that are set against all planes of a frame at once.
+SLICE = 4096
+
+
 def ransac(points: DataFrame, iterations: int = 200, threshold: float = 0.15, tilt: float = 15.0, height: float = 0.20, voxel: float = 0.10, seed: int = 1) -> DataFrame:
     """frame_id, point_idx, is_obstacle. Voxel centroids vote for planes through
     three of them, chosen by a seeded hash, so the result is the same each time;
     the plane with most votes (first of equals) is refitted to them. A frame
     without a plane, or with one tilted by more than `tilt`, passes whole.
 
-    Hypotheses are rows: iterations per frame, joined to the frame's centroids and
-    counted with partial sums."""
+    A frame's planes are a matrix of `iterations` rows; its centroids, a scan's, are
+    folded into a vector of votes a slice at a time."""
     from scanlake.operators.aggregates import voxel_downsample
 
     leaves = voxel_downsample(points, voxel)
@@ -183,7 +188,20 @@ def ransac(points: DataFrame, iterations: int = 200, threshold: float = 0.15, ti
     planes = planes.select("frame_id", "h", *((c(n) / c("s")).alias(n) for n in ("a", "b", "k")), "x1", "y1", "z1")
     planes = planes.withColumn("d", -(c("a") * c("x1") + c("b") * c("y1") + c("k") * c("z1"))).drop("x1", "y1", "z1")
     near = F.abs(c("a") * c("x") + c("b") * c("y") + c("k") * c("z") + c("d")) <= threshold
-    votes = planes.join(leaves, "frame_id").groupBy("frame_id", "h").agg(F.count_if(near).alias("votes"), *(F.first(n).alias(n) for n in ("a", "b", "k", "d")))
+    kind = points.schema["frame_id"].dataType.simpleString()
+
+    def count(left, right):
+        plane = np.stack([left.column(n).to_numpy() for n in ("a", "b", "k", "d")], axis=1)
+        leaf = np.stack([right.column(n).to_numpy() for n in "xyz"], axis=1)
+        votes = np.zeros(len(plane), dtype=np.int64)
+        for i in range(0, len(leaf) if len(plane) else 0, SLICE):
+            x, y, z = leaf[i : i + SLICE].T
+            a, b, k, d = (plane[:, j : j + 1] for j in range(4))
+            votes += (np.abs(a * x + b * y + k * z + d) <= threshold).sum(1)
+        return left.append_column("votes", pa.array(votes))
+
+    held = planes.groupBy("frame_id").cogroup(leaves.select(c("frame_id").alias("leaf_frame"), "x", "y", "z").groupBy("leaf_frame"))
+    votes = held.applyInArrow(count, f"frame_id {kind}, h int, a double, b double, k double, d double, votes long")
     best = votes.groupBy("frame_id").agg(F.min(F.struct((-c("votes")).alias("v"), "h", "a", "b", "k", "d")).alias("p")).select("frame_id", "p.*")
     # Refit: z as a linear function of x and y over the inliers, by their moments.
     inliers = best.join(leaves, "frame_id").filter(near)

@@ -75,11 +75,12 @@ def merge_streams(twists: DataFrame, imu: DataFrame, three_d: bool = False) -> D
     return out.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("vx", "wz")})
 
 
-def undistort_2d(points: DataFrame, poses: DataFrame, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+def undistort_2d(points: DataFrame, poses: DataFrame, bucket_ns: int = 3_600_000_000_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Points (x, y, z, t_ns) moved to where they lie in the first pose's frame.
     `poses`: integrate_2d() with prev_ns. A point goes with the first twist not
-    before it; from the pose before that twist it moves on by its own time."""
-    p = asof_forward(points, poses, bucket_ns=bucket_ns)
+    before it; from the pose before that twist it moves on by its own time. With `by`,
+    only rows of equal keys meet (a drive, a vehicle)."""
+    p = asof_forward(points, poses, bucket_ns=bucket_ns, by=by)
     dt = F.greatest(F.lit(0.0), (c("t_ns") - F.col("r_prev_ns")) / 1e9)
     p = p.withColumn("_dt", dt).withColumn("_th", F.col("r_prev_theta") + F.col("r_wz") * F.col("_dt"))
     x0 = F.col("r_prev_px") + F.col("r_vx") * F.col("_dt") * F.cos("_th")

@@ -98,5 +98,5 @@ def cut_mirrors(blocks: DataFrame, angles: MirrorAngles, key: str = "sensor") ->
     return out.withColumns({
         "field": F.when(upto == 0, len(angles.start) - 1).otherwise(upto - 1).cast("int"),
         "in_view": touches(zip(angles.fov_start, angles.fov_end), False), "in_overlap": touches(zip(angles.reset, angles.emit), True),
-        "begins": _any(F.coalesce(passes("_last", "azimuth", float(a)), F.lit(False)) for a in angles.reset),
+        "begins": c("_last").isNotNull() & _any(passes("_last", "azimuth", float(a)) for a in angles.reset),
     }).drop("_last")

@@ -1,15 +1,15 @@
 """Motion in three dimensions: exponentials of twists and their products.
 
-A product of matrices is a fold in order; the stamps of one drive and one bucket of
-time are some tens to thousands of rows, and points are joined to the poses as in
-two dimensions.
+Products of rigid motions are associative, so poses are a prefix product in two levels:
+the stamps of a bucket of time, a task a bucket, by doubling; and over buckets, of which
+each gives one motion. Points are joined to the poses as in two dimensions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import c
@@ -18,44 +18,94 @@ from scanlake.operators.joins import asof_forward
 POSE = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)] + ["px", "py", "pz"]
 
 
-def exp_se3(v: np.ndarray, w: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and translation of a constant twist for a time: Rodrigues' formula
-    and the left Jacobian, with their series near zero."""
-    phi, rho = w * dt, v * dt
-    a = float(np.linalg.norm(phi))
-    k = np.array([[0, -phi[2], phi[1]], [phi[2], 0, -phi[0]], [-phi[1], phi[0], 0]])
-    if a < 1e-6:
-        s, b, g = 1 - a * a / 6, 0.5 - a * a / 24, 1 / 6 - a * a / 120
-    else:
-        s, b, g = np.sin(a) / a, (1 - np.cos(a)) / a**2, (a - np.sin(a)) / a**3
-    return np.eye(3) + s * k + b * k @ k, (np.eye(3) + b * k + g * k @ k) @ rho
+def exp_se3(v: np.ndarray, w: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    """Rigid motions (4 x 4 each) of constant twists for a time: Rodrigues' formula and
+    the left Jacobian, with their series near zero."""
+    phi, rho = w * dt[:, None], v * dt[:, None]
+    a = np.linalg.norm(phi, axis=1)[:, None, None]
+    k = np.zeros((len(phi), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -phi[:, 2], phi[:, 1], -phi[:, 0]
+    k -= k.transpose(0, 2, 1)
+    near, at = a < 1e-6, np.maximum(a, 1e-6)
+    s = np.where(near, 1 - a * a / 6, np.sin(at) / at)
+    b = np.where(near, 0.5 - a * a / 24, (1 - np.cos(at)) / at**2)
+    g = np.where(near, 1 / 6 - a * a / 120, (at - np.sin(at)) / at**3)
+    out = np.zeros((len(phi), 4, 4))
+    out[:, :3, :3] = np.eye(3) + s * k + b * (k @ k)
+    out[:, :3, 3] = ((np.eye(3) + b * k + g * (k @ k)) @ rho[:, :, None])[:, :, 0]
+    out[:, 3, 3] = 1
+    return out
 
 
-def integrate_3d(twists: DataFrame, key: str) -> DataFrame:
+def prefix_products(m: np.ndarray) -> np.ndarray:
+    """m[0], m[0] m[1], ... in steps of doubling length."""
+    n = 1
+    while n < len(m):
+        m = np.concatenate([m[:n], m[:-n] @ m[n:]])
+        n *= 2
+    return m
+
+
+def _flat(m: np.ndarray) -> np.ndarray:
+    return np.concatenate([m[:, :3, :3].reshape(len(m), 9), m[:, :3, 3]], axis=1)
+
+
+def _motions(flat: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(flat), 4, 4))
+    out[:, :3, :3], out[:, :3, 3], out[:, 3, 3] = flat[:, :9].reshape(-1, 3, 3), flat[:, 9:], 1
+    return out
+
+
+def integrate_3d(twists: DataFrame, key: str, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """Poses (r11..r33, px, py, pz) at each twist (t_ns, vx, vy, vz, wx, wy, wz) and
     the pose before it (prev_*), per key; the first stands at the origin."""
     kind = twists.schema[key].dataType.simpleString()
     names = ["vx", "vy", "vz", "wx", "wy", "wz"]
     prev = [f"prev_{n}" for n in POSE]
-    schema = f"{key} {kind}, t_ns long, prev_ns long, {', '.join(f'{n} double' for n in names + POSE + prev)}"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    columns = ["t_ns", "prev_ns", *names, *POSE, *prev]
+    types = f"t_ns long, prev_ns long, {', '.join(f'{n} double' for n in names + POSE + prev)}"
+    rows = twists.select(key, "t_ns", *names).withColumn("_bucket", F.floor(c("t_ns") / bucket_ns))
+    # The stamp a bucket follows on.
+    ends = rows.groupBy(key, "_bucket").agg(F.max("t_ns").alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_bucket")
+    rows = rows.join(ends.select(key, "_bucket", F.lag("_end").over(earlier).alias("_from")), [key, "_bucket"])
+
+    def local(g: pd.DataFrame) -> pd.DataFrame:
+        """Poses from the bucket's begin on."""
         g = g.sort_values("t_ns")
-        r, p, last, rows = np.eye(3), np.zeros(3), None, []
-        for t, *tw in g[["t_ns", *names]].itertuples(index=False):
-            before, at = np.concatenate([r.ravel(), p]), last if last is not None else t
-            dr, dp = exp_se3(np.array(tw[:3]), np.array(tw[3:]), (t - at) / 1e9)
-            r, p, last = r @ dr, p + r @ dp, t
-            rows.append([g[key].iloc[0], t, at, *tw, *r.ravel(), *p, *before])
-        return pd.DataFrame(rows, columns=[key, "t_ns", "prev_ns", *names, *POSE, *prev])
-
-    return twists.select(key, "t_ns", *names).groupBy(key).applyInPandas(run, schema)
-
-
-def undistort_3d(points: DataFrame, poses: DataFrame, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+        t = g.t_ns.to_numpy()
+        first = t[0] if pd.isna(g["_from"].iloc[0]) else int(g["_from"].iloc[0])
+        at = np.concatenate([[first], t[:-1]])
+        tw = g[names].to_numpy(float)
+        poses = prefix_products(exp_se3(tw[:, :3], tw[:, 3:], (t - at) / 1e9))
+        before = np.concatenate([np.eye(4)[None], poses[:-1]])
+        out = pd.DataFrame(np.concatenate([tw, _flat(poses), _flat(before)], axis=1), columns=names + POSE + prev)
+        return out.assign(**{key: g[key].iloc[0], "_bucket": g["_bucket"].iloc[0], "t_ns": t, "prev_ns": at})[[key, "_bucket", *columns]]
+
+    def over_buckets(g: pd.DataFrame) -> pd.DataFrame:
+        """The pose at each bucket's begin."""
+        g = g.sort_values("_bucket")
+        begin = np.concatenate([np.eye(4)[None], prefix_products(_motions(g[POSE].to_numpy(float)))[:-1]])
+        return pd.DataFrame(_flat(begin), columns=[f"_{n}" for n in POSE]).assign(**{key: g[key].iloc[0], "_bucket": g["_bucket"].to_numpy()})[[key, "_bucket", *(f"_{n}" for n in POSE)]]
+
+    own = rows.groupBy(key, "_bucket").applyInPandas(local, f"{key} {kind}, _bucket long, {types}")
+    totals = own.groupBy(key, "_bucket").agg(*(F.max_by(n, "t_ns").alias(n) for n in POSE))
+    begins = totals.groupBy(key).applyInPandas(over_buckets, f"{key} {kind}, _bucket long, {', '.join(f'_{n} double' for n in POSE)}")
+    met = own.join(begins, [key, "_bucket"])
+
+    def moved(of: str) -> dict:
+        """The bucket's begin times the pose from there."""
+        out = {f"{of}r{i}{j}": sum((c(f"_r{i}{k}") * c(f"{of}r{k}{j}") for k in (1, 2, 3)), F.lit(0.0)) for i in (1, 2, 3) for j in (1, 2, 3)}
+        return out | {f"{of}p{a}": c(f"_p{a}") + sum((c(f"_r{i}{k}") * c(f"{of}p{b}") for k, b in zip((1, 2, 3), "xyz")), F.lit(0.0)) for i, a in zip((1, 2, 3), "xyz")}
+
+    return met.withColumns(moved("") | moved("prev_")).select(key, *columns)
+
+
+def undistort_3d(points: DataFrame, poses: DataFrame, bucket_ns: int = 3_600_000_000_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Points (x, y, z, t_ns) in the first pose's frame: ux, uy, uz. From the pose
-    before its twist a point moves on by the twist's exponential for its own time."""
-    p = asof_forward(points, poses, bucket_ns=bucket_ns)
+    before its twist a point moves on by the twist's exponential for its own time.
+    With `by`, points go with twists of equal keys only (a drive, a vehicle)."""
+    p = asof_forward(points, poses, bucket_ns=bucket_ns, by=by)
     dt = F.greatest(F.lit(0.0), (c("t_ns") - c("r_prev_ns")) / 1e9)
     f = {n: c(f"r_w{n}") * dt for n in "xyz"}
     v = {n: c(f"r_v{n}") * dt for n in "xyz"}

@@ -146,14 +146,17 @@ def fragment_hex(range_, azimuth, range_rate, rcs, flags, snr) -> Column:
     return F.lpad(F.hex(v), 12, "0")
 
 
-def assemble(messages: DataFrame, expected: int) -> DataFrame:
+def assemble(messages: DataFrame, expected: int, bucket: int = 1 << 16) -> DataFrame:
     """Groups header, elements, checksum of one sensor in order: group_no, n_elements
     and whether the group is whole: as many elements as expected and a matching
     CRC-16 over header and elements. `messages`: sensor, seq, kind (header, element,
     crc), data; a checksum's data is two bytes. A group is at most a few dozen
-    messages, which bounds its array."""
-    order = Window.partitionBy("sensor").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    m = messages.withColumn("group_no", F.sum((c("kind") == "header").cast("int")).over(order)).filter("group_no > 0")
+    messages, which bounds its array; the groups of a sensor are numbered `bucket`
+    messages a task."""
+    from scanlake.streaming.scans import carried
+
+    header = c("kind") == "header"
+    m = carried(messages, lambda last: header, header, ["sensor"], "seq", bucket, "group_no").filter("group_no > 0")
     body = F.array_sort(F.collect_list(F.when(c("kind") != "crc", F.struct("seq", F.hex("data").alias("h")))))
     g = m.groupBy("sensor", "group_no").agg(
         F.count_if(c("kind") == "element").alias("n_elements"), body.alias("_b"), F.max_by(F.when(c("kind") == "crc", uint_be("data", F.lit(0), 2)), F.when(c("kind") == "crc", c("seq"))).alias("_crc"),

@@ -1,13 +1,14 @@
 """Cutting the endless row of blocks into scans.
 
-In a batch a cut is a lag and a running sum within a sensor. As a stream the same
+In a batch a cut is a lag and a running sum within a sensor, both carried from bucket to
+bucket of its rows, so that no task takes a sensor's whole history. As a stream the same
 rules run as a fold with a small state per sensor: the last azimuth and the number
 of the open scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scanlake.functions.geometry import c, wrap
 
 
-def _order(key: str = "sensor") -> Window:
-    return Window.partitionBy(key).orderBy("seq")
+#: Rows of one sensor, by seq, that one task puts in order.
+BUCKET = 1 << 16
 
 
 def passes(last, now, angle: float) -> Column:
@@ -27,26 +28,45 @@ def passes(last, now, angle: float) -> Column:
     return F.when(a <= b, (a < angle) & (F.lit(angle) <= b)).otherwise((a < angle) | (F.lit(angle) <= b))
 
 
-def cut_at_angle(blocks: DataFrame, angle: float, key: str = "sensor") -> DataFrame:
+def carried(rows: DataFrame, cut: Callable[[Column], Column], value, keys: list[str], order: str, bucket: int, name: str, of_before: bool = False) -> DataFrame:
+    """rows with the running number of cuts as `name`. cut(last) says, from the `value` of
+    the row before, whether a row is a cut, `of_before` leaves it out of its own number.
+
+    A key's rows are taken `bucket` of its order at a time, each bucket in a task of its
+    own: what the bucket before ended with, and how many cuts came before, are prefixes
+    over tables of a row a bucket, joined back by bucket. So a sensor's history of any
+    length is no one task's."""
+    b = rows.withColumns({"_bucket": F.floor(c(order) / bucket), "_value": value})
+    ends = b.groupBy(*keys, "_bucket").agg(F.max_by("_value", order).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket")
+    b = b.join(ends.select(*keys, "_bucket", F.lag("_end").over(earlier).alias("_end")), [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    b = b.withColumn("_last", F.coalesce(F.lag("_value").over(inside), "_end"))
+    b = b.withColumn("_cut", F.coalesce(cut(c("_last")), F.lit(False)).cast("long")).withColumn("_so_far", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = b.groupBy(*keys, "_bucket").agg(F.sum("_cut").alias("_n"))
+    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    b = b.join(sums, [*keys, "_bucket"])
+    number = c("_n") + c("_so_far") - (c("_cut") if of_before else F.lit(0))
+    return b.withColumn(name, number).drop("_bucket", "_value", "_end", "_last", "_cut", "_so_far", "_n").select(*rows.columns, name)
+
+
+def cut_at_angle(blocks: DataFrame, angle: float, key: str = "sensor", bucket: int = BUCKET) -> DataFrame:
     """scan_id of blocks (sensor, seq, azimuth) of sensors that close a scan when the
     azimuth passes the angle; the block that does so still belongs to it."""
-    last = F.lag("azimuth").over(_order(key))
-    cut = F.when(last.isNull(), 0).otherwise(passes(last, "azimuth", angle).cast("int"))
-    b = blocks.withColumn("_cut", cut)
-    return b.withColumn("scan_id", (F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0)) - c("_cut")).cast("long")).drop("_cut")
+    return cut_at_angles(blocks, [angle], key, bucket)
 
 
-def cut_at_angles(blocks: DataFrame, angles: list[float], key: str = "sensor") -> DataFrame:
+def cut_at_angles(blocks: DataFrame, angles: list[float], key: str = "sensor", bucket: int = BUCKET) -> DataFrame:
     """scan_id as of cut_at_angle(), where any of several angles closes a scan: sensors of
     more than one mirror, with one angle a mirror. Angles are few and known, so how many
     lie before an azimuth is a sum of comparisons."""
     upto = lambda x: sum((F.lit(float(a)) <= x).cast("int") for a in angles)
-    last = F.lag("azimuth").over(_order(key))
-    b = blocks.withColumn("_last", last).withColumns({"_a": upto(c("_last")), "_b": upto(c("azimuth"))})
-    cut = F.when(c("_last").isNull(), 0).when(c("_last") <= c("azimuth"), (c("_a") < c("_b")).cast("int")).otherwise(((c("_a") < len(angles)) | (c("_b") > 0)).cast("int"))
-    b = b.withColumn("_cut", cut)
-    so_far = F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn("scan_id", (so_far - c("_cut")).cast("long")).drop("_cut", "_last", "_a", "_b")
+
+    def cut(last):
+        a, b = upto(last), upto(c("azimuth"))
+        return F.when(last.isNull(), False).when(last <= c("azimuth"), a < b).otherwise((a < len(angles)) | (b > 0))
+
+    return carried(blocks, cut, c("azimuth"), [key], "seq", bucket, "scan_id", of_before=True)
 
 
 def into_next_scan(points: DataFrame, reset: float, emit: float, overlap: float = 20.0, period: float = 360.0) -> DataFrame:
@@ -57,22 +77,18 @@ def into_next_scan(points: DataFrame, reset: float, emit: float, overlap: float
     return points.withColumn("scan_id", c("scan_id") + (near & (after <= overlap)).cast("long"))
 
 
-def cut_on_wrap(blocks: DataFrame, phase: float, period: float = 36_000.0, key: str = "sensor") -> DataFrame:
+def cut_on_wrap(blocks: DataFrame, phase: float, period: float = 36_000.0, key: str = "sensor", bucket: int = BUCKET) -> DataFrame:
     """scan_id of sensors whose block opens a scan when its azimuth, counted from the
     phase, is less than that of the block before."""
     turned = wrap(c("azimuth") - phase, period)
-    cut = F.coalesce(turned < F.lag(turned).over(_order(key)), F.lit(False)).cast("int")
-    b = blocks.withColumn("_cut", cut)
-    return b.withColumn("scan_id", F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cut")
+    return carried(blocks, lambda last: turned < last, turned, [key], "seq", bucket, "scan_id")
 
 
-def cut_packets(packets: DataFrame, phase: float, period: float = 36_000.0, key: str = "sensor") -> DataFrame:
+def cut_packets(packets: DataFrame, phase: float, period: float = 36_000.0, key: str = "sensor", bucket: int = BUCKET) -> DataFrame:
     """scan_id of packets (first, last azimuth): a packet in whose span, from the end
     of the packet before, the phase lies opens a scan that already has a packet."""
     turned = wrap(c("last") - phase, period)
-    cut = F.coalesce(turned < F.lag(turned).over(_order(key)), F.lit(False)).cast("int")
-    b = packets.withColumn("_cut", cut)
-    return b.withColumn("scan_id", F.sum("_cut").over(_order(key).rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cut")
+    return carried(packets, lambda last: turned < last, turned, [key], "seq", bucket, "scan_id")
 
 
 def overflow(points: DataFrame, phase: float, max_gap_ns: int = 50_000_000, key: str = "sensor") -> DataFrame:

@@ -88,8 +88,48 @@ def test_undistort_3d_agrees_with_2d_in_the_plane(spark):
     full = flat.select("k", "t_ns", "vx", F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"), F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"), "wz")
     pose = motion.integrate_3d(full, "k").orderBy("t_ns").collect()[-1]
     assert math.isclose(math.atan2(pose.r21, pose.r11), 0.3 * 0.5, abs_tol=1e-9)
-    r, p = motion.exp_se3(*(__import__("numpy").array(x, float) for x in ([1, 0, 0], [0, 0, 2])), 1e-9)
-    assert math.isclose(p[0], 1e-9, rel_tol=1e-6)
+    import numpy as np
+
+    m = motion.exp_se3(np.array([[1.0, 0, 0]]), np.array([[0, 0, 2.0]]), np.array([1e-9]))
+    assert math.isclose(m[0, 0, 3], 1e-9, rel_tol=1e-6)
+
+
+def test_poses_are_carried_from_bucket_to_bucket(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("ab"[i % 2], int(i * 1e8), *map(float, rng.normal(size=6))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t_ns long, vx double, vy double, vz double, wx double, wy double, wz double")
+    one, many = (motion.integrate_3d(df, "k", b).orderBy("k", "t_ns").collect() for b in (10**12, 7 * 10**8))
+    assert np.allclose(np.array([r[1:] for r in one], float), np.array([r[1:] for r in many], float), atol=1e-9) and len(one) == 200
+    # One after another.
+    pose, last = np.eye(4), None
+    for r, (_, t, *tw) in zip((r for r in one if r.k == "a"), (r for r in rows if r[0] == "a")):
+        pose = pose @ motion.exp_se3(np.array([tw[:3]]), np.array([tw[3:]]), np.array([(t - (t if last is None else last)) / 1e9]))[0]
+        last = t
+        assert np.allclose([r.px, r.py, r.pz, r.r11, r.r23], [*pose[:3, 3], pose[0, 0], pose[1, 2]], atol=1e-9)
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_cuts_are_carried_from_bucket_to_bucket(spark, bucket):
+    import random
+
+    from scanlake.streaming import scans
+
+    rng = random.Random(bucket)
+    rows = [(s, i * rng.choice([1, 1, 9]) + 100 * i, float(rng.randrange(360))) for s in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "sensor long, seq long, azimuth double")
+    want, wrapped = {}, {}
+    for s in range(3):
+        last, scan, turn = None, 0, 0
+        for _, seq, a in sorted(r for r in rows if r[0] == s):
+            want[s, seq] = scan
+            if last is not None:
+                scan += (last < 90 <= a) if last <= a else (last < 90 or 90 <= a)
+                turn += (a - 90) % 360 < (last - 90) % 360
+            wrapped[s, seq], last = turn, a
+    assert {(r.sensor, r.seq): r.scan_id for r in scans.cut_at_angle(df, 90.0, bucket=bucket).collect()} == want
+    assert {(r.sensor, r.seq): r.scan_id for r in scans.cut_on_wrap(df, 90.0, 360.0, bucket=bucket).collect()} == wrapped
 
 
 def test_b10_components(spark):
