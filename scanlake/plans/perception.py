@@ -102,14 +102,14 @@ l AS (SELECT frame_id, x, y, z, row_number() OVER (PARTITION BY frame_id ORDER B
 t AS (SELECT frame_id, h, (({_CORNER.format(k=1)}) % n + n) % n AS i1, (({_CORNER.format(k=2)}) % n + n) % n AS i2, (({_CORNER.format(k=3)}) % n + n) % n AS i3 FROM n, (SELECT unnest(range(200)) AS h) WHERE n >= 3),
 d AS (SELECT t.frame_id, t.h, p.x AS x1, p.y AS y1, p.z AS z1, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, r.x - p.x AS bx, r.y - p.y AS by_, r.z - p.z AS bz FROM t JOIN l p ON p.frame_id = t.frame_id AND p.i = i1 JOIN l q ON q.frame_id = t.frame_id AND q.i = i2 JOIN l r ON r.frame_id = t.frame_id AND r.i = i3 WHERE i1 <> i2 AND i2 <> i3 AND i1 <> i3),
 c0 AS (SELECT *, ay * bz - az * by_ AS a, az * bx - ax * bz AS b, ax * by_ - ay * bx AS k FROM d), c1 AS (SELECT *, sqrt(a * a + b * b + k * k) AS s FROM c0), c2 AS (SELECT frame_id, h, a / s AS a, b / s AS b, k / s AS k, x1, y1, z1 FROM c1 WHERE s > 1e-9),
-c3 AS (SELECT frame_id, h, a, b, k, -(a * x1 + b * y1 + k * z1) AS d FROM c2), votes AS (SELECT c3.frame_id, h, a, b, k, d, count(*) FILTER (abs(a * x + b * y + k * z + d) <= 0.1503) AS votes FROM c3 JOIN l ON l.frame_id = c3.frame_id GROUP BY ALL),
+c3 AS (SELECT frame_id, h, a, b, k, -(a * x1 + b * y1 + k * z1) AS d FROM c2), votes AS (SELECT c3.frame_id, h, a, b, k, d, count(*) FILTER (abs(a * x + b * y + k * z + d) <= 0.15) AS votes FROM c3 JOIN l ON l.frame_id = c3.frame_id GROUP BY ALL),
 best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, h) = 1),
-m AS (SELECT best.frame_id, a, b, k, d, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM best JOIN l ON l.frame_id = best.frame_id WHERE abs(a * x + b * y + k * z + d) <= 0.1503 GROUP BY ALL),
+m AS (SELECT best.frame_id, a, b, k, d, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM best JOIN l ON l.frame_id = best.frame_id WHERE abs(a * x + b * y + k * z + d) <= 0.15 GROUP BY ALL),
 w AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS fx, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS fy, xx * yy - xy * xy > 1e-9 AND abs(k) > 0.1 AS fits FROM m), u AS (SELECT *, sqrt(fx * fx + fy * fy + 1) AS q FROM w),
 plane AS (SELECT frame_id, CASE WHEN fits THEN -fx / q ELSE a END AS a, CASE WHEN fits THEN -fy / q ELSE b END AS b, CASE WHEN fits THEN 1 / q ELSE k END AS k, CASE WHEN fits THEN (fx * mx + fy * my - mz) / q ELSE d END AS d FROM u)
-SELECT src.frame_id, point_idx, coalesce(abs(a * x + b * y + k * z + d) > 0.2007, true) AS is_obstacle FROM src LEFT JOIN (SELECT * FROM plane WHERE abs(k) >= cos(radians(15.0))) p ON p.frame_id = src.frame_id""")
+SELECT src.frame_id, point_idx, coalesce(abs(a * x + b * y + k * z + d) > 0.2, true) AS is_obstacle FROM src LEFT JOIN (SELECT * FROM plane WHERE abs(k) >= cos(radians(15.0))) p ON p.frame_id = src.frame_id""")
 def g14(v):
-    return G.ransac(v.pts_li().withColumn("z", c("z") / 10), threshold=0.1503, height=0.2007)
+    return G.ransac(v.pts_li().withColumn("z", c("z") / 10), threshold=0.15, height=0.2)
 
 
 @query("g15_split", """SELECT frame_id, count(*) AS n_points, CAST(count_if(abs(z) > 1) AS BIGINT) AS n_obstacle FROM pts_emb GROUP BY frame_id""")
