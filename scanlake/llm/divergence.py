@@ -43,7 +43,7 @@ UNIT = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
 #: Different terms and documents of which a task hands on its counts at once.
-HELD = 200_000
+HELD = 400_000
 #: Bytes of a text whose terms are listed at once.
 PIECE = 1 << 20
 #: Groups of a language, and postings of a term, that one task sets against all.
@@ -73,9 +73,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
         held: dict[tuple, tuple[Counter, Counter]] = {}
 
         def out():
-            rows = [(*g, t, c, docs[t]) for g, (n, docs) in held.items() for t, c in n.items()] + [(*g, None, 0, 0) for g in held]
+            cols: list = [[] for _ in range(5)]
+            for (lang, source), (n, docs) in held.items():
+                for c, x in zip(cols, ([lang], [source])):
+                    c += x * (len(n) + 1)
+                cols[2] += [*n, None]
+                cols[3] += [*n.values(), 0]
+                cols[4] += [*map(docs.__getitem__, n), 0]
             held.clear()
-            cols = list(zip(*rows))
             kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["lang", "source", "term", "n", "docs"])
 
