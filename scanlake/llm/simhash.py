@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = materialize(links(classes, limit, threshold))
     label = connected_components(found.select("a", "b"))
-    counts = found.groupBy("a").agg(F.sum("n").alias("n_links"))
+    counts = found.filter("n > 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     linked = materialize(classes.join(label, F.col("fp") == F.col("node")).select("fp", "label", "least"))
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = linked.drop("least").join(least, "label").join(counts, F.col("fp") == F.col("a")).select("fp", "component_id", "n_links")
