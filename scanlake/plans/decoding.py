@@ -15,19 +15,19 @@ _WRAP = "({a} - floor({a} / (2 * pi())) * (2 * pi()))"
 
 
 def packets(v):
-    """packet_id, stamp_ns, data: packets of four blocks of four channels; those of
-    orders with fewer lines are short."""
-    u = v.units_li().filter("block < 4")
+    """packet_id, stamp_ns, data: packets of four blocks of four channels; the last of
+    some orders is short."""
+    u = v.blocks_li()
     unit = lambda k: F.concat(hex_le(c("raw_dist") + 100 * k, 2), hex_le((c("refl") + k) % 256, 1))
     h = u.select("packet_id", "block", F.concat(hex_le("raw_az", 2), *(unit(k) for k in range(4))).alias("h"))
     g = h.groupBy("packet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), "").alias("h"))
     return g.select("packet_id", (c("packet_id") * 100_000_000).alias("stamp_ns"), F.unhex("h").alias("data"))
 
 
-_UNITS = "u4 AS (SELECT packet_id, block, k AS channel, raw_az, raw_dist + 100 * k AS raw_dist, (refl + k) % 256 AS refl, return_mode FROM units_li, (SELECT CAST(unnest(range(4)) AS INT) AS k) WHERE block < 4 AND packet_id IN (SELECT packet_id FROM units_li WHERE block = 3))"
+_UNITS = "u4 AS (SELECT packet_id, block, k AS channel, raw_az, raw_dist + 100 * k AS raw_dist, (refl + k) % 256 AS refl, return_mode FROM blocks_li, (SELECT CAST(unnest(range(4)) AS INT) AS k) WHERE packet_id IN (SELECT packet_id FROM blocks_li WHERE block = 3))"
 
 
-@query("d01_size_validation", "SELECT packet_id, CAST(14 * least(count(*), 4) AS INT) AS n_bytes FROM units_li GROUP BY packet_id HAVING count(*) >= 4")
+@query("d01_size_validation", "SELECT packet_id, CAST(14 * count(*) AS INT) AS n_bytes FROM blocks_li GROUP BY packet_id HAVING count(*) >= 4")
 def d01(v):
     return D.valid_packets(packets(v), 56).select("packet_id", F.length("data").alias("n_bytes"))
 
@@ -113,7 +113,7 @@ k AS (SELECT *, CASE WHEN same > 1 THEN 'IDENTICAL' WHEN return_mode = 51 THEN '
 
 
 def _returns(v):
-    modes = v.units_li().groupBy("packet_id").agg(F.min("return_mode").alias("return_mode")).join(F.broadcast(D.return_modes(v.spark)), "return_mode")
+    modes = v.blocks_li().groupBy("packet_id").agg(F.min("return_mode").alias("return_mode")).join(F.broadcast(D.return_modes(v.spark)), "return_mode")
     return D.classify_returns(D.return_groups(D.open_packets(packets(v), 4, 4).join(modes, "packet_id")))
 
 
@@ -193,7 +193,7 @@ def _channels(model: str) -> int:
 
 # Blocks of each model's own packets; channels are spread over all that the model has.
 _D18 = """SELECT '{m}' AS model, packet_id, block, channel, CAST({e} + {f} AS BIGINT) AS offset_ns FROM
- (SELECT packet_id, block, CAST((channel * 5 + block * 32 + packet_id) % {n_ch} AS INT) AS channel, {n} AS n FROM units_li WHERE block < {blocks})"""
+ (SELECT packet_id, block, CAST((channel * 5 + block * 32 + packet_id) % {n_ch} AS INT) AS channel, {n} AS n FROM (SELECT packet_id, channel, return_mode, block % {blocks} AS block FROM units_li))"""
 
 
 @query("d18_time_offsets", " UNION ALL ".join(_D18.format(m=m, e=e, f=_fired(m), n_ch=_channels(m), n=_N, blocks=BLOCKS[m]) for m, e in _OFF.items()))
@@ -201,7 +201,7 @@ def d18(v):
     u = v.units_li().join(F.broadcast(D.return_modes(v.spark)), "return_mode")
     out = None
     for m in _OFF:
-        own = u.filter(c("block") < BLOCKS[m]).withColumn("channel", ((c("channel") * 5 + c("block") * 32 + c("packet_id")) % _channels(m)).cast("int"))
+        own = u.withColumn("block", (c("block") % BLOCKS[m]).cast("int")).withColumn("channel", ((c("channel") * 5 + c("block") * 32 + c("packet_id")) % _channels(m)).cast("int"))
         own = own.select(F.lit(m).alias("model"), "packet_id", "block", "channel", (D.block_offset_ns(m, "block", "n_returns") + D.channel_offset_ns(m, "channel")).alias("offset_ns"))
         out = own if out is None else out.unionByName(own)
     return out

@@ -30,10 +30,10 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def pts_emb(self) -> DataFrame:
-        e = self.table("embeddings").select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+        e = self.table("embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
         at = lambda i: F.element_at("embedding", F.col("k") * 3 + i).cast("double") * 40
         return e.select(
-            F.col("label").alias("frame_id"), (F.col("vec_id") * 21 + F.col("k")).alias("point_idx"), (F.col("vec_id") % 32).cast("int").alias("channel"),
+            F.expr("cast(vec_id div 64 as int)").alias("frame_id"), (F.col("vec_id") * 21 + F.col("k")).alias("point_idx"), (F.col("vec_id") % 32).cast("int").alias("channel"),
             at(1).alias("x"), at(2).alias("y"), at(3).alias("z"),
         )
 
@@ -55,6 +55,17 @@ class Views:
             F.element_at(F.array(*map(F.lit, (0x33, 0x37, 0x38, 0x39, 0x3B, 0x3C))), (F.col("l_orderkey") % 6 + 1).cast("int")).alias("return_mode"),
         )
 
+    def blocks_li(self) -> DataFrame:
+        """All lines as blocks of packets of four; the last packet of 16 orders may be short."""
+        li = self.table("lineitem")
+        rows = li.withColumn("_n", F.row_number().over(Window.partitionBy(F.expr("l_orderkey div 16")).orderBy(*li.columns)) - 1)
+        packet = F.expr("l_orderkey div 16 * 32 + _n div 4")
+        return rows.select(
+            packet.alias("packet_id"), (F.col("_n") % 4).cast("int").alias("block"), (F.col("l_orderkey") * 37 % 36000).cast("int").alias("raw_az"),
+            (F.col("l_quantity") * 400).cast("int").alias("raw_dist"), (F.col("l_partkey") % 256).cast("int").alias("refl"),
+            F.element_at(F.array(*map(F.lit, (0x33, 0x37, 0x38, 0x39, 0x3B, 0x3C))), (packet % 6 + 1).cast("int")).alias("return_mode"),
+        )
+
     def _events(self) -> DataFrame:
         e = self.table("events")
         return e.withColumn("t_ns", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) * 1000"))
@@ -93,7 +104,7 @@ def _values(rows, names: str) -> str:
 _ALL_LI = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _EV = "epoch_us(ts) * 1000"
 SQL = {
-    "pts_emb": """SELECT label AS frame_id, vec_id * 21 + k AS point_idx, CAST(vec_id % 32 AS INT) AS channel,
+    "pts_emb": """SELECT CAST(vec_id // 64 AS INT) AS frame_id, vec_id * 21 + k AS point_idx, CAST(vec_id % 32 AS INT) AS channel,
   CAST(embedding[3 * k + 1] AS DOUBLE) * 40 AS x, CAST(embedding[3 * k + 2] AS DOUBLE) * 40 AS y, CAST(embedding[3 * k + 3] AS DOUBLE) * 40 AS z
   FROM embeddings, (SELECT unnest(range(21)) AS k)""",
     "pts_li": f"""SELECT CAST(l_orderkey // 256 AS INT) AS frame_id, row_number() OVER (PARTITION BY l_orderkey // 256 ORDER BY {_ALL_LI}) - 1 AS point_idx,
@@ -102,6 +113,10 @@ SQL = {
     "units_li": f"""SELECT l_orderkey AS packet_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL_LI}) - 1 AS INT) AS block,
   CAST(l_suppkey % 32 AS INT) AS channel, CAST(l_orderkey * 37 % 36000 AS INT) AS raw_az, CAST(trunc(l_quantity * 400) AS INT) AS raw_dist,
   CAST(l_partkey % 256 AS INT) AS refl, [51, 55, 56, 57, 59, 60][CAST(l_orderkey % 6 + 1 AS INT)] AS return_mode FROM lineitem""",
+    "blocks_li": f"""SELECT *, [51, 55, 56, 57, 59, 60][CAST(packet_id % 6 + 1 AS INT)] AS return_mode FROM (
+  SELECT l_orderkey // 16 * 32 + n // 4 AS packet_id, CAST(n % 4 AS INT) AS block, CAST(l_orderkey * 37 % 36000 AS INT) AS raw_az, CAST(trunc(l_quantity * 400) AS INT) AS raw_dist,
+    CAST(l_partkey % 256 AS INT) AS refl
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey // 16 ORDER BY {_ALL_LI}) - 1 AS n FROM lineitem))""",
     "twist_ev": f"SELECT {_EV} AS t_ns, value / 100 AS vx, (event_id % 21 - 10) / 100.0::DOUBLE AS wz FROM events WHERE event_type IN ('click', 'view')",
     "imu_ev": f"SELECT {_EV} AS t_ns, (event_id % 21 - 10) / 100.0::DOUBLE AS wz FROM events WHERE event_type = 'purchase'",
     "stream_ev": f"SELECT user_id AS sensor, event_id, {_EV} AS t_ns, value, props, event_type FROM events",
