@@ -103,6 +103,17 @@ def s05(v):
     return back.groupBy("frame_id").agg(F.count("*").alias("n"), out4(F.sum("x")).alias("sx"))
 
 
+@query("s05_pcd_files", "SELECT frame_id, count(*) AS n, R4(sum(CAST(x AS FLOAT)::DOUBLE)) AS sx FROM pts_emb GROUP BY frame_id")
+def s05_files(v):
+    """A PCD file a frame, written by the tasks, moved into place when all are done, and read again."""
+    from scanlake.sources import files
+    from scanlake.storage import shared_dir
+
+    path = shared_dir(v.spark)
+    files.write_pcd(v.pts_emb(), path)
+    return S.from_pcd(files.read(v.spark, path)).groupBy("frame_id").agg(F.count("*").alias("n"), out4(F.sum("x")).alias("sx"))
+
+
 @query("s07_skip_and_limit", "SELECT event_id FROM stream_ev ORDER BY t_ns DESC, event_id LIMIT 7 OFFSET 3")
 def s07(v):
     return window_of(v.stream_ev().withColumn("neg", -c("t_ns")), 3, 7, "neg", "event_id").select("event_id")

@@ -108,3 +108,29 @@ def test_watchdog_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "u"))
     alarms = scans.run_once(scans.late_stream(spark.readStream.schema("sensor string, ts timestamp").parquet(str(tmp_path / "u")), "10 seconds", "1 minute"))
     assert sorted(r.n_updates for r in alarms.collect()) == [1, 2]
+
+
+def test_frame_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    import os
+
+    from scanlake.sources import files
+
+    path = str(tmp_path / "frames")
+    points = spark.range(600).select((F.col("id") % 7).cast("int").alias("frame_id"), F.col("id").alias("point_idx"), *(F.col("id").cast("double").alias(a) for a in "xyz"))
+    found = lambda: sorted(f for _, _, names in os.walk(path) for f in names if f.endswith(".pcd"))
+    files.register(spark)
+    rows = clouds.to_pcd(points).select(F.col("frame_id").cast("string").alias("name"), F.col("pcd").alias("content"))
+    # A task that fails after others have written leaves nothing.
+    broken = rows.repartition(4, "name").withColumn("content", F.when(F.col("name") == "3", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        broken.write.format("frame_files").mode("append").option("path", path).option("suffix", ".pcd").save()
+    assert found() == []
+    files.write_pcd(points, path)
+    assert found() == [f"{i}.pcd" for i in range(7)] and not any(d.startswith("_staging") for d in os.listdir(path))
+    back = clouds.from_pcd(files.read(spark, path))
+    assert sorted(map(tuple, back.groupBy("frame_id").agg(F.count("*"), F.sum("x")).collect())) == sorted(map(tuple, points.groupBy("frame_id").agg(F.count("*"), F.sum("x")).collect()))
+    # Written again: the same files, once each.
+    files.write_pcd(points.filter("frame_id < 5"), path, overwrite=True)
+    assert found() == [f"{i}.pcd" for i in range(5)]
+    spark.createDataFrame([("a/b c%.1", bytearray(b"x"))], "name string, content binary").write.format("frame_files").mode("append").option("path", str(tmp_path / "odd")).save()
+    assert [tuple(r) for r in files.read(spark, str(tmp_path / "odd"), "", "string").collect()] == [("a/b c%.1", bytearray(b"x"))]
