@@ -2,7 +2,8 @@
 
 Tasks write into folders of their own under a staging folder; when all have succeeded,
 each folder is renamed into place, one rename a task, and a mark is left. What a failed
-or repeated attempt has written is never moved, and goes with the staging folder.
+or repeated attempt has written is never moved, and goes with the staging folder; what
+a straggler writes there later no reader sees, as its name begins with a line below.
 
     files.register(spark)
     to_pcd(points).write.format("frame_files").mode("append").option("suffix", ".pcd").save(path)
