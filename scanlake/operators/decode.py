@@ -227,15 +227,25 @@ def flip_first_last(kind, mode, model: str) -> Column:
     return F.when((c(mode) == 0x3B) & (c(kind) == "FIRST"), "LAST").when((c(mode) == 0x3B) & (c(kind) == "LAST"), "FIRST").otherwise(c(kind))
 
 
+_OTHERS = ("_o1", "_o2", "_o3", "_o4")
+
+
+def _any_other(test) -> Column:
+    """Whether any other return of the group passes; there are two others at most."""
+    out = F.lit(False)
+    for o in _OTHERS:
+        out = out | F.coalesce(test(o), F.lit(False))
+    return out
+
+
 def classify_returns(units: DataFrame) -> DataFrame:
     """kind of each return of return_groups(). A group is at most three rows, so its
-    distances and reflectivities stand in small arrays."""
-    group = Window.partitionBy("packet_id", "group_no", "channel")
-    ordered = group.orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    u = units.withColumn("_g", F.collect_list(F.struct("offset", "raw_dist", "refl")).over(ordered))
-    same = F.exists("_g", lambda g: (g["offset"] != c("offset")) & (g["raw_dist"] == c("raw_dist")) & (g["refl"] == c("refl")))
-    strongest = ~F.exists("_g", lambda g: g["refl"] > c("refl"))
-    u = u.withColumns({"identical": same, "strongest": strongest})
+    other returns are the two before and the two after."""
+    ordered = Window.partitionBy("packet_id", "group_no", "channel").orderBy("offset")
+    own = F.struct("raw_dist", "refl")
+    u = units.withColumns({o: f(own, k).over(ordered) for o, (f, k) in zip(_OTHERS, ((F.lag, 1), (F.lag, 2), (F.lead, 1), (F.lead, 2)))})
+    same = _any_other(lambda o: (c(f"{o}.raw_dist") == c("raw_dist")) & (c(f"{o}.refl") == c("refl")))
+    u = u.withColumns({"identical": same, "strongest": ~_any_other(lambda o: c(f"{o}.refl") > c("refl"))})
     return u.withColumn("kind", return_type("return_mode", "offset", "identical", "strongest"))
 
 
@@ -243,8 +253,8 @@ def drop_repeated_returns(units: DataFrame, apart: float) -> DataFrame:
     """Of identical returns the last stays; a return that isn't the last and lies
     within `apart` (raw units) of another of its group goes."""
     last = c("offset") == c("n_returns") - 1
-    near = F.exists("_g", lambda g: (g["offset"] != c("offset")) & (F.abs(g["raw_dist"] - c("raw_dist")) < apart))
-    return units.filter(last | (~c("identical") & ~near)).drop("_g")
+    near = _any_other(lambda o: F.abs(c(f"{o}.raw_dist") - c("raw_dist")) < apart)
+    return units.filter(last | (~c("identical") & ~near)).drop(*_OTHERS)
 
 
 def correct_angles(units: DataFrame, calibration: DataFrame, steps: int) -> DataFrame:
