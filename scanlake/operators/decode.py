@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import TAU, c, wrap
-from scanlake.operators.firing import FIRING_NS
+from scanlake.operators.firing import E3X_TABLES, E4X_TABLES, FIRING_NS, NEAR_M, QT128_LOOPS, ROBOSENSE_TABLES
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,8 @@ SPECS = {
         SensorSpec("PandarAT128", 2, 128, 2, 25_600, 1.0, 180.0, 307_200),
         SensorSpec("Pandar128E3X", 2, 128, 2, 100, 0.1, 230.0, 691_200),
         SensorSpec("Pandar128E4X", 2, 128, 2, 100, 0.1, 230.0, 691_200),
-        SensorSpec("Helios", 12, 32, 2, 100, 0.1, 150.0, 1_152_000),
+        SensorSpec("Helios", 12, 32, 2, 100, 0.2, 150.0, 1_152_000),
+        SensorSpec("Bpearl", 12, 32, 2, 100, 0.1, 30.0, 1_152_000),
     )
 }
 
@@ -301,19 +302,59 @@ def block_offset_ns(model: str, block, n_returns) -> Column:
         "PandarQT64": lambda: 25_710 + F.floor(500_000 * div(b) / 3).cast("long"), "PandarQT128": lambda: 9_000 + div(111_110 * (2 - b - 1)),
         "PandarXT16": lambda: 5_632 - 50_000 * div(8 - b - 1), "PandarXT32": lambda: 5_632 - 50_000 * div(8 - b - 1),
         "PandarXT32M": lambda: 5_632 - 50_000 * F.when(n < 3, div(8 - b - 1)).otherwise(F.floor((6 - b - 1) / 3).cast("long")),
-        "PandarAT128": lambda: -9_249 - 41_666 * F.when(n == 1, 2 - b).otherwise(1),
+        "PandarAT128": lambda: -9_249 - 41_666 * F.when(n == 1, 2 - b).otherwise(1), "Pandar128E3X": lambda: 3_148 - div(55_556 * (2 - b - 1)),
+        "Pandar128E4X": lambda: 43_346 - F.when(n == 1, 55_556 * (2 - b - 1)).otherwise(0), "Helios": lambda: F.lit(0).cast("long"), "Bpearl": lambda: F.lit(0).cast("long"),
     }
     return table[model]()
 
 
-def channel_offset_ns(model: str, channel) -> Column:
+def _times(table, index) -> Column:
+    """An entry of a constant array; null beyond its end."""
+    return F.get(F.expr(f"array({', '.join(map(str, table))})"), c(index).cast("int")).cast("long")
+
+
+def _azimuth_state(block) -> Column:
+    """The two bits of a block in a packet's azimuth_state, those of block 0 uppermost."""
+    return F.floor(c("azimuth_state") / F.pow(F.lit(2), 14 - 2 * c(block))).cast("long") % 4
+
+
+def _e3x_time(ch: Column, block) -> Column:
+    """By operational_state (0: high resolution, which has four azimuth states; others have
+    two), azimuth_state and distance. Null where a state has no times."""
+    state, high = _azimuth_state(block), c("operational_state") == 0
+    place = F.when(high, state).when(state < 2, state + 4)
+    return _times([t for table in E3X_TABLES for t in table], (place * 2 + (c("distance") <= NEAR_M).cast("int")) * 128 + ch)
+
+
+def _e4x_time(ch: Column, block) -> Column:
+    """By operational_state (0: high resolution) and azimuth_state."""
+    table = F.when(c("operational_state") != 0, 0).when(_azimuth_state(block) == 0, 1).otherwise(2)
+    return _times([t for table in E4X_TABLES for t in table], table * 128 + ch)
+
+
+def _qt128_time(ch: Column, block, n_returns) -> Column:
+    """Single returns alternate between two loops by block, others follow mode_flag."""
+    first = F.when(c(n_returns) == 1, c(block) % 2 == 0).otherwise(c("mode_flag") % 2 == 1)
+    return _times(QT128_LOOPS[0] + QT128_LOOPS[1], F.when(first, 0).otherwise(128) + ch)
+
+
+def channel_offset_ns(model: str, channel, block="block", n_returns="n_returns") -> Column:
     """Nanoseconds from a block to a channel: by a rule where channels fire in order,
-    else from the model's table."""
+    else from the model's table. Some models fire by what their packets say, in further
+    columns of the units: mode_flag (PandarQT128), operational_state and azimuth_state
+    (Pandar128E3X, Pandar128E4X), distance in metres (Pandar128E3X). Robosense tables
+    hold a block's own time as well. Channels that don't fire have 0 or -1."""
     ch = c(channel).cast("long")
     # Fixed values.
-    rule = {"PandarXT16": lambda: 368 + 3024 * ch, "PandarXT32": lambda: 368 + 1512 * ch, "PandarXT32M": lambda: 368 + 2888 * (ch % 16)}
+    rule = {
+        "PandarXT16": lambda: 368 + 3024 * ch, "PandarXT32": lambda: 368 + 1512 * ch, "PandarXT32M": lambda: 368 + 2888 * (ch % 16),
+        "PandarQT128": lambda: _qt128_time(ch, block, n_returns), "Pandar128E3X": lambda: _e3x_time(ch, block), "Pandar128E4X": lambda: _e4x_time(ch, block),
+    }
     if model in rule:
         return rule[model]()
+    if model in ROBOSENSE_TABLES:
+        single, dual = ROBOSENSE_TABLES[model]
+        return _times(single + dual, F.when(c(n_returns) == 2, len(single)).otherwise(0) + c(block) * 32 + ch)
     if model not in FIRING_NS:
         raise ValueError(f"no channel times of {model}")
     return F.element_at(F.array(*(F.lit(x).cast("long") for x in FIRING_NS[model])), (ch + 1).cast("int"))

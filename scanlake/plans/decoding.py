@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanlake.functions.binary import crc8_h2f, crc16, hex_be, hex_le, yuv_rgb
 from scanlake.functions.geometry import c, in_arc, out4
 from scanlake.operators import decode as D
-from scanlake.operators.firing import BLOCKS, FIRING_NS
+from scanlake.operators.firing import BLOCKS, E3X_FAR, E3X_NEAR, E4X_TABLES, FIRING_NS, HELIOS_NS
 from scanlake.plans.registry import query
 
 _N = "CASE WHEN return_mode IN (51, 52, 55, 56) THEN 1 WHEN return_mode = 61 THEN 3 ELSE 2 END"
@@ -214,6 +214,70 @@ def d17(v):
     return D.point_time(u, "PandarXT32").select("packet_id", "block", "t_ns")
 
 
+# Slots of a cycle in which the 128E3X's channels fire, and their times by state.
+_E3X_SLOTS = sorted(set(E3X_FAR))
+_E3X_STATES = {
+    "hs0": (776, 2431, 4436, 6441, 12666, 17236, 19521, 21806, -1, -1, -1, -1, 8096, 10381, 14951, 24091),
+    "hs1": (-1, -1, -1, -1, 13016, 17586, 19871, 22156, 776, 2781, 4786, 6441, 8446, 10731, 15301, 24441),
+    "hs2": (776, 2781, 4436, 6091, 12666, 17236, 19521, 21806, -1, -1, -1, -1, 8096, 10381, 14951, 24091),
+    "hs3": (-1, -1, -1, -1, 12316, 16886, 19171, 21456, 776, 2431, 4086, 6091, 7746, 10031, 14601, 23741),
+    "ss0": (776, 2431, 4436, 6441, 12666, 17236, 19521, 21806, 28554, 30559, 32564, 34219, 36224, 38509, 43079, 52219),
+    "ss1": (776, 2781, 4436, 6091, 12666, 17236, 19521, 21806, 28554, 30209, 31864, 33869, 35524, 37809, 42379, 51519),
+}
+_E3X_CLOSE = {
+    "hs0": {0: 5201, 2: 1541, 17: 7206, 20: 3196, 39: 27056, 74: 23201, 89: 3676, 104: 5681}, "hs1": {5: 4026, 8: 7206, 14: 3546, 25: 12126, 46: 27406, 101: 2021, 110: 7686, 119: 1541},
+    "hs2": {11: 7336, 32: 14061, 53: 27056, 92: 6856, 95: 2021, 98: 3546, 113: 5201, 125: 1541}, "hs3": {23: 4851, 60: 26706, 67: 11426, 81: 25136, 107: 5331, 116: 3196, 122: 6856, 127: 1541},
+    "ss0": E3X_NEAR[0], "ss1": E3X_NEAR[1],
+}
+_ROW = "SELECT packet_id, block % 2 AS block, CAST((channel * 5 + block * 32 + packet_id) % 128 AS INT) AS channel, raw_dist * 0.004 AS distance, packet_id % 2 AS mode, CASE WHEN packet_id % 2 = 0 THEN (packet_id * 7919 + block) % 65536 ELSE (packet_id * 7919 + block) & 21845 END AS bits, {n} AS n FROM units_li"
+
+
+def _e3x_sql() -> str:
+    slot = f"[{', '.join(str(_E3X_SLOTS.index(t) + 1) for t in E3X_FAR)}][channel + 1]"
+    far = " ".join(f"WHEN '{k}' THEN [{', '.join(map(str, t))}][{slot}]" for k, t in _E3X_STATES.items())
+    near = " ".join(f"WHEN '{k}' THEN CASE channel {' '.join(f'WHEN {ch} THEN {t}' for ch, t in t.items())} ELSE -1 END" for k, t in _E3X_CLOSE.items())
+    return f"""SELECT 'Pandar128E3X' AS model, packet_id, block, channel, CAST(3148 - 55556 * (1 - block) // n + CASE WHEN distance <= 2.85 THEN CASE st {near} END WHEN st = 'hs2' AND channel = 6 THEN -185 ELSE CASE st {far} END END AS BIGINT) AS offset_ns
+ FROM (SELECT *, CASE WHEN mode = 0 THEN 'hs' ELSE 'ss' END || (bits >> CAST(14 - 2 * block AS INT)) % 4 AS st FROM rows)"""
+
+
+def _e4x_sql() -> str:
+    lists = [f"[{', '.join(map(str, t))}][channel + 1]" for t in E4X_TABLES]
+    return f"""SELECT 'Pandar128E4X', packet_id, block, channel, CAST(43346 - CASE WHEN n = 1 THEN 55556 * (1 - block) ELSE 0 END + CASE WHEN mode <> 0 THEN {lists[0]}
+ WHEN (bits >> CAST(14 - 2 * block AS INT)) % 4 = 0 THEN {lists[1]} ELSE {lists[2]} END AS BIGINT) FROM rows"""
+
+
+_LOOP = "CASE (CASE WHEN n = 1 THEN block ELSE 1 - mode END) WHEN 0 THEN CASE channel // 32 WHEN 1 THEN [27656, 53000, 2312, 78344] WHEN 2 THEN [1456, 77488, 26800, 52144] WHEN 3 THEN [25944, 51288, 600, 76632] END ELSE CASE channel // 32 WHEN 0 THEN [2312, 78344, 27656, 53000] WHEN 2 THEN [600, 76632, 25944, 51288] WHEN 3 THEN [26800, 52144, 1456, 77488] END END"
+_QT128 = f"SELECT 'PandarQT128', packet_id, block, channel, CAST(9000 + 111110 * (1 - block) // n + coalesce(({_LOOP})[CASE WHEN channel // 4 % 2 = 0 THEN channel % 4 + 1 ELSE 4 - channel % 4 END] + 3168 * (channel % 32 // 4), 0) AS BIGINT) FROM rows"
+
+
+@query("d18_offsets_by_state", f"WITH rows AS ({_ROW.format(n=_N)}) {_e3x_sql()} UNION ALL {_e4x_sql()} UNION ALL {_QT128}")
+def d18_by_state(v):
+    """Times of models that fire by the state their packets tell. Standard mode has the
+    azimuth states 0 and 1 only."""
+    u = v.units_li().join(F.broadcast(D.return_modes(v.spark)), "return_mode").withColumns({
+        "channel": ((c("channel") * 5 + c("block") * 32 + c("packet_id")) % 128).cast("int"), "azimuth_state": F.when(c("packet_id") % 2 == 0, (c("packet_id") * 7919 + c("block")) % 65536).otherwise((c("packet_id") * 7919 + c("block")).bitwiseAND(F.lit(0x5555))),
+        "operational_state": c("packet_id") % 2, "mode_flag": c("packet_id") % 2, "distance": c("raw_dist") * 0.004,
+    }).withColumn("block", c("block") % 2)
+    out = None
+    for m in ("Pandar128E3X", "Pandar128E4X", "PandarQT128"):
+        own = u.select(F.lit(m).alias("model"), "packet_id", "block", "channel", (D.block_offset_ns(m, "block", "n_returns") + D.channel_offset_ns(m, "channel")).alias("offset_ns"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_SHOT = "(CASE WHEN n = 2 THEN block // 2 ELSE block END)"
+_TRADED = f"CASE WHEN n = 2 THEN channel WHEN channel IN (17, 18) THEN 35 - channel WHEN channel IN (21, 22) AND {_SHOT} > 0 THEN 43 - channel ELSE channel END"
+
+
+@query("d18_robosense_offsets", f"""WITH rows AS (SELECT packet_id, block, channel, CASE WHEN {_N} = 2 THEN 2 ELSE 1 END AS n FROM units_li)
+SELECT 'Helios' AS model, packet_id, block, channel, CAST(round(({_SHOT} * 500000 / 9.0::DOUBLE + [{', '.join(map(str, HELIOS_NS))}][{_TRADED} + 1]) / 10) * 10 AS BIGINT) AS offset_ns FROM rows
+UNION ALL SELECT 'Bpearl', packet_id, block, channel, CAST(5555 * {_SHOT} + round(166.8::DOUBLE * channel) AS BIGINT) FROM rows""")
+def d18_robosense(v):
+    u = v.units_li().join(F.broadcast(D.return_modes(v.spark)), "return_mode")
+    parts = [u.select(F.lit(m).alias("model"), "packet_id", "block", "channel", (D.block_offset_ns(m, "block", "n_returns") + D.channel_offset_ns(m, "channel")).alias("offset_ns")) for m in ("Helios", "Bpearl")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("d19_earliest_offset", f"SELECT packet_id, CAST(min({_OFF['PandarXT32']}) AS BIGINT) AS earliest_ns FROM (SELECT *, {_N} AS n FROM units_li) WHERE block < n GROUP BY packet_id")
 def d19(v):
     return D.earliest_offset("PandarXT32", v.units_li().join(F.broadcast(D.return_modes(v.spark)), "return_mode"))

@@ -368,8 +368,29 @@ def test_times_of_channels(spark, model, block, channel, n, want):
 
 
 def test_models_without_times_are_named():
-    with pytest.raises(ValueError, match="Helios"):
-        decode.channel_offset_ns("Helios", 0)
+    with pytest.raises(ValueError, match="Nameless"):
+        decode.channel_offset_ns("Nameless", 0)
+
+
+@pytest.mark.parametrize("model,n,block,channel,state,want", [
+    # state: operational_state, azimuth_state, mode_flag, distance
+    ("Pandar128E3X", 1, 0, 7, (0, 0b01 << 14, 0, 50.0), 3_148 - 55_556 + 4_786), ("Pandar128E3X", 1, 1, 7, (0, 0b01 << 14, 0, 50.0), 3_148 - 1),
+    ("Pandar128E3X", 2, 0, 127, (2, 0b01 << 14, 0, 2.85), 3_148 - 27_778 + 29_319), ("Pandar128E3X", 2, 1, 25, (0, 0b11 << 12, 0, 9.0), 3_148 + 10_031),
+    ("Pandar128E3X", 2, 1, 6, (0, 0b10 << 12, 0, 9.0), 3_148 - 185), ("Pandar128E3X", 2, 1, 6, (2, 0b10 << 12, 0, 9.0), None),
+    ("Pandar128E4X", 1, 0, 0, (1, 0, 0, 9.0), 43_346 - 55_556 + 49_758), ("Pandar128E4X", 2, 0, 0, (0, 0, 0, 9.0), 43_346 - 1), ("Pandar128E4X", 2, 0, 0, (0, 0b01 << 14, 0, 9.0), 43_346 + 21_980),
+    ("PandarQT128", 1, 0, 32, (0, 0, 0, 9.0), 9_000 + 111_110 + 27_656), ("PandarQT128", 1, 1, 32, (0, 0, 1, 9.0), 9_000), ("PandarQT128", 2, 1, 127, (0, 0, 1, 9.0), 9_000 + 48_120),
+    ("Helios", 1, 0, 17, (0, 0, 0, 9.0), 29_010), ("Helios", 1, 11, 31, (0, 0, 0, 9.0), 656_260), ("Helios", 2, 11, 21, (0, 0, 0, 9.0), 310_510), ("Helios", 1, 0, 21, (0, 0, 0, 9.0), 32_730), ("Helios", 1, 4, 21, (0, 0, 0, 9.0), 256_200),
+    ("Bpearl", 1, 11, 31, (0, 0, 0, 9.0), 66_276), ("Bpearl", 2, 10, 12, (0, 0, 0, 9.0), 29_777),
+])
+def test_times_of_channels_by_state(spark, model, n, block, channel, state, want):
+    u = spark.createDataFrame([(block, channel, n, *state)], "block int, channel int, n_returns int, operational_state int, azimuth_state int, mode_flag int, distance double")
+    assert one(u.select(decode.block_offset_ns(model, "block", "n_returns") + decode.channel_offset_ns(model, "channel"))) == want
+
+
+@pytest.mark.parametrize("model", sorted(decode.SPECS))
+def test_every_model_has_point_times(spark, model):
+    state = "0 AS block, 9 AS channel, 1 AS n_returns, 0 AS operational_state, 0 AS azimuth_state, 0 AS mode_flag, 5D AS distance, 1000000000L AS stamp_ns, 0L AS scan_ns"
+    assert one(decode.point_time(spark.sql(f"SELECT {state}"), model).select("t_ns")) is not None
 
 
 @pytest.mark.parametrize("seed", range(5))
