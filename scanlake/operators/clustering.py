@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,28 +68,34 @@ def multi_level(points: DataFrame, levels: int = 2, distance: float = 0.1, angle
 def merge_greedily(points: DataFrame, threshold: float) -> DataFrame:
     """frame_id, cluster_id, merged_id: clusters whose centroids are nearer than the
     threshold are joined, first pair first, with new centroids each time. The order
-    counts, so a frame's clusters (a row each) are folded together."""
+    counts, so a frame's clusters (a row each) are folded together: each cluster that is
+    settled or merged takes one comparison with all others of its frame."""
     sums = points.groupBy("frame_id", "cluster_id").agg(*(F.sum(a).alias(a) for a in "xyz"), F.count("*").alias("n"))
     kind = points.schema["frame_id"].dataType.simpleString()
 
     def run(g):
         g = g.sort_values("cluster_id")
-        now = [([i], x, y, z, n) for i, x, y, z, n in g[["cluster_id", "x", "y", "z", "n"]].itertuples(index=False)]
-        again = True
-        while again:
-            again = False
-            mean = [(x / n, y / n, z / n) for _, x, y, z, n in now]
-            for i in range(len(now)):
-                j = next((j for j in range(i + 1, len(now)) if math.dist(mean[i], mean[j]) < threshold), None)
-                if j is not None:
-                    a, b = now[i], now.pop(j)
-                    now[i] = (a[0] + b[0], *(p + q for p, q in zip(a[1:], b[1:])))
-                    again = True
-                    break
-        import pandas as pd
-
-        rows = [(g.frame_id.iloc[0], k, ids[0]) for ids, *_ in now for k in ids]
-        return pd.DataFrame(rows, columns=["frame_id", "cluster_id", "merged_id"])
+        ids, n = g["cluster_id"].to_numpy(), g["n"].to_numpy().astype(float)
+        total = g[["x", "y", "z"]].to_numpy(dtype=float)
+        mean = total / n[:, None]
+        into, alive = np.arange(len(ids)), np.ones(len(ids), dtype=bool)
+        # Before `i` no two clusters are near. A merge moves one centroid only, so the next
+        # first pair is that centroid with an earlier one, or else with a later one.
+        i = 0
+        while i < len(ids):
+            near = alive & (np.sqrt(((mean - mean[i]) ** 2).sum(axis=1)) < threshold) if alive[i] else np.zeros(len(ids), dtype=bool)
+            near[i] = False
+            other = np.flatnonzero(near)
+            if not len(other):
+                i += 1
+                continue
+            keep, gone = sorted((i, other[0]))
+            total[keep] += total[gone]
+            n[keep] += n[gone]
+            mean[keep] = total[keep] / n[keep]
+            alive[gone], into[into == gone] = False, keep
+            i = keep
+        return pd.DataFrame({"frame_id": g["frame_id"].iloc[0], "cluster_id": ids, "merged_id": ids[into]})
 
     return sums.groupBy("frame_id").applyInPandas(run, f"frame_id {kind}, cluster_id int, merged_id int")
 

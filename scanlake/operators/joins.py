@@ -50,28 +50,34 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, on: str = "t_ns")
     return out.select(*left.columns, *(F.col(f"_m.{n}").alias(f"r_{n}") for n in names))
 
 
-def carry_forward(rows: DataFrame, names: list[str], on: str = "t_ns", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
-    """Fill nulls with the last value before, by stamp. Buckets of time are filled
-    each on its own; what a bucket begins with comes from a table with a row each."""
+def carry_forward(rows: DataFrame, names: list[str], on: str = "t_ns", bucket_ns: int = 3_600_000_000_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fill nulls with the last value before, by stamp, within equal keys of `by` (a
+    drive, a vehicle). Buckets of time are filled each on its own; what a bucket begins with
+    comes from a table with a row each."""
     rows = rows.withColumn("_b", F.floor(c(on) / bucket_ns))
-    last = rows.groupBy("_b").agg(*(F.max_by(n, F.when(c(n).isNotNull(), c(on))).alias(n) for n in names))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = last.select("_b", *(F.last(n, ignorenulls=True).over(earlier).alias(f"_{n}") for n in names))
-    so_far = Window.partitionBy("_b").orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names}).join(before, "_b")
+    last = rows.groupBy(*by, "_b").agg(*(F.max_by(n, F.when(c(n).isNotNull(), c(on))).alias(n) for n in names))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(*by, "_b", *(F.last(n, ignorenulls=True).over(earlier).alias(f"_{n}") for n in names))
+    so_far = Window.partitionBy(*by, "_b").orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names}).join(before, [*by, "_b"])
     return filled.withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop("_b", *(f"_{n}" for n in names))
 
 
-def merge_streams(twists: DataFrame, imu: DataFrame, three_d: bool = False) -> DataFrame:
+def merge_streams(twists: DataFrame, imu: DataFrame, three_d: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One stream of both: at a stamp of either, the speed of the latest twist and
     the turn rate of the latest IMU reading (3D: zero after a stream's end). Equal
-    stamps make one row."""
-    a = twists.groupBy("t_ns").agg(F.max("vx").alias("vx"))
-    b = imu.groupBy("t_ns").agg(F.max("wz").alias("wz"))
-    out = carry_forward(a.join(b, "t_ns", "full"), ["vx", "wz"])
+    stamps make one row. With `by`, only rows of equal keys meet; null keys are left out."""
+    a = twists.groupBy(*by, "t_ns").agg(F.max("vx").alias("vx"))
+    b = imu.groupBy(*by, "t_ns").agg(F.max("wz").alias("wz"))
+    both = a.join(b, [*by, "t_ns"], "full")
+    for k in by:
+        both = both.filter(c(k).isNotNull())
+    out = carry_forward(both, ["vx", "wz"], by=by)
     if three_d:
-        ends = twists.agg(F.max("t_ns").alias("_ta")).join(imu.agg(F.max("t_ns").alias("_tb")))
-        out = out.join(F.broadcast(ends)).withColumns({"vx": F.when(c("t_ns") <= F.col("_ta"), F.col("vx")), "wz": F.when(c("t_ns") <= F.col("_tb"), F.col("wz"))}).drop("_ta", "_tb")
+        ta, tb = twists.groupBy(*by).agg(F.max("t_ns").alias("_ta")), imu.groupBy(*by).agg(F.max("t_ns").alias("_tb"))
+        # Without keys the ends are one row.
+        out = out.join(ta, list(by), "left").join(tb, list(by), "left") if by else out.join(F.broadcast(ta.join(tb)))
+        out = out.withColumns({"vx": F.when(c("t_ns") <= F.col("_ta"), F.col("vx")), "wz": F.when(c("t_ns") <= F.col("_tb"), F.col("wz"))}).drop("_ta", "_tb")
     return out.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("vx", "wz")})
 
 

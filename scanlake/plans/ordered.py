@@ -140,6 +140,33 @@ def j02_3d(v):
     return J.merge_streams(v.twist_ev(), v.imu_ev(), three_d=True).select("t_ns", out4("vx").alias("vx"), out4("wz").alias("wz"))
 
 
+# Readings of each user as of a vehicle of its own.
+_VEHICLES = """tw AS (SELECT sensor, t_ns, max(value / 100) AS vx FROM stream_ev WHERE event_type IN ('click', 'view') GROUP BY sensor, t_ns),
+im AS (SELECT sensor, t_ns, max((event_id % 21 - 10) / 100.0::DOUBLE) AS wz FROM stream_ev WHERE event_type = 'purchase' GROUP BY sensor, t_ns)"""
+
+
+def _vehicles(v):
+    e = v.stream_ev()
+    twists = e.filter("event_type in ('click', 'view')").select("sensor", "t_ns", (c("value") / 100).alias("vx"))
+    return twists, e.filter("event_type = 'purchase'").select("sensor", "t_ns", ((c("event_id") % 21 - 10) / 100.0).alias("wz"))
+
+
+@query("j02_merge_streams_by_vehicle", f"""WITH {_VEHICLES}, m AS (SELECT coalesce(a.sensor, b.sensor) AS sensor, coalesce(a.t_ns, b.t_ns) AS t_ns, vx, wz FROM tw a FULL JOIN im b ON a.sensor = b.sensor AND a.t_ns = b.t_ns),
+ends AS (SELECT sensor, (SELECT max(t_ns) FROM tw WHERE tw.sensor = s.sensor) AS ta, (SELECT max(t_ns) FROM im WHERE im.sensor = s.sensor) AS tb FROM (SELECT DISTINCT sensor FROM m) s),
+f AS (SELECT sensor, t_ns, last_value(vx IGNORE NULLS) OVER w AS vx, last_value(wz IGNORE NULLS) OVER w AS wz FROM m WINDOW w AS (PARTITION BY sensor ORDER BY t_ns))
+SELECT sensor, t_ns, R4(coalesce(CASE WHEN t_ns <= ta THEN vx END, 0)) AS vx, R4(coalesce(CASE WHEN t_ns <= tb THEN wz END, 0)) AS wz FROM f JOIN ends USING (sensor)""")
+def j02_by_vehicle(v):
+    """Each vehicle's own streams merged: no task holds an hour of all vehicles."""
+    return J.merge_streams(*_vehicles(v), three_d=True, by=("sensor",)).select("sensor", "t_ns", out4("vx").alias("vx"), out4("wz").alias("wz"))
+
+
+@query("j01_asof_by_vehicle", f"""WITH {_VEHICLES}, ends AS (SELECT sensor, max(t_ns) AS last_ns FROM tw GROUP BY sensor)
+SELECT p.event_id, coalesce(q.t_ns, last_ns) AS twist_ns FROM (SELECT * FROM stream_ev) p ASOF LEFT JOIN (SELECT sensor, t_ns FROM tw) q ON p.sensor = q.sensor AND p.t_ns <= q.t_ns LEFT JOIN ends ON ends.sensor = p.sensor""")
+def j01_by_vehicle(v):
+    """The first twist of the same vehicle not before an event, else its last."""
+    return J.asof_forward(v.stream_ev(), _vehicles(v)[0], bucket_ns=HOUR, by=("sensor",)).select("event_id", c("r_t_ns").alias("twist_ns"))
+
+
 @query("j03_concat_sensors", """WITH s AS (SELECT frame_id, channel % 3 AS sensor, point_idx, 1000 * frame_id + 10 * (channel % 3) AS stamp, x, y, z FROM pts_emb)
 SELECT frame_id, point_idx, CAST(min(stamp) OVER (PARTITION BY frame_id) AS BIGINT) AS stamp, R4(CASE WHEN sensor = 0 THEN m11 * x + m12 * y + m13 * z + tx ELSE x END) AS x,
  R4(CASE WHEN sensor = 0 THEN m21 * x + m22 * y + m23 * z + ty ELSE y END) AS y FROM s, (SELECT * FROM tf WHERE source = 'lidar')""")

@@ -436,3 +436,65 @@ def test_schema_guard(spark):
 
     with pytest.raises(ValueError, match="missing columns"):
         require_columns(spark.range(1), "x")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_merge_equals_plain_restarts(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(0, 14, (160, 3)) * [1.0, 1.0, 0.0] if seed % 2 else rng.uniform(0, 12, (160, 3))
+    p = points(spark, rows.tolist()).withColumn("cluster_id", (F.col("point_idx") % 110).cast("int"))
+    now = [([k], *rows[k::110].sum(axis=0), len(rows[k::110])) for k in range(110)]
+
+    def first():
+        mean = [(x / n, y / n, z / n) for _, x, y, z, n in now]
+        return next(((i, j) for i in range(len(now)) for j in range(i + 1, len(now)) if math.dist(mean[i], mean[j]) < 1.3), None)
+
+    while pair := first():
+        a, b = now[pair[0]], now.pop(pair[1])
+        now[pair[0]] = (a[0] + b[0], *(x + y for x, y in zip(a[1:], b[1:])))
+    want = {k: ids[0] for ids, *_ in now for k in ids}
+    assert {r.cluster_id: r.merged_id for r in clustering.merge_greedily(p, 1.3).collect()} == want and 1 < len(now) < 110
+
+
+def test_info_of_short_and_null_packets(spark):
+    from scanlake.operators import sensor_info
+
+    whole = bytearray(1300)
+    whole[8:10], whole[32:34], whole[300], whole[301], whole[302] = b"\x02\x58", (12345).to_bytes(2, "big"), 4, 9, 2
+    whole[315:317], whole[359], whole[382:388], whole[468:471], whole[564:567] = (32).to_bytes(2, "big"), 0b10101, b"$GPRMC", b"\x01\x00\x7b", b"\x00\x01\xc8"
+    p = spark.createDataFrame([(1, bytes(whole)), (2, bytes(100)), (3, None)], "packet_id long, data binary")
+    rows = sensor_info.info(p, "Helios").collect()
+    got = rows[0].info
+    assert [r.packet_id for r in rows] == [1] and got["motor_speed"] == "600" and got["fov_start"] == "123.449997" and got["return_mode"] == "strongest" and got["time_sync_mode"] == "n/a"
+    # 32 / 4096 lies between two texts of six decimals: the even one counts.
+    assert got["v_dat"] == "0.007812" and got["v_dat_apd"] == "-465.800000" and got["sync_status"] == "ptp_time_sync_successful"
+    assert (got["pps_lock"], got["gprmc_lock"], got["utc_lock"], got["pps_input_status"]) == ("valid", "invalid", "synchronized", "received_pps") and got["gprmc_string"].startswith("$GPRMC\0")
+    first = sensor_info.info_calibration(p).orderBy("channel").first()
+    assert (first.elev_deg, first.azim_deg) == (-1.23, 4.56)
+
+
+def test_near_status_levels(spark):
+    from scanlake.operators import sensor_info
+
+    def status(**at):
+        raw = bytearray(64)
+        raw[12] = 1
+        for k, value in at.items():
+            raw[int(k[1:])] = value
+        raw[61:63] = int(crc(bytes(raw[:61]))).to_bytes(2, "big")
+        return bytes(4) + bytes(raw)
+
+    def crc(data):
+        state = 0xFFFF
+        for byte in data:
+            state ^= byte << 8
+            for _ in range(8):
+                state = (state << 1 ^ 0x1021 if state & 0x8000 else state << 1) & 0xFFFF
+        return state
+
+    # A later warning stands over an earlier error; reset and runtime errors aside, bits above the fourth are named only.
+    cases = [(status(), 0), (status(b12=2), 1), (status(b32=3), 2), (status(b32=3, b35=0b1000), 1), (status(b36=1, b38=4), 2), (status(b40=0x40), 0), (status(b40=0x04), 2), (bytes(67), None), (None, None)]
+    rows = {r.packet_id: r for r in sensor_info.near_status(spark.createDataFrame(list(enumerate(x for x, _ in cases)), "packet_id long, data binary")).collect()}
+    assert {k: r.level for k, r in rows.items()} == {i: want for i, (_, want) in enumerate(cases) if want is not None}
+    assert all(r.crc == r.crc_computed for r in rows.values()) and rows[3].long_accel_invalid == "Error this OPC" and rows[4].com_error == "Invalid value" and rows[5].sw_error == "Runtime Error"
+    assert rows[2].defective == "Current Near Scan RF Error, Near Scan RF this OPC" and rows[0].wheelbase == 0.0 and rows[0].long_pos == -32.767
