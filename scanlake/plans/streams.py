@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanlake.functions.binary import hex_le
 from scanlake.functions.geometry import c, out4
 from scanlake.operators import imaging as I
 from scanlake.operators.motion import integrate_3d, undistort_3d
@@ -11,6 +12,7 @@ from scanlake.operators.sync import collect_groups
 from scanlake.plans.registry import query
 from scanlake.sources import clouds as S
 from scanlake.sources.calibration import with_rings
+from scanlake.sources.can import to_packets
 from scanlake.sources.packets import accept, latest_frames, window_of
 from scanlake.streaming import scans as T
 
@@ -85,6 +87,20 @@ def t15(v):
     return T.after_calibration(s.filter("event_type <> 'signup'"), infos).select("event_id", c("r_event_id").alias("info_id"))
 
 
+@query("s02_can_frames", """SELECT CAST(o_orderkey AS BIGINT) AS packet_id, id AS can_id, lower(printf('%08x', id)) || lower(array_to_string([printf('%02x', (k * 3 + i) % 256) FOR i IN range(n)], '')) AS data
+ FROM (SELECT o_orderkey, k, CASE WHEN k % 3 = 0 THEN k * 7919 % 536870912 ELSE k % 2048 END AS id, [0, 8, 12, 20, 48, 64][k % 6 + 1] AS n FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS k FROM orders)) WHERE k % 10 <> 9""")
+def s02(v):
+    """Frames to packets: standard and extended ids, lengths, error frames left out."""
+    k = c("o_orderkey").cast("long")
+    can_id = F.when(k % 3 == 0, (k * 7919 % 536870912).bitwiseOR(F.lit(0x80000000).cast("long"))).otherwise(k % 2048)
+    flagged = F.when(k % 10 == 9, can_id.bitwiseOR(F.lit(0x20000000).cast("long"))).otherwise(can_id)
+    n = F.element_at(F.array(*map(F.lit, (0, 8, 12, 20, 48, 64))), (k % 6 + 1).cast("int"))
+    data = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex((k * 3 + i) % 256), 2, "0")), "")
+    frame = F.unhex(F.concat(hex_le(flagged, 4), hex_le(n, 1), F.lit("000000"), data))
+    frames = v.table("orders").select(k.alias("packet_id"), F.lit(0).cast("long").alias("stamp_ns"), frame.alias("frame"))
+    return to_packets(frames).select("packet_id", "can_id", F.lower(F.hex("data")).alias("data"))
+
+
 @query("s03_sender_filter", "SELECT event_id, length(props) > 8 AS truncated FROM stream_ev WHERE sensor = 7")
 def s03(v):
     p = v.stream_ev().select("event_id", c("sensor").cast("string").alias("sender"), c("props").cast("binary").alias("data"))

@@ -136,3 +136,54 @@ def test_frame_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert found() == [f"{i}.pcd" for i in range(5)]
     spark.createDataFrame([("a/b c%.1", bytearray(b"x"))], "name string, content binary").write.format("frame_files").mode("append").option("path", str(tmp_path / "odd")).save()
     assert [tuple(r) for r in files.read(spark, str(tmp_path / "odd"), "", "string").collect()] == [("a/b c%.1", bytearray(b"x"))]
+
+
+def test_can_frames_loop_back(spark, tmp_path):
+    from scanlake.sources import can
+
+    sent = [(i, i.to_bytes(4, "big") + bytes([i % 256]) * n) for i, n in ((1, 0), (0x7FF, 8), (0x800, 64), (0x1FFFFFFF, 48), (5, 31))]
+    frames = can.to_frames(spark.createDataFrame([(n, d) for n, d in sent], "stamp_ns long, data binary"))
+    assert {len(r.frame) for r in frames.collect()} == {can.FRAME_BYTES}
+    path = str(tmp_path / "bus")
+    reader = can.CanFrames({"socket": path}).simpleStreamReader(None)
+    assert list(reader.read({"n": 0})[0]) == []
+    spark.dataSource.register(can.CanFrames)
+    frames.coalesce(1).write.format("can_fd").mode("append").option("socket", path).save()
+    with socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM) as s:
+        s.connect(path)
+        s.send(struct.pack("<IB67x", can.ERROR | 3, 8))
+        s.send(struct.pack("<IB67x", 3, 65))
+        s.send(b"short")
+    rows, end = reader.read({"n": 0})
+    rows = list(rows)
+    assert end == {"n": 8} and list(reader.readBetweenOffsets({"n": 0}, {"n": 8})) == rows
+    reader.commit(end)
+    assert not reader.held
+    got = can.to_packets(spark.createDataFrame([*rows, (0, None)], "stamp_ns long, frame binary")).collect()
+    # 31 bytes go in a frame of 32.
+    want = {(n, d + bytes(1) if n == 5 else d) for n, d in sent}
+    assert {(r.can_id, bytes(r.data)) for r in got} == want and all(r.stamp_ns > 0 for r in got)
+
+
+def test_can_frames_as_a_stream(spark, tmp_path):
+    from scanlake.sources import can
+
+    spark.dataSource.register(can.CanFrames)
+    path = str(tmp_path / "bus")
+    with socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM) as receiver:
+        receiver.bind(path)
+        receiver.settimeout(30)
+        can.to_frames(spark.createDataFrame([(i, (i).to_bytes(4, "big") + b"abcd") for i in range(20)], "stamp_ns long, data binary")).write.parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema("stamp_ns long, frame binary").parquet(str(tmp_path / "log"))
+        q = stream.writeStream.format("can_fd").option("socket", path).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        got = {struct.unpack("<IB", receiver.recv(100)[:5]) for _ in range(20)}
+        q.awaitTermination()
+    assert got == {(i, 4) for i in range(20)}
+
+
+@pytest.mark.parametrize("size", [3, 69])
+def test_no_frame_for_such_data(spark, size):
+    from scanlake.sources import can
+
+    with pytest.raises(Exception, match="data without an id|more than 64 bytes"):
+        can.to_frames(spark.createDataFrame([(bytes(size),)], "data binary")).collect()
