@@ -372,11 +372,11 @@ def earliest_offset(model: str, units: DataFrame) -> DataFrame:
     return units.filter(c("block") < c("n_returns")).groupBy("packet_id").agg(F.min(offset).alias("earliest_ns"))
 
 
-def dither(mask: DataFrame, levels: int = 10) -> DataFrame:
+def dither(mask: DataFrame, levels: int = 10, place: Column | None = None) -> DataFrame:
     """keep of each mask pixel: its grey says how many of `levels` diagonal places
-    are kept, spread evenly."""
+    are kept, spread evenly. `place` is another than the diagonal (tile_place())."""
     kept = F.round(c("grey") * levels / 255.0).cast("int")
-    place = F.pmod(c("x") + c("y"), F.lit(levels))
+    place = F.pmod(c("x") + c("y") if place is None else place, F.lit(levels))
     one = F.exists(F.sequence(F.lit(0), F.greatest(kept - 1, F.lit(0))), lambda i: F.round(levels * i / kept).cast("int") == place)
     return mask.withColumn("keep", F.when(kept > 0, one).otherwise(F.lit(False)))
 
@@ -387,9 +387,11 @@ def mask_filter(points: DataFrame, mask: DataFrame, columns: int, start: float =
     return p.join(F.broadcast(mask.filter("keep").select(c("x").alias("_x"), c("y").alias("channel"))), ["_x", "channel"], "left_semi").drop("_x")
 
 
-def tile_quantize(x, y) -> tuple[Column, Column]:
-    """Mask places of a sensor that fires in tiles of two by four."""
-    return F.floor(c(x) / 2).cast("int") * 2, F.floor(c(y) / 4).cast("int") * 4
+def tile_place(x, y) -> Column:
+    """Place of a pixel in the dither of a sensor that fires pairs of channels in turn (128E4X): a
+    tile of two blocks by four channels has one place, and the two channels of a pair are
+    one apart."""
+    return F.floor(c(x) / 2).cast("int") * 2 + F.floor(c(y) / 4).cast("int") * 4 + c(y) % 2
 
 
 def robosense_return_type(n_returns, offset, mode) -> Column:

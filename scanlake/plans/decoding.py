@@ -297,6 +297,14 @@ def d20(v):
     return _mask(v).select("x", "y", "keep")
 
 
+@query("d21_tile_dither", """SELECT packet_id, block, x, y, k > 0 AND len(list_filter(range(k), lambda i: CAST(round(10.0 * i / k) AS INT) = (x // 2 * 2 + y // 4 * 4 + y % 2) % 10)) > 0 AS keep
+ FROM (SELECT packet_id, block, raw_az // 100 AS x, channel AS y, CAST(round(refl * 10 / 255.0) AS INT) AS k FROM units_li)""")
+def d21(v):
+    """Units thinned by their reflectivity, in tiles of two columns by four channels."""
+    u = v.units_li().select("packet_id", "block", F.floor(c("raw_az") / 100).cast("int").alias("x"), c("channel").alias("y"), c("refl").alias("grey"))
+    return D.dither(u, place=D.tile_place("x", "y")).select("packet_id", "block", "x", "y", "keep")
+
+
 @query("d22_mask_filter", f"WITH {_MASK} SELECT packet_id, block FROM units_li u JOIN kept k ON keep AND k.x = CAST(round(raw_az / 36000.0::DOUBLE * 36) AS INT) AND k.y = u.channel")
 def d22(v):
     u = v.units_li().withColumn("azimuth", c("raw_az") / 36000.0)

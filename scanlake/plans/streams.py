@@ -140,6 +140,18 @@ def s10(v):
     return latest_frames(v.table("events").select(c("event_type").alias("topic"), c("event_id").alias("frame_id")), 50)
 
 
+@query("s13_channel_file", "SELECT CAST(p_partkey AS INT) AS channel, (p_partkey * 37 % 5000 - 2500) / 100.0::DOUBLE AS elev_deg, (p_partkey * 11 % 360 - 180) / 8.0::DOUBLE AS azim_off_deg FROM part")
+def s13(v):
+    """A calibration written as a file of channels and read again."""
+    from scanlake.sources.calibration import read_channel_csv, write_channel_csv
+    from scanlake.storage import shared_dir
+
+    k, path = c("p_partkey"), shared_dir(v.spark)
+    own = v.table("part").select(k.cast("int").alias("channel"), ((k * 37 % 5000 - 2500) / 100.0).alias("elev_deg"), ((k * 11 % 360 - 180) / 8.0).alias("azim_off_deg"))
+    write_channel_csv(own, path)
+    return read_channel_csv(v.spark, path)
+
+
 @query("s16_rings", "SELECT n_nationkey AS laser_id, CAST(dense_rank() OVER (ORDER BY n_regionkey) - 1 AS INT) AS ring FROM nation")
 def s16(v):
     return with_rings(v.table("nation").withColumn("vert_correction", c("n_regionkey").cast("double"))).select(c("n_nationkey").alias("laser_id"), "ring")

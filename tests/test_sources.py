@@ -2,6 +2,7 @@
 
 import socket
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,26 @@ def test_no_frame_for_such_data(spark, size):
 
     with pytest.raises(Exception, match="data without an id|more than 64 bytes"):
         can.to_frames(spark.createDataFrame([(bytes(size),)], "data binary")).collect()
+
+
+def test_times_of_frames(spark, tmp_path):
+    from scanlake.streaming import metrics
+
+    for i in range(3):
+        spark.range(10 * (i + 1)).write.parquet(str(tmp_path / "in" / str(i)))
+    times = metrics.CycleTimes(keep=2)
+    spark.streams.addListener(times)
+    try:
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = metrics.observed(stream.filter("id % 2 = 0")).writeStream.format("noop").queryName("frames").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        # Progress reaches listeners after the trigger.
+        for _ in range(100):
+            rows = times.table(spark, bound_ms=1e9).collect()
+            if len(rows) == 2 and sum(p.numInputRows for p in q.recentProgress[-2:]) == sum(r.n_rows for r in rows):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(times)
+    assert len(rows) == 2 and all(r.query == "frames" and r.trigger_ms > 0 and 2 * r.n_frames >= r.n_rows > 0 and r.ms_a_frame == r.trigger_ms / r.n_frames and not r.late for r in rows)
+    assert metrics.CycleTimes().table(spark).count() == 0
