@@ -167,3 +167,13 @@ def t16(v):
     packets = e.filter("event_type <> 'signup'").select("sensor", "seq", "ts", "event_id", "value")
     found = T.run_once(S.configured_stream(packets, configurations, prepare, decode, "event_id long, value double", NOW))
     return found.select("event_id", "version", out4("value").alias("value"))
+
+
+@query("t11_rates_stream", """WITH g AS (SELECT *, (t_ns - lag(t_ns) OVER (PARTITION BY sensor ORDER BY t_ns, event_id)) / 1e9 AS gap FROM stream_ev)
+SELECT event_id, n_gaps, R4(rate * 1e6) AS rate_uhz, (n_gaps = 5 AND rate BETWEEN 0.00001 AND 0.001) AS valid FROM (
+ SELECT event_id, count(CASE WHEN gap > 0 THEN 1 / gap END) OVER w AS n_gaps, avg(CASE WHEN gap > 0 THEN 1 / gap END) OVER w AS rate FROM g
+ WINDOW w AS (PARTITION BY sensor ORDER BY t_ns, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))""")
+def t11(v):
+    """Rates of each sensor's messages, carried from trigger to trigger."""
+    r = T.run_once(S.rates_stream(_events(v), 5, 0.00001, 0.001, NOW))
+    return r.select("event_id", "n_gaps", out4(F.col("rate_hz") * 1e6).alias("rate_uhz"), "valid")

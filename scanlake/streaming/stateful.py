@@ -404,3 +404,34 @@ def configured_stream(packets: DataFrame, configurations: DataFrame, prepare: Ca
     p = packets.withColumns({"is_packet": F.lit(True), "configuration": F.lit(None).cast("binary")})
     q = configurations.select("sensor", "seq", "ts", F.lit(False).alias("is_packet"), F.col("configuration").cast("binary"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
     return run(p.unionByName(q), "sensor", Configured(prepare, decode), f"{schema}, version long", watermark)
+
+
+class Rates(InOrder):
+    """The average rate over a key's last n gaps, of which the state holds n - 1; a gap of
+    no length has no rate and takes a place."""
+
+    carried = "last_ns long, recent array<double>"
+    begin = (-1, [])
+    order = ("t_ns", "event_id")
+
+    def __init__(self, n: int, low_hz: float, high_hz: float):
+        self.n, self.low_hz, self.high_hz = n, low_hz, high_hz
+
+    def fold(self, key, rows, carried):
+        last, recent = carried[0], list(carried[1])
+        out = []
+        for t, event in zip(rows.t_ns, rows.event_id):
+            recent.append(1 / ((t - last) / 1e9) if 0 <= last < t else float("nan"))
+            known = [x for x in recent[-self.n :] if x == x]
+            rate = sum(known) / len(known) if known else None
+            out.append((*key, event, len(known), rate, len(known) == self.n and self.low_hz <= rate <= self.high_hz))
+            last, recent = int(t), recent[-self.n + 1 :] if self.n > 1 else []
+        return pd.DataFrame(out, columns=["sensor", "event_id", "n_gaps", "rate_hz", "valid"]), (last, recent)
+
+
+def rates_stream(stream: DataFrame, n: int, low_hz: float, high_hz: float, watermark: str = "1 second") -> DataFrame:
+    """ordered.rates() of a stream (sensor, event_id, t_ns from 0 on, ts): sensor, event_id,
+    n_gaps, rate_hz (null without a gap) and valid."""
+    kind = stream.schema["sensor"].dataType.simpleString()
+    rows = stream.select("sensor", F.col("event_id").cast("long"), "t_ns", "ts")
+    return run(rows, "sensor", Rates(n, low_hz, high_hz), f"sensor {kind}, event_id long, n_gaps long, rate_hz double, valid boolean", watermark)
