@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import TAU, c, wrap
-from scanlake.operators.firing import E3X_TABLES, E4X_TABLES, FIRING_NS, NEAR_M, QT128_LOOPS, ROBOSENSE_TABLES
+from scanlake.operators.firing import E3X_TABLES, E4X_TABLES, FIRING_NS, HELIOS_NS, NEAR_M, QT128_LOOPS
 
 
 @dataclass(frozen=True)
@@ -338,23 +338,39 @@ def _qt128_time(ch: Column, block, n_returns) -> Column:
     return _times(QT128_LOOPS[0] + QT128_LOOPS[1], F.when(first, 0).otherwise(128) + ch)
 
 
+def _shot(block, n_returns) -> Column:
+    """A shot of a Robosense packet: a block of single returns or a pair of blocks."""
+    return F.when(c(n_returns) == 2, F.floor(c(block) / 2)).otherwise(c(block)).cast("long")
+
+
+def _helios_time(ch: Column, block, n_returns) -> Column:
+    """In single mode two pairs of channels trade places, the second not in the first
+    block; the time of block and channel is rounded to ten."""
+    shot = _shot(block, n_returns)
+    traded = F.when(c(n_returns) == 2, ch).when(ch.isin(17, 18), 35 - ch).when(ch.isin(21, 22) & (shot > 0), 43 - ch).otherwise(ch)
+    return F.floor((shot * 1_000_000 + 18 * _times(HELIOS_NS, traded) + 90) / 180).cast("long") * 10
+
+
+def _bpearl_time(ch: Column, block, n_returns) -> Column:
+    """5555 ns from shot to shot, 166.8 from channel to channel, rounded."""
+    return F.when(ch.between(0, 31), 5555 * _shot(block, n_returns) + F.floor((1668 * ch + 5) / 10).cast("long"))
+
+
 def channel_offset_ns(model: str, channel, block="block", n_returns="n_returns") -> Column:
     """Nanoseconds from a block to a channel: by a rule where channels fire in order,
     else from the model's table. Some models fire by what their packets say, in further
     columns of the units: mode_flag (PandarQT128), operational_state and azimuth_state
-    (Pandar128E3X, Pandar128E4X), distance in metres (Pandar128E3X). Robosense tables
-    hold a block's own time as well. Channels that don't fire have 0 or -1."""
+    (Pandar128E3X, Pandar128E4X), distance in metres (Pandar128E3X). Robosense times
+    hold a block's own time as well, whatever the number of blocks. Channels that don't fire have 0 or -1."""
     ch = c(channel).cast("long")
     # Fixed values.
     rule = {
         "PandarXT16": lambda: 368 + 3024 * ch, "PandarXT32": lambda: 368 + 1512 * ch, "PandarXT32M": lambda: 368 + 2888 * (ch % 16),
         "PandarQT128": lambda: _qt128_time(ch, block, n_returns), "Pandar128E3X": lambda: _e3x_time(ch, block), "Pandar128E4X": lambda: _e4x_time(ch, block),
+        "Helios": lambda: _helios_time(ch, block, n_returns), "Bpearl": lambda: _bpearl_time(ch, block, n_returns),
     }
     if model in rule:
         return rule[model]()
-    if model in ROBOSENSE_TABLES:
-        single, dual = ROBOSENSE_TABLES[model]
-        return _times(single + dual, F.when(c(n_returns) == 2, len(single)).otherwise(0) + c(block) * 32 + ch)
     if model not in FIRING_NS:
         raise ValueError(f"no channel times of {model}")
     return F.element_at(F.array(*(F.lit(x).cast("long") for x in FIRING_NS[model])), (ch + 1).cast("int"))

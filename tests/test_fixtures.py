@@ -498,3 +498,13 @@ def test_near_status_levels(spark):
     assert {k: r.level for k, r in rows.items()} == {i: want for i, (_, want) in enumerate(cases) if want is not None}
     assert all(r.crc == r.crc_computed for r in rows.values()) and rows[3].long_accel_invalid == "Error this OPC" and rows[4].com_error == "Invalid value" and rows[5].sw_error == "Runtime Error"
     assert rows[2].defective == "Current Near Scan RF Error, Near Scan RF this OPC" and rows[0].wheelbase == 0.0 and rows[0].long_pos == -32.767
+
+
+def test_robosense_times_beyond_twelve_blocks(spark):
+    """A block more than a packet of 12 has keeps its own time, in either mode."""
+    rows = [("s", 1, 11, 22), ("s", 1, 12, 22), ("s", 1, 16, 31), ("d", 2, 23, 0), ("d", 2, 24, 3), ("d", 2, 40, 31)]
+    u = spark.createDataFrame(rows, "kind string, n_returns int, block int, channel int")
+    got = u.select("n_returns", "block", "channel", *(decode.channel_offset_ns(m, "channel").alias(m) for m in ("Helios", "Bpearl"))).collect()
+    helios = lambda shot, ns: round((shot * 500_000 / 9 + ns) / 10) * 10
+    assert [r.Helios for r in got] == [helios(11, 32734), helios(12, 32734), helios(16, 45148), helios(11, 0), helios(12, 4724), helios(20, 45148)]
+    assert [r.Bpearl for r in got] == [5555 * 11 + 3670, 5555 * 12 + 3670, 5555 * 16 + 5171, 5555 * 11, 5555 * 12 + 500, 5555 * 20 + 5171]
