@@ -508,3 +508,14 @@ def test_robosense_times_beyond_twelve_blocks(spark):
     helios = lambda shot, ns: round((shot * 500_000 / 9 + ns) / 10) * 10
     assert [r.Helios for r in got] == [helios(11, 32734), helios(12, 32734), helios(16, 45148), helios(11, 0), helios(12, 4724), helios(20, 45148)]
     assert [r.Bpearl for r in got] == [5555 * 11 + 3670, 5555 * 12 + 3670, 5555 * 16 + 5171, 5555 * 11, 5555 * 12 + 500, 5555 * 20 + 5171]
+
+
+def test_ring_step_at_a_right_angle(spark):
+    """Two points a right angle apart, whose azimuths as the C library rounds them lie a last
+    place below it: no break at a step of 90 degrees, as in the SQL."""
+    import pandas as pd
+
+    p = spark.createDataFrame(pd.DataFrame({"frame_id": 0, "channel": 0, "point_idx": [0, 1], "x": [13.600000000000001, -8.1], "y": [8.100000000000001, 13.600000000000001], "z": 0.0, "distance": 15.83}))
+    assert [r.a for r in p.select(G.exact_atan2("y", "x").alias("a")).collect()] == [math.atan2(8.100000000000001, 13.600000000000001), math.atan2(13.600000000000001, -8.1)]
+    r = ordered.ring_outliers(p.withColumn("azimuth", G.exact_atan2("y", "x")), 5, 1.3, 6.0, 90.0).collect()
+    assert [x.walk for x in r] == [2, 2]
