@@ -44,10 +44,11 @@ def ring_outliers(points: DataFrame, n: int = 5, ratio: float = 1.03, length: fl
     return p.drop("_new", "_island", "_lo", "_hi", "_near", "_a", "_b")
 
 
-def integrate_2d(twists: DataFrame, *keys: str) -> DataFrame:
+def integrate_2d(twists: DataFrame, *keys: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Poses by dead reckoning: at each twist the heading moves first, then the
-    place, along the new heading. The first twist stands at the origin."""
-    order = Window.partitionBy(*keys).orderBy("t_ns")
+    place, along the new heading. The first twist stands at the origin. Of equal stamps
+    the first by `ties` moves."""
+    order = Window.partitionBy(*keys).orderBy("t_ns", *ties)
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     dt = F.coalesce((c("t_ns") - F.lag("t_ns").over(order)) / 1e9, F.lit(0.0))
     t = twists.withColumn("dt", dt).withColumn("theta", F.sum(c("wz") * c("dt")).over(up_to))

@@ -257,9 +257,9 @@ def fn_four_cc(v):
 
 
 def _twists(v):
-    t = v.twist_ev().withColumn("day", F.floor(c("t_ns") / 86_400_000_000_000))
+    t = v.twist_ev("event_id").withColumn("day", F.floor(c("t_ns") / 86_400_000_000_000))
     z = lambda k: (F.col("wz") * k / 1000).alias
-    return t.select("day", "t_ns", (c("vx") / 1000).alias("vx"), F.lit(0.0001).alias("vy"), F.lit(0.0).alias("vz"), z(0.5)("wx"), z(-0.25)("wy"), z(1.0)("wz"))
+    return t.select("day", "t_ns", "event_id", (c("vx") / 1000).alias("vx"), F.lit(0.0001).alias("vy"), F.lit(0.0).alias("vz"), z(0.5)("wx"), z(-0.25)("wy"), z(1.0)("wz"))
 
 
 #: Stamps of the test tables are minutes apart.
@@ -289,7 +289,7 @@ pose AS (SELECT tw.*, """ + ", ".join(f"f.r{i}{j}" for i in _I for j in _I) + ""
 
 @query("w04_integrate_3d", f"WITH {_TW} SELECT day, t_ns, R4(p1) AS px, R4(p2) AS py, R4(p3) AS pz, R4(r11) AS r11, R4(r33) AS r33 FROM pose", recursive=True)
 def w04(v):
-    return integrate_3d(_twists(v), "day", HALF_DAY).select("day", "t_ns", *(out4(k).alias(k) for k in ("px", "py", "pz", "r11", "r33")))
+    return integrate_3d(_twists(v), "day", HALF_DAY, ("event_id",)).select("day", "t_ns", *(out4(k).alias(k) for k in ("px", "py", "pz", "r11", "r33")))
 
 
 @query("w06_undistort_3d", f"""WITH {_TW}, pts AS (SELECT event_id, t_ns, value AS x, event_id % 17 - 8.0::DOUBLE AS y, event_id % 5 - 2.0::DOUBLE AS z FROM stream_ev),
@@ -301,4 +301,4 @@ m3 AS (SELECT m2.event_id, l1, l2, l3, {', '.join(f'coalesce(o.r{i}{j}, {1 if i
 SELECT event_id, {', '.join(f"R4(r{i}1 * l1 + r{i}2 * l2 + r{i}3 * l3 + p{i}) AS u{_AX[i - 1]}" for i in _I)} FROM m3""", recursive=True)
 def w06(v):
     pts = v.stream_ev().select("event_id", "t_ns", c("value").alias("x"), (c("event_id") % 17 - 8.0).alias("y"), (c("event_id") % 5 - 2.0).alias("z"))
-    return undistort_3d(pts, integrate_3d(_twists(v), "day", HALF_DAY).drop("day")).select("event_id", *(out4(k).alias(k) for k in ("ux", "uy", "uz")))
+    return undistort_3d(pts, integrate_3d(_twists(v), "day", HALF_DAY, ("event_id",)).drop("day")).select("event_id", *(out4(k).alias(k) for k in ("ux", "uy", "uz")))

@@ -519,3 +519,19 @@ def test_ring_step_at_a_right_angle(spark):
     assert [r.a for r in p.select(G.exact_atan2("y", "x").alias("a")).collect()] == [math.atan2(8.100000000000001, 13.600000000000001), math.atan2(13.600000000000001, -8.1)]
     r = ordered.ring_outliers(p.withColumn("azimuth", G.exact_atan2("y", "x")), 5, 1.3, 6.0, 90.0).collect()
     assert [x.walk for x in r] == [2, 2]
+
+
+def test_points_go_with_each_twist_of_equal_stamps(spark):
+    """Two twists of one stamp: a point goes with both, the first by id has moved, in two and
+    in three dimensions."""
+    at = lambda s: int(s * 1e9)
+    rows = [(0, 7, 0, 1.0), (0, 9, at(2), 3.0), (0, 8, at(2), 1.0), (0, 5, at(4), 2.0)]
+    t = spark.createDataFrame(rows, "k int, id long, t_ns long, vx double").withColumn("wz", F.lit(0.0))
+    poses = joins.with_previous(ordered.integrate_2d(t, "k", ties=("id",)), "k", ties=("id",)).drop("k", "id")
+    p = points(spark, [(0, 0, 0), (0, 0, 0)]).withColumn("t_ns", F.when(F.col("point_idx") == 0, at(1)).otherwise(at(3)))
+    want = [(0, 1.0), (0, 2.0), (1, 4.0)]
+    assert sorted((r.point_idx, round(r.ux, 9)) for r in joins.undistort_2d(p, poses).collect()) == want
+    full = t.select("k", "id", "t_ns", "vx", F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"), F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"), "wz")
+    for bucket in (10**12, 10**9):
+        poses = motion.integrate_3d(full, "k", bucket, ("id",)).drop("k")
+        assert sorted((r.point_idx, round(r.ux, 9)) for r in motion.undistort_3d(p, poses).collect()) == want
