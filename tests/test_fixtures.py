@@ -535,3 +535,13 @@ def test_points_go_with_each_twist_of_equal_stamps(spark):
     for bucket in (10**12, 10**9):
         poses = motion.integrate_3d(full, "k", bucket, ("id",)).drop("k")
         assert sorted((r.point_idx, round(r.ux, 9)) for r in motion.undistort_3d(p, poses).collect()) == want
+
+
+def test_neighbours_are_of_a_whole_label(spark, tmp_path):
+    """Vectors 0 and 640 of one label meet; 0 and 1, of two, don't."""
+    from scanlake.plans.catalog import QUERIES
+
+    rows = [(0, [0.5] * 64, 3), (1, [0.5] * 64, 4), (640, [0.5] * 64, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    met = {(r.frame_id, r.a // 21, r.b // 21) for r in QUERIES["j07_neighbours"](spark, str(tmp_path)).collect()}
+    assert met == {(3, 0, 640), (3, 0, 0), (3, 640, 640), (4, 1, 1)}
