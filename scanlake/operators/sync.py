@@ -45,9 +45,11 @@ def approximate_sync(left: DataFrame, right: DataFrame, interval_ns: int) -> Dat
         r.select(F.lit(None).cast(left.schema["event_id"].dataType).alias("event_id"), "t_ns", "_b", F.struct(c("t_ns").cast("long").alias("t"), c("other").cast("long").alias("other")).alias("_r"))
     )
     # Frames by stamp take in all rows of a stamp, so a right row at a left row's own is both.
-    order = Window.partitionBy("_b").orderBy("t_ns")
+    # What comes after is what came before in the opposite order: Spark begins a frame that
+    # reaches to the end anew for each row, so its cost would be the square of a bucket.
+    up_to = lambda order: Window.partitionBy("_b").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     met = stream.withColumns({
-        "_p": F.last("_r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.first("_r", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+        "_p": F.last("_r", ignorenulls=True).over(up_to(F.asc("t_ns"))), "_n": F.last("_r", ignorenulls=True).over(up_to(F.desc("t_ns"))),
     }).filter("_r is null")
     near = lambda x: F.when(F.col(f"{x}.t").isNotNull(), F.struct(F.abs(F.col(f"{x}.t") - c("t_ns")).alias("dt"), F.col(f"{x}.other").alias("other")))
     best = met.withColumn("m", F.least(near("_p"), near("_n"))).filter(F.col("m.dt") <= interval_ns)

@@ -159,3 +159,17 @@ def test_index_over_many_ranges(spark):
     got = imaging.running_index(spark.createDataFrame([(w,) for w in words], "stem string").repartition(7), "stem").orderBy("index").collect()
     assert [r["index"] for r in got] == list(range(500)) and [r.stem for r in got] == sorted(words)
     assert imaging.running_index(spark.createDataFrame([], "stem string"), "stem").count() == 0
+
+
+def test_nearest_stamps_make_no_frame_to_the_end(spark):
+    """A frame that reaches to the end is begun anew for each row; nearest rows are those of
+    two frames that grow, at a row's own stamp as well."""
+    from scanlake.operators import joins, sync
+
+    df = lambda rows: spark.createDataFrame(rows, "event_id long, t_ns long")
+    left, right = df([(1, 10), (2, 20), (3, 29), (4, 90)]), df([(7, 20), (6, 20), (5, 12), (8, 30), (9, 28)])
+    met = sync.approximate_sync(left, right, 10)
+    found = joins.asof_forward(left, right, bucket_ns=7)
+    assert all("UNBOUNDED FOLLOWING" not in x._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDFOLLOWING$", "UNBOUNDED FOLLOWING") for x in (met, found))
+    assert sorted(map(tuple, met.collect())) == [(1, 5, 2), (2, 6, 0), (3, 8, 1)]
+    assert sorted((r.event_id, r.r_t_ns) for r in found.collect()) == [(1, 12), (2, 20), (3, 30), (4, 30)]
