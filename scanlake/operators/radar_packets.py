@@ -61,6 +61,16 @@ def _spark_type(t: np.dtype) -> str:
     return _SQL["f" if t.kind == "f" else t.str[1:]]
 
 
+#: Payloads that are numbers at a time: their entries have many times a payload's bytes.
+PIECE = 256
+
+
+def _pieces(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE):
+            yield b.slice(at, PIECE)
+
+
 def _arrow(values: np.ndarray) -> pa.Array:
     t = values.dtype
     native = np.float64 if t.kind == "f" else np.int64 if t.itemsize == 4 else np.int32
@@ -78,7 +88,7 @@ def entries(packets: DataFrame, kind: str) -> DataFrame:
     schema = ", ".join(f"{k} {t}" for k, t in head + [(k, _spark_type(record[k])) for k in record.names])
 
     def run(batches):
-        for b in batches:
+        for b in _pieces(batches):
             lists = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=layout)
             n = np.minimum(lists["n"].astype(np.int64), MOST[kind])
             row = np.repeat(np.arange(len(lists)), n)
@@ -111,7 +121,7 @@ def to_lists(rows: DataFrame, kind: str) -> DataFrame:
     layout = LISTS[kind]
 
     def run(batches):
-        for b in batches:
+        for b in _pieces(batches):
             lists = np.zeros(b.num_rows, dtype=layout)
             each = b.column(2)
             n = np.diff(each.offsets.to_numpy())

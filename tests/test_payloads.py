@@ -173,3 +173,16 @@ def test_nearest_stamps_make_no_frame_to_the_end(spark):
     assert all("UNBOUNDED FOLLOWING" not in x._jdf.queryExecution().optimizedPlan().toString().upper().replace("UNBOUNDEDFOLLOWING$", "UNBOUNDED FOLLOWING") for x in (met, found))
     assert sorted(map(tuple, met.collect())) == [(1, 5, 2), (2, 6, 0), (3, 8, 1)]
     assert sorted((r.event_id, r.r_t_ns) for r in found.collect()) == [(1, 12), (2, 20), (3, 30), (4, 30)]
+
+
+def test_payloads_are_read_in_pieces(spark, monkeypatch):
+    """No more than a piece of payloads is opened at a time, and no entry is lost."""
+    import pyarrow as pa
+
+    from scanlake.operators import radar_packets as R
+
+    b = pa.RecordBatch.from_pydict({"packet_id": list(range(2 * R.PIECE + 5))})
+    assert [x.num_rows for x in R._pieces([b])] == [R.PIECE, R.PIECE, 5]
+    rows = spark.range(0, 600, 1, 1).selectExpr("id as packet_id", "id * 1000000007 as t_ns", "transform(sequence(0, cast(id % 3 as int)), k -> struct(id * 10 + k as object_id, cast(k as float) as x)) as entries")
+    got = R.object_rows(R.to_lists(rows, "object")).select("packet_id", "t_ns", "n", "idx", "object_id", "x").collect()
+    assert sorted(map(tuple, got)) == [(i, i * 1000000007, i % 3 + 1, k, i * 10 + k, float(k)) for i in range(600) for k in range(i % 3 + 1)]
