@@ -55,6 +55,9 @@ SHARD = 8192
 HOT = 2048
 #: Windows of a group that is settled by pairs.
 PAIRS = 32
+#: Portions of the anchors with few places, one after another, so that the windows of
+#: one only lie on disk at a time. An anchor is in one portion.
+PORTIONS = 2
 #: Offsets that are told apart together there.
 RANGE = 21
 #: Bytes whose sums are made at once, so that they stay near the processor.
@@ -279,6 +282,7 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     places = materialize(long_texts(docs, length, mark, "h long, k1 long, k2 long, p int"))
     # As a table of its own, so that Spark may split the places of a hot gram between tasks.
     shared = materialize(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    release(docs.sparkSession)
     # A text that several tasks have passed on has its places several times.
     marked = materialize(places.join(shared, "h").select(*KEY, "p", "h", "n").distinct())
     drop_table(places)
@@ -333,7 +337,8 @@ def windows(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
 
 
 def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
-    """k1, k2, lo, hi: the repeated runs around anchors with many places."""
+    """k1, k2, lo, hi: the repeated runs around anchors with many places, as a table. What
+    a step has read for the last time is deleted before the next one."""
     w = length - GRAM + 1
 
     def describe(batches):
@@ -412,25 +417,33 @@ def hot_repeats(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
         "parts array<struct<g1: long, g2: long, o1: long, o2: long, x: long, y: long>>, window binary"
     )
     rows = materialize(_marked_texts(docs, marked, length).mapInArrow(trimmed(describe), kinds))
+    release(docs.sparkSession)
     # A text may have come twice, so places are told apart, not counted.
     seen = materialize(rows.groupBy("w1", "w2").agg(F.min("low").alias("one"), F.max("high").alias("other")))
     both = materialize(rows.join(seen, ["w1", "w2"]))
     drop_table(rows)
     release(docs.sparkSession)
-    whole = both.filter("one <> other").select("k1s", "k2s", "ps", "first", "last").mapInArrow(trimmed(spread), "k1 long, k2 long, lo long, hi long")
+    whole = materialize(both.filter("one <> other").select("k1s", "k2s", "ps", "first", "last").mapInArrow(trimmed(spread), "k1 long, k2 long, lo long, hi long").distinct())
     single = both.filter("low = one")
     parts = single.select("w1", "w2", *KEY, "p", F.explode("parts").alias("v")).select("w1", "w2", *KEY, "p", "v.*")
     shared = parts.groupBy("g1", "g2").agg(F.min("w1").alias("a"), F.max("w1").alias("b")).filter("a <> b").select("g1", "g2")
     covered = parts.groupBy("o1", "o2").agg(F.min("w1").alias("lead"), F.max("w1").alias("b")).filter("lead <> b").select("o1", "o2", "lead")
     left = materialize(parts.join(shared, ["g1", "g2"]).join(covered, ["o1", "o2"], "left").select("w1", "w2", *KEY, "p", "x", "y", "lead"))
+    drop_table(seen)
     release(docs.sparkSession)
-    runs = left.filter("lead is not null").select(*KEY, (F.col("p") - F.col("y")).alias("lo"), (F.col("p") - F.col("x") + length).alias("hi"))
+    runs = materialize(left.filter("lead is not null").select(*KEY, (F.col("p") - F.col("y")).alias("lo"), (F.col("p") - F.col("x") + length).alias("hi")).distinct())
     # The rest, and of each kind of repeated ranges one.
     open_ = left.filter("lead is null or lead = w1").groupBy("w1", "w2").agg(F.collect_list(F.struct("x", "y")).alias("ranges"))  # at most a window's ranges
     rest = single.join(open_, ["w1", "w2"]).select(*KEY, "p", "h", "n_before", "window", "ranges")
     found = materialize(rest.mapInArrow(trimmed(strings), "s1 long, s2 long, k1 long, k2 long, lo long").withColumn("r", F.xxhash64(*KEY, "lo")))
-    twice = found.groupBy("s1", "s2").agg(F.min("r").alias("one"), F.max("r").alias("other")).filter("one <> other").select("s1", "s2")
-    more = found.join(twice, ["s1", "s2"]).select(*KEY, "lo", (F.col("lo") + length).alias("hi"))
+    drop_table(both)
+    drop_table(left)
+    release(docs.sparkSession)
+    twice = materialize(found.groupBy("s1", "s2").agg(F.min("r").alias("one"), F.max("r").alias("other")).filter("one <> other").select("s1", "s2"))
+    release(docs.sparkSession)
+    more = materialize(found.join(twice, ["s1", "s2"]).select(*KEY, "lo", (F.col("lo") + length).alias("hi")).distinct())
+    drop_table(found)
+    drop_table(twice)
     return whole.unionByName(runs).unionByName(more)
 
 
@@ -525,11 +538,15 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = docs.sparkSession
     marked = shared_anchors(docs, length)
     release(spark)
-    runs = materialize(repeats(docs, marked.filter(F.col("n") <= HOT), length))
-    release(spark)
+    few = marked.filter(F.col("n") <= HOT)
+    runs = None
+    for i in range(PORTIONS):
+        part = materialize(repeats(docs, few.filter(F.pmod("h", F.lit(PORTIONS)) == i), length))
+        runs = part if runs is None else runs.unionByName(part)
+        release(spark)
     hot = marked.filter(F.col("n") > HOT)
     if hot.head(1):
-        runs = runs.unionByName(materialize(hot_repeats(docs, hot, length).distinct()))
+        runs = runs.unionByName(hot_repeats(docs, hot, length))
         release(spark)
     drop_table(marked)
     # Texts that occur twice are repeated from end to end.

@@ -283,6 +283,38 @@ def test_a_common_line_and_hundreds_of_copies(make, monkeypatch, hot):
     assert got == brute_repeats(rows, 100)
 
 
+def test_repeats_leave_no_tables(make, spark, monkeypatch):
+    """Anchors with few places come portion by portion, each in one; of what a step writes
+    only runs are left. Before, all windows lay on disk at once, and tables of hot anchors stayed."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    parts, kept, write, drop, few = [], set(), repeats.materialize, repeats.drop_table, repeats.repeats
+
+    def table(df):
+        out = write(df)
+        kept.add((out.inputFiles()[0].rsplit("/", 1)[0], tuple(out.columns)))
+        return out
+
+    def dropped(df):
+        gone = df.inputFiles()[0].rsplit("/", 1)[0]
+        kept.difference_update([x for x in kept if x[0] == gone])
+        drop(df)
+
+    def portion(docs, marked, length):
+        parts.append({r.h for r in marked.select("h").collect()})
+        return few(docs, marked, length)
+
+    for name, f in (("materialize", table), ("drop_table", dropped), ("repeats", portion)):
+        monkeypatch.setattr(repeats, name, f)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    x, y = " ".join(words[:300]), " ".join(words[300:360])
+    rows = [(1, x), (2, x + "!"), *((10 + i, f"{y} {' '.join(rng.choices(words, k=40))} {y[: 150 + 40 * i]}") for i in range(5))]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(repeats.find_repeats(make(rows).repartition(3), 100)).collect()), key=repr)
+    assert got == brute_repeats(rows, 100)
+    assert len(parts) == repeats.PORTIONS > 1 and all(parts) and not set.intersection(*parts)
+    assert {columns for _, columns in kept} == {("k1", "k2", "lo", "hi")}
+
+
 def test_repeats_of_nothing(make):
     assert repeats.digest(repeats.find_repeats(make([]))).count() == 0
 
