@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +143,10 @@ def open_blocks(packets: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            # Lengths are seen here: as a filter they would be sought where packets are made, before rows are dealt to tasks.
+            b = b.filter(pc.greater_equal(pc.binary_length(b.column(1)), packet.itemsize))
+            if not b.num_rows:
+                continue
             raw = np.frombuffer(b"".join(x[: packet.itemsize] for x in b.column(1).to_pylist()), dtype=packet)["blocks"]
             word, first = raw["word"].astype(np.int32), np.zeros(raw.shape, dtype=np.int32)
             known = np.full(raw.shape, not layout.strict)
@@ -159,7 +164,7 @@ def open_blocks(packets: DataFrame, model: str) -> DataFrame:
                 ["packet_id", "block", "channel", "raw_az", "raw_dist", "refl"],
             )
 
-    return valid_packets(packets, packet.itemsize).select("packet_id", "data").mapInArrow(run, "packet_id long, block int, channel int, raw_az int, raw_dist int, refl int")
+    return packets.select("packet_id", "data").mapInArrow(run, "packet_id long, block int, channel int, raw_az int, raw_dist int, refl int")
 
 
 def decode_units(packets: DataFrame, model: str) -> DataFrame:

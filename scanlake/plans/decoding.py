@@ -46,7 +46,9 @@ def _block_packets(v, header: int, order, words):
         return F.concat(order(F.element_at(F.array(*map(F.lit, words)), ((k + b) % len(words) + 1).cast("int")), 2), order((k * 37 + b * 20) % 36000, 2), units)
 
     text = F.concat(F.lit("00" * header), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), block), ""), F.lit("000000000000"))
-    return v.table("supplier").select(k.alias("packet_id"), F.unhex(text).alias("data"))
+    # A row becomes 384 units, so a file of few bytes is dealt to all cores first.
+    rows = v.table("supplier").select("s_suppkey").repartition(4 * v.spark.sparkContext.defaultParallelism, "s_suppkey")
+    return rows.select(k.alias("packet_id"), F.unhex(text).alias("data"))
 
 
 _BLOCKS = """SELECT s_suppkey AS packet_id, CAST(b AS INT) AS block, CAST({first} + u AS INT) AS channel, CAST((s_suppkey * 37 + b * 20) % 36000 AS INT) AS raw_az, CAST((s_suppkey * 7 + b * 11 + u) * 5 % 65536 AS INT) AS raw_dist,

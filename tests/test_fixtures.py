@@ -545,3 +545,13 @@ def test_neighbours_are_of_a_whole_label(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     met = {(r.frame_id, r.a // 21, r.b // 21) for r in QUERIES["j07_neighbours"](spark, str(tmp_path)).collect()}
     assert met == {(3, 0, 640), (3, 0, 0), (3, 640, 640), (4, 1, 1)}
+
+
+def test_block_packets_are_built_by_many_tasks(spark, tmp_path):
+    """A small file of suppliers is one split; before, its packets were one task's."""
+    from scanlake.plans.catalog import QUERIES
+
+    spark.range(1, 65).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = QUERIES["d28_velodyne_four_banks"](spark, str(tmp_path))
+    assert got.count() == 32 * sum(4 - k % 5 for k in range(1, 65) if k % 5 < 4)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
