@@ -116,11 +116,13 @@ def normalized_objects(objects: DataFrame) -> DataFrame:
 
 
 def vanished(ids: DataFrame) -> DataFrame:
-    """frame_no, object_id: ids that the frame before had and this one lacks. Each
-    is looked up in the next frame, no frame is gathered."""
-    nxt = ids.select((c("frame_no") + 1).alias("frame_no"), "object_id")
-    frames = ids.select("frame_no").distinct()
-    return nxt.join(frames, "frame_no", "left_semi").join(ids, ["frame_no", "object_id"], "left_anti")
+    """frame_no, object_id, each once: ids that the frame before had and this one lacks.
+    What a frame has and what the one before had meet as sums by frame and id, without a
+    sort; no frame is gathered."""
+    here = ids.select("frame_no", "object_id", F.lit(True).alias("here"))
+    before = ids.select((c("frame_no") + 1).alias("frame_no"), "object_id", F.lit(False).alias("here"))
+    gone = here.unionByName(before).groupBy("frame_no", "object_id").agg(F.bool_or("here").alias("here")).filter(~c("here"))
+    return gone.select("frame_no", "object_id").join(ids.select("frame_no").distinct(), "frame_no", "left_semi")
 
 
 # Near detections, resolution and offset of a field.

@@ -143,7 +143,7 @@ def r17(v):
 @query("r21_vanished_ids", """WITH f AS (SELECT DISTINCT l_orderkey // 100 AS frame_no, l_suppkey AS object_id FROM lineitem) SELECT a.frame_no + 1 AS frame_no, a.object_id FROM f a WHERE EXISTS (SELECT 1 FROM f x WHERE x.frame_no = a.frame_no + 1)
  AND NOT EXISTS (SELECT 1 FROM f b WHERE b.frame_no = a.frame_no + 1 AND b.object_id = a.object_id)""")
 def r21(v):
-    return R.vanished(v.table("lineitem").select(F.expr("l_orderkey div 100").alias("frame_no"), c("l_suppkey").alias("object_id")).distinct())
+    return R.vanished(v.table("lineitem").select(F.expr("l_orderkey div 100").alias("frame_no"), c("l_suppkey").alias("object_id")))
 
 
 @query("t17_diagnostics", """SELECT source, CAST(max(CASE WHEN off THEN level ELSE 0 END) AS INT) AS level, coalesce(string_agg(DISTINCT CASE WHEN off THEN metric END, ', ' ORDER BY CASE WHEN off THEN metric END), '') AS message FROM (

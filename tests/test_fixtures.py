@@ -586,3 +586,11 @@ def test_frames_are_settled_side_by_side(spark, monkeypatch):
     assert len(every) == n
     for f in (None, 0, 33):
         assert run(points.filter(F.col("frame_id").eqNullSafe(F.lit(f)))) == {k: v for k, v in every.items() if k[0] == f}
+
+
+def test_vanished_ids_come_once(spark):
+    """Rows that repeat and ids that stay; before, a repeated row gave its id twice."""
+    from scanlake.operators.radar import vanished
+
+    ids = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 8), (2, 8), (2, 9), (4, 9), (5, 9), (5, 7)], "frame_no long, object_id long")
+    assert sorted(map(tuple, vanished(ids).collect())) == [(2, 7)]
