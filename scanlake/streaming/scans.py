@@ -33,21 +33,28 @@ def carried(rows: DataFrame, cut: Callable[[Column], Column], value, keys: list[
     the row before, whether a row is a cut, `of_before` leaves it out of its own number.
 
     A key's rows are taken `bucket` of its order at a time, each bucket in a task of its
-    own: what the bucket before ended with, and how many cuts came before, are prefixes
-    over tables of a row a bucket, joined back by bucket. So a sensor's history of any
-    length is no one task's."""
+    own and put in order once. Its first row is judged as if none came before it; what that
+    leaves to mend, and how many cuts came before, follow from a table of a row a bucket and
+    are joined back where they are not zero: nothing, where keys have a bucket each. So a
+    sensor's history of any length is no one task's. Rows without a key or an order are left out."""
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_cut = lambda last: F.coalesce(cut(c(last)), F.lit(False)).cast("long")
     b = rows.withColumns({"_bucket": F.floor(c(order) / bucket), "_value": value})
-    ends = b.groupBy(*keys, "_bucket").agg(F.max_by("_value", order).alias("_end"))
+    for k in (*keys, "_bucket"):
+        b = b.filter(c(k).isNotNull())
+    # Rows are narrow and shuffle to little: by a number of their own, tasks aren't merged until they fill memory.
+    b = b.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_bucket")
+    b = b.withColumns({"_last": F.lag("_value").over(inside), "_first": F.row_number().over(inside) == 1}).withColumn("_cut", is_cut("_last"))
+    heads = b.withColumns({"_end": F.last("_value").over(whole), "_n": F.sum("_cut").over(whole)}).filter("_first")
     earlier = Window.partitionBy(*keys).orderBy("_bucket")
-    b = b.join(ends.select(*keys, "_bucket", F.lag("_end").over(earlier).alias("_end")), [*keys, "_bucket"])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    b = b.withColumn("_last", F.coalesce(F.lag("_value").over(inside), "_end"))
-    b = b.withColumn("_cut", F.coalesce(cut(c("_last")), F.lit(False)).cast("long")).withColumn("_so_far", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = b.groupBy(*keys, "_bucket").agg(F.sum("_cut").alias("_n"))
-    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
-    b = b.join(sums, [*keys, "_bucket"])
-    number = c("_n") + c("_so_far") - (c("_cut") if of_before else F.lit(0))
-    return b.withColumn(name, number).drop("_bucket", "_value", "_end", "_last", "_cut", "_so_far", "_n").select(*rows.columns, name)
+    heads = heads.withColumn("_last", F.lag("_end").over(earlier)).withColumn("_mend", F.when(c("_last").isNull(), 0).otherwise(is_cut("_last") - c("_cut")))
+    heads = heads.withColumn("_before", F.coalesce(F.sum(c("_n") + c("_mend")).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    heads = heads.filter("_before <> 0 or _mend <> 0").select(*keys, "_bucket", "_before", "_mend")
+    b = b.withColumn("_so_far", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(heads, [*keys, "_bucket"], "left")
+    mend = F.coalesce("_mend", F.lit(0))
+    number = c("_so_far") + F.coalesce("_before", F.lit(0)) + mend - (c("_cut") + F.when(c("_first"), mend).otherwise(0) if of_before else F.lit(0))
+    return b.select(*rows.columns, number.alias(name))
 
 
 def cut_at_angle(blocks: DataFrame, angle: float, key: str = "sensor", bucket: int = BUCKET) -> DataFrame:

@@ -594,3 +594,15 @@ def test_vanished_ids_come_once(spark):
 
     ids = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 8), (2, 8), (2, 9), (4, 9), (5, 9), (5, 7)], "frame_no long, object_id long")
     assert sorted(map(tuple, vanished(ids).collect())) == [(2, 7)]
+
+
+def test_cuts_of_short_histories_join_nothing(spark):
+    """Where each key has one bucket, rows are put in order once and meet no table; before,
+    they were joined twice, and a null inside a bucket was followed by the bucket before."""
+    rows = [(s, i, a) for s in range(3) for i, a in enumerate([50.0, 60.0, 80.0, 85.0, None, 70.0])]
+    df = spark.createDataFrame(rows, "sensor int, seq long, azimuth double")
+    for bucket in (3, 1000):
+        cut = scans.cut_on_wrap(df, 0.0, 360.0, bucket=bucket)
+        assert {r.scan_id for r in cut.collect()} == {0}
+        plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Final Plan" in plan and ("Join" in plan) <= (bucket == 3) and plan.count("Sort [") <= 1 + 2 * (bucket == 3)
