@@ -606,3 +606,17 @@ def test_cuts_of_short_histories_join_nothing(spark):
         assert {r.scan_id for r in cut.collect()} == {0}
         plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "Final Plan" in plan and ("Join" in plan) <= (bucket == 3) and plan.count("Sort [") <= 1 + 2 * (bucket == 3)
+
+
+def test_ransac_deals_points_once(spark):
+    """Points, planes and leaves were joined by frame five times, each with shuffles of its own.
+    Frames of too few points, of points without numbers and without an id pass whole."""
+    flat = [(f, 100 * f + i, float(i % 10), float(i // 10), 0.0 if i else 3.0) for f in (1, 2) for i in range(60)]
+    odd = [(3, 301, 0.0, 0.0, 0.0), (3, 302, 1.0, 0.0, 0.0), *((4, 400 + i, None, float(i), 0.0) for i in range(5)), *((None, 500 + i, float(i % 3), float(i // 3), 0.0) for i in range(9))]
+    odd += [(1, 190, None, 0.0, 0.0), (2, 290, float("nan"), 0.0, 0.0)]
+    p = spark.createDataFrame(flat + odd, "frame_id int, point_idx long, x double, y double, z double")
+    found = ground.ransac(p, iterations=40)
+    assert {r.point_idx for r in found.filter("is_obstacle").collect()} == {100, 200, 190, 290, *(r[1] for r in odd)}
+    assert found.count() == p.count()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") <= 3
