@@ -620,3 +620,21 @@ def test_ransac_deals_points_once(spark):
     assert found.count() == p.count()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") <= 3
+
+
+TINY_DEPTHS = {
+    "p08_pinhole": {(0, i, 361, 55) for i in range(21)},
+}
+
+
+@pytest.mark.parametrize("name", TINY_DEPTHS)
+def test_tiny_depths_fall_off_the_image(spark, tmp_path, name):
+    """Of vectors 0 to 3, one lies in detection 10 and in the mask; u and v of the second, v
+    of the third are more than an int holds, and the last has no depth."""
+    from scanlake.plans.catalog import QUERIES
+
+    rows = [(i, xyz * 21 + [0.0], 0) for i, xyz in enumerate([[0.13, -0.615, 1.0], [0.13, 0.1, 1e-12], [0.0, 0.1, 1e-12], [0.13, 0.1, 0.0]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(10, 1)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == TINY_DEPTHS[name] and len(found) == len(TINY_DEPTHS[name])
