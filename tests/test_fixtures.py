@@ -624,6 +624,7 @@ def test_ransac_deals_points_once(spark):
 
 TINY_DEPTHS = {
     "p08_pinhole": {(0, i, 361, 55) for i in range(21)},
+    "a05_votes": {(0, 10, k, 2 if k < 9 else 1) for k in range(12)},
 }
 
 
