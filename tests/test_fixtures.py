@@ -626,6 +626,7 @@ TINY_DEPTHS = {
     "p08_pinhole": {(0, i, 361, 55) for i in range(21)},
     "a05_votes": {(0, 10, k, 2 if k < 9 else 1) for k in range(12)},
     "a06_cluster_totals": {(0, k, 2 if k < 9 else 1) for k in range(12)},
+    "c16_match": {(0, 10, k, 2, k + 1) for k in range(3)},
 }
 
 
