@@ -628,6 +628,7 @@ TINY_DEPTHS = {
     "a06_cluster_totals": {(0, k, 2 if k < 9 else 1) for k in range(12)},
     "c16_match": {(0, 10, k, 2, k + 1) for k in range(3)},
     "c16_match_exclusive": {(0, 10, k, 2, k + 1) for k in range(9)},
+    "j09_points_in_detections": {(i, 10) for i in range(21)},
 }
 
 
