@@ -630,6 +630,7 @@ TINY_DEPTHS = {
     "c16_match_exclusive": {(0, 10, k, 2, k + 1) for k in range(9)},
     "j09_points_in_detections": {(i, 10) for i in range(21)},
     "j10_points_in_mask": {(i,) for i in range(21)},
+    "o06_top_k": {(0, 10, 0, 2, 1)},
 }
 
 
